@@ -2,7 +2,8 @@
 
 A document's histogram of character classes and its histogram of common words are compared with those of its language,
 which are summed over the table's own documents that pass the plain rules. A document whose Jensen-Shannon distance
-(base 2, so 0 to 1) to a reference is above a threshold is rejected. Guards: short documents have too few words or
+(base 2, so 0 to 1) to a reference is above a threshold is rejected. For words it must also be far when all common words
+are one bin: a text that mixes languages has other common words than its language, but about as many. Guards: short documents have too few words or
 characters for a histogram, and rare languages have no reference; neither is judged by divergence.
 """
 
@@ -29,9 +30,10 @@ BINS = sorted({w for ws in COMMON_WORDS.values() for w in ws})
 class Rules:
     min_words: int = 50
     max_repeat_percent: int = 50
-    char_distance: float = 0.30
-    word_distance: float = 0.55
-    guard_chars: int = 200  # fewer characters: no verdict by characters
+    char_distance: float = 0.24
+    word_distance: float = 0.27
+    mass_distance: float = 0.22
+    guard_chars: int = 500  # fewer characters: no verdict by characters
     guard_words: int = 80  # fewer words: no verdict by words
     guard_reference: int = 20  # fewer documents in a language: no reference
 
@@ -79,12 +81,18 @@ def js_distance(p, q) -> F.Column:
     return F.when((np_ > 0) & (nq > 0), F.sqrt(F.greatest(F.lit(0.0), total / 2)))
 
 
+def _mass(commons: str) -> F.Column:
+    """All common words as one bin, beside the other words."""
+    total, other = _sum(F.col(commons)), F.element_at(commons, -1)
+    return F.array(total - other, other)
+
+
 def base_failed(rules: Rules) -> F.Column:
     return (F.col("__n_words") < rules.min_words) | (100 * F.col("__n_repeat_words") > rules.max_repeat_percent * F.col("__n_words"))
 
 
 def judged(docs: DataFrame, rules: Rules = Rules(), lang_col: str = "lang", text_col: str = "text", keep: tuple = ("doc_id",)) -> DataFrame:
-    """The columns `keep` of each row, and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, char_distance, word_distance.
+    """The columns `keep` of each row, and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, char_distance, word_distance, mass_distance.
 
     Null texts are empty, so they fail. A null or rare language has no reference: the plain rules decide alone. Repeated
     rows are judged each; an empty table gives an empty result; columns not in `keep` are left out and cannot clash.
@@ -98,10 +106,11 @@ def judged(docs: DataFrame, rules: Rules = Rules(), lang_col: str = "lang", text
     refs = totals.where(F.col("__n") >= rules.guard_reference).select("__lang", *[F.array(*[F.col(f"{c}_{i}") for i in range(n)]).alias(f"{c}_ref") for c, n in sums.items()])
     refs = staged(refs, "quality-references")
     long_text = F.aggregate("__chars", F.lit(0).cast("long"), lambda s, x: s + x) >= rules.guard_chars
-    out = f.join(refs, "__lang", "left").withColumns({"char_distance": F.when(long_text, js_distance(F.col("__chars"), F.col("__chars_ref"))), "word_distance": F.when(F.col("__n_words") >= rules.guard_words, js_distance(F.col("__commons"), F.col("__commons_ref")))})
-    far = F.coalesce(F.col("char_distance") > rules.char_distance, F.lit(False)) | F.coalesce(F.col("word_distance") > rules.word_distance, F.lit(False))
+    out = f.join(refs, "__lang", "left").withColumns({"char_distance": F.when(long_text, js_distance(F.col("__chars"), F.col("__chars_ref"))), "word_distance": F.when(F.col("__n_words") >= rules.guard_words, js_distance(F.col("__commons"), F.col("__commons_ref"))), "mass_distance": F.when(F.col("__n_words") >= rules.guard_words, js_distance(_mass("__commons"), _mass("__commons_ref")))})
+    far_words = (F.col("word_distance") > rules.word_distance) & (F.col("mass_distance") > rules.mass_distance)
+    far = F.coalesce(F.col("char_distance") > rules.char_distance, F.lit(False)) | F.coalesce(far_words, F.lit(False))
     return out.select(
         *[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)],
         *[F.col(f"__{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
-        F.col("__failed").alias("base_failed"), (~F.col("__failed") & ~far).alias("kept"), "char_distance", "word_distance",
+        F.col("__failed").alias("base_failed"), (~F.col("__failed") & ~far).alias("kept"), *[F.round(c, 6).alias(c) for c in ("char_distance", "word_distance", "mass_distance")],
     )
