@@ -69,22 +69,15 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return f.withColumn("__n_repeat_words", F.expr("aggregate(transform(__p, (x, i) -> least(3, coalesce(get(__p, i + 1) - x, 3))), 0L, (s, x) -> s + x)")).drop("__p")
 
 
-def js_distance(p, q) -> F.Column:
-    """Jensen-Shannon distance of two count arrays; null if either has no counts."""
-    np_, nq = _sum(p).cast("double"), _sum(q).cast("double")
+def js_distance(p: str, q: str, n_p: str, n_q: str) -> F.Column:
+    """Jensen-Shannon distance of two columns of counts, given their sums; null if either has no counts."""
 
     def term(x, y):
-        a, b = x / np_, y / nq
+        a, b = x / F.col(n_p), y / F.col(n_q)
         return F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(0.0) + F.when(b > 0, b * F.log2(2 * b / (a + b))).otherwise(0.0)
 
     total = F.aggregate(F.zip_with(p, q, term), F.lit(0.0), lambda s, x: s + x)
-    return F.when((np_ > 0) & (nq > 0), F.sqrt(F.greatest(F.lit(0.0), total / 2)))
-
-
-def _mass(commons: str) -> F.Column:
-    """All common words as one bin, beside the other words."""
-    total, other = _sum(F.col(commons)), F.element_at(commons, -1)
-    return F.array(total - other, other)
+    return F.when((F.col(n_p) > 0) & (F.col(n_q) > 0), F.sqrt(F.greatest(F.lit(0.0), total / 2)))
 
 
 def base_failed(rules: Rules) -> F.Column:
@@ -105,8 +98,14 @@ def judged(docs: DataFrame, rules: Rules = Rules(), lang_col: str = "lang", text
     totals = fit.groupBy("__lang").agg(F.count("*").alias("__n"), *[F.sum(F.get(c, F.lit(i))).alias(f"{c}_{i}") for c, n in sums.items() for i in range(n)])
     refs = totals.where(F.col("__n") >= rules.guard_reference).select("__lang", *[F.array(*[F.col(f"{c}_{i}") for i in range(n)]).alias(f"{c}_ref") for c, n in sums.items()])
     refs = staged(refs, "quality-references")
-    long_text = F.aggregate("__chars", F.lit(0).cast("long"), lambda s, x: s + x) >= rules.guard_chars
-    out = f.join(refs, "__lang", "left").withColumns({"char_distance": F.when(long_text, js_distance(F.col("__chars"), F.col("__chars_ref"))), "word_distance": F.when(F.col("__n_words") >= rules.guard_words, js_distance(F.col("__commons"), F.col("__commons_ref"))), "mass_distance": F.when(F.col("__n_words") >= rules.guard_words, js_distance(_mass("__commons"), _mass("__commons_ref")))})
+    out = f.join(refs, "__lang", "left")
+    # sums are columns: inside a lambda they would be added up again for each element
+    out = out.withColumns({f"__sum{c}": _sum(F.col(c)) for c in ("__chars", "__chars_ref", "__commons", "__commons_ref")})
+    out = out.withColumns({f"{c}_mass": F.array(F.col(f"__sum{c}") - F.element_at(c, -1), F.element_at(c, -1)) for c in ("__commons", "__commons_ref")})
+    far_from = lambda p, q, n: js_distance(p, q, f"__sum{n}", f"__sum{n}_ref")
+    enough = {"char_distance": F.col("__sum__chars") >= rules.guard_chars, "word_distance": F.col("__n_words") >= rules.guard_words, "mass_distance": F.col("__n_words") >= rules.guard_words}
+    of = {"char_distance": ("__chars", "__chars_ref", "__chars"), "word_distance": ("__commons", "__commons_ref", "__commons"), "mass_distance": ("__commons_mass", "__commons_ref_mass", "__commons")}
+    out = out.withColumns({c: F.when(enough[c], far_from(*of[c])) for c in of})
     far_words = (F.col("word_distance") > rules.word_distance) & (F.col("mass_distance") > rules.mass_distance)
     far = F.coalesce(F.col("char_distance") > rules.char_distance, F.lit(False)) | F.coalesce(far_words, F.lit(False))
     return out.select(
