@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mix, quality, simhash, urlfilter
+from . import langid, mix, packing, quality, simhash, urlfilter
 from .common import table
 
 URL_RULES = [
@@ -34,6 +34,20 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op4_url_filter, op5_simhash, op6_quality_rules)}
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    learned = langid.sample(docs.where(fold != 0).select("doc_id", "text", "lang"))
+    return langid.predict(docs, learned, keep=(F.coalesce(fold == 0, F.lit(False)).alias("held_out"),))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_language_id, op4_url_filter, op5_simhash, op6_quality_rules, op7_packing)}
 
 ORACLES: dict[str, str] = {}
