@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mix, packing, quality, simhash, urlfilter
+from . import embedding, langid, mix, packing, quality, simhash, urlfilter
 from .common import table
 
 URL_RULES = [
@@ -48,6 +48,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_language_id, op4_url_filter, op5_simhash, op6_quality_rules, op7_packing)}
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_language_id, op4_url_filter, op5_simhash, op6_quality_rules, op7_packing, op9_embedding_dedup)}
 
 ORACLES: dict[str, str] = {}
