@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding, langid, mix, packing, quality, simhash, urlfilter
+from . import embedding, langid, mix, packing, pii, quality, simhash, urlfilter
 from .common import table
 
+#: A key for the queries; jobs pass their own secret.
+PII_KEY = "a key for tests"
+
 URL_RULES = [
     ("com", "/en/", "block"),
     ("example.com", "/en/7", "allow"),
@@ -52,6 +55,10 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_language_id, op4_url_filter, op5_simhash, op6_quality_rules, op7_packing, op9_embedding_dedup)}
+def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY, count_col="n_changed")
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_language_id, op4_url_filter, op5_simhash, op6_quality_rules, op7_packing, op9_embedding_dedup, op10_pii_pseudonyms)}
 
 ORACLES: dict[str, str] = {}
