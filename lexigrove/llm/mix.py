@@ -51,6 +51,7 @@ def mix(
     text_col: str = "text",
     source_col: str = "source",
     weight_col: str | None = None,
+    keep: tuple = (),
 ) -> DataFrame:
     """Rows (doc_id, size, source_size, target, taken, copies, source), one for each row of `docs`.
 
@@ -58,10 +59,10 @@ def mix(
     The draw depends on seed, doc_id and size alone, so reruns agree; rows equal in these are ranked in any order, which
     leaves the multiset of results the same. Documents without words are expected like any other of their source, add
     nothing to its quota, and never get an extra copy. An empty table gives an empty result; null sources are one source.
-    `weight_col`: own weights (positive) for unequal probabilities within a source; null counts as 1.
+    Other columns are left out, but for those in `keep`, which follow. `weight_col`: own weights (positive) for unequal probabilities within a source; null counts as 1.
     """
     weight = F.coalesce(F.col(weight_col).cast("double"), F.lit(1.0)) if weight_col else F.lit(1.0)
-    rows = staged(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), weight.alias("weight")), "mix-sizes")
+    rows = staged(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), weight.alias("weight"), *[F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(keep)]), "mix-sizes")
     by_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("weight")).alias("weighed"))
     goal = staged(targets(by_source.select("source", "source_size"), weights, share, ceiling).join(by_source.select(F.col("source").alias("s"), "weighed"), F.col("source").eqNullSafe(F.col("s"))).drop("s"), "mix-targets")
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "size"), 11).cast("double") + 0.5) / float(1 << 53)
@@ -92,5 +93,12 @@ def mix(
     # in the last cell a document is taken if that brings the sum nearer to the quota
     close = ranked.where(edge).withColumn("extra", (F.sum("size").over(run) - F.col("size") / 2 <= F.col("open")).cast("long"))
     return sure.unionByName(close).select(
-        "doc_id", "size", "source_size", "target", ((F.col("certain") + F.col("extra")) * F.col("size")).cast("long").alias("taken"), (F.col("certain") + F.col("extra")).cast("long").alias("copies"), "source"
+        "doc_id", "size", "source_size", "target", ((F.col("certain") + F.col("extra")) * F.col("size")).cast("long").alias("taken"), (F.col("certain") + F.col("extra")).cast("long").alias("copies"), "source", *[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)]
     )
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """`docs` with each row as often as the mix takes it: no row, one or two. All columns are kept."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text", "source")
+    taken = mix(rows, keep=("row",), **options).where("copies > 0")
+    return taken.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

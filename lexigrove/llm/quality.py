@@ -113,3 +113,11 @@ def judged(docs: DataFrame, rules: Rules = Rules(), lang_col: str = "lang", text
         *[F.col(f"__{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         F.col("__failed").alias("base_failed"), (~F.col("__failed") & ~far).alias("kept"), *[F.round(c, 6).alias(c) for c in ("char_distance", "word_distance", "mass_distance")],
     )
+
+
+def kept(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """The rows of `docs` that the rules keep, with all their columns. Rows are judged in place: nothing is joined back by id."""
+    names = docs.columns
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), *[c for c in ("lang", "text")])
+    out = judged(rows, rules, keep=("row",))
+    return out.where("kept").select("row.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding, langid, mix, packing, pii, quality, simhash, urlfilter
+from . import embedding, html, langid, mix, packing, pii, quality, simhash, urlfilter
 from .common import table
 
 #: A key for the queries; jobs pass their own secret.
@@ -59,6 +59,10 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY, count_col="n_changed")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_language_id, op4_url_filter, op5_simhash, op6_quality_rules, op7_packing, op9_embedding_dedup, op10_pii_pseudonyms)}
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_language_id, op4_url_filter, op5_simhash, op6_quality_rules, op7_packing, op8_html_text, op9_embedding_dedup, op10_pii_pseudonyms)}
 
 ORACLES: dict[str, str] = {}
