@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding, html, langid, mix, packing, pii, quality, simhash, urlfilter
+from . import embedding, html, langid, mix, packing, pii, quality, simhash, substring, urlfilter
 from .common import table
 
 #: A key for the queries; jobs pass their own secret.
@@ -24,6 +24,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated(table(spark, sf_dir, "documents"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -63,6 +67,6 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_language_id, op4_url_filter, op5_simhash, op6_quality_rules, op7_packing, op8_html_text, op9_embedding_dedup, op10_pii_pseudonyms)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_substring_dedup, op4_url_filter, op5_simhash, op6_quality_rules, op7_packing, op8_html_text, op9_embedding_dedup, op10_pii_pseudonyms)}
 
 ORACLES: dict[str, str] = {}
