@@ -9,9 +9,9 @@ padding.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,44 +20,164 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words whose ids a Python worker remembers, and bytes of text it encodes at a time.
-REMEMBERED, SLICE = 300_000, 4 << 20
+REMEMBERED, SLICE = 250_000, 4 << 20
+#: Words that the merges can encode: letters of Latin-1, for which lower case and normal form are plain.
+SIMPLE = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
+
+
+class Merges:
+    """Byte-pair merges of many words at once.
+
+    In each round every word merges its pair of lowest rank, the leftmost of equals, until no word has one; that is
+    byte-pair encoding word by word, with the loop over the words in numpy. A hash table of two probes holds the pairs.
+    """
+
+    def __init__(self, model: dict):
+        vocab, suffix = model["vocab"], model["end_of_word_suffix"]
+        # bytes are written as printable characters: those of Latin-1 that are, and then the next free code points
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
+        self.inner = np.array([vocab[letters[b]] for b in range(256)], np.int64)
+        self.last = np.array([vocab[letters[b] + suffix] for b in range(256)], np.int64)
+        pairs = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]]
+        key = np.array([vocab[a] << 16 | vocab[b] for a, b in pairs], np.int64)
+        made = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        self.none = len(pairs)
+        self.made = np.append(made, 0)
+        self.tables, left = [], np.arange(len(key))
+        while len(left):
+            table, shift = np.full(1 << 20, self.none, np.int32), len(self.tables)
+            slot = self._slot(key[left], shift)
+            table[slot[::-1]] = left[::-1]
+            left = left[table[slot] != left]
+            self.tables.append(table)
+        self.key = np.append(key, -1)
+
+    @staticmethod
+    def _slot(key: np.ndarray, shift: int) -> np.ndarray:
+        return ((key * (0x9E3779B97F4A7C1 + 2 * shift)) >> 24) & ((1 << 20) - 1)
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair; `none` if it does not merge."""
+        key, rank = a << 16 | b, np.full(len(a), self.none)
+        for shift, table in enumerate(self.tables):
+            found = table[self._slot(key, shift)]
+            rank = np.where(self.key[found] == key, found, rank)
+        return rank
+
+    def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words one after the other, how many each has); no word is empty."""
+        sizes = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        if not len(words):
+            return np.zeros(0, np.int64), sizes
+        begin = words.offset
+        offsets = np.frombuffer(words.buffers()[1], np.int32)[begin : begin + len(words) + 1]
+        octets = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        symbol = self.inner[octets]
+        ends = np.cumsum(sizes) - 1
+        symbol[ends] = self.last[octets[ends]]
+        word = np.repeat(np.arange(len(words)), sizes)
+        out_symbol, out_word = [], []
+        rank = np.full(len(symbol), self.none)
+        inner = np.flatnonzero(word[:-1] == word[1:])
+        rank[inner] = self.rank(symbol[inner], symbol[inner + 1])
+        while len(symbol):
+            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            best = np.minimum.reduceat(rank * (1 << 32) + np.arange(len(rank)), first)
+            alive = best >> 32 < self.none
+            if not alive.all():  # finished words leave
+                lengths = np.diff(np.append(first, len(word)))
+                stay = np.repeat(alive, lengths)
+                out_symbol.append(symbol[~stay])
+                out_word.append(word[~stay])
+                moved = np.cumsum(stay) - 1
+                symbol, word, rank = symbol[stay], word[stay], rank[stay]
+                at = moved[best[alive] & 0xFFFFFFFF]
+            else:
+                at = best & 0xFFFFFFFF
+            if not len(at):
+                break
+            symbol[at] = self.made[rank[at]]
+            gone = np.ones(len(symbol), bool)
+            gone[at + 1] = False
+            at = (np.cumsum(gone) - 1)[at]
+            symbol, word, rank = symbol[gone], word[gone], rank[gone]
+            before = at[(at > 0)] - 1
+            before = before[word[before] == word[before + 1]]
+            rank[before] = self.rank(symbol[before], symbol[before + 1])
+            rank[at] = self.none
+            on = at[at + 1 < len(symbol)]
+            on = on[word[on] == word[on + 1]]
+            rank[on] = self.rank(symbol[on], symbol[on + 1])
+        symbol, word = np.concatenate([np.zeros(0, np.int64), *out_symbol]), np.concatenate([np.zeros(0, np.int64), *out_word])
+        return symbol[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(words))
 
 
 class Encoder:
     """Token ids of whole columns of texts.
 
     The vocabulary's words end at white space, so each distinct word is encoded once and the ids are put together
-    by numpy; the result is that of `Tokenizer.encode` on the text.
+    by numpy; the result is that of `Tokenizer.encode` on the text. Words of plain letters are merged by numpy too, all other
+    words by the tokenizer.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are shuffled in two bytes each; the vocabulary has more")
+        self.merges = Merges(json.loads(self.tokenizer.to_str())["model"])
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
+
+    def learn(self, words: list[str]) -> None:
+        """The ids of new words: letters by the merges, all others by the tokenizer."""
+        array = pa.array(words, pa.string())
+        plain = pc.match_substring_regex(array, SIMPLE)
+        simple, other = array.filter(plain), array.filter(pc.invert(plain)).to_pylist()
+        ids, sizes = self.merges.encode(pc.utf8_lower(simple))
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
+        more = np.array([i for own in found for i in own], np.int64)
+        self._add(simple.to_pylist() + other, np.concatenate([ids, more]), np.concatenate([sizes, np.fromiter(map(len, found), np.int64, len(found))]))
+
+    def _add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.known.update(zip(words, range(len(self.sizes), len(self.sizes) + len(words))))
+        self.starts = np.concatenate([self.starts, np.cumsum(sizes) - sizes + len(self.flat)])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, ids.astype(np.uint16)])
+
+    def _gather(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of known words one after the other, and where each ends."""
+        each = self.sizes[words]
+        ends = np.cumsum(each)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[words] - (ends - each), each)
+        return self.flat[at], ends
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds): text i has ids[bounds[i]:bounds[i + 1]]; null is empty."""
-        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        texts = pc.fill_null(texts, "")
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # lower case could make a special token of such a text
+            texts = pc.replace_substring_regex(pc.ascii_lower(texts), "([a-z])([.,;!?])", r"\1 \2")  # a mark after a letter is a word of its own
+        split = pc.ascii_split_whitespace(texts)
         offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
         coded = split.flatten().dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False)
         distinct = coded.dictionary.to_pylist()
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.forget()
         new = [w for w in distinct if w not in self.known]
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.known[w] = e.ids
-        ids = [self.known[w] for w in distinct]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
-        starts = np.cumsum(sizes) - sizes
-        each = sizes[codes] if len(codes) else np.zeros(0, np.int64)
-        ends = np.cumsum(each)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[codes] - (ends - each), each) if len(codes) else np.zeros(0, np.int64)
-        return flat[at], np.concatenate([[0], ends])[offsets]
+        if new:
+            self.learn(new)
+        if not len(codes):
+            return np.zeros(0, np.uint16), np.zeros(len(offsets), np.int64)
+        words = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[codes]
+        ids, ends = self._gather(words)
+        return ids, np.concatenate([[0], ends])[offsets]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -186,6 +306,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 4096,
                 yield pa.RecordBatch.from_arrays([ids.slice(begin, end - begin), pa.array(dealt.astype(np.int64)), pa.array(data, pa.binary())], ["doc_id", "dealt", "ids"])
                 begin = end
             seen += len(texts)
+        pa.default_memory_pool().release_unused()
 
     def packed(key: tuple, table: pa.Table) -> pa.Table:
         group = key[0].as_py()
