@@ -25,7 +25,7 @@ def clean_lines(lines: DataFrame) -> DataFrame:
     return lines.withColumn("line", T.clean_line("line"))
 
 
-def merge_dangling(lines: DataFrame) -> DataFrame:
+def merge_dangling(lines: DataFrame, dangles=T.is_dangling) -> DataFrame:
     """A line that is only a marker takes the next line that is not blank.
 
     Within a run of such lines every second one is taken by the one before, and so is the line after a run of odd
@@ -33,7 +33,7 @@ def merge_dangling(lines: DataFrame) -> DataFrame:
     """
     full = lines.where(~T.blank("line"))
     order = Window.partitionBy("doc").orderBy("idx")
-    full = full.withColumns({"n": F.row_number().over(order), "dangles": T.is_dangling("line"), "next": F.lead("line").over(order)})
+    full = full.withColumns({"n": F.row_number().over(order), "dangles": dangles("line"), "next": F.lead("line").over(order)})
     last = F.max(F.when(~F.col("dangles"), F.col("n"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
     full = full.withColumn("taken", (F.col("n") - 1 - F.coalesce(last, F.lit(0))) % 2 == 1)
     merged = F.when(F.col("dangles") & F.col("next").isNotNull(), F.concat_ws(" ", F.trim("line"), F.trim("next"))).otherwise(F.col("line"))

@@ -214,9 +214,13 @@ def build_norms(mentions: DataFrame, relations: DataFrame, modalities: DataFrame
 ROLES = {"HAS_SUBJECT": "subject_ids", "HAS_ACTION": "action_ids", "HAS_OBJECT": "object_ids", "HAS_CONDITION": "condition_ids", "HAS_EXCEPTION": "exception_ids", "HAS_CONSEQUENCE": "consequence_ids"}
 
 
+def _typed(kind: str):
+    return lambda x: F.struct(F.lit(kind).alias("type"), x.alias("target"))
+
+
 def norm_edges(norms: DataFrame, id_col: str = "id") -> DataFrame:
     """The six families of edges from norms to their parts."""
-    each = F.flatten(F.array(*[F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x, t=t: F.struct(F.lit(t).alias("type"), x.alias("target"))) for t, c in ROLES.items()]))
+    each = F.flatten(F.array(*[F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), _typed(t)) for t, c in ROLES.items()]))
     return norms.select(F.col(id_col).alias("source"), F.explode(each).alias("e")).select("source", "e.target", "e.type")
 
 

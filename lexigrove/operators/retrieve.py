@@ -17,6 +17,10 @@ from .route import cosine
 ARTICLE_BOOST, K1, B = 8.0, 1.2, 0.75
 
 
+def _is(token: str):
+    return lambda t: t == token
+
+
 def bm25(docs: DataFrame, query: list[str], k: int | None = 10, boosted: Column | None = None, id_col: str = "node_id", tokens: str = "tokens", k1: float = K1, b: float = B) -> DataFrame:
     """(id, lexical_score, score): the k best by BM25; ties go to the smaller id. `boosted`: rows that name an article asked for.
 
@@ -24,7 +28,7 @@ def bm25(docs: DataFrame, query: list[str], k: int | None = 10, boosted: Column
     corpus statistics are one small aggregation. `query` is a list of distinct tokens.
     """
     query = list(dict.fromkeys(query))
-    counts = docs.select(id_col, F.size(tokens).alias("n"), *[F.size(F.filter(tokens, lambda t, q=q: t == q)).alias(f"tf{i}") for i, q in enumerate(query)], (boosted if boosted is not None else F.lit(False)).alias("boosted"))
+    counts = docs.select(id_col, F.size(tokens).alias("n"), *[F.size(F.filter(tokens, _is(q))).alias(f"tf{i}") for i, q in enumerate(query)], (boosted if boosted is not None else F.lit(False)).alias("boosted"))
     stats = counts.agg(F.count("*").alias("docs"), F.avg("n").alias("avg_n"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(query))])
     s = stats.first()  # one row
     if not s["docs"] or not query:

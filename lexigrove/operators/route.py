@@ -82,9 +82,9 @@ def fuse_scores(pattern: Column, embed: Column, mode: str = "EXP-C") -> Column:
     return embed if mode == "EXP-B" else F.greatest(pattern, embed) if mode == "EXP-C" else pattern
 
 
-def route(nodes: DataFrame, scores: DataFrame | None = None, mode: str = "EXP-C", threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+def route(nodes: DataFrame, scores: DataFrame | None = None, mode: str = "EXP-C", threshold: float = THRESHOLD, text: str = "text", signals: list[tuple] = SIGNALS) -> DataFrame:
     """Nodes (node_id, type, text) to (node_id, route, routing_score, reason); `scores`: (node_id, embed_score)."""
-    rows = nodes.withColumn("__s", pattern_signal(text))
+    rows = nodes.withColumn("__s", pattern_signal(text, signals))
     rows = rows.join(scores, "node_id", "left") if scores is not None else rows.withColumn("embed_score", F.lit(0.0))
     score = fuse_scores(F.col("__s.score"), F.coalesce("embed_score", F.lit(0.0)), mode)
     rows = rows.withColumn("__score", score)

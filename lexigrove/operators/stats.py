@@ -22,7 +22,7 @@ def isotonic_fit(rows: DataFrame, score: str = "score", label: str = "label") ->
         import pandas as pd
 
         blocks: list[list[float]] = []
-        for s, p, n in frame.sort_values("score").itertuples(index=False):
+        for s, p, n in frame.sort_values("score")[["score", "pos", "n"]].itertuples(index=False):
             top, pos, count = s, p, n
             while blocks and blocks[-1][1] / blocks[-1][2] > pos / count:
                 _, p0, n0 = blocks.pop()
@@ -30,7 +30,7 @@ def isotonic_fit(rows: DataFrame, score: str = "score", label: str = "label") ->
             blocks.append([top, pos, count])
         return pd.DataFrame({"threshold": [b[0] for b in blocks], "value": [b[1] / b[2] for b in blocks], "n": [int(b[2]) for b in blocks]})
 
-    return pairs.groupBy(F.lit(1)).applyInPandas(pool, "threshold double, value double, n long")
+    return pairs.withColumn("all", F.lit(True)).groupBy("all").applyInPandas(pool, "threshold double, value double, n long")
 
 
 def isotonic_fit_sql(rows: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
