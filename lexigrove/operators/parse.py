@@ -150,21 +150,25 @@ def hierarchy(cut: DataFrame) -> DataFrame:
 def nodes(tree: DataFrame, law_prefix: str = "law", law_code: str | None = None) -> DataFrame:
     """The 17 columns of a node. An id is the suffixes of all ancestors and its own, and the place of its first character.
 
-    Trees are five levels deep, so ids take one join on the parent for each level and no recursion.
+    The parent of a line is the last earlier one of smaller depth, so the paths of a level are the last paths of the
+    levels above: one window for each level over the same order, without a join or another shuffle.
     """
     m = F.col("match")
     marker = F.coalesce(F.when(m["type"] == "POINT", m["marker"]).otherwise(m["number"]), m["number"], m["marker"])
     short = F.create_map(*[F.lit(x) for kv in SHORT.items() for x in kv])[m["type"]]
     slug = F.when(marker.isNotNull() & (marker != ""), T.marker_slug(marker)).otherwise(F.col("position").cast("string"))
+    before = Window.partitionBy("doc").orderBy("start_idx").rowsBetween(Window.unboundedPreceding, -1)
     rows = tree.withColumn("suffix", F.concat(short, F.lit("-"), slug))
-    path = rows.select("doc", "start_idx", F.col("parent_idx").alias("up"), F.col("suffix").alias("path"))
-    above = rows.select("doc", F.col("start_idx").alias("up"), F.col("parent_idx").alias("up2"), F.col("suffix").alias("more"))
-    for _ in range(4):
-        path = path.join(above, ["doc", "up"], "left").select("doc", "start_idx", F.col("up2").alias("up"), F.when(F.col("more").isNotNull(), F.concat_ws("_", "more", "path")).otherwise(F.col("path")).alias("path"))
-    named = rows.join(path.select("doc", "start_idx", "path"), ["doc", "start_idx"]).withColumn("id", F.concat(F.lit(law_prefix + "_"), F.col("path"), F.lit("_p"), F.col("char_start").cast("string")))
-    parents = named.select("doc", F.col("start_idx").alias("parent_idx"), F.col("id").alias("parent_id"))
-    children = named.groupBy("doc", F.col("parent_idx").alias("start_idx")).agg(F.count("*").cast("int").alias("children_count"))
-    full = named.join(parents, ["doc", "parent_idx"], "left").join(children, ["doc", "start_idx"], "left")
+    own = lambda path: F.struct(path.alias("path"), F.concat(F.lit(law_prefix + "_"), path, F.lit("_p"), F.col("char_start").cast("string")).alias("id"))
+    rows = rows.withColumn("__own", F.when(F.col("depth") == 0, own(F.col("suffix")))).withColumn("parent_id", F.lit(None).cast("string"))
+    for d in range(1, 5):
+        rows = rows.withColumn("__up", F.last(F.when(F.col("depth") < d, F.col("__own")), ignorenulls=True).over(before))
+        here = F.col("depth") == d
+        path = F.concat_ws("_", F.col("__up.path"), "suffix")
+        rows = rows.withColumns({"parent_id": F.when(here, F.col("__up.id")).otherwise(F.col("parent_id")), "__own": F.when(here, own(path)).otherwise(F.col("__own"))})
+    named = rows.withColumn("id", F.col("__own.id"))
+    children = tree.groupBy("doc", F.col("parent_idx").alias("start_idx")).agg(F.count("*").cast("int").alias("children_count"))
+    full = named.join(children, ["doc", "start_idx"], "left")
     body = F.array_join(F.filter(F.concat(F.array(m["text"]), F.col("content")), lambda x: x.isNotNull() & (F.trim(x) != "")), "\n")
     orphan = (m["type"] == "POINT") & F.coalesce(F.contains("parent_id", F.lit("_dieu-")) & ~F.contains("parent_id", F.lit("_khoan-")), F.lit(False))
     return full.select(
