@@ -69,4 +69,47 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_substring_dedup, op4_url_filter, op5_simhash, op6_quality_rules, op7_packing, op8_html_text, op9_embedding_dedup, op10_pii_pseudonyms)}
 
-ORACLES: dict[str, str] = {}
+_RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+_URLS = f"""WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(coalesce(regexp_extract(rest, '^([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+r(h, q, v) AS (VALUES {_RULES}),
+m AS (SELECT p.*, h || q AS rule, v, row_number() OVER (PARTITION BY page_id ORDER BY length(h || q) DESC, length(h) DESC) AS n FROM p LEFT JOIN r ON host <> '' AND (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q))
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM m WHERE n = 1"""
+
+_CLASSES = ["[a-z]", "\\p{Ll}", "\\p{Lu}", "\\p{Nd}", "[\\x20\\x09-\\x0D]", "[.,;:!?''\"()-]", "[#*$%&|<>]"]
+_CUT = "".join(f", c{i} AS (SELECT *, regexp_replace(t{i}, '{p}', '', 'g') AS t{i + 1} FROM {f'c{i - 1}' if i else 'd'})" for i, p in enumerate(_CLASSES))
+_CHARS = ", ".join([f"length(t{i}) - length(t{i + 1})" for i in range(7)] + ["length(t7)"])
+_BINS = "[" + ", ".join(f"'{w}'" for w in quality.BINS) + "]"
+
+
+def _js(p: str, q: str) -> str:
+    """The distance of two lists of counts in SQL, null without counts."""
+    a, b = f"({p}[i] / list_sum({p}))", f"({q}[i] / list_sum({q}))"
+    part = lambda x, y: f"CASE WHEN {x} > 0 THEN {x} * log2(2 * {x} / ({x} + {y})) ELSE 0 END"
+    return f"CASE WHEN list_sum({p}) > 0 AND list_sum({q}) > 0 THEN sqrt(greatest(0, list_sum(list_transform(range(1, len({p}) + 1), lambda i: {part(a, b)} + {part(b, a)})) / 2)) END"
+
+
+_R = quality.Rules()
+_QUALITY = f"""WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t0 FROM documents){_CUT},
+w AS (SELECT *, list_filter(regexp_split_to_array(t0, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws, list_filter(string_split(t0, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM c6),
+g AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i:i + 2])) AS h FROM w WHERE len(ws) >= 3),
+k AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, h) AS n FROM g),
+r AS (SELECT doc_id, count(DISTINCT j) AS n_repeat FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM k WHERE n > 1) GROUP BY doc_id),
+f AS (SELECT doc_id, lang, len(ws) AS n_words, length(t0) - (length(t4) - length(t5)) AS word_chars, length(t6) - length(t7) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat, 0) AS n_repeat_words, [{_CHARS}] AS ch,
+  list_transform({_BINS}, lambda b: len(list_filter(ws, lambda x: lower(x) = b))) AS cw FROM w LEFT JOIN r USING (doc_id)),
+b AS (SELECT *, n_words < {_R.min_words} OR 100 * n_repeat_words > {_R.max_repeat_percent} * n_words AS base_failed, list_append(cw, n_words - list_sum(cw)) AS cm FROM f),
+e AS (SELECT lang, unnest(range(1, len(cm) + 1)) AS i, unnest(cm) AS c, unnest(list_concat(ch, list_transform(range(1, len(cm) - 7), lambda z: NULL))) AS x, doc_id FROM b WHERE NOT base_failed AND n_words >= {_R.guard_words} AND lang IS NOT NULL),
+s AS (SELECT lang, i, sum(c)::DOUBLE AS c, sum(x)::DOUBLE AS x, count(DISTINCT doc_id) AS n FROM e GROUP BY lang, i),
+v AS (SELECT lang, list(c ORDER BY i) AS rm, list(x ORDER BY i) FILTER (i <= 8) AS rc FROM s GROUP BY lang HAVING max(n) >= {_R.guard_reference}),
+j AS (SELECT b.*, rc, rm, [n_words - cm[-1], cm[-1]] AS m2, [list_sum(rm) - rm[-1], rm[-1]] AS r2 FROM b LEFT JOIN v USING (lang)),
+z AS (SELECT *, CASE WHEN list_sum(ch) >= {_R.guard_chars} THEN {_js("ch", "rc")} END AS cd, CASE WHEN n_words >= {_R.guard_words} THEN {_js("cm", "rm")} END AS wd, CASE WHEN n_words >= {_R.guard_words} THEN {_js("m2", "r2")} END AS md FROM j)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (coalesce(cd > {_R.char_distance}, false) OR coalesce(wd > {_R.word_distance} AND md > {_R.mass_distance}, false)) AS kept, round(cd, 6) AS char_distance, round(wd, 6) AS word_distance, round(md, 6) AS mass_distance FROM z"""
+
+_VECTORS = """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+r AS (SELECT a AS root, a AS id FROM l UNION SELECT root, l.b FROM r JOIN l ON l.a = r.id),
+c AS (SELECT id, min(root) AS component FROM r GROUP BY id), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component, vec_id) AS component_id, vec_id = coalesce(component, vec_id) AS kept FROM embeddings LEFT JOIN n ON a = vec_id LEFT JOIN c ON id = vec_id"""
+
+#: The others hash with functions that SQL lacks, or learn, parse and pack; tests/llm holds them against brute force.
+ORACLES: dict[str, str] = {"op4_url_filter": _URLS, "op6_quality_rules": _QUALITY, "op9_embedding_dedup": _VECTORS}
