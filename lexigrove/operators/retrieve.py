@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 import pandas as pd
@@ -256,10 +257,15 @@ def requested_facets(question: str) -> set[str]:
     return {f for f, phrases in FACETS.items() if any(folded(p) in q for p in phrases)} | ({"LIST"} if re.search(LIST_PATTERN, q) else set())
 
 
+def _says(text: Column, words: list[str]) -> Column:
+    """Whether a text contains any of the words. (A lambda could not hold the UDF that folds the text.)"""
+    return functools.reduce(lambda a, w: a | F.contains(text, F.lit(w)), words, F.lit(False))
+
+
 def facets_of(text: str) -> Column:
     """The facets that a question column asks for, as a sorted array."""
     q = T.fold(text)
-    each = [F.when(F.exists(F.array(*[F.lit(folded(p)) for p in phrases]), lambda p: F.contains(q, p)), F.lit(f)) for f, phrases in FACETS.items()]
+    each = [F.when(_says(q, [folded(p) for p in phrases]), F.lit(f)) for f, phrases in FACETS.items()]
     return F.sort_array(F.array_compact(F.array(*each, F.when(q.rlike(LIST_PATTERN), F.lit("LIST")))))
 
 
@@ -319,7 +325,7 @@ def select_children(question: str, rows: DataFrame, parents_: list[str], all_chi
     q, facets = folded(question), requested_facets(question)
     acts = [folded(a) for a in ACTIONS if folded(a) in q]
     said = T.fold("text")
-    any_of = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(said, w)).cast("double") if words else F.lit(0.0)
+    any_of = lambda words: _says(said, words).cast("double") if words else F.lit(0.0)
     score = (
         0.40 * any_of(acts) + 0.25 * _overlap(T.token_set("text"), question_tokens(question))
         + 0.15 * (any_of(["dieu kien", "phai", "da ", "co "]) if "CONDITION" in facets else F.lit(0.0))

@@ -95,7 +95,7 @@ def apply_delta(nodes: DataFrame, edges: DataFrame, delta: dict[str, DataFrame])
     new_nodes = fuse.apply_delta(nodes, d["added_nodes"].unionByName(d["updated_nodes"]), d["removed_nodes"])
     key = ("source", "target", "type")
     new_edges = fuse.apply_delta(edges, d["added_edges"].unionByName(d["updated_edges"]), d["removed_edges"], key)
-    new_edges = new_edges.join(d["removed_nodes"].select(F.col("id").alias("source")), "source", "left_anti").join(d["removed_nodes"].select(F.col("id").alias("target")), "target", "left_anti")
+    new_edges = new_edges.join(d["removed_nodes"].select(F.col("id").alias("source")), "source", "left_anti").join(d["removed_nodes"].select(F.col("id").alias("target")), "target", "left_anti").select(*edges.columns)
     changed = d["added_edges"].unionByName(d["updated_edges"])
     ids = new_nodes.select("id")
     lost = changed.join(ids.withColumnRenamed("id", "source"), "source", "left_anti").unionByName(changed.join(ids.withColumnRenamed("id", "target"), "target", "left_anti"))
