@@ -727,3 +727,53 @@ def question_context(spark: SparkSession, sf: str) -> DataFrame:
     vectors = services.encoded(n, encoder, "id")
     out = retrieve.answer_context(question, n, vectors, encoder([question])[0])
     return out["candidates"].select("node_id", "canonical_locator", "source_type", "rank_score")
+
+
+# --- graph questions and probes ---------------------------------------------------------------------------------------
+def _norm_graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Norms, edges and terms made of the events: a norm an event, its user the subject and its type the action."""
+    i = F.col("event_id")
+    ev = table(spark, sf, "events")
+    norms = ev.select(i.cast("string").alias("id"), F.when(i % 3 == 0, "ALLOW").when(i % 3 == 1, "REQUIRE").otherwise("PROHIBIT").alias("modality"), F.array(F.concat(F.lit("n"), (i % 50).cast("string"))).alias("source_node_ids"))
+    each = F.array(F.struct(F.lit("HAS_SUBJECT").alias("type"), F.concat(F.lit("u"), "user_id").alias("target")), F.struct(F.lit("HAS_ACTION").alias("type"), F.col("event_type").alias("target")), F.struct(F.when(i % 4 > 0, "HAS_CONDITION").alias("type"), F.concat(F.lit("k"), (i % 9).cast("string")).alias("target")))
+    edges = ev.select(i.cast("string").alias("source"), F.explode(each).alias("e")).select("source", "e.target", "e.type").where("type is not null")
+    terms = edges.select(F.col("target").alias("id")).distinct().withColumn("canonical_text", F.concat(F.lit("term "), "id"))
+    return norms, edges, terms
+
+
+@query("SELECT event_id::VARCHAR AS norm_id, 'ALLOW' AS modality, 'term u' || user_id AS subject, 'term ' || event_type AS action FROM events WHERE event_id % 3 = 0 AND contains('term u' || user_id, 'u1') AND event_id % 4 > 0 AND contains('k' || event_id % 9, 'k3')")
+def graph_statements(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators import probes
+
+    return probes.statements(*_norm_graph(spark, sf), subject="u1", modality="ALLOW", condition="k3")
+
+
+@query("SELECT DISTINCT 'term k' || event_id % 9 AS part FROM events WHERE event_id % 4 > 0 AND contains('n' || event_id % 50, 'n4') AND contains(lower(event_type), 'a')")
+def conditions_of_action(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators import probes
+
+    norms, edges, terms = _norm_graph(spark, sf)
+    return probes.parts_of_action(norms, edges, terms.withColumn("canonical_text", F.when(F.col("id").rlike("^[uk][0-9]"), F.col("canonical_text")).otherwise(F.col("id"))), "a", "n4")
+
+
+@query("WITH f AS (SELECT event_id::VARCHAR AS id, 'u' || user_id AS subject, event_type AS action, event_id % 3 AS m FROM events WHERE event_id % 4 = 0) SELECT DISTINCT a.subject, a.action, a.id AS first, b.id AS second FROM f a JOIN f b ON a.subject = b.subject AND a.action = b.action AND a.id < b.id AND a.m <> b.m")
+def norm_collisions(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators import probes
+
+    norms, edges, _ = _norm_graph(spark, sf)
+    return probes.collisions(norms, edges)
+
+
+@query("SELECT event_id::VARCHAR AS id, 'n' || event_id % 50 AS node FROM events WHERE event_id % 50 >= 40")
+def ghost_pointers(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators import probes
+
+    nodes = spark.range(40).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("id"))
+    return probes.ghost_pointers(_norm_graph(spark, sf)[0], nodes)
+
+
+@query(f"WITH RECURSIVE t AS {_PART}, s AS (SELECT * REPLACE (CASE WHEN id % 11 > 0 THEN parent_id END AS parent_id) FROM t), a AS (SELECT id, id AS top FROM s UNION ALL SELECT a.id, s.parent_id FROM a JOIN s ON s.id = a.top WHERE s.parent_id IS NOT NULL) SELECT id, type FROM s WHERE type IN ('CLAUSE', 'POINT') AND id NOT IN (SELECT a.id FROM a JOIN s ON s.id = a.top WHERE s.type = 'CHAPTER')")
+def broken_branches(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators import probes
+
+    return probes.broken_branches(_part_tree(spark, sf).withColumn("parent_id", F.when(F.col("id") % 11 > 0, F.col("parent_id"))))
