@@ -92,15 +92,14 @@ def judged(docs: DataFrame, rules: Rules = Rules(), lang_col: str = "lang", text
     """
     rows = docs.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)], F.col(lang_col).alias("__lang"), F.col(text_col).alias("__text"))
     f = features(rows, "__text").drop("__text").withColumn("__failed", base_failed(rules))
-    f = staged(f, "quality-features")
+    # sums are columns of the staged tables: inside a lambda they would be added up again for each element
+    f = staged(f.withColumns({f"__sum{c}": _sum(F.col(c)) for c in ("__chars", "__commons")}), "quality-features")
     sums = {"__chars": 8, "__commons": len(BINS) + 1}
     fit = f.where(~F.col("__failed") & (F.col("__n_words") >= rules.guard_words) & F.col("__lang").isNotNull())
     totals = fit.groupBy("__lang").agg(F.count("*").alias("__n"), *[F.sum(F.get(c, F.lit(i))).alias(f"{c}_{i}") for c, n in sums.items() for i in range(n)])
     refs = totals.where(F.col("__n") >= rules.guard_reference).select("__lang", *[F.array(*[F.col(f"{c}_{i}") for i in range(n)]).alias(f"{c}_ref") for c, n in sums.items()])
-    refs = staged(refs, "quality-references")
+    refs = staged(refs.withColumns({f"__sum{c}": _sum(F.col(c)) for c in ("__chars_ref", "__commons_ref")}), "quality-references")
     out = f.join(refs, "__lang", "left")
-    # sums are columns: inside a lambda they would be added up again for each element
-    out = out.withColumns({f"__sum{c}": _sum(F.col(c)) for c in ("__chars", "__chars_ref", "__commons", "__commons_ref")})
     out = out.withColumns({f"{c}_mass": F.array(F.col(f"__sum{c}") - F.element_at(c, -1), F.element_at(c, -1)) for c in ("__commons", "__commons_ref")})
     far_from = lambda p, q, n: js_distance(p, q, f"__sum{n}", f"__sum{n}_ref")
     enough = {"char_distance": F.col("__sum__chars") >= rules.guard_chars, "word_distance": F.col("__n_words") >= rules.guard_words, "mass_distance": F.col("__n_words") >= rules.guard_words}
@@ -118,6 +117,7 @@ def judged(docs: DataFrame, rules: Rules = Rules(), lang_col: str = "lang", text
 def kept(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The rows of `docs` that the rules keep, with all their columns. Rows are judged in place: nothing is joined back by id."""
     names = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), *[c for c in ("lang", "text")])
-    out = judged(rows, rules, keep=("row",))
-    return out.where("kept").select("row.*")
+    own = {c: f"d{i}" for i, c in enumerate(names)}  # the columns under names of their own, since some may be those of the verdict
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()])
+    out = judged(rows, rules, own["lang"], own["text"], tuple(own.values()))
+    return out.where("kept").select(*[F.col(n).alias(c) for c, n in own.items()])
