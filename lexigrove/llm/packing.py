@@ -19,6 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back, small_batches
+
 #: Words whose ids a Python worker remembers, and bytes of text it encodes at a time.
 REMEMBERED, SLICE = 250_000, 4 << 20
 #: Words that the merges can encode: letters of Latin-1, for which lower case and normal form are plain.
@@ -285,6 +287,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 4096,
     empty and have the end id alone; null ids are kept; repeated rows are packed each, in groups of their own draw, so
     that one id on many rows fills no single group. Other columns are left out. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     groups = max(1, -(-docs.count() // group_docs))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,7 +309,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 4096,
                 yield pa.RecordBatch.from_arrays([ids.slice(begin, end - begin), pa.array(dealt.astype(np.int64)), pa.array(data, pa.binary())], ["doc_id", "dealt", "ids"])
                 begin = end
             seen += len(texts)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     def packed(key: tuple, table: pa.Table) -> pa.Table:
         group = key[0].as_py()

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import give_back, small_batches, staged
 from .components import components
 
 CROWD = 64
@@ -87,6 +87,7 @@ def simhash(text: str, shingle: int) -> F.Column:
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
             yield pd.Series(fingerprints(batch, shingle), dtype="int64")
+        give_back()
 
     return of(text)
 
@@ -158,6 +159,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, segmen
     root: the component's smallest fingerprint, a key that is never null. Null and blank texts have the fingerprint zero
     and link like any other; repeated rows are in one component; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     rows = staged(docs.select(F.col(id_col).alias("doc_id"), simhash(text_col, shingle).alias("fp")), "simhash-rows")
     prints = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     linked = components(near(prints.select("fp"), distance, segments), "simhash")
@@ -172,6 +174,7 @@ def deduplicated(docs: DataFrame, shingle: int = 5, distance: int = 4, segments:
 
     Keeps all columns. The choice is made on (doc_id, hash of the row) by an aggregation, so a large group is no task's.
     """
+    small_batches(docs.sparkSession)
     names = docs.columns
     keyed = docs.withColumn("__fp", simhash("text", shingle)).withColumn("__row", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(*[F.col(c) for c in names]).alias("h")))
     prints = staged(keyed.groupBy("__fp").agg(F.min("__row").alias("least")).withColumnRenamed("__fp", "fp"), "dedup-distinct")
