@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..session import staged
 from .graph import ancestors
 from .route import cosine
 
@@ -29,7 +30,10 @@ def bm25(docs: DataFrame, query: list[str], k: int | None = 10, boosted: Column
     corpus statistics are one small aggregation. `query` is a list of distinct tokens.
     """
     query = list(dict.fromkeys(query))
-    counts = docs.select(id_col, F.size(tokens).alias("n"), *[F.size(F.filter(tokens, _is(q))).alias(f"tf{i}") for i, q in enumerate(query)], (boosted if boosted is not None else F.lit(False)).alias("boosted"))
+    # the tokens are bound once: a plain projection would make them anew for each count
+    bound = F.transform(F.array(F.col(tokens)), lambda t: F.struct(F.size(t).alias("n"), *[F.size(F.filter(t, _is(q))).alias(f"tf{i}") for i, q in enumerate(query)]))
+    counts = docs.select(id_col, F.get(bound, F.lit(0)).alias("c"), (boosted if boosted is not None else F.lit(False)).alias("boosted"))
+    counts = staged(counts.select(id_col, "c.*", "boosted"), "bm25-counts")
     stats = counts.agg(F.count("*").alias("docs"), F.avg("n").alias("avg_n"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(query))])
     s = stats.first()  # one row
     if not s["docs"] or not query:
