@@ -263,7 +263,7 @@ def dead_letters(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 8 = 0)")
 def lone_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "orders").where("o_orderkey % 8 = 0").select(F.col("o_custkey").alias("source"), (-F.col("o_orderkey")).alias("target"))
+    e = table(spark, sf, "orders").where("o_orderkey % 8 = 0").select(F.col("o_custkey").alias("source"), (-1 - F.col("o_orderkey")).alias("target"))
     return validate.lone_nodes(table(spark, sf, "customer").select(F.col("c_custkey").alias("id")), e)
 
 
