@@ -26,8 +26,23 @@ FORMATS = {
     "phone": r"(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z]|-[0-9])",
     "card": r"[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|[.-][0-9])",
 }
-# A number does not begin inside another number or word.
-ANY = r"(?<![0-9A-Za-z_])(?:" + "|".join(FORMATS.values()) + ")"
+#: Lengths of IBANs by country; of other countries all lengths of the format are tried.
+IBAN_LENGTHS = {15: "NO", 16: "BE", 18: "DK FO FI GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+IBANS = "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in IBAN_LENGTHS.items())
+#: Groups of 13 digits or more in all; cards are looked for from group to group.
+RUN = r"[0-9](?=(?:[ -]?[0-9]){12})[0-9 -]*[0-9](?![0-9A-Za-z]|\.[0-9])"
+
+
+def _any(**formats) -> str:
+    """A number does not begin inside another number or word."""
+    return r"(?<![0-9A-Za-z_])(?:" + "|".join(x for x in (FORMATS | formats).values() if x) + ")"
+
+
+#: What is searched first, in what no IBAN begins, and beside the cards of a run.
+ANY = _any(iban=rf"(?:{IBANS})(?![0-9A-Za-z])|{FORMATS['iban']}", card=RUN)
+#: Cards as they are printed; such go before other groups that pass the check by chance.
+PRINTED = r"^(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-9]{3})?|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5})\z"
+NO_IBAN, NO_CARD = _any(iban="", card=RUN), _any(iban="", card="")
 #: Days from 1900-01-01 to 2099-12-31, which are 17 * 4297.
 DAYS, DAY_RADIX = 73049, (17, 4297)
 
@@ -236,17 +251,85 @@ def pseudonym(m: Column, key: str) -> Column:
     )
 
 
+def _marked(text: Column, found: Column, pattern: str, pieces) -> Column:
+    """The text in pieces: "T" and what lies between matches, and `pieces` of each match, of which those to change begin with "C"."""
+    gaps = F.split(text, pattern, -1)
+    return F.flatten(F.transform(gaps, lambda g, i: F.concat(F.array(F.concat(F.lit("T"), g)), F.when(i < F.size(found), pieces(F.get(found, i))).otherwise(F.array().cast("array<string>")))))
+
+
+def _again(text: Column, pattern: str, pieces) -> Column:
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: _marked(text, found, pattern, pieces))
+
+
+def _change(m: Column) -> Column:
+    return F.array(F.concat(F.lit("C"), m))
+
+
+def _valid_card(x: Column, shape: str = r"^[0-9](?:[ -]?[0-9]){12,18}\z") -> Column:
+    return x.rlike(shape) & (F.pmod(luhn_sum(F.regexp_replace(x, "[^0-9]", "")), F.lit(10)) == 0)
+
+
+def _valid_iban(x: Column) -> Column:
+    return _let(F.regexp_replace(x, " ", ""), lambda s: _mod97(F.concat(F.substring(s, F.lit(5), F.length(s)), F.substring(s, 1, 4))) == 1)
+
+
+def _cards(run: Column, valid_card, rest_pattern: str, rest_pieces) -> Column:
+    """A run in pieces: from each group on the longest valid card that ends with a group, else the group is passed over and left to `rest_pattern`."""
+    trimmed = lambda x: F.regexp_replace(x, r"[ -]+\z", "")
+
+    def body(groups: Column) -> Column:
+        ends = lambda i: F.transform(F.sequence(i, F.least(i + 18, F.size(groups) - 1)), lambda j: F.array_join(F.slice(groups, i + 1, j - i + 1), ""))
+
+        def step(s: Column, i: Column) -> Column:
+            def longest(valid: Column) -> Column:
+                n = F.size(valid)
+                card, own = F.get(valid, n - 1), F.get(groups, i)
+                taken = F.size(F.regexp_extract_all(card, F.lit("[0-9]+"), F.lit(0)))
+                hit = F.struct(F.concat(s["done"], F.array(F.concat(F.lit("T"), s["rest"]), F.concat(F.lit("C"), trimmed(card)))).alias("done"), F.regexp_extract(card, r"[ -]*\z", 0).alias("rest"), (i + taken).cast("int").alias("next"))
+                return F.when(n > 0, hit).otherwise(F.struct(s["done"].alias("done"), F.concat(s["rest"], own).alias("rest"), s["next"].alias("next")))
+
+            return F.when(i < s["next"], s).otherwise(_let(F.filter(ends(i), lambda x: valid_card(trimmed(x))), longest))
+
+        start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("rest"), F.lit(0).alias("next"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(groups) - 1), start, step, lambda s: F.concat(s["done"], F.array(F.concat(F.lit("T"), s["rest"]))))
+
+    found = _let(F.regexp_extract_all(run, F.lit("[0-9]+[ -]*"), F.lit(0)), body)
+    return F.flatten(F.transform(found, lambda x: F.when(x.startswith("C"), F.array(x)).otherwise(_again(F.substring(x, F.lit(2), F.length(x)), rest_pattern, rest_pieces))))
+
+
+def _but_iban(m: Column) -> Column:
+    is_run = m.rlike(r"^(?:" + RUN + r")\z")
+    printed = lambda x: _valid_card(x, PRINTED)
+    other = lambda r: F.when(r.rlike(r"^(?:" + RUN + r")\z"), _cards(r, _valid_card, NO_CARD, _change)).otherwise(_change(r))
+    return F.when(~is_run | printed(m), _change(m)).otherwise(_cards(m, printed, NO_IBAN, other))
+
+
+def _pieces(m: Column) -> Column:
+    """A match of `ANY` in pieces: what fails its check digits is tried in shorter parts, and what is left is searched again."""
+    def prefix(valid: Column) -> Column:
+        p = F.coalesce(F.get(valid, F.size(valid) - 1), F.lit(""))
+        return F.concat(F.when(p == "", F.array().cast("array<string>")).otherwise(_change(p)), _again(F.substring(m, F.length(p) + 1, F.length(m)), NO_IBAN, _but_iban))
+
+    def tried(groups: Column) -> Column:
+        heads = F.transform(F.sequence(F.lit(1), F.size(groups)), lambda n: F.array_join(F.slice(groups, F.lit(1), n), " "))
+        return F.filter(heads, lambda x: x.rlike(r"^(?:" + FORMATS["iban"] + r")\z") & _valid_iban(x))
+
+    iban = m.rlike(r"^(?:" + FORMATS["iban"] + r")\z")
+    return F.when(iban & _valid_iban(m), _change(m)).when(iban, _let(_let(F.split(m, " "), tried), prefix)).otherwise(_but_iban(m))
+
+
 def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """`docs` with pseudonyms in the text, all other columns as they are; `count_col`: also the number of values changed.
 
     Null texts stay null and have 0; empty texts stay empty. Row by row, so repeated rows get the same result, a row of
-    any length is handled in place, and nothing is shuffled. Only texts with a digit or an `@` are searched.
+    any length is handled in place, and nothing is shuffled. Only texts with a digit, an `@` or a secret are searched.
     """
-    maybe = F.col(text_col).rlike("[0-9@]")
+    maybe = F.col(text_col).rlike("[0-9@]|" + FORMATS["secret"])
     found = docs.withColumn("__found", F.when(maybe, F.regexp_extract_all(text_col, F.lit(ANY), F.lit(0))))
-    found = found.withColumn("__new", F.transform("__found", lambda m: pseudonym(m, key)))
-    gaps = F.split(text_col, ANY, -1)
-    text = F.when(F.size("__found") > 0, F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get("__new", i), F.lit("")))), "")).otherwise(F.col(text_col))
-    changed = F.size(F.filter(F.arrays_zip("__found", "__new"), lambda x: x["__found"] != x["__new"]))
+    found = found.withColumn("__pieces", F.when(F.size("__found") > 0, _marked(F.col(text_col), F.col("__found"), ANY, _pieces)))
+    plain = lambda x: F.substring(x, F.lit(2), F.length(x))
+    found = found.withColumn("__new", F.transform("__pieces", lambda x: F.when(x.startswith("C"), pseudonym(plain(x), key)).otherwise(plain(x))))
+    text = F.coalesce(F.array_join("__new", ""), F.col(text_col))
+    changed = F.size(F.filter(F.arrays_zip("__pieces", "__new"), lambda x: plain(x["__pieces"]) != x["__new"]))
     counted = {count_col: F.when(F.size("__found") > 0, changed).otherwise(0).cast("long")} if count_col else {}
-    return found.withColumns({text_col: text} | counted).drop("__found", "__new")
+    return found.withColumns({text_col: text} | counted).drop("__found", "__pieces", "__new")
