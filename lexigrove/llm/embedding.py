@@ -5,6 +5,9 @@ vectors that have it among their nearest. Two vectors are candidates if they sha
 pivots; candidates are verified by their cosine in double precision. A pair is looked at once: in the list of the smallest
 pivot that both have, under the second smallest.
 
+Vectors of each length are indexed by themselves. Where only one pivot is left (all vectors in one cone, or a length that
+is one block), the list of that pivot is compared as a whole, so nothing is lost.
+
 Pivots are a bounded sample (`pivots`, by default about 2 * sqrt(n), 256 to 8192, and 64 MB at most) of vectors that are
 not close to each other; every vector is indexed. Lists are dealt into blocks, and pairs of blocks are the tasks, so a hot list is many tasks. A task returns
 for each vector the number of its links, and a spanning forest of the links, never the pairs; so a crowd of near copies
@@ -20,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,7 +81,7 @@ def _verified(pivot: int, one: tuple, two: tuple | None, threshold: float):
     (ids2, many2, unit2, near2) = two or one
     counts, counts2, edges = np.zeros(len(ids), np.int64), np.zeros(len(ids2), np.int64), []
     for q in np.intersect1d(near, near2):
-        if q <= pivot:
+        if q <= pivot and near.shape[1] > 1:  # vectors with one pivot have no second: the list is compared as a whole
             continue
         i = np.flatnonzero((near == q).any(axis=1))
         j = np.flatnonzero((near2 == q).any(axis=1)) if two else i
@@ -112,36 +116,43 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, nearest: int = 8
     """Rows (vec_id, n_links, component_id, kept), one for each row of `vectors`.
 
     n_links: other vectors with a cosine of at least `threshold`; component_id: smallest vec_id reachable. Null and zero
-    vectors, those with null or non-finite components, and those of a length other than the commonest, link with nothing
-    and are their own component. Null ids count last for component_id. Equal vectors on many rows link with each other.
+    vectors and those with null or non-finite components link with nothing and are their own component; vectors link with
+    those of their own length. Null ids count last for component_id. Equal vectors on many rows link with each other.
     Repeated ids are rows of their own. An empty table gives an empty result; other columns are left out.
     """
     v = F.col("v")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | ~F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).withColumn("ok", F.coalesce(~bad, F.lit(False)))
-    # the commonest length is found by the rows themselves; there are only as many lengths as there are lengths
-    length = rows.where("ok").groupBy(F.size("v").alias("length")).count().orderBy(F.desc("count"), "length").limit(1).collect()
-    length = length[0]["length"] if length else 0
-    rows = rows.withColumn("ok", F.col("ok") & (F.size("v") == length))
     classes = rows.where("ok").groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("many")).withColumn("class", F.monotonically_increasing_id())
     classes = staged(classes, "vectors")
-    n = classes.count()
-    if pivots is None:
-        pivots = min(8192, max(256, int(2 * n**0.5)))
-    pivots = max(1, min(pivots, PIVOT_BYTES // (8 * max(1, length))))
-    points = np.array([r["v"] for r in classes.orderBy(F.xxhash64("class", F.lit(11))).limit(2 * pivots).select("v").collect()], np.float64)
-    sent = vectors.sparkSession.sparkContext.broadcast(_apart(_unit(points), pivots) if len(points) else points)
+    # lengths that are more than a block get pivots; there are only as many rows as there are such lengths
+    large = classes.groupBy(F.size("v").alias("length")).count().where(F.col("count") > block).orderBy("length").collect()
+    points, first = {}, 0
+    for length, n in large:
+        most = min(8192, max(256, int(2 * n**0.5))) if pivots is None else pivots
+        most = max(1, min(most, PIVOT_BYTES // (8 * length * len(large))))
+        taken = classes.where(F.size("v") == length).orderBy(F.xxhash64("class", F.lit(11))).limit(2 * most).select("v").collect()
+        points[length] = first, _apart(_unit(np.array([r["v"] for r in taken], np.float64)), most)
+        first += len(points[length][1])
+    sent = vectors.sparkSession.sparkContext.broadcast(points)
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        points = sent.value
-        k = min(nearest, len(points))
+        """Pivots are numbered through; a length without pivots is one list, of minus its length."""
         for batch in batches:
-            for part in (batch.slice(i, 4096) for i in range(0, batch.num_rows, 4096)):
-                cosine = _unit(_rows(part.column(2))) @ points.T
-                near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-                near = np.take_along_axis(near, np.argsort(-np.take_along_axis(cosine, near, 1), axis=1, kind="stable"), 1)
-                order = pa.ListArray.from_arrays(pa.array(np.arange(0, k * len(near) + 1, k), pa.int32()), pa.array(near.ravel().astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), order], ["class", "many", "v", "near"])
+            lengths = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
+            for length in np.unique(lengths).tolist():
+                own = batch if (lengths == length).all() else batch.take(pa.array(np.flatnonzero(lengths == length)))
+                first, points = sent.value.get(length, (-length, np.zeros((1, length))))
+                k = min(nearest, len(points))
+                for part in (own.slice(i, 4096) for i in range(0, own.num_rows, 4096)):
+                    if len(points) == 1:
+                        near = np.zeros((part.num_rows, 1), np.int64)
+                    else:
+                        cosine = _unit(_rows(part.column(2))) @ points.T
+                        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+                        near = np.take_along_axis(near, np.argsort(-np.take_along_axis(cosine, near, 1), axis=1, kind="stable"), 1)
+                    order = pa.ListArray.from_arrays(pa.array(np.arange(0, k * len(near) + 1, k), pa.int32()), pa.array((near + first).ravel().astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), order], ["class", "many", "v", "near"])
 
     index = classes.select("class", "many", "v").mapInArrow(described, "class long, many long, v array<double>, near array<int>")
     index = staged(index, "vectors-index")

@@ -454,6 +454,18 @@ def test_vectors(spark):
     assert embedding.near_duplicates(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("block", [32, 2048])
+def test_vectors_in_one_cone_and_of_several_lengths(spark, block):
+    rng = np.random.default_rng(19)
+    rows = [np.eye(n)[0] * 4 + rng.normal(size=n) * s for n, s, m in ((16, 0.35, 150), (8, 0.3, 90), (3, 0.1, 5)) for _ in range(m)] + [[2.0, 1.0], [2.0, 1.1]]
+    df = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(rows)], "vec_id long, embedding array<double>")
+    unit = [np.array(x) / np.linalg.norm(x) for x in rows]
+    linked = lambda a, b: len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.9
+    root = brute_components(range(len(rows)), linked)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding.near_duplicates(df, block=block).collect()}
+    assert got == {i: (sum(linked(i, j) for j in range(len(rows)) if j != i), root[i]) for i in range(len(rows))}
+
+
 # 10 ---------------------------------------------------------------------------------------------------------------------
 def luhn(s):
     d = [int(c) for c in s if c.isdigit()][::-1]
