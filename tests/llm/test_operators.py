@@ -177,6 +177,27 @@ def test_passages_planted_and_odd(spark):
     assert substring.repeated(docs(spark, rows).where("false")).count() == 0
 
 
+def test_passages_whose_parts_occur_before():
+    rng = np.random.default_rng(4)
+    say = lambda n: rng.integers(0, 1 << 62, n).astype(np.uint64)
+    find = lambda a, b: substring.common_passages(*(substring._shingles(x, 5) for x in (a, b)), 46, 5, 0.8)
+    p, s = say(60), say(50)
+    a = np.concatenate([p[:30], say(40), p, say(9)])
+    assert (70, 126, 0, 56, 1.0) in find(a, p) and (0, 56, 70, 126, 1.0) in find(p, a)
+    assert (46, 92, 3, 49, 1.0) in find(np.concatenate([s[:5], say(41), s]), np.concatenate([say(3), s]))
+    # a similar part of a longer chain that is not: an edit each 12 words before and after 60 words with one edit
+    whole = say(240)
+    other = whole.copy()
+    other[[*range(8, 90, 9), 120, *range(151, 240, 9)]] += np.uint64(1)
+    assert any(x[2] <= 92 and x[3] >= 145 and x[4] >= 0.8 for x in find(whole, other))
+    for _ in range(200):
+        x, y = rng.integers(0, 3, 80).astype(np.uint64), rng.integers(0, 3, 60).astype(np.uint64)
+        exact = {tuple(x[i : i + 12]) for i in range(69)} & {tuple(y[i : i + 12]) for i in range(49)}
+        found = substring.common_passages(substring._shingles(x, 5), substring._shingles(y, 5), 8, 5, 0.8)
+        assert found or not exact
+        assert all(min(f[1] - f[0], f[3] - f[2]) >= 8 for f in found)
+
+
 def test_compact_windows():
     """Every passage of t tokens lies in just one window of each function, which holds the place of its least hash."""
     rng = np.random.default_rng(2)
