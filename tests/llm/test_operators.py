@@ -198,6 +198,13 @@ def test_passages_whose_parts_occur_before():
         assert all(min(f[1] - f[0], f[3] - f[2]) >= 8 for f in found)
 
 
+def test_windows_agree_however_often_a_passage_repeats():
+    boxes = np.array([(10 + f, 60 + f, 1000 * k + f, 1000 * k + 50 + f, f) for f in range(2) for k in range(300)])
+    assert substring._agrees(boxes, 2)
+    apart = boxes + np.array([0, 0, 1, 1, 0]) * (boxes[:, 4:] * 400)
+    assert not substring._agrees(apart, 2)
+
+
 def test_compact_windows():
     """Every passage of t tokens lies in just one window of each function, which holds the place of its least hash."""
     rng = np.random.default_rng(2)
