@@ -33,6 +33,10 @@ CLOSES_SELF = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"t
 # Words in class, id and role that speak against content, and for it.
 AGAINST = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adsense|banners?|sponsor(?:ed)?|promo(?:tion)?s?|comments?|commentlist|replies|reply|disqus|sidebars?|side|navs?|navbar|navigation|menus?|breadcrumbs?|footers?|footnotes?-nav|headers?|masthead|cookies?|consent|gdpr|notices?|alerts?|popups?|modal|overlay|share|sharing|social|related|recommend(?:ed|ations)?|newsletter|subscribe|signup|login|widgets?|toolbar|pagination|pager|tags?|meta|byline|copyright|legal|disclaimer|skip|search|contentinfo|complementary|dialog|form)(?=$|[\s_-])", re.I)
 FOR = re.compile(r"(?:^|[\s_-])(?:article|articlebody|post|entry|content|main|story|body|text)(?=$|[\s_-])", re.I)
+#: Classes that tell what an element is about, or what is beside it: no hint against it.
+QUALIFIED = re.compile(r"^(?:tags?|category|cat|topic)[_-]|(?:^|[_-])(?:with|without|has|have|no|not|non|hide|above|below)[_-]", re.I)
+#: Classes made up of words for content, which overrule a part of a class further out.
+NEARER = re.compile(r"(?:article|articlebody|post|entry|content|main|story)(?:[_-](?:article|post|entry|content|main|story|body|text))*", re.I)
 
 # The classifier: weights of the features of a block.
 BIAS = -0.6
@@ -61,7 +65,7 @@ class Block:
 
 
 class Element:
-    __slots__ = ("tag", "parent", "content", "hard", "hint_for", "hint_against", "number", "depth")
+    __slots__ = ("tag", "parent", "content", "hard", "hint_for", "firm", "soft", "number", "depth")
 
     def __init__(self, tag, parent, attributes=""):
         self.tag, self.parent = tag, parent
@@ -69,15 +73,30 @@ class Element:
         self.content = bool(parent and parent.content) or tag in CONTENT
         self.hard = bool(parent and parent.hard) or tag in BOILERPLATE
         self.hint_for = bool(parent and parent.hint_for)
-        self.hint_against = bool(parent and parent.hint_against)
+        # against: a whole class, or a part of one, which ends at a main text further in
+        self.firm = bool(parent and parent.firm) and tag != "main"
+        self.soft = bool(parent and parent.soft) and tag not in CONTENT
+        tokens = []
         if attributes and "=" in attributes or "hidden" in attributes.lower():
             for m in ATTRIBUTE.finditer(attributes):
                 name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
                 if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                     self.hard = True
                 elif name in ("class", "id", "role", "itemprop") and tag not in ("html", "body"):
-                    self.hint_against |= bool(AGAINST.search(value))
+                    tokens += value.split()
                     self.hint_for |= bool(FOR.search(value))
+        if tokens:
+            named = [x for x in tokens if AGAINST.search(x) and not QUALIFIED.search(x)]
+            nearer = any(map(NEARER.fullmatch, tokens))
+            if tag in CONTENT:
+                self.firm |= tag != "main" and not nearer and any(map(AGAINST.fullmatch, named))
+            else:
+                self.soft = bool(named) or self.soft and not nearer
+                self.firm |= any(map(AGAINST.fullmatch, named))
+
+    @property
+    def hint_against(self) -> bool:
+        return self.firm or self.soft
 
 
 def blocks_of(html: str) -> list[Block]:

@@ -453,6 +453,15 @@ def test_html_odd(spark):
     assert html.extract(df.where("false")).count() == 0
 
 
+def test_html_of_classes_beside_the_content():
+    text = "A long sentence that says what the page is about, and goes on for a while."
+    for page in ('<article class="post tag-politics hentry"><p>{}</p></article>', '<div class="content-with-sidebar"><article><p>{}</p></article></div>', '<div class="no-sidebar has-header"><main><p>{}</p></main></div>',
+                 '<div class="page-header-wrap"><article class="post"><p>{}</p></article></div>', '<div class="sidebar-layout"><div class="entry-content"><p>{}</p></div></div>', '<div class="search"><main class="legal"><p>{}</p></main></div>'):
+        assert html.content(page.format(text)) == [text], page
+    for page in ('<div id="comments"><article class="comment-body"><p>{}</p></article></div>', '<article><div class="post-sidebar"><p>{}</p></div></article>', '<article class="comment"><p>{}</p></article>', '<div class="related site-footer"><p>{}</p></div>'):
+        assert html.content(page.format(text)) == [], page
+
+
 # 9 ----------------------------------------------------------------------------------------------------------------------
 def test_vectors(spark):
     rng = np.random.default_rng(9)
