@@ -177,6 +177,50 @@ def test_passages_planted_and_odd(spark):
     assert substring.repeated(docs(spark, rows).where("false")).count() == 0
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_passages_behind_shared_phrases(spark, seed):
+    """Documents with smaller ids share parts of a passage, too short by themselves; two later ones share all of it."""
+    rng = np.random.default_rng(seed)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    say = lambda n: list(rng.choice(vocabulary, n))
+    passage = say(80)
+    rows = []
+    for i in range(84):
+        at = int(rng.integers(0, 56))
+        rows.append((i, say(30) + passage[at : at + 25] + say(30)))
+    rows += [(100, say(20) + passage + say(40)), (101, say(60) + passage + say(5))]
+    got = {r.doc_id: r.class_id for r in substring.repeated(docs(spark, [(i, " ".join(w), "en", "s") for i, w in rows])).collect()}
+    assert got == {100: 100, 101: 100}
+
+
+def test_passages_of_random_texts_with_common_phrases(spark, monkeypatch):
+    """Exact passages of 60 words against brute force, in several slices, where phrases of up to 30 words are everywhere."""
+    monkeypatch.setattr(substring, "GROUP_BYTES", 1 << 14)
+    rng = np.random.default_rng(6)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    say = lambda n: list(rng.choice(vocabulary, n))
+    phrases, passages = [say(int(n)) for n in rng.integers(8, 31, 12)], [say(int(n)) for n in rng.integers(60, 90, 25)]
+    for p in passages[::2]:  # phrases stand in passages too
+        p[20:28] = phrases[int(rng.integers(0, 12))][:8]
+    rows = []
+    for i in range(400):
+        parts = [phrases[k] for k in rng.integers(0, 12, 3)] + ([passages[int(rng.integers(0, 25))]] if i % 5 == 0 else []) + [say(int(n)) for n in rng.integers(5, 60, 3)]
+        rows.append((i, [w for k in rng.permutation(len(parts)) for w in parts[k]]))
+    texts = {i: " ".join(w) for i, w in rows}
+    df = docs(spark, [(i, t, "en", "s") for i, t in texts.items()]).repartition(5)
+    got = {r.doc_id: r.class_id for r in substring.repeated(df).collect()}
+    holds = {n: defaultdict(set) for n in (30, 60)}
+    for i, t in texts.items():
+        w = t.split()
+        for n, found in holds.items():
+            for k in range(len(w) - n + 1):
+                found[tuple(w[k : k + n])].add(i)
+    want = [sorted(v) for v in holds[60].values() if len(v) > 1]
+    assert want and all(len({got.get(i, -i) for i in v}) == 1 for v in want)
+    # the others are pairs of phrases side by side, or a passage's neighbours
+    assert set(got) <= {i for v in holds[30].values() if len(v) > 1 for i in v}
+
+
 def test_passages_whose_parts_occur_before():
     rng = np.random.default_rng(4)
     say = lambda n: rng.integers(0, 1 << 62, n).astype(np.uint64)
