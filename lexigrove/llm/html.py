@@ -1,9 +1,10 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page is cut into text blocks in page order. A logistic classifier with stated weights gives each block a probability of
-being content; its costs, -log(1 - p) and -log(p), are the capacities from the source and to the sink. Neighbouring blocks
-and blocks close in the DOM are joined by smoothness edges. The minimum cut, found by max-flow, is the labelling of least
-total cost. Blocks inside scripts, styles, forms, navigation, footers and the like are boilerplate by construction of HTML:
+A page is cut into text blocks in page order. A logistic classifier, fitted on labelled pages of many shapes, gives each
+block a probability of being content; its costs, -log(1 - p) and -log(p), are the capacities from the source and to the
+sink. Neighbouring blocks are joined by smoothness edges that weaken with their distance in the DOM, blocks of one parent
+by edges that weaken with their distance on the page. The minimum cut, found by max-flow, is the labelling of least total
+cost. Blocks inside scripts, styles, forms, navigation, footers and the like are boilerplate by construction of HTML:
 their capacity to the sink is unbounded.
 """
 
@@ -11,7 +12,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from html import unescape
 
@@ -19,65 +20,68 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A tag; its parts are possessive, so that a match takes one pass. A quote counts after an equals sign alone.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
 ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?(?=[\s/>]|\Z)", re.I)
 
 # Element names by their role in HTML.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-RAW = {"script", "style", "template", "noscript", "textarea", "title", "iframe", "svg", "math", "object", "canvas", "audio", "video", "head", "select", "noframes"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+RAW = {"script", "style", "textarea", "title", "iframe", "noframes"}
+SKIPPED = {"template", "noscript", "svg", "canvas", "audio", "video", "select", "annotation", "annotation-xml"}
+INLINE = {"a", "abbr", "acronym", "annotation", "annotation-xml", "audio", "b", "bdi", "bdo", "big", "br", "canvas", "cite", "code", "data", "del", "dfn", "em", "font", "i", "iframe", "img", "ins", "kbd", "label", "mark", "math", "mfrac", "mi", "mn", "mo", "mrow", "msqrt", "mstyle", "msub", "msup", "mtext", "noscript", "object", "q", "rp", "rt", "ruby", "s", "samp", "script", "semantics", "small", "span", "strike", "strong", "style", "sub", "sup", "svg", "time", "tt", "u", "var", "video", "wbr"}
 BOILERPLATE = {"nav", "footer", "aside", "form", "menu", "button", "dialog", "fieldset", "header"}
 CONTENT = {"article", "main"}
+HEADINGS = {"h1": 1, "h2": 2, "h3": 3, "h4": 4, "h5": 5, "h6": 6}
 CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 CLOSES_SELF = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
-# Words in class, id and role that speak against content, and for it.
-AGAINST = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adsense|banners?|sponsor(?:ed)?|promo(?:tion)?s?|comments?|commentlist|replies|reply|disqus|sidebars?|side|navs?|navbar|navigation|menus?|breadcrumbs?|footers?|footnotes?-nav|headers?|masthead|cookies?|consent|gdpr|notices?|alerts?|popups?|modal|overlay|share|sharing|social|related|recommend(?:ed|ations)?|newsletter|subscribe|signup|login|widgets?|toolbar|pagination|pager|tags?|meta|byline|copyright|legal|disclaimer|skip|search|contentinfo|complementary|dialog|form)(?=$|[\s_-])", re.I)
+# Words in class, id and role that speak against content (the first strongly), and for it.
+STRONG = r"ads?|adverts?|advertisements?|adsense|banners?|sponsor(?:ed)?|promo(?:tion)?s?|comments?|commentlist|replies|reply|disqus|sidebars?|navs?|navbar|navigation|menus?|breadcrumbs?|footers?|masthead|cookies?|consent|gdpr|notices?|popups?|modal|overlay|newsletter|subscribe|signup|login|toolbar|pagination|pager|copyright|contentinfo|complementary|related|recommend(?:ed|ations)?|share|sharing"
+WEAK = r"side|headers?|alerts?|social|widgets?|tags?|meta|byline|legal|disclaimer|skip|search|dialog|form"
+WEAKLY = re.compile(rf"(?:^|[\s_-])(?:{WEAK})(?=$|[\s_-])", re.I)
+FIRMLY = re.compile(rf"(?:^|[\s_-])(?:{STRONG})(?=$|[\s_-])", re.I)
 FOR = re.compile(r"(?:^|[\s_-])(?:article|articlebody|post|entry|content|main|story|body|text)(?=$|[\s_-])", re.I)
 #: Classes that tell what an element is about, or what is beside it: no hint against it.
 QUALIFIED = re.compile(r"^(?:tags?|category|cat|topic)[_-]|(?:^|[_-])(?:with|without|has|have|no|not|non|hide|above|below)[_-]", re.I)
-#: Classes made up of words for content, which overrule a part of a class further out.
+#: Classes made up of words for content, which overrule a part of a class further out and weak words beside them.
 NEARER = re.compile(r"(?:article|articlebody|post|entry|content|main|story)(?:[_-](?:article|post|entry|content|main|story|body|text))*", re.I)
-
-# The classifier: weights of the features of a block.
-BIAS = -0.6
-WEIGHTS = {
-    "in_content": 3.0,  # inside article or main
-    "for": 1.0,  # class, id or role of an ancestor speaks for content
-    "against": -6.0,  # or against it
-    "links": -4.0,  # share of characters in links
-    "length": 1.2,  # log of the words, up to 1 at 64
-    "sentence": 0.8,  # ends or contains a sentence
-    "heading": 0.6,
-    "item": -0.6,  # list item or table cell
-    "copyright": -3.0,
-}
-ADJACENT, SIBLING, FAR = 0.25, 0.35, 0.08
+# What notices and the lines around reader comments say, and headings of what is no content.
+NOTICE = re.compile(r"\b(?:(?:uses?|using|accept|our|these|all) cookies|cookie policy|privacy (?:policy|settings)|terms of (?:use|service)|your consent|subscribe|newsletter|sign (?:up|in)|log in|advertisement|sponsored|share (?:this|on)|follow us|your e-?mail|all rights reserved)\b", re.I)
+REMARK = re.compile(r"^.{1,40}\s(?:says|said|wrote|commented|replied)(?:\s(?:on|at)\s.{4,40})?:?$|\b\d+ (?:second|minute|hour|day|week|month|year)s? ago\b|^(?:reply|like|report|permalink|flag)(?:\W+(?:reply|like|report|permalink|flag))*$|^(?:posted )?by .{1,40} (?:on|at) .{4,40}$", re.I)
+TITLE = re.compile(r"^\W*(?:\d+\s+|reader |user |recent |latest |top |leave a |post a |add a |you (?:may|might) also |more |from )*(?:comments?|repl(?:y|ies)|responses?|related(?: links| content| news)?|recommended(?: for you)?|read next|trending|most (?:read|popular)|popular|newsletter|share this|follow us|blogroll|sponsors?|advertisement|our partners|the web)(?:\s+(?:\(?\d+\)?|on .*|articles?|posts?|stories|comments?|pages?))?\W*$", re.I)
+
+# The classifier: a logistic regression, fitted by html_fit.fitted() on the labelled pages of html_fit.sample().
+FEATURES = ("bias", "in_content", "outside", "for", "firm", "soft", "weak", "links", "links_in_content", "length", "sentence", "heading", "item", "notice", "remark", "after_title", "copyright")
+WEIGHTS = dict(zip(FEATURES, (-1.2, 5.1, -1.3, 4.2, -7.2, -6.2, -4.2, -4.6, 1.4, 5.9, -0.5, 3.0, -1.3, -5.4, -0.0, -10.6, -4.6)))
+#: Capacity between neighbours, divided by their distance in the DOM; and between blocks of one parent, by theirs on the page.
+ADJACENT, SIBLING = 0.5, 0.35
 UNBOUNDED = 1e6
 
 
 class Block:
-    __slots__ = ("text", "chars", "linked", "tag", "parent", "content", "hard", "hint_for", "hint_against")
+    __slots__ = ("text", "linked", "element", "under")
 
-    def __init__(self, text, linked, element):
-        self.text, self.chars, self.linked = text, len(text), linked
-        self.tag, self.parent = element.tag, element.parent
-        self.content, self.hard, self.hint_for, self.hint_against = element.content, element.hard, element.hint_for, element.hint_against
+    def __init__(self, text, linked, element, under):
+        self.text, self.linked, self.element, self.under = text, linked, element, under
 
 
 class Element:
-    __slots__ = ("tag", "parent", "content", "hard", "hint_for", "firm", "soft", "number", "depth")
+    """An open element: what it inherits, and what its own name and attributes say."""
+
+    __slots__ = ("tag", "parent", "depth", "content", "hard", "form", "hint_for", "firm", "soft", "weak")
 
     def __init__(self, tag, parent, attributes=""):
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
         self.content = bool(parent and parent.content) or tag in CONTENT
-        self.hard = bool(parent and parent.hard) or tag in BOILERPLATE
+        self.form = bool(parent and parent.form) and tag not in CONTENT or tag == "form"  # a form around a whole page is none
+        self.hard = bool(parent and parent.hard) or tag in BOILERPLATE and tag != "form" and not (tag == "header" and self.content)
         self.hint_for = bool(parent and parent.hint_for)
         # against: a whole class, or a part of one, which ends at a main text further in
         self.firm = bool(parent and parent.firm) and tag != "main"
         self.soft = bool(parent and parent.soft) and tag not in CONTENT
+        self.weak = bool(parent and parent.weak) and tag not in CONTENT
         tokens = []
-        if attributes and "=" in attributes or "hidden" in attributes.lower():
+        if attributes and ("=" in attributes or "hidden" in attributes.lower()):
             for m in ATTRIBUTE.finditer(attributes):
                 name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
                 if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
@@ -86,26 +90,65 @@ class Element:
                     tokens += value.split()
                     self.hint_for |= bool(FOR.search(value))
         if tokens:
-            named = [x for x in tokens if AGAINST.search(x) and not QUALIFIED.search(x)]
+            named = [x for x in tokens if not QUALIFIED.search(x)]
             nearer = any(map(NEARER.fullmatch, tokens))
+            firmly = any(map(FIRMLY.fullmatch, named))
             if tag in CONTENT:
-                self.firm |= tag != "main" and not nearer and any(map(AGAINST.fullmatch, named))
+                self.firm |= tag != "main" and not nearer and firmly
             else:
-                self.soft = bool(named) or self.soft and not nearer
-                self.firm |= any(map(AGAINST.fullmatch, named))
+                self.soft = any(map(FIRMLY.search, named)) or self.soft and not nearer
+                self.weak = not nearer and (self.weak or any(map(WEAKLY.search, named)))
+                self.firm |= firmly
+
 
-    @property
-    def hint_against(self) -> bool:
-        return self.firm or self.soft
+def tags(html: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """Marks of a page in order: (begin, end, name, closing, attributes); name is None for comments and the like.
+
+    One pass, whatever the markup: a `<` that opens no tag is text, an open comment goes to the end, and where quotes
+    swallow the end of all tags that follow, they are read without quotes from there on.
+    """
+    at, last, quotes = html.find("<"), html.rfind(">"), True
+    while 0 <= at:
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 4) + 3 if not html.startswith(("<!-->", "<!--->"), at) else html.find(">", at) + 1
+            end = end if end > 3 else len(html)
+            yield at, end, None, False, ""
+        elif html.startswith("<![CDATA[", at):
+            end = html.find("]]>", at)
+            yield at, at + 9, None, False, ""
+            if end >= 0:
+                yield end, end + 3, None, False, ""
+            end = end + 3 if end >= 0 else len(html)
+        elif at > last:
+            return
+        elif html[at + 1] in "!?":
+            end = html.find(">", at) + 1
+            yield at, end, None, False, ""
+        else:
+            m = TAG.match(html, at) if quotes else None
+            if not m and (html[at + 1].isascii() and html[at + 1].isalpha() or html[at + 1] == "/" and html[at + 2 : at + 3].isalpha()):
+                quotes, end = False, html.find(">", at) + 1
+                m = TAG.match(re.sub("[\"']", " ", html[at:end]))
+                if m:
+                    yield at, end, m[2].lower(), bool(m[1]), m[3]
+            elif m:
+                end = m.end()
+                yield at, end, m[2].lower(), bool(m[1]), m[3]
+            else:
+                end = at + 1
+        at = html.find("<", end)
 
 
 def blocks_of(html: str) -> list[Block]:
     """The text blocks of a page in order; white space inside is one space, and references are decoded."""
     at, here, out = 0, Element("#root", None), []
+    count: Counter[str] = Counter()  # open elements by name
     parts: list[str] = []  # of the block under way
     links, depth = [], 0  # its link texts; links open
-    skip = None  # element whose content is no text
-    skipped = 0
+    skip, skipped = None, 0  # element whose content is no text
+    raw = 0  # where raw text ends
+    titles: list[tuple[Element, int]] = []  # headings of what is no content: their parent and level
+    titled: set[Element] = set()  # such parents that are open
 
     def end_block() -> None:
         if parts:
@@ -115,110 +158,146 @@ def blocks_of(html: str) -> list[Block]:
                 owner = here
                 while owner.tag in INLINE and owner.parent:
                     owner = owner.parent
-                out.append(Block(text, linked, owner))
+                level = HEADINGS.get(owner.tag, 7)
+                while titles and (level <= titles[-1][1] or titles[-1][0] not in titled):
+                    titles.pop()
+                if level < 7 and owner.parent and TITLE.match(text):
+                    titles.append((owner.parent, level))
+                    titled.add(owner.parent)
+                out.append(Block(text, linked, owner, bool(titles)))
             parts.clear()
             links.clear()
 
-    def add(text: str) -> None:
-        if text and not skip:
-            parts.append(text)
-            if depth:
-                links.append(text)
-
-    for m in TOKEN.finditer(html):
-        if m.start() < at:
+    def close(to: Element) -> Element:
+        """Close all elements below `to`."""
+        x = here
+        while x is not to:
+            count[x.tag] -= 1
+            titled.discard(x)  # a title ends with its parent
+            x = x.parent
+        return to
+
+    def above(names: set, stop: set) -> Element:
+        """The place after an open element of `names` is closed, if there is one below `stop`."""
+        x = here
+        while any(count[n] for n in names) and x.tag not in names and x.tag not in stop and x.parent:
+            x = x.parent
+        return x.parent if x.tag in names else here
+
+    for begin, end, tag, closing, attributes in tags(html):
+        if begin < raw:
             continue
-        add(html[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            if not skip and m[0].startswith("<![CDATA["):
-                add(m[0][9:-3])
+        if not skip and at < begin:
+            parts.append(html[at:begin])
+            if depth:
+                links.append(html[at:begin])
+        at = end
+        if tag is None:
             continue
-        tag, closing = m[2].lower(), bool(m[1])
+        empty = attributes.endswith("/")
         if skip:
             if tag == skip:
-                skipped += -1 if closing else 0 if m[3].endswith("/") else 1
-                if skipped == 0:
-                    skip = None
-            elif skip == "head" and tag == "body" and not closing:
-                skip = None
-            if skip or tag != "body":
-                continue
+                skipped += -1 if closing else not empty
+                skip = skip if skipped else None
+            continue
+        if tag == "head":
+            continue
         if closing:
             if tag not in INLINE:
                 end_block()
             if tag == "a":
                 depth = max(0, depth - 1)
-            found = here
-            while found and found.tag != tag:
-                found = found.parent
-            # an inline end tag does not close blocks
-            if found and found.parent and (tag not in INLINE or _inline_down_to(here, found)):
-                here = found.parent
-            continue
-        if tag in RAW and not m[3].endswith("/"):
-            if tag in ("script", "style", "textarea", "title", "iframe", "noframes"):
-                # raw text: nothing inside is a tag
-                close = re.compile(r"</" + tag + r"(?=[\s/>])[^>]*>", re.I).search(html, at)
-                if tag not in INLINE:
-                    if tag not in ("script", "style"):
-                        end_block()
-                at = close.end() if close else len(html)
-            else:
-                if tag != "noscript":
-                    end_block()
-                skip, skipped = tag, 1
+            if count[tag] > 0:
+                found = here
+                # an inline end tag does not close blocks
+                while found.tag != tag and (tag not in INLINE or found.tag in INLINE):
+                    found = found.parent
+                if found.tag == tag:
+                    here = close(found.parent)
             continue
         if tag not in INLINE:
             end_block()
+        if tag in RAW and not empty:
+            ended = re.compile(r"</" + tag + r"(?=[\s/>])[^>]*>", re.I).search(html, at)
+            at = raw = ended.end() if ended else len(html)
+            continue
+        if tag in SKIPPED and not empty:
+            skip, skipped = tag, 1
+            continue
+        if tag not in INLINE:
             if tag in CLOSES_P:
-                here = _closed(here, {"p"}, {"#root", "td", "th", "button", "article", "section", "div", "body"})
+                here = close(above({"p"}, {"#root", "td", "th", "button", "article", "section", "div", "body"}))
             if tag in CLOSES_SELF:
-                here = _closed(here, {"dt", "dd"} if tag in ("dt", "dd") else {"td", "th"} if tag in ("td", "th") else {tag} | ({"td", "th"} if tag == "tr" else set()), CLOSES_SELF[tag])
-            while here.tag in INLINE and here.parent:
-                here = here.parent
-                depth = 0
+                here = close(above({"dt", "dd"} if tag in ("dt", "dd") else {"td", "th"} if tag in ("td", "th") else {tag} | ({"td", "th"} if tag == "tr" else set()), CLOSES_SELF[tag]))
+            outer = here
+            while outer.tag in INLINE and outer.parent:
+                outer = outer.parent
+            if outer is not here:
+                here, depth = close(outer), 0
         elif tag == "br":
-            add(" ")
-        if tag in VOID or m[3].endswith("/") and tag not in INLINE and tag not in CLOSES_P:
+            parts.append(" ")
+        if tag in VOID or empty and tag not in INLINE and tag not in CLOSES_P:
             continue
-        if tag == "a":
-            depth += 1
-        here = Element(tag, here, m[3])
-    add(html[at:])
+        depth += tag == "a"
+        count[tag] += 1
+        here = Element(tag, here, attributes)
+    if not skip and max(at, raw) < len(html):
+        parts.append(html[max(at, raw) :])
     end_block()
     return out
 
 
-def _inline_down_to(here: Element, found: Element) -> bool:
-    while here is not found:
-        if here.tag not in INLINE:
-            return False
-        here = here.parent
-    return True
-
-
-def _closed(here: Element, tags: set, stop: set) -> Element:
-    """The place after an open element of `tags` is closed, if there is one below `stop`."""
-    found = here
-    while found and found.tag not in tags:
-        if found.tag in stop or not found.parent:
-            return here
-        found = found.parent
-    return found.parent
+def features(blocks: list[Block]) -> list[list[float]]:
+    """What the classifier sees of each block, in the order of FEATURES."""
+    divided = any(b.element.content and not b.element.hard for b in blocks)
+    out = []
+    for b in blocks:
+        e, words = b.element, b.text.count(" ") + 1
+        against = e.firm or e.soft
+        inside = (e.content or e.hint_for and not divided) and not against
+        linked = min(1.0, b.linked / max(1, len(b.text)))
+        out.append(
+            [
+                1.0,
+                float(e.content and not against),
+                float(divided and not e.content),
+                float(e.hint_for and not against),
+                float(e.firm),
+                float(e.soft),
+                float(e.weak),
+                linked * (not inside),
+                linked * inside,
+                min(1.0, math.log2(words + 1) / 6),
+                float(words > 3 and bool(re.search(r"[.!?\u3002\uff01\uff1f\u0964](?:\s|[\"')\]]|\Z)", b.text))),
+                float(e.tag in HEADINGS),
+                float(e.tag in ("li", "td", "th", "dt") and not inside),
+                float(not e.content and bool(NOTICE.search(b.text[:1000]))),
+                float(not e.content and words < 30 and bool(REMARK.search(b.text))),
+                float(b.under),
+                float(not e.content and bool(re.match(r"\u00a9|(?:copyright|\(c\)|all rights reserved)(?:\W|$)", b.text, re.I))),
+            ]
+        )
+    return out
 
 
-def probability(block: Block) -> float:
+def probability(row: list[float]) -> float:
     """The classifier's probability that a block is content."""
-    words = block.text.count(" ") + 1
-    z = BIAS + WEIGHTS["in_content"] * block.content + WEIGHTS["for"] * block.hint_for + WEIGHTS["against"] * block.hint_against
-    z += WEIGHTS["links"] * min(1.0, block.linked / max(1, block.chars)) + WEIGHTS["length"] * min(1.0, math.log2(words + 1) / 6)
-    z += WEIGHTS["sentence"] * bool(words > 3 and re.search(r"[.!?。！？](?:\s|[\"')\]]|\Z)", block.text))
-    z += WEIGHTS["heading"] * (block.tag in ("h1", "h2", "h3", "h4", "h5", "h6")) + WEIGHTS["item"] * (block.tag in ("li", "td", "th", "dt"))
-    z += WEIGHTS["copyright"] * bool(block.text[:1] == "©" or re.match(r"(?:copyright|all rights reserved)\b", block.text, re.I))
+    z = sum(WEIGHTS[name] * x for name, x in zip(FEATURES, row))
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+def distance(a: Element, b: Element) -> int:
+    """Steps between two elements in the DOM."""
+    steps = 0
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.parent
+        else:
+            b = b.parent
+        steps += 1
+    return steps
+
+
 def min_cut(source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """Which nodes are on the source's side of a minimum cut; `edges` have equal capacity both ways (Dinic's max-flow).
 
@@ -286,16 +365,14 @@ def min_cut(source: list[float], sink: list[float], edges: list[tuple[int, int,
 def content(html: str | None) -> list[str]:
     """The content blocks of a page, in order."""
     blocks = blocks_of(html or "")
-    if not blocks:
-        return []
     source, sink, edges, last = [], [], [], {}
-    for i, b in enumerate(blocks):
-        p = min(max(probability(b), 1e-9), 1 - 1e-9)
+    for i, (b, row) in enumerate(zip(blocks, features(blocks))):
+        p = min(max(probability(row), 1e-9), 1 - 1e-9)
         source.append(-math.log(1 - p))
-        sink.append(UNBOUNDED if b.hard else -math.log(p))
-        if i:
-            edges.append((i - 1, i, ADJACENT if b.parent is blocks[i - 1].parent else FAR))
-        key = id(b.parent)
+        sink.append(UNBOUNDED if b.element.hard or b.element.form else -math.log(p))
+        if i and b.element.content == blocks[i - 1].element.content:  # a main text's border is no place to be smooth
+            edges.append((i - 1, i, ADJACENT / max(1, distance(blocks[i - 1].element, b.element))))
+        key = id(b.element.parent)
         if key in last:
             edges.append((last[key], i, SIBLING / (i - last[key])))
         last[key] = i

@@ -1,6 +1,7 @@
 """Each operator against brute force on small fixtures, and on nulls, empty and long texts, ties, repeated rows, empty tables and extra columns."""
 
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lexigrove.llm import components, embedding, html, langid, mix, packing, pii, quality, simhash, substring, urlfilter
+from lexigrove.llm import components, embedding, html, html_fit, langid, mix, packing, pii, quality, simhash, substring, urlfilter
 from lexigrove.llm.queries import ORACLES, QUERIES, URL_RULES
 from tests.oracle import same
 
@@ -506,6 +507,42 @@ def test_html_of_classes_beside_the_content():
         assert html.content(page.format(text)) == [], page
 
 
+def test_html_weights_and_shapes():
+    """The weights are those of the fit; pages of another seed, of thirteen shapes, are held out."""
+    fit = html_fit.fitted(html_fit.sample())
+    assert fit == pytest.approx(html.WEIGHTS, abs=0.051)
+    for name, (precision, recall) in html_fit.figures(html_fit.sample(pages=25, seed=2)).items():
+        assert recall >= 0.97 and precision >= 0.8, (name, precision, recall)
+
+
+def test_html_inside_the_main_text():
+    text = "A long sentence that says what the page is about, and goes on for a while."
+    for page in ('<article class="post legal"><p>{0}</p><p>{0}</p></article>', '<div class="post has-share tag meta"><p>{0}</p><p>{0}</p></div>'):
+        assert html.content(page.format(text)) == [text, text], page
+    assert html.content(f'<article><p>{text}</p><ul><li><a href="x">One link</a></li></ul><table><tr><td>12</td><td>7</td></tr></table></article>') == [text, "One link", "12", "7"]
+    assert html.content("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> and <object data=a>an object</object> be <svg><text>no</text></svg>given.</p></article>") == ["Let x=2 and an object be given."]
+    assert html.content("<head><title>t</title><p>No end of a head, yet text that is long enough.") == ["No end of a head, yet text that is long enough."]
+    page = f"<div><p>{text}</p><p>{text} And more.</p></div><div><h3>2 comments</h3><p>Nice read, thanks a lot for it, I will come again.</p></div><div><p>We use cookies to improve this site.</p></div>"
+    assert html.content(page) == [text, f"{text} And more."]
+    assert html.content(f"<form><div><a href=1>Menu</a></div><main><p>{text}</p></main><p>{text}</p></form>") == [text]
+
+
+def test_html_marks():
+    read = lambda x: [b.text for b in html.blocks_of(x)]
+    assert read("a < b > c<p title='x > y' data-a=\"</p>\">d</p>e<!-- <p>f --><![CDATA[g<h]]>") == ["a < b > c", "d", "eg<h"]
+    assert read("<p>one<p>two<li>three</p>four") == ["one", "two", "three", "four"]
+    assert read("x <!-- open <p>y") == ["x"] and read("x<") == ["x<"] and read("") == []
+    assert read("it's <b>5\" wide</b> <p class=it's>and <a b='>on") == ["it's 5\" wide", "and on"]
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a =">"', "<div>text", "</p><div>x", "<b>x", "<p><ul><li>x", '<a href="', "<!-", "<x y='<p>", "<h2>Comments</h2>", "<td><tr>x", "<script", "<![CDATA["])
+def test_html_time_is_linear(part):
+    page = part * (500_000 // len(part))
+    start = time.perf_counter()
+    html.blocks_of(page)
+    assert time.perf_counter() - start < 5
+
+
 # 9 ----------------------------------------------------------------------------------------------------------------------
 def test_vectors(spark):
     rng = np.random.default_rng(9)
