@@ -134,6 +134,56 @@ def test_phrases_are_longest_matches():
     assert machine.phrases(texts).tolist() == [[brute(t, samples[k]) for k in ("a", "b")] for t in texts]
 
 
+def test_phrases_cross_stretches(monkeypatch):
+    """Whole texts, read through: against plain Python, with stretches so short that parses do not meet in them."""
+    rng = np.random.default_rng(12)
+    samples = {k: ["".join(rng.choice(list(letters), 60)) for _ in range(3)] for k, letters in (("a", "ab"), ("b", "abc "), ("c", "xyé日本"))}
+    machine = langid.Automata(samples)
+
+    def brute(text, parts):
+        n, at = 1, ""
+        for c in text.lower():
+            c = " " if c.isspace() else c
+            if any(at + c in p for p in parts):
+                at += c
+            else:
+                n, at = n + 1, c if any(c in p for p in parts) else ""
+        return n
+
+    texts = ["".join(rng.choice(list("abcxyé日本 Q"), int(n), p=[0.3, 0.3, 0.2, 0.04, 0.04, 0.04, 0.02, 0.02, 0.02, 0.02])) for n in rng.integers(0, 400, 40)]
+    texts += ["ab" * 200, "abc" * 150, "日本" * 99, samples["a"][0] * 5, "", "Q" * 50]
+    want = [[brute(t, samples[k]) for k in "abc"] for t in texts]
+    for stretch in (3, 7, 40, 512):
+        monkeypatch.setattr(langid, "STRETCH", stretch)
+        assert machine.phrases(texts).tolist() == want
+    monkeypatch.setattr(langid, "AT_ONCE", 1)
+    assert machine.phrases(texts).tolist() == want
+
+
+SPOKEN = {
+    "de": "der schnelle braune fuchs springt über den faulen hund und läuft dann in den wald weil es dort ruhig ist. die menschen gehen am abend nach hause und essen gemeinsam zu abend",
+    "el": "η γρήγορη καφέ αλεπού πηδάει πάνω από το τεμπέλικο σκυλί και μετά τρέχει στο δάσος γιατί εκεί είναι ήσυχα. οι άνθρωποι πηγαίνουν σπίτι το βράδυ και τρώνε μαζί",
+    "en": "the quick brown fox jumps over the lazy dog and then runs into the forest because it is quiet there. people go home in the evening and have dinner together",
+    "es": "el rápido zorro marrón salta sobre el perro perezoso y luego corre hacia el bosque porque allí hay silencio. la gente vuelve a casa por la tarde y cena junta",
+    "fr": "le rapide renard brun saute par dessus le chien paresseux puis court dans la forêt parce que c'est calme là bas. les gens rentrent chez eux le soir et dînent ensemble",
+    "ja": "素早い茶色の狐はのろまな犬を飛び越えて、静かな森の中へ走って行きます。人々は夕方に家へ帰って、みんなで晩ご飯を食べます。東京の天気は今日もいいです",
+    "ko": "빠른 갈색 여우가 게으른 개를 뛰어넘고 조용한 숲으로 달려갑니다. 사람들은 저녁에 집으로 돌아가서 함께 저녁을 먹습니다. 오늘 서울의 날씨는 좋습니다",
+    "ru": "быстрая коричневая лиса прыгает через ленивую собаку и потом бежит в лес потому что там тихо. люди вечером идут домой и вместе ужинают",
+    "zh": "敏捷的棕色狐狸跳过懒狗，然后跑进安静的森林里。人们晚上回家，一起吃晚饭。今天北京的天气很好，我们去公园散步，看见很多孩子在玩",
+}
+HEARD = {"de": "die hunde und der fuchs sind im wald", "el": "οι άνθρωποι και το σκυλί είναι σπίτι", "en": "the people and the dog are in the forest", "es": "la gente y el perro están en el bosque", "fr": "les gens et le chien sont dans la forêt", "ja": "人々は犬と森の中へ行きます", "ko": "사람들은 개와 함께 숲으로 갑니다", "ru": "люди и собака идут домой вечером", "zh": "我们晚上回家吃晚饭，天气很好"}
+
+
+def test_scripts_and_languages(spark):
+    automata = langid.Automata({k: [v] for k, v in SPOKEN.items()})
+    assert langid.identify(list(HEARD.values()), automata)[0] == list(HEARD)
+    assert langid.identify([v.upper() for v in SPOKEN.values()], automata)[0] == list(SPOKEN)
+    many = docs(spark, [(i, f"{k} {v}", f"{k}{i % 50}", "s") for i, (k, v) in enumerate(list(SPOKEN.items()) * 60)])
+    sample = langid.sample(many, languages=100)
+    assert len(sample) == 100 and sum(map(len, (w for v in sample.values() for w in v))) <= langid.TOTAL
+    assert {r.lang_pred for r in langid.predict(many, sample).collect()} <= set(sample)
+
+
 def test_language_odd(spark):
     sample = langid.sample(docs(spark, [(i, f"the cat and the dog number {i}", "en", "s") for i in range(9)] + [(20, "der hund und die katze", "de", "s")] + ODD))
     got = langid.predict(docs(spark, ODD), sample).collect()
