@@ -2,14 +2,18 @@
 
 Every vector is described by its nearest reference points (pivots), in order. Inverted lists hold, for each pivot, the
 vectors that have it among their nearest. Two vectors are candidates if they share at least two of their `nearest`
-pivots; candidates are verified by their cosine in double precision. A pair is looked at once: in the list of the smallest
-pivot that both have, under the second smallest.
-
-Vectors of each length are indexed by themselves. Where only one pivot is left (all vectors in one cone, or a length that
-is one block), the list of that pivot is compared as a whole, so nothing is lost.
-
-Pivots are a bounded sample (`pivots`, by default about 2 * sqrt(n), 256 to 8192, and 64 MB at most) of vectors that are
-not close to each other; every vector is indexed. Lists are dealt into blocks, and pairs of blocks are the tasks, so a hot list is many tasks. A task returns
+pivots; candidates are verified by their cosine in double precision. A pair is looked at once: under the smallest pivot
+that both have and the second smallest.
+
+Pivots are a bounded sample (`pivots`, by default about 2 * sqrt(n), 256 at least, PIVOT_BYTES at most) of vectors that are
+not close to each other, seen from the mean of the sample; every vector is indexed. How many of them are used is measured:
+pairs just at the threshold, made of the sample, and the linked pairs in it must share two pivots in `recall` of all cases,
+or half as many pivots are tried. Where no number will do (all vectors in a narrow cone, where nearly all pairs are links),
+and for lengths that are one block, the vectors of the length are compared as one list, so nothing is lost. Vectors of
+each length are indexed by themselves.
+
+A list of up to LONG blocks is compared as a whole; a longer one is cut by the second pivot first, so that lists grow slower
+than the table. Lists are dealt into blocks, and pairs of blocks are the tasks, so a hot list is many tasks. A task returns
 for each vector the number of its links, and a spanning forest of the links, never the pairs; so a crowd of near copies
 costs products of matrices and no more. Equal vectors are one entry with a count.
 
@@ -31,6 +35,8 @@ from .common import staged
 from .components import components
 
 PIVOT_BYTES = 64 << 20
+#: Blocks of a list that is not cut further.
+LONG = 4
 
 
 def _rows(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -46,17 +52,55 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _apart(unit: np.ndarray, most: int, cosine: float = 0.7) -> np.ndarray:
-    """The first vectors that are not close to one before: many pivots in one crowd would tell its members apart."""
-    kept = np.zeros((0, unit.shape[1]))
+    """Places of the first vectors that are not close to one before: many pivots in one crowd would tell its members apart."""
+    kept, places = np.zeros((0, unit.shape[1])), []
     for i in range(0, len(unit), 256):
-        part = unit[i : i + 256]
-        part = part[(part @ kept.T < cosine).all(axis=1)]
-        close = np.tril(part @ part.T >= cosine, -1)
-        alone = np.ones(len(part), bool)
-        for k in range(len(part)):
+        at = i + np.flatnonzero((unit[i : i + 256] @ kept.T < cosine).all(axis=1))
+        close = np.tril(unit[at] @ unit[at].T >= cosine, -1)
+        alone = np.ones(len(at), bool)
+        for k in range(len(at)):
             alone[k] = not (close[k] & alone).any()
-        kept = np.concatenate([kept, part[alone]])
-    return kept[:most]
+        kept = np.concatenate([kept, unit[at[alone]]])
+        places += at[alone].tolist()
+        if len(places) >= most:
+            break
+    return np.array(places[:most], np.int64)
+
+
+def _nearest(unit: np.ndarray, points: np.ndarray, k: int) -> np.ndarray:
+    """The numbers of the k nearest points of each vector, nearest first."""
+    cosine = unit @ points.T
+    near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+    return np.take_along_axis(near, np.argsort(-np.take_along_axis(cosine, near, 1), axis=1, kind="stable"), 1)
+
+
+def _shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many pivots the vectors of two lists, row by row, have in common."""
+    return (a[:, :, None] == b[:, None, :]).any(axis=2).sum(axis=1)
+
+
+def pivots_of(unit: np.ndarray, most: int, nearest: int, threshold: float, recall: float) -> np.ndarray:
+    """Pivots from a sample of unit vectors: as many as keep `recall` of the pairs at the threshold; a single one if none do."""
+    centred = unit - unit.mean(axis=0)
+    size = np.sqrt((centred * centred).sum(axis=1, keepdims=True))
+    points = unit[_apart(np.divide(centred, size, out=np.zeros_like(centred), where=size > 1e-9), most)]
+    x = unit[:1024]
+    toward = np.roll(unit, len(unit) // 2 + 1, axis=0)[:1024]
+    side = toward - (toward * x).sum(axis=1, keepdims=True) * x
+    long = np.sqrt((side * side).sum(axis=1, keepdims=True))
+    apart = long[:, 0] > 1e-6
+    made = x[apart], (threshold * x + max(0.0, 1 - threshold**2) ** 0.5 * np.divide(side, long, out=np.zeros_like(side), where=long > 1e-6))[apart]
+    i, j = np.nonzero(np.triu(unit[:2048] @ unit[:2048].T >= threshold, 1))
+    some = np.linspace(0, len(i) - 1, min(4096, len(i))).astype(np.int64)
+    found = unit[i[some]], unit[j[some]]
+    pairs = [p for p, least in ((made, 1), (found, 50)) if len(p[0]) >= least]
+    count = len(points)
+    while count > nearest:
+        told = [(_shared(*(_nearest(side, points[:count], nearest) for side in p)) >= 2).mean() for p in pairs]
+        if all(t >= recall for t in told):
+            return points[:count]
+        count //= 2
+    return points[:1]
 
 
 def _forest(a: np.ndarray, b: np.ndarray, links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,12 +119,12 @@ def _forest(a: np.ndarray, b: np.ndarray, links: np.ndarray) -> tuple[np.ndarray
     return np.concatenate([a, b]), np.concatenate([label_a, label_b])
 
 
-def _verified(pivot: int, one: tuple, two: tuple | None, threshold: float):
-    """Links of a block with itself (two is None) or with another: (ids, counts), (ids, roots)."""
+def _verified(pivot: int, second: int, one: tuple, two: tuple | None, threshold: float):
+    """Links of a block with itself (two is None) or with another: (ids, counts), (ids, roots). Second pivot: minus one for all."""
     (ids, many, unit, near) = one
     (ids2, many2, unit2, near2) = two or one
     counts, counts2, edges = np.zeros(len(ids), np.int64), np.zeros(len(ids2), np.int64), []
-    for q in np.intersect1d(near, near2):
+    for q in np.intersect1d(near, near2) if second < 0 else (second,):
         if q <= pivot and near.shape[1] > 1:  # vectors with one pivot have no second: the list is compared as a whole
             continue
         i = np.flatnonzero((near == q).any(axis=1))
@@ -112,7 +156,7 @@ def _verified(pivot: int, one: tuple, two: tuple | None, threshold: float):
     return (ids[found], counts[found]), (a[own], b[own])
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.9, nearest: int = 8, pivots: int | None = None, block: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9, nearest: int = 8, pivots: int | None = None, block: int = 2048, recall: float = 0.97, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept), one for each row of `vectors`.
 
     n_links: other vectors with a cosine of at least `threshold`; component_id: smallest vec_id reachable. Null and zero
@@ -122,17 +166,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, nearest: int = 8
     """
     v = F.col("v")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | ~F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).withColumn("ok", F.coalesce(~bad, F.lit(False)))
-    classes = rows.where("ok").groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("many")).withColumn("class", F.monotonically_increasing_id())
+    rows = vectors.select(F.col(id_col).alias("vec_id"), F.transform(F.col(vector_col).cast("array<double>"), lambda x: x + 0.0).alias("v")).withColumn("ok", F.coalesce(~bad, F.lit(False)))
+    rows = rows.withColumns({"k1": F.xxhash64("v", F.lit(1)), "k2": F.xxhash64(F.lit(2), "v")})  # equal vectors have equal keys of 128 bits
+    classes = rows.where("ok").groupBy("k1", "k2").agg(F.first("v").alias("v"), F.min("vec_id").alias("least"), F.count("*").alias("many")).withColumn("class", F.monotonically_increasing_id())
     classes = staged(classes, "vectors")
     # lengths that are more than a block get pivots; there are only as many rows as there are such lengths
     large = classes.groupBy(F.size("v").alias("length")).count().where(F.col("count") > block).orderBy("length").collect()
     points, first = {}, 0
     for length, n in large:
-        most = min(8192, max(256, int(2 * n**0.5))) if pivots is None else pivots
+        most = max(256, int(2 * n**0.5)) if pivots is None else pivots
         most = max(1, min(most, PIVOT_BYTES // (8 * length * len(large))))
-        taken = classes.where(F.size("v") == length).orderBy(F.xxhash64("class", F.lit(11))).limit(2 * most).select("v").collect()
-        points[length] = first, _apart(_unit(np.array([r["v"] for r in taken], np.float64)), most)
+        taken = classes.where(F.size("v") == length).orderBy(F.xxhash64("k1", F.lit(11))).limit(2 * most).select("v").toArrow()
+        points[length] = first, pivots_of(_unit(_rows(taken.column(0))), most, nearest, threshold, recall)
         first += len(points[length][1])
     sent = vectors.sparkSession.sparkContext.broadcast(points)
 
@@ -144,13 +189,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, nearest: int = 8
                 own = batch if (lengths == length).all() else batch.take(pa.array(np.flatnonzero(lengths == length)))
                 first, points = sent.value.get(length, (-length, np.zeros((1, length))))
                 k = min(nearest, len(points))
-                for part in (own.slice(i, 4096) for i in range(0, own.num_rows, 4096)):
-                    if len(points) == 1:
-                        near = np.zeros((part.num_rows, 1), np.int64)
-                    else:
-                        cosine = _unit(_rows(part.column(2))) @ points.T
-                        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-                        near = np.take_along_axis(near, np.argsort(-np.take_along_axis(cosine, near, 1), axis=1, kind="stable"), 1)
+                step = max(16, (1 << 22) // len(points))
+                for part in (own.slice(i, step) for i in range(0, own.num_rows, step)):
+                    near = np.zeros((part.num_rows, 1), np.int64) if len(points) == 1 else _nearest(_unit(_rows(part.column(2))), points, k)
                     order = pa.ListArray.from_arrays(pa.array(np.arange(0, k * len(near) + 1, k), pa.int32()), pa.array((near + first).ravel().astype(np.int32)))
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), order], ["class", "many", "v", "near"])
 
@@ -158,27 +199,33 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, nearest: int = 8
     index = staged(index, "vectors-index")
     lists = index.withColumn("pivot", F.explode(F.slice(F.sort_array("near"), 1, F.greatest(F.size("near") - 1, F.lit(1)))))
     sizes = staged(lists.groupBy("pivot").count().select("pivot", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "vectors-lists")
+    whole = (F.col("blocks") <= LONG) | (F.size("near") == 1)
+    listed = lists.join(sizes, "pivot")  # one row for each pivot
+    short = listed.where(whole).withColumn("second", F.lit(-1))
+    cut = listed.where(~whole).drop("blocks").withColumn("second", F.explode(F.filter("near", lambda q: q > F.col("pivot"))))
+    cut_sizes = cut.groupBy("pivot", "second").count().where("count > 1").select("pivot", "second", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    deep = cut.join(staged(cut_sizes, "vectors-lists-2"), ["pivot", "second"])
     dealt = (
-        lists.join(sizes, "pivot")  # one row for each pivot, 8192 at most
-        .withColumn("own", F.pmod(F.xxhash64("class", "pivot"), "blocks").cast("int"))
+        short.unionByName(deep)
+        .withColumn("own", F.pmod(F.xxhash64("class", "pivot", "second"), "blocks").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "many", F.col("v").cast("array<float>").alias("v") if dict(vectors.dtypes)[vector_col] == "array<float>" else "v", "near")
+        .select("pivot", "second", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "many", F.col("v").cast("array<float>").alias("v") if dict(vectors.dtypes)[vector_col] == "array<float>" else "v", "near")
     )
 
     def verified(key: tuple, table: pa.Table) -> pa.Table:
-        pivot, i, j = (k.as_py() for k in key)
+        pivot, second, i, j = (k.as_py() for k in key)
         own, ids, many = (table.column(c).to_numpy() for c in ("own", "class", "many"))
         unit, near = _unit(_rows(table.column("v"))), _rows(table.column("near"))
         part = lambda x: (ids[x], many[x], unit[x], near[x])
-        (a, n), (b, root) = _verified(pivot, part(own == i), None if i == j else part(own == j), threshold)
+        (a, n), (b, root) = _verified(pivot, second, part(own == i), None if i == j else part(own == j), threshold)
         empty = np.zeros(len(b), np.int64)
         return pa.table({"class": np.concatenate([a, b]), "root": np.concatenate([np.full(len(a), -1), root]), "n": np.concatenate([n, empty])})
 
-    found = staged(dealt.groupBy("pivot", "i", "j").applyInArrow(verified, "class long, root long, n long"), "vectors-links")
+    found = staged(dealt.groupBy("pivot", "second", "i", "j").applyInArrow(verified, "class long, root long, n long"), "vectors-links")
     counts = found.where("root < 0").groupBy("class").agg(F.sum("n").alias("n"))
     linked = components(found.where("root >= 0").select(F.col("class").alias("a"), F.col("root").alias("b")), "vectors")
-    known = classes.join(counts, "class", "left").join(linked.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    known = known.join(known.groupBy("root").agg(F.min("least").alias("component")), "root").select("v", "component", (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("links"))
-    out = rows.withColumn("key", F.when(F.col("ok"), F.col("v"))).join(known.withColumnRenamed("v", "key"), "key", "left")
+    known = classes.drop("v").join(counts, "class", "left").join(linked.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    known = known.join(known.groupBy("root").agg(F.min("least").alias("component")), "root").select("k1", "k2", "component", (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("links"))
+    out = rows.drop("v").join(known.withColumn("ok", F.lit(True)), ["ok", "k1", "k2"], "left")
     component = F.when(F.col("ok"), F.col("component")).otherwise(F.col("vec_id"))
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

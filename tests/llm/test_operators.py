@@ -622,6 +622,23 @@ def test_vectors(spark):
     assert embedding.near_duplicates(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("mean", [0.0, 0.5, 0.77, 0.85, 0.95])
+def test_vectors_in_cones(spark, mean, monkeypatch):
+    """Cones of several widths, with near copies in them, and a crowd of 300: recall against brute force."""
+    rng = np.random.default_rng(int(100 * mean))
+    n, axis = 32, np.eye(32)[0]
+    far = rng.normal(size=(500, n)) / n**0.5
+    base = (mean**0.5 * axis + (1 - mean) ** 0.5 * far).tolist()
+    rows = base + [np.array(b) + rng.normal(size=n) / n**0.5 * s for b in base for s in (0.1, 0.3, 0.42)] + [np.array(base[0]) + rng.normal(size=n) * 0.01 for _ in range(300)]
+    rows = [[float(y) for y in x] for x in rows]
+    unit = np.array(rows) / np.linalg.norm(rows, axis=1)[:, None]
+    want = (unit @ unit.T >= 0.9).sum() - len(rows)
+    monkeypatch.setattr(embedding, "LONG", 1)
+    got = embedding.near_duplicates(spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>"), block=128).collect()
+    found = sum(r.n_links for r in got)
+    assert 0.9 * want <= found <= want and len(got) == len(rows)
+
+
 @pytest.mark.parametrize("block", [32, 2048])
 def test_vectors_in_one_cone_and_of_several_lengths(spark, block):
     rng = np.random.default_rng(19)
