@@ -11,11 +11,13 @@ from __future__ import annotations
 
 import json
 import os
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -280,20 +282,23 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 4096, group_docs: int = 2048, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 4096, group_bytes: int = 6 << 20, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, start, length, ids, doc_tokens, sequence_id, offset), one for each piece of a document.
 
     ids: the piece's token ids as little-endian unsigned 32-bit numbers; doc_tokens counts the end id. Null texts are
-    empty and have the end id alone; null ids are kept; repeated rows are packed each, in groups of their own draw, so
-    that one id on many rows fills no single group. Other columns are left out. An empty table gives an empty result.
+    empty and have the end id alone; null ids are kept; repeated rows are packed each. Groups are sized by bytes of text
+    and drawn by a hash of task, id, text and number among equal rows, so that one id on many rows fills no single group,
+    and a task that is run again deals the same rows to the same groups, in whatever order they come. Other columns are
+    left out. An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
-    groups = max(1, -(-docs.count() // group_docs))
+    size = docs.agg(F.sum(F.octet_length(text_col)).alias("n"), F.count("*").alias("rows")).first()
+    groups = max(1, -(-((size["n"] or 0) + 64 * size["rows"]) // group_bytes))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, seen = TaskContext.get().partitionId(), 0
+        task, seen = np.uint64(TaskContext.get().partitionId()), Counter()
         encoder = _encoder(tokenizer)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
@@ -303,12 +308,15 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 4096,
                 end = max(begin + 1, int(np.searchsorted(sizes, (sizes[begin - 1] if begin else 0) + SLICE, "right")))
                 tokens, bounds = encoder.encode(texts.slice(begin, end - begin))
                 data = [tokens[a:b].astype("<u2").tobytes() for a, b in zip(bounds[:-1], bounds[1:])]  # two bytes an id for the shuffle
-                rows = np.arange(seen + begin, seen + end, dtype=np.uint64)
                 own = pc.fill_null(ids.slice(begin, end - begin), 0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-                dealt = _mixed(_mixed(own + np.uint64(seed)) ^ (rows + (np.uint64(task) << np.uint64(40)))) % np.uint64(groups)
+                rows = _mixed(_mixed(own + np.uint64(seed)) ^ np.array([xxhash.xxh64_intdigest(x) for x in data], np.uint64))
+                nth = []
+                for row in rows.tolist():
+                    nth.append(seen[row])
+                    seen[row] += 1
+                dealt = _mixed(rows ^ (np.array(nth, np.uint64) + (task << np.uint64(40)))) % np.uint64(groups)
                 yield pa.RecordBatch.from_arrays([ids.slice(begin, end - begin), pa.array(dealt.astype(np.int64)), pa.array(data, pa.binary())], ["doc_id", "dealt", "ids"])
                 begin = end
-            seen += len(texts)
         give_back()
 
     def packed(key: tuple, table: pa.Table) -> pa.Table:
