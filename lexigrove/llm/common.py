@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 
@@ -17,16 +18,17 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: `spark.checkpoint.dir`, or one of our own where it is unset (local runs)."""
+    """The folder all executors see: `spark.checkpoint.dir`; where it is unset, in local runs alone, one of our own."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
+    if found:
+        return found
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not held.isDefined():
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexigrove-"))
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        found = tempfile.mkdtemp(prefix="lexigrove-")
-        spark.sparkContext.setCheckpointDir(found)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return found
+    return held.get()
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -37,7 +39,30 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexigrove/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Staged tables that no later step reads are deleted; other DataFrames are left alone."""
+    for t in tables:
+        path = t.__dict__.get("staged_path") if t is not None else None
+        if path:
+            spark = t.sparkSession
+            there = spark._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that `df` does not have, whatever the case."""
+    held = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in held:
+            n += "_"
+        out.append(n)
+    return out
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_names
+
 ROUNDS = 10
 DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 
@@ -56,14 +58,15 @@ def _ints(*values) -> Column:
     return F.array(*[v.cast("int") if isinstance(v, Column) else F.lit(v).cast("int") for v in values])
 
 
-def permute(values: Column, radices: Column, tweak: Column, key: str) -> Column:
+def permute(values: Column, radices: Column, tweak: Column, key: Column | str) -> Column:
     """The Feistel network: `values[i] < radices[i]` to as many numbers in the same ranges, one to one for each key and tweak."""
+    key = F.lit(key) if isinstance(key, str) else key
     size = F.size(values)
     half = F.floor(size / 2).cast("int")
     left_radix, right_radix = F.slice(radices, 1, half), F.slice(radices, half + 1, size - half)
 
     def moved(other: Column, own: Column, radix: Column, i: Column) -> Column:
-        seed = F.concat_ws("|", F.lit(key), tweak, i.cast("string"), F.array_join(F.transform(other, lambda x: x.cast("string")), ","))
+        seed = F.concat_ws("|", key, tweak, i.cast("string"), F.array_join(F.transform(other, lambda x: x.cast("string")), ","))
 
         def shifted(x: Column, j: Column) -> Column:
             block = F.sha2(F.concat(seed, F.lit("|"), F.floor(j / 8).cast("string")), 256)
@@ -83,7 +86,7 @@ def _chars(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda c: c != "")
 
 
-def _permute_chars(text: Column, tweak: Column, key: str, hexadecimal: bool = False, telephone: bool = False) -> Column:
+def _permute_chars(text: Column, tweak: Column, key: Column, hexadecimal: bool = False, telephone: bool = False) -> Column:
     """Digits to digits and letters to letters of the same case (or hex digits to hex digits); all else stays.
 
     telephone: a digit of 2 or more at the start of a group stays one, since areas and exchanges begin so.
@@ -155,7 +158,7 @@ def _fill(template: Column, digits: Column, pattern: str = "[0-9A-Za-z]") -> Col
     return _let(_chars(template), body)
 
 
-def _card(m: Column, key: str) -> Column:
+def _card(m: Column, key: Column) -> Column:
     def body(digits: Column) -> Column:
         payload = F.substring(digits, F.lit(1), F.length(digits) - 1)
 
@@ -168,7 +171,7 @@ def _card(m: Column, key: str) -> Column:
     return _let(F.regexp_replace(m, "[^0-9]", ""), body)
 
 
-def _iban(m: Column, key: str) -> Column:
+def _iban(m: Column, key: Column) -> Column:
     def body(s: Column) -> Column:
         country, own = F.substring(s, 1, 2), F.substring(s, F.lit(5), F.length(s))
 
@@ -181,7 +184,7 @@ def _iban(m: Column, key: str) -> Column:
     return _let(F.regexp_replace(m, " ", ""), body)
 
 
-def _date(m: Column, key: str) -> Column:
+def _date(m: Column, key: Column) -> Column:
     """Year first with hyphens; else day first, or month first where only that is a date.
 
     Month-first dates are those with a day over 12. To stay so, they walk along the permutation to the next such date.
@@ -209,7 +212,7 @@ def _date(m: Column, key: str) -> Column:
     return F.coalesce(_let(F.datediff(parsed, epoch), body), m)
 
 
-def _ssn(m: Column, key: str) -> Column:
+def _ssn(m: Column, key: Column) -> Column:
     area, group, serial = F.substring(m, 1, 3).cast("int"), F.substring(m, 5, 2).cast("int"), F.substring(m, 8, 4).cast("int")
     valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
     values = _ints(F.when(area > 666, area - 2).otherwise(area - 1), group - 1, serial - 1)
@@ -222,7 +225,7 @@ def _ssn(m: Column, key: str) -> Column:
     return F.when(valid, _let(permute(values, _ints(898, 99, 9999), F.lit("ssn"), key), written)).otherwise(m)
 
 
-def _ip(m: Column, key: str) -> Column:
+def _ip(m: Column, key: Column) -> Column:
     octets = F.transform(F.split(m, r"\."), lambda x: x.cast("int"))
     return _let(permute(octets, _ints(256, 256, 256, 256), F.lit("ip"), key), lambda v: F.array_join(F.transform(v, lambda x: x.cast("string")), "."))
 
@@ -232,7 +235,7 @@ def _prefixed(m: Column, prefix: str, change) -> Column:
     return _let(F.regexp_extract(m, prefix, 0), lambda p: F.concat(p, change(F.substring(m, F.length(p) + 1, F.length(m)))))
 
 
-def pseudonym(m: Column, key: str) -> Column:
+def pseudonym(m: Column, key: Column | str) -> Column:
     """The pseudonym of one match of `ANY`."""
     whole = lambda kind: m.rlike(r"^(?:" + FORMATS[kind] + r")\z")
     chars = lambda kind, **how: lambda rest: _permute_chars(rest, F.lit(kind), key, **how)
@@ -322,14 +325,17 @@ def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", count_col:
     """`docs` with pseudonyms in the text, all other columns as they are; `count_col`: also the number of values changed.
 
     Null texts stay null and have 0; empty texts stay empty. Row by row, so repeated rows get the same result, a row of
-    any length is handled in place, and nothing is shuffled. Only texts with a digit, an `@` or a secret are searched.
+    any length is handled in place, and nothing is shuffled. Only texts with a digit, an `@` or a secret are searched. The
+    key is read from a table of one row by a subquery, so that it stands in no plan, event log or web page.
     """
     maybe = F.col(text_col).rlike("[0-9@]|" + FORMATS["secret"])
-    found = docs.withColumn("__found", F.when(maybe, F.regexp_extract_all(text_col, F.lit(ANY), F.lit(0))))
-    found = found.withColumn("__pieces", F.when(F.size("__found") > 0, _marked(F.col(text_col), F.col("__found"), ANY, _pieces)))
+    matches, pieces, new, secret = free_names(docs, "matches", "pieces", "new", "secret")
+    found = docs.withColumn(secret, docs.sparkSession.createDataFrame([(key,)], "secret string").scalar())
+    found = found.withColumn(matches, F.when(maybe, F.regexp_extract_all(text_col, F.lit(ANY), F.lit(0))))
+    found = found.withColumn(pieces, F.when(F.size(matches) > 0, _marked(F.col(text_col), F.col(matches), ANY, _pieces)))
     plain = lambda x: F.substring(x, F.lit(2), F.length(x))
-    found = found.withColumn("__new", F.transform("__pieces", lambda x: F.when(x.startswith("C"), pseudonym(plain(x), key)).otherwise(plain(x))))
-    text = F.coalesce(F.array_join("__new", ""), F.col(text_col))
-    changed = F.size(F.filter(F.arrays_zip("__pieces", "__new"), lambda x: plain(x["__pieces"]) != x["__new"]))
-    counted = {count_col: F.when(F.size("__found") > 0, changed).otherwise(0).cast("long")} if count_col else {}
-    return found.withColumns({text_col: text} | counted).drop("__found", "__pieces", "__new")
+    found = found.withColumn(new, F.transform(pieces, lambda x: F.when(x.startswith("C"), pseudonym(plain(x), F.col(secret))).otherwise(plain(x))))
+    text = F.coalesce(F.array_join(new, ""), F.col(text_col))
+    changed = F.size(F.filter(F.zip_with(pieces, new, lambda x, y: plain(x) != y), lambda x: x))
+    counted = {count_col: F.when(F.size(matches) > 0, changed).otherwise(0).cast("long")} if count_col else {}
+    return found.withColumns({text_col: text} | counted).drop(matches, pieces, new, secret)
