@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import dropped, staged
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -31,18 +31,20 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
             .agg(F.min("b").alias("near"))
             .select("node", F.least("node", "near").alias("to"))
         )
-        near = staged(near, f"{name}-near")
+        first = near = staged(near, f"{name}-near")
         for _ in range(2):
             ahead = near.select(F.col("node").alias("to"), F.col("to").alias("next"))
             near = near.join(ahead, "to").select("node", F.col("next").alias("to"))
         near = staged(near, f"{name}-jumped")
+        dropped(first)
+        before = known
         if known is None:
             known = near
         else:
             moved = near.select(F.col("node").alias("to"), F.col("to").alias("next"))
             known = staged(known.join(moved, "to", "left").select("node", F.coalesce("next", "to").alias("to")), f"{name}-known")
         ends = [near.select(F.col("node").alias(x), F.col("to").alias(f"to_{x}")) for x in "ab"]
-        left = staged(
+        old, left = left, staged(
             left.join(ends[0], "a")
             .join(ends[1], "b")
             .where("to_a <> to_b")
@@ -50,6 +52,9 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
             .distinct(),
             f"{name}-links",
         )
+        dropped(old, before, None if known is near else near)
     if known is None:
         return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return known.select("node", F.col("to").alias("root"))
+    out = known.select("node", F.col("to").alias("root"))
+    out.staged_path = known.staged_path
+    return out

@@ -4,7 +4,8 @@ A fingerprint has 64 bits; a bit is 1 if it is set in over half the XXH64 values
 Two fingerprints link if at most `distance` bits differ. The 64 bits are cut into `segments` parts; of two linked
 fingerprints some part differs in at most distance // segments bits. Every distinct fingerprint is stored once under each
 of its parts, every fingerprint looks up the Hamming ball of that radius around each of its parts, and what it meets is
-verified on all 64 bits. That is exact: no link is lost.
+verified on all 64 bits. That is exact: no link is lost. The number of segments follows from that of the fingerprints:
+few and long ones, with larger balls, where chance would fill short ones (`segments_for`).
 
 Copies share a fingerprint and are one row in the search. Fingerprints that crowd into one part (a large group of
 near copies) would meet each other in all pairs; parts that hold over `CROWD` fingerprints are therefore compared in
@@ -14,6 +15,8 @@ blocks, which return a spanning forest of the links in the block instead of the
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -21,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, small_batches, staged
+from .common import dropped, free_names, give_back, small_batches, staged
 from .components import components
 
 CROWD = 64
@@ -92,20 +95,32 @@ def simhash(text: str, shingle: int) -> F.Column:
     return of(text)
 
 
-def near(prints: DataFrame, distance: int = 4, segments: int = 3) -> DataFrame:
+def segments_for(n: int, distance: int) -> int:
+    """The number of segments with the least work for n fingerprints: lookups, each with what chance puts in its bucket."""
+
+    def work(segments: int) -> float:
+        width = 64 / segments
+        return segments * sum(comb(int(width), k) for k in range(distance // segments + 1)) * (1 + n / 2**width)
+
+    return min(range(min(2, distance + 1), distance + 2), key=lambda s: (work(s), s))
+
+
+def _masks(bits: int, begin: int, radius: int) -> list[int]:
+    """All numbers with up to `radius` of the `bits` bits from `begin` on, as signed 64-bit numbers."""
+    return [_signed(sum(1 << b for b in at)) for k in range(radius + 1) for at in combinations(range(begin, begin + bits), k)]
+
+
+def near(prints: DataFrame, distance: int = 4, segments: int | None = None) -> DataFrame:
     """Distinct fingerprints (column fp) to rows (a, b) whose components are those of the links within `distance` bits."""
+    segments = segments or segments_for(prints.count(), distance)
     radius = distance // segments
-    if radius > 1:
-        raise ValueError("take more segments: balls of a radius over 1 are not enumerated")
     cuts = [64 * i // segments for i in range(segments + 1)]
     part = lambda i, x: F.shiftrightunsigned(x, cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1))
     key = lambda i, x: part(i, x) + F.lit(i << 56)
     fp = F.col("fp")
     stored = prints.select("fp", F.explode(F.array(*[key(i, fp) for i in range(segments)])).alias("key"))
-    balls = [key(i, fp) for i in range(segments)]
-    if radius:
-        balls += [key(i, fp.bitwiseXOR(F.lit(_signed(1 << b)))) for i in range(segments) for b in range(cuts[i], cuts[i + 1])]
-    asked = prints.select(F.col("fp").alias("of"), F.explode(F.array(*balls)).alias("key"))
+    ball = lambda i: F.transform(F.array(*[F.lit(m) for m in _masks(cuts[i + 1] - cuts[i], cuts[i], radius)]), lambda m: key(i, fp.bitwiseXOR(m)))
+    asked = prints.select(F.col("fp").alias("of"), F.explode(F.concat(*map(ball, range(segments)))).alias("key"))
     crowds = staged(stored.groupBy("key").count().where(F.col("count") > CROWD).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "simhash-crowds")
     close = F.bit_count(F.col("fp").bitwiseXOR(F.col("of"))) <= distance
     thin = stored.join(crowds, "key", "left_anti").join(asked, "key").where("of < fp").where(close).select(F.col("of").alias("a"), F.col("fp").alias("b"))
@@ -152,7 +167,7 @@ def _forest(held: np.ndarray, asks: np.ndarray, distance: int) -> tuple[np.ndarr
     return both[label[own]], both[own]
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, segments: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, segments: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, fp, component_id, root), one for each row of `docs`.
 
     component_id: smallest doc_id among the texts reachable by links (null ids count last; null if there is no other);
@@ -169,16 +184,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, segmen
     return rows.join(known, "fp").select("doc_id", "fp", "component_id", "root")
 
 
-def deduplicated(docs: DataFrame, shingle: int = 5, distance: int = 4, segments: int = 3) -> DataFrame:
+def deduplicated(docs: DataFrame, shingle: int = 5, distance: int = 4, segments: int | None = None) -> DataFrame:
     """`docs` with one row of each near-duplicate group: the smallest doc_id, of equal ids the first text and row.
 
     Keeps all columns. The choice is made on (doc_id, hash of the row) by an aggregation, so a large group is no task's.
+    Fingerprints are made once; the rows are joined by their own hash.
     """
     small_batches(docs.sparkSession)
-    names = docs.columns
-    keyed = docs.withColumn("__fp", simhash("text", shingle)).withColumn("__row", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(*[F.col(c) for c in names]).alias("h")))
-    prints = staged(keyed.groupBy("__fp").agg(F.min("__row").alias("least")).withColumnRenamed("__fp", "fp"), "dedup-distinct")
+    names, (row, fp) = docs.columns, free_names(docs, "row", "fp")
+    keyed = docs.withColumn(row, F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(*[F.col(f"`{c}`") for c in names]).alias("h")))
+    told = staged(keyed.select(F.col(row).alias("row"), simhash("text", shingle).alias("fp")), "dedup-rows")
+    prints = staged(told.groupBy("fp").agg(F.min("row").alias("least")), "dedup-distinct")
+    dropped(told)
     linked = components(near(prints.select("fp"), distance, segments), "dedup")
-    best = prints.join(linked.withColumnRenamed("node", "fp"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min_by("fp", "least").alias("__fp"), F.min("least").alias("__best"))
-    chosen = keyed.join(staged(best.select("__fp", "__best"), "dedup-best"), "__fp").where("__row = __best")
-    return chosen.dropDuplicates(["__fp"]).select(*names)
+    best = prints.join(linked.withColumnRenamed("node", "fp"), "fp", "left").groupBy(F.coalesce("root", "fp")).agg(F.min("least").alias(row)).select(row)
+    chosen = staged(best, "dedup-best")
+    dropped(prints, linked)
+    return keyed.join(chosen, row, "left_semi").dropDuplicates([row]).select(*[F.col(f"`{c}`") for c in names])

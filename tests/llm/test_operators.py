@@ -1,9 +1,11 @@
 """Each operator against brute force on small fixtures, and on nulls, empty and long texts, ties, repeated rows, empty tables and extra columns."""
 
+import hashlib
 import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from datetime import date, timedelta
 
 import numpy as np
 import public_tokenizers
@@ -345,6 +347,19 @@ def test_urls(spark, joined, monkeypatch):
 
 
 # 5 ----------------------------------------------------------------------------------------------------------------------
+def test_segments_follow_the_number_of_fingerprints(spark):
+    """Few rows: balls of a point in short segments; many: larger balls in longer ones. Each is exact."""
+    chosen = [simhash.segments_for(n, 4) for n in (10, 10**5, 10**7, 10**9)]
+    assert chosen == sorted(chosen, reverse=True) and chosen[0] == 5 and chosen[-1] == 2
+    rng = np.random.default_rng(14)
+    fps = [int(x) for x in rng.integers(0, 1 << 63, 60)]
+    fps += [f ^ sum(1 << int(b) for b in rng.choice(63, k, replace=False)) for f in fps for k in (1, 2, 3, 4, 5)]
+    want = {(min(a, b), max(a, b)) for a in fps for b in fps if a != b and bin(a ^ b).count("1") <= 4}
+    df = spark.createDataFrame([(p,) for p in set(fps)], "fp long")
+    for segments in (2, 3, 4, 5):
+        assert {(min(r), max(r)) for r in map(tuple, simhash.near(df, 4, segments).collect())} == want
+
+
 def brute_print(t, n=4):
     w = (t or "").encode().lower().split()
     s = [b" ".join(w[i : i + n]) for i in range(len(w) - n + 1)] if len(w) >= n else [b" ".join(w)] if w else []
@@ -668,6 +683,60 @@ PII = [
 ]
 
 
+def brute_permute(values, radices, tweak, key):
+    """The Feistel network in plain Python."""
+    half = len(values) // 2
+    sides, ranges = [list(values[:half]), list(values[half:])], [radices[:half], radices[half:]]
+    for i in range(pii.ROUNDS):
+        own, other = (1, 0) if i % 2 == 0 else (0, 1)
+        seed = "|".join([key, tweak, str(i), ",".join(map(str, sides[other]))])
+        for j, n in enumerate(ranges[own]):
+            block = hashlib.sha256(f"{seed}|{j // 8}".encode()).hexdigest()
+            sides[own][j] = (sides[own][j] + int(block[j % 8 * 8 : j % 8 * 8 + 7], 16)) % n
+    return sides[0] + sides[1]
+
+
+def luhn(digits):
+    return sum(sum(divmod(int(c) * (2 if i % 2 else 1), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def test_pseudonyms_against_plain_python(spark):
+    rng = np.random.default_rng(21)
+    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    rows = []
+    for i in range(30):
+        body = digits(15)
+        card = next(body + c for c in "0123456789" if luhn(body + c))
+        new = "".join(map(str, brute_permute([int(c) for c in body], [10] * 15, "card", "key")))
+        rows.append((card, next(new + c for c in "0123456789" if luhn(new + c))))
+        octets = [int(x) for x in rng.integers(0, 256, 4)]
+        rows.append((".".join(map(str, octets)), ".".join(map(str, brute_permute(octets, [256] * 4, "ip", "key")))))
+        a, b, c = (int(x) for x in (rng.integers(1, 666), rng.integers(1, 100), rng.integers(1, 10000)))
+        x, y, z = brute_permute([a - 1, b - 1, c - 1], [898, 99, 9999], "ssn", "key")
+        rows.append((f"{a:03}-{b:02}-{c:04}", f"{x + 2 if x >= 665 else x + 1:03}-{y + 1:02}-{z + 1:04}"))
+        day = date(1900, 1, 1) + timedelta(days=int(rng.integers(0, 73049)))
+        at = (day - date(1900, 1, 1)).days
+        p, q = brute_permute([at // 4297, at % 4297], [17, 4297], "date", "key")
+        rows.append((day.isoformat(), (date(1900, 1, 1) + timedelta(days=p * 4297 + q)).isoformat()))
+        name = "".join(rng.choice(list("abcxyz019"), 8))
+        letters = brute_permute([int(c) if c.isdigit() else ord(c) - 97 for c in name], [10 if c.isdigit() else 26 for c in name], "email", "key")
+        rows.append((f"{name}@x.org", "".join(str(v) if c.isdigit() else chr(97 + v) for c, v in zip(name, letters)) + "@x.org"))
+    text = [f"so {a}, {a} and no more" for a, _ in rows] + [" ".join(a for a, _ in rows) + " word" * 50000]
+    want = [f"so {b}, {b} and no more" for _, b in rows]
+    df = spark.createDataFrame(list(enumerate(text)), "doc_id long, text string")
+    done = pii.pseudonymised(df, "key")
+    got = [r.text for r in done.orderBy("doc_id").collect()]
+    assert [x for x in zip(text, want, got) if x[1] != x[2]] == [] and got[-1] == " ".join(b for _, b in rows) + " word" * 50000
+    assert '"key"' not in done._jdf.queryExecution().toString() and "key|" not in done._jdf.queryExecution().toString()
+
+
+def test_pseudonyms_beside_columns_of_like_names(spark):
+    names = ("matches", "pieces", "new", "secret", "Secret_", "__found", "__new")
+    df = spark.createDataFrame([(1, "mail a@b.org", *names)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    row = pii.pseudonymised(df, "key").first()
+    assert tuple(row)[2:] == names and row.text != "mail a@b.org"
+
+
 def test_pseudonyms(spark):
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(PII)] + [(100 + i, t, "x", 1) for i, t in enumerate(PII)], "doc_id long, text string, __found2 string, n_changed long")
     got = {r.doc_id: r for r in pii.pseudonymised(df, "key", count_col="changed").collect()}
