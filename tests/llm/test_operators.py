@@ -696,7 +696,7 @@ def brute_permute(values, radices, tweak, key):
     return sides[0] + sides[1]
 
 
-def luhn(digits):
+def passes_luhn(digits):
     return sum(sum(divmod(int(c) * (2 if i % 2 else 1), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
 
 
@@ -706,9 +706,9 @@ def test_pseudonyms_against_plain_python(spark):
     rows = []
     for i in range(30):
         body = digits(15)
-        card = next(body + c for c in "0123456789" if luhn(body + c))
+        card = next(body + c for c in "0123456789" if passes_luhn(body + c))
         new = "".join(map(str, brute_permute([int(c) for c in body], [10] * 15, "card", "key")))
-        rows.append((card, next(new + c for c in "0123456789" if luhn(new + c))))
+        rows.append((card, next(new + c for c in "0123456789" if passes_luhn(new + c))))
         octets = [int(x) for x in rng.integers(0, 256, 4)]
         rows.append((".".join(map(str, octets)), ".".join(map(str, brute_permute(octets, [256] * 4, "ip", "key")))))
         a, b, c = (int(x) for x in (rng.integers(1, 666), rng.integers(1, 100), rng.integers(1, 10000)))
