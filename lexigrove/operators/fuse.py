@@ -152,16 +152,11 @@ def anaphoric(references: DataFrame, closure: DataFrame) -> DataFrame:
     return r.join(closure.withColumnRenamed("id", "source_node_id"), ["source_node_id", "label"]).select("ref_id", F.col("ancestor").alias("target"))
 
 
-def is_local(text: str, law_code: Column, title_tokens: Column) -> Column:
-    """Whether a reference stays in its own law: it cites that code, or names no act, or an act that shares a word of the title."""
-    t = T.squeezed(text)
-    codes = F.regexp_extract_all(t, F.lit(r"(\d+/\d{4}/[a-zđ0-9-]+)"))
-    names = t.rlike(r"(?:luật|nghị định|thông tư|bộ luật)\s+(?!này)")
-    return F.when(F.size(codes) > 0, F.array_contains(codes, F.lower(law_code))).when(~names, F.lit(True)).otherwise(F.arrays_overlap(T.token_set(text), title_tokens))
-
-
 def resolve(references: DataFrame, nodes: DataFrame, closure: DataFrame) -> DataFrame:
-    """(ref_id, targets, status): by number, else by "this ..", else unresolved."""
+    """(ref_id, targets, status): by number, else by "this ..", else unresolved.
+
+    For references whose law is known, in nodes given by their numbers; texts of any kind go through references.resolve.
+    """
     named = references.withColumns({k: v for k, v in parts_of_reference("text").items() if k in ("article", "clause", "point")})
     by_number = resolve_by_number(named.where("article is not null"), nodes).groupBy("ref_id").agg(F.sort_array(F.collect_set("target")).alias("by_number"))
     by_self = anaphoric(references, closure).groupBy("ref_id").agg(F.sort_array(F.collect_set("target")).alias("by_self"))

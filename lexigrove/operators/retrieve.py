@@ -209,7 +209,7 @@ def typed_paths(nodes: DataFrame, references: DataFrame, ids: list[str], hops: i
 
     front, out = with_children(start), None
     for hop in range(1, hops + 1):
-        step = references.join(F.broadcast(front.withColumnRenamed("id", "source_id")), "source_id").withColumn("hop", F.lit(hop))
+        step = references.join(front.withColumnRenamed("id", "source_id"), "source_id").withColumn("hop", F.lit(hop))
         out = step if out is None else out.unionByName(step)
         front = with_children(step.where(~F.col("target_id").startswith("external:")).select(F.col("target_id").alias("id"), "order").groupBy("id").agg(F.min("order").alias("order")))
     same = Window.partitionBy("source_locator", "relation_type", "target_locator").orderBy("hop", "order", "place")
@@ -493,11 +493,11 @@ def without_prefixes(paths: DataFrame) -> DataFrame:
 class AnswerPaths:
     """Paths of proof for one question: the best reference edge, and from its target on along references, else along children.
 
-    Edges and children are scored in the cluster and cut to the best; the walk goes on a few hundred rows on the driver.
+    Edges and children are scored in the cluster; the `most` best of each reach the driver, where the walk goes on.
     """
 
-    def __init__(self, roots: int = 12, paths: int = 6, depth: int = 6, fan_out: int = 2, adjudicate=None):
-        self.roots, self.paths, self.depth, self.fan_out, self.adjudicate = roots, paths, depth, fan_out, adjudicate
+    def __init__(self, roots: int = 12, paths: int = 6, depth: int = 6, fan_out: int = 2, most: int = 10_000, adjudicate=None):
+        self.roots, self.paths, self.depth, self.fan_out, self.most, self.adjudicate = roots, paths, depth, fan_out, most, adjudicate
 
     @staticmethod
     def semantic(question: str, text: str) -> Column:
@@ -527,13 +527,15 @@ class AnswerPaths:
         top = Window.partitionBy("source_locator").orderBy(F.desc("score"), "target_locator")
         out = scored.withColumn("__n", F.row_number().over(top)).where(F.col("__n") <= self.fan_out).select("source_locator", "relation_type", "target_locator", "score")
         next_: dict[str, list] = {}
-        for r in out.orderBy("source_locator", F.desc("score"), "target_locator").limit(10_000).collect():
+        for r in sorted(out.orderBy(F.desc("score"), "source_locator", "target_locator").limit(self.most).collect(), key=lambda r: (r["source_locator"], -r["score"], r["target_locator"])):
             next_.setdefault(r["source_locator"], []).append((r["target_locator"], r["relation_type"], r["score"]))
         kids = children_.withColumn("score", 0.55 * self.semantic(question, "text"))
         best = Window.partitionBy("parent_locator").orderBy(F.desc("score"), "locator")
         below_: dict[str, list] = {}
-        for r in kids.withColumn("__n", F.row_number().over(best)).where((F.col("__n") <= self.fan_out) & (F.col("score") >= 0.1)).orderBy("parent_locator", "__n").limit(10_000).collect():
+        for r in kids.withColumn("__n", F.row_number().over(best)).where((F.col("__n") <= self.fan_out) & (F.col("score") >= 0.1)).orderBy(F.desc("score"), "parent_locator", "__n").limit(self.most).collect():
             below_.setdefault(r["parent_locator"], []).append((r["locator"], "HAS_CHILD", r["score"]))
+        for best_first in below_.values():
+            best_first.sort(key=lambda x: (-x[2], x[0]))
 
         def walk(node: str, steps: list, total: float):
             seen = {s for e in steps for s in (e[0], e[2])}

@@ -11,6 +11,8 @@ from ..session import staged
 # Sequences of markers, node types that may be roots, and types whose text may not be empty.
 ROMAN = ["I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X", "XI", "XII", "XIII", "XIV", "XV", "XVI", "XVII", "XVIII", "XIX", "XX", "XXI", "XXII", "XXIII", "XXIV", "XXV", "XXVI", "XXVII", "XXVIII", "XXIX", "XXX", "XXXI", "XXXII", "XXXIII", "XXXIV", "XXXV", "XXXVI", "XXXVII", "XXXVIII", "XXXIX", "XL", "XLI", "XLII", "XLIII", "XLIV", "XLV", "XLVI", "XLVII", "XLVIII", "XLIX", "L"]
 LETTERS = ["a", "b", "c", "d", "đ", "e", "g", "h", "i", "k", "l", "m", "n", "o", "p", "q", "r", "s", "t", "u", "v", "x", "y"]
+#: Missing numbers that are named one by one in a hole.
+MOST_MISSING = 10_000
 ROOT_TYPES, TEXT_TYPES = ["PART", "CHAPTER", "TEXT"], ["CLAUSE", "POINT", "TEXT"]
 
 
@@ -108,11 +110,19 @@ def sequence_gaps(nodes: DataFrame) -> DataFrame:
         spans = spans.withColumn(f"{c}_v", f("v").over(ends))
     strict = F.col("type").isin("CHAPTER", "POINT")
     groups = spans.groupBy("parent_id", "type").agg(
-        F.first("low").alias("low"), F.first("high").alias("high"), F.count("*").alias("n"), F.count("v").alias("n_values"), F.collect_set("v").alias("seen"), F.first(F.col("first_v").isNotNull() & F.col("last_v").isNotNull()).alias("whole")
+        F.first("low").alias("low"), F.first("high").alias("high"), F.count("*").alias("n"), F.count("v").alias("n_values"), F.first(F.col("first_v").isNotNull() & F.col("last_v").isNotNull()).alias("whole")
     )
-    open_ = groups.where((F.col("n") >= 2) & (F.col("low") <= F.col("high")) & F.when(strict, F.col("whole")).otherwise(F.col("n_values") >= 2))
-    missing = open_.withColumn("v", F.explode(F.array_except(F.sequence("low", "high"), "seen")))
-    name = F.when(F.col("type") == "CHAPTER", F.get(F.array(*map(F.lit, ROMAN)), (F.col("v") - 1).cast("int"))).when(F.col("type") == "POINT", F.get(F.array(*map(F.lit, LETTERS)), (F.col("v") - 1).cast("int"))).otherwise(F.col("v").cast("string"))
+    open_ = groups.where((F.col("n") >= 2) & (F.col("low") <= F.col("high")) & F.when(strict, F.col("whole")).otherwise(F.col("n_values") >= 2)).select("parent_id", "type", "low", "high")
+    # what is missing lies between neighbouring values, so no array spans the whole
+    same = F.col("v.parent_id").eqNullSafe(F.col("o.parent_id")) & (F.col("v.type") == F.col("o.type"))
+    values = spans.where("v is not null").select("parent_id", "type", "v").distinct()
+    inside = values.alias("v").join(open_.alias("o"), same).where("v.v between o.low and o.high").select("v.parent_id", "v.type", "v.v")
+    after = F.lead("v").over(Window.partitionBy("parent_id", "type").orderBy("v"))
+    holes = inside.withColumn("next", after).where("next > v + 1").select("parent_id", "type", (F.col("v") + 1).alias("low"), (F.col("next") - 1).alias("high"))
+    short = F.col("high") - F.col("low") < MOST_MISSING
+    # a longer hole, as a wrong number makes it, is one row that names its ends
+    missing = holes.withColumn("v", F.explode(F.when(short, F.sequence("low", F.least("high", F.col("low") + MOST_MISSING))).otherwise(F.array("low"))))
+    name = F.when(F.col("type") == "CHAPTER", F.get(F.array(*map(F.lit, ROMAN)), (F.col("v") - 1).cast("int"))).when(F.col("type") == "POINT", F.get(F.array(*map(F.lit, LETTERS)), (F.col("v") - 1).cast("int"))).when(short, F.col("v").cast("string")).otherwise(F.concat_ws("..", F.col("low").cast("string"), F.col("high").cast("string")))
     node = F.concat_ws("_", F.lower("type"), name)
     return _issues(missing, "VAL-006", "WARNING", "GapIndex", F.concat(node, F.lit(" is missing under "), F.coalesce(F.col("parent_id").cast("string"), F.lit("root"))), node)
 
@@ -197,16 +207,29 @@ def lone_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def has_cycle(edges: DataFrame) -> bool:
-    """Whether a set of edges has a directed cycle: nodes without incoming edges are peeled off until none is left."""
+    """Whether a set of edges has a directed cycle.
+
+    Nodes without incoming or without outgoing edges are peeled off, and where a node has one way in and one way out, its
+    two edges become one; so a chain halves in each round, and rounds grow with the logarithm of its length.
+    """
     left = staged(edges.select("source", "target").distinct(), "peel")
     while True:
-        n = left.count()
-        if n == 0:
-            return False
-        fewer = staged(left.join(left.select(F.col("target").alias("source")).distinct(), "source", "left_semi"), "peel")
-        if fewer.count() == n:
+        if not left.where("source = target").isEmpty():
             return True
-        left = fewer
+        sources, targets = left.select(F.col("source").alias("target")).distinct(), left.select(F.col("target").alias("source")).distinct()
+        inner = staged(left.join(targets, "source", "left_semi").join(sources, "target", "left_semi").select("source", "target"), "peel")
+        rest = inner.count()
+        if rest == 0:
+            return False
+        if rest == left.count():
+            return True  # every way goes on, and so comes back
+        # nodes on a chain, of which every other one, by a hash that beats its neighbours', is left out
+        once = lambda c: inner.groupBy(F.col(c).alias("n")).agg(F.count("*").alias("k"), F.min("target" if c == "source" else "source").alias("x")).where("k = 1").drop("k")
+        chain = once("source").withColumnRenamed("x", "to").join(once("target").withColumnRenamed("x", "from"), "n")
+        h = lambda c: F.xxhash64(F.lit(7), F.col(c).cast("string"))
+        gone = staged(chain.where((h("n") > h("to")) & (h("n") > h("from"))).select("n", "from", "to"), "peel-chain")
+        cut = inner.join(gone.select(F.col("n").alias("source")), "source", "left_anti").join(gone.select(F.col("n").alias("target")), "target", "left_anti")
+        left = staged(cut.select("source", "target").unionByName(gone.select(F.col("from").alias("source"), F.col("to").alias("target"))).distinct(), "peel")
 
 
 def graph_contract(nodes: DataFrame, edges: DataFrame) -> DataFrame:

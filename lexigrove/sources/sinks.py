@@ -50,11 +50,18 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
 
 
 def upsert_edges(old: DataFrame, new: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges by their key; only those between two nodes are taken."""
+    """Edges by their key; only new ones between two nodes are taken, once each, and their properties replace the old ones.
+
+    Columns that only one side has are null on the other; a null new value keeps the old one.
+    """
     ids = nodes.select("id").distinct()
     good = new.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
-    both = old.select("source", "target", "type").unionByName(good.select("source", "target", "type"))
-    return both.withColumn("edge_key", edge_key()).dropDuplicates(["edge_key"])
+    key, own = ["source", "target", "type"], [c for c in dict.fromkeys((*old.columns, *new.columns)) if c not in ("source", "target", "type", "edge_key")]
+    rows = old.withColumn("__new", F.lit(0)).unionByName(good.withColumn("__new", F.lit(1)), allowMissingColumns=True)
+    # of several rows on a side the one with the largest values: a choice that does not depend on their order
+    last = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct("__new", F.col(c).alias("v"))))["v"].alias(c)
+    merged = rows.groupBy(*key).agg(*[last(c) for c in own]) if own else rows.select(*key).distinct()
+    return merged.withColumn("edge_key", edge_key())
 
 
 def ingest(nodes: DataFrame, edges: DataFrame, law_code: str | None = None, labels: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:

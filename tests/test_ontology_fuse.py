@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lexigrove.operators import fuse, ontology
+from lexigrove.operators import fuse, ontology, references
 from lexigrove.schemas import EXTRACTION
 from lexigrove.sources.loaders import rule_table, trigger_collisions
 
@@ -118,3 +118,44 @@ def test_references(spark):
 def test_delta_contract():
     with pytest.raises(ValueError):
         fuse.checked_delta({"added_nodes": None})
+
+
+PLACES = [
+    ("l", None, "LAW", None), ("c1", "l", "CHAPTER", "I"), ("c2", "l", "CHAPTER", "II"), ("s1", "c2", "SECTION", "1"), ("s2", "c2", "SECTION", "2"),
+    ("a5", "c1", "ARTICLE", "5"), ("a6", "s1", "ARTICLE", "6"), ("a7", "c1", "ARTICLE", "7"), ("a7b", "c1", "ARTICLE", "7"),
+    ("a5k1", "a5", "CLAUSE", "1"), ("a5k2", "a5", "CLAUSE", "2"), ("a5k2p", "a5k2", "POINT", "a"), ("a6k1", "a6", "CLAUSE", "1"),
+]
+
+
+def test_references_of_all_kinds(spark):
+    nodes = spark.createDataFrame([(*p, "31/2024/qh15") for p in PLACES] + [("x5", None, "ARTICLE", "5", "1/2020/nd")], "id string, parent_id string, label string, number string, law_code string")
+    titles = spark.createDataFrame([("31/2024/qh15", ["dat", "dai"])], "law_code string, title_tokens array<string>")
+    none = (None, None, None, None, None)
+    rows = {
+        "two articles": ("a5k1", "Điều 5 và Điều 6", *none, ["a5", "a6"], "RESOLVED"),
+        "foreign statute": ("a5k1", "theo Điều 5 Luật Đầu tư", *none, [], "TARGET_NOT_FOUND"),
+        "own title": ("a5k1", "Điều 5 Luật Đất đai", *none, ["a5"], "RESOLVED"),
+        "own act": ("a5k1", "Điều 5 Luật này", *none, ["a5"], "RESOLVED"),
+        "own code": ("a5k1", "Điều 5 của 31/2024/QH15", *none, ["a5"], "RESOLVED"),
+        "foreign code": ("a5k1", "Điều 5 của 45/2013/QH13", *none, [], "TARGET_NOT_FOUND"),
+        "compound": ("a6k1", "khoản 2 Điều 5 và Điều 6", *none, ["a5k2", "a6"], "RESOLVED"),
+        "section of a chapter": ("a6k1", "Mục 2 Chương II, Chương I", *none, ["s2", "c1"], "RESOLVED"),
+        "not unique": ("a6k1", "Điều 7", *none, [], "TARGET_NOT_FOUND"),
+        "this clause": ("a5k2p", "khoản này", *none, ["a5k2"], "RESOLVED"),
+        "clause of this article": ("a5k2p", "khoản 1 Điều này", *none, ["a5k1"], "RESOLVED"),
+        "section of this chapter": ("a6k1", "mục 2 chương này", *none, ["s2"], "RESOLVED"),
+        "this section": ("a6k1", "mục này", *none, ["s1"], "RESOLVED"),
+        "hint same": ("a5k2p", "x", None, "same", "1", None, None, ["a5k1"], "RESOLVED"),
+        "hint articles": ("a5k2p", "x", "SAME_DOCUMENT", "7", None, None, None, ["a7", "a7b"], "RESOLVED"),
+        "hint section": ("a5k2p", "x", None, None, None, "1", "ii", ["s1"], "RESOLVED"),
+        "hint before text": ("a5k2p", "Điều 6", None, "5", "2", None, None, ["a5k2"], "RESOLVED"),
+        "external": ("a5k2p", "Điều 5", "EXTERNAL", None, None, None, None, [], "OUT_OF_SCOPE"),
+        "ambiguous": ("a5k2p", "Điều 5", "ambiguous", None, None, None, None, [], "AMBIGUOUS"),
+        "other scope": ("a5k2p", "Điều 5", "ELSEWHERE", None, None, None, None, [], "NOT_ATTEMPTED"),
+        "no source": ("gone", "Điều 5", *none, [], "TARGET_NOT_FOUND"),
+        "no text": ("a5k1", None, *none, [], "TARGET_NOT_FOUND"),
+    }
+    refs = spark.createDataFrame([(k, *v[:7]) for k, v in rows.items()], "ref_id string, source_node_id string, text string, scope string, hint_article string, hint_clause string, hint_section string, hint_chapter string")
+    got = {r.ref_id: (r.targets, r.status) for r in references.resolve(refs, nodes, titles).collect()}
+    assert got == {k: v[7:] for k, v in rows.items()}
+    assert references.resolve(refs.where("false"), nodes, titles).count() == 0

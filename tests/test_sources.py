@@ -117,6 +117,27 @@ def test_stream(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t/version=1")).select("id", "v").collect())) == [("a", 2), ("b", 1)]
 
 
+def test_stream_in_buckets(spark, tmp_path):
+    src, target = tmp_path / "src", str(tmp_path / "t")
+    src.mkdir()
+    run = lambda: ingest.follow(spark, str(src), "id string, v int, at int", target, str(tmp_path / "ck"), order="at", buckets=4).awaitTermination(60)
+    (src / "1.json").write_text("".join(f'{{"id": "k{i}", "v": {i}, "at": 1}}\n' for i in range(40)))
+    run()
+    for n in range(2, 6):
+        (src / f"{n}.json").write_text(f'{{"id": "k7", "v": {100 * n}, "at": 2}}\n{{"id": "k7", "v": {n}, "at": 1}}\n{{"id": "new{n}", "v": 0, "at": 1}}\n')
+        run()
+    got = {r.id: r.v for r in ingest.current(spark, target).collect()}
+    assert got == {f"k{i}": i for i in range(40)} | {f"new{n}": 0 for n in range(2, 6)} | {"k7": 500}
+    assert all(len(v) <= 2 for v in ingest._versions(spark, target).values())
+
+
+def test_edges_are_replaced_by_key(spark):
+    old = spark.createDataFrame([("a", "b", "X", 1, "o"), ("a", "c", "X", 1, "o")], "source string, target string, type string, v int, w string")
+    new = spark.createDataFrame([("a", "b", "X", 2, None), ("a", "b", "X", 2, None), ("a", "z", "X", 9, "n")], "source string, target string, type string, v int, u string")
+    got = sorted((r.target, r.v, r.w, r.u) for r in sinks.upsert_edges(old, new, spark.createDataFrame([("a",), ("b",), ("c",)], "id string")).collect())
+    assert got == [("b", 2, "o", None), ("c", 1, "o", None)]
+
+
 def test_clean_round(spark, sf):
     got = clean.clean_documents(spark.read.parquet(f"{sf}/documents.parquet")).collect()
     assert len(got) == 200 and all(r.text.endswith("\n") and "\n\n\n" not in r.text for r in got)

@@ -102,3 +102,20 @@ def test_confidence(spark):
 
     df = spark.createDataFrame([([0.5, None, 0.5], 1.0), ([], 1.0), ([2.0], 0.5), ([0.9, 0.9], None)], "s array<double>, w double")
     assert [r[0] for r in df.select(graph.confidence(F.col("s"), F.col("w"))).collect()] == [0.75, 0.5, 0.5, 0.99]
+
+
+def test_long_chains_and_rings(spark):
+    """A chain of 3,000 edges has no cycle; closed, or beside a ring of any length, it has; few rounds for each."""
+    e = lambda pairs: spark.createDataFrame([(str(a), str(b)) for a, b in pairs], "source string, target string")
+    chain = [(i, i + 1) for i in range(3000)]
+    assert not validate.has_cycle(e(chain + [(0, 2000), (5, 700)]))
+    assert validate.has_cycle(e([*chain, (3000, 0)]))
+    for n in (2, 3, 7):
+        assert validate.has_cycle(e(chain + [(f"r{i}", f"r{(i + 1) % n}") for i in range(n)] + [(3000, "r0")]))
+    assert not validate.has_cycle(e([]))
+
+
+def test_gaps_between_far_numbers(spark):
+    rows = [("1", 0), ("3", 1), ("4000000000", 2)]
+    n = spark.createDataFrame([(f"c{i}", "p", "CLAUSE", number, None, None, i) for number, i in rows], "id string, parent_id string, type string, number string, marker string, title string, start_idx int")
+    assert sorted(r.node_id for r in validate.sequence_gaps(n).collect()) == ["clause_2", "clause_4..3999999999"]
