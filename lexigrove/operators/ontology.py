@@ -330,10 +330,99 @@ def violations(mentions: DataFrame, norms: DataFrame, references: DataFrame) ->
     return m.join(F.broadcast(n)).join(F.broadcast(r))  # one row each
 
 
-def build(extractions: DataFrame, rules: DataFrame, registry: DataFrame, vague: list[str] = ("việc này", "điều này", "nội dung này")) -> dict[str, DataFrame]:
-    """Extractions to the canonical graph: mentions, concepts, norms, references, edges, and what is quarantined."""
+#: Counts that must be zero in a finished graph.
+FATAL = ("broken_endpoints", "broken_norm_references", "broken_reference_owners", "active_quarantine_overlap", "duplicate_ids", "duplicate_edges", "domain_range_violations", "provenance_violations")
+
+
+def _ids(df: DataFrame, column: str) -> DataFrame:
+    return df.select(F.col(column).alias("id"))
+
+
+def _counted(name: str, df: DataFrame, n: Column | None = None) -> DataFrame:
+    return df.agg(F.lit(name).alias("metric"), F.coalesce(n if n is not None else F.count("*"), F.lit(0)).cast("long").alias("n"))
+
+
+def metrics(graph: dict[str, DataFrame], physical: DataFrame | None = None) -> DataFrame:
+    """(metric, n): the counts of FATAL for a graph as from `build`; physical: nodes (column id) that provenance must name."""
+    mentions, norms, concepts, references, edges = (graph[k] for k in ("mentions", "norms", "concepts", "references", "edges"))
+    own = _ids(mentions, "mention_id"), _ids(norms, "id"), _ids(concepts, "concept_id")
+    known = own[0].unionByName(own[1]).unionByName(own[2])
+    ends = edges.select(F.col("source").alias("id")).unionByName(edges.select(F.col("target").alias("id")))
+    out = _counted("broken_endpoints", ends.join(known, "id", "left_anti"))
+    out = out.unionByName(_counted("broken_norm_references", norm_edges(norms).select(F.col("target").alias("id")).join(own[0], "id", "left_anti")))
+    by_norm = references.join(own[1].withColumnRenamed("id", "norm_id"), "norm_id", "left_semi").select("mention_id")
+    by_mention = references.join(own[0].withColumnRenamed("id", "owner_mention"), "owner_mention", "left_semi").select("mention_id")
+    out = out.unionByName(_counted("broken_reference_owners", references.join(by_norm.unionByName(by_mention), "mention_id", "left_anti")))
+    gone = _ids(graph["quarantined_mentions"], "mention_id").unionByName(_ids(graph["quarantined_norms"], "id")).unionByName(_ids(graph["quarantined_references"], "mention_id"))
+    out = out.unionByName(_counted("active_quarantine_overlap", own[0].unionByName(own[1]).distinct().join(gone, "id", "left_semi")))
+    twice = known.groupBy("id").count().where("count > 1")
+    out = out.unionByName(_counted("duplicate_ids", twice, F.sum(F.col("count") - 1)))
+    out = out.unionByName(_counted("duplicate_edges", edges.groupBy("source", "type", "target").count().where("count > 1"), F.sum(F.col("count") - 1)))
+    out = out.unionByName(_counted("domain_range_violations", edge_reasons(edges.select("source", "target", "type"), mentions, norms, concepts).where("reason is not null")))
+    proven = mentions.select("node_id").unionByName(norms.select(F.col("provenance_node_id").alias("node_id"))).unionByName(references.select("node_id"))
+    lost = proven.join(physical.select(F.col("id").alias("node_id")), "node_id", "left_anti") if physical is not None else proven.limit(0)
+    return out.unionByName(_counted("provenance_violations", lost))
+
+
+def recomputed_report(graph: dict[str, DataFrame]) -> DataFrame:
+    """(metric, n): how many mentions, norms, edges, references and concepts there are, by their state."""
+    m, n, r = graph["mentions"], graph["norms"], graph["references"]
+    many = lambda df, **conditions: [_counted(k, df, F.count_if(c)) for k, c in conditions.items()]
+    rows = [_counted("active_mentions", m), *many(m, valid_mentions=F.col("status") == "VALID", corrected_mentions=F.col("status") == "CORRECTED", unresolved_mentions=F.col("status") == "UNRESOLVED"), _counted("quarantined_mentions", graph["quarantined_mentions"])]
+    rows += [_counted("active_norms", n), *many(n, valid_norms=F.col("status") == "VALID", partial_norms=F.col("norm_completeness") == "PARTIAL"), _counted("quarantined_norms", graph["quarantined_norms"])]
+    rows += [_counted("active_edges", graph["edges"]), _counted("quarantined_edges", graph["quarantined_edges"])]
+    rows += [_counted("active_references", r), *many(r, ambiguous_references=F.col("scope") == "AMBIGUOUS", classified_references=F.col("scope") != "AMBIGUOUS"), _counted("quarantined_references", graph["quarantined_references"])]
+    rows += [_counted("total_concepts", graph["concepts"])]
+    out = rows[0]
+    for row in rows[1:]:
+        out = out.unionByName(row)
+    return out
+
+
+def finalize(graph: dict[str, DataFrame], before: dict[str, int] | None = None, physical: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The graph after its cascades and repairs, with `unlinked_mentions`, `metrics` and `report`; an error if a fatal count is not zero.
+
+    Norms lose parts that are gone, edges go with their ends, references get owners that are there. before: counts of
+    mentions and norms that went in, which must all come out as active or quarantined ones.
+    """
+    mentions, concepts = graph["mentions"], graph["concepts"]
+    norms, lost = cascade_norms(graph["norms"], mentions)
+    norms, lost = staged(norms, "norms"), staged(lost, "norms-lost")
+    gone = _ids(graph["quarantined_mentions"], "mention_id").unionByName(_ids(lost, "id")).unionByName(_ids(graph["quarantined_norms"], "id"))
+    active = _ids(mentions, "mention_id").unionByName(_ids(norms, "id")).unionByName(_ids(concepts, "concept_id"))
+    edges = staged(cascade_edges(graph["edges"], active, gone), "edges")
+    references = staged(repair_owners(graph["references"].drop("status"), norms, mentions), "references")
+    out = graph | {
+        "norms": norms, "edges": edges.where("reason is null").drop("reason"), "references": references.where("status = 'VALID'"),
+        "quarantined_norms": graph["quarantined_norms"].unionByName(lost), "quarantined_edges": graph["quarantined_edges"].unionByName(edges.where("reason is not null")),
+        "quarantined_references": graph["quarantined_references"].unionByName(references.where("status <> 'VALID'")),
+    }
+    out["unlinked_mentions"] = unlinked_mentions(mentions, out["edges"], norms, out["references"])
+    out["metrics"] = staged(metrics(out, physical), "metrics")
+    out["report"] = recomputed_report(out).unionByName(out["metrics"])
+    wrong = {r["metric"]: r["n"] for r in out["metrics"].where("n > 0").collect()}  # one row for each of FATAL
+    kept = audit(before or {}, out, {k: out[f"quarantined_{k}"] for k in before or {}})
+    wrong |= {f"{k}_conserved": False for k, good in kept.items() if not good}
+    if wrong:
+        raise ValueError(f"the graph fails its integrity gate: {wrong}")
+    return out
+
+
+def mention(graph: dict[str, DataFrame], mention_id: str) -> DataFrame:
+    """The mention of an id, or none."""
+    return graph["mentions"].where(F.col("mention_id") == mention_id)
+
+
+def build(extractions: DataFrame, rules: DataFrame, registry: DataFrame, vague: list[str] = ("việc này", "điều này", "nội dung này"), physical: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Extractions to the canonical graph: mentions, concepts, norms, references, edges, what is quarantined, metrics and report.
+
+    Nodes without id, extraction or accepted entity are `rejected_nodes`. The graph goes through `finalize`, so an error
+    is raised if it does not hold together.
+    """
     e, r = exploded(extractions)
     entities = staged(filter_entities(e), "entities")
+    rejected = staged(node_reasons(extractions, entities).where("reason is not null"), "rejected-nodes")
+    entities = entities.join(rejected.select("node_id"), "node_id", "left_anti")
     relations = staged(filter_relations(r, entities), "relations")
     mentions = normalize_entities(entities, rules)
     links = normalize_relations(relations, entities, mentions)
@@ -342,11 +431,13 @@ def build(extractions: DataFrame, rules: DataFrame, registry: DataFrame, vague:
     norms = staged(build_norms(mentions, links, modality(relations, entities)), "norms")
     concepts = staged(concepts_used(mentions.where("status <> 'QUARANTINED'"), registry), "concepts")
     active = mentions.where("status <> 'QUARANTINED'")
+    before = {"mentions": mentions.count(), "norms": norms.count()}
     norms, lost = cascade_norms(norms, active)
     edges = denotes(active).unionByName(norm_edges(norms)).unionByName(simple_edges(links, norms)).distinct()
     told = staged(edge_reasons(edges, active, norms, concepts), "edges")
     references = repair_owners(classify_references(active, norms), norms, active)
-    return {
-        "mentions": active, "concepts": concepts, "norms": norms, "references": references.where("status = 'VALID'"), "edges": told.where("reason is null").drop("reason"),
+    graph = {
+        "mentions": active, "concepts": concepts, "norms": norms, "references": references.where("status = 'VALID'"), "edges": told.where("reason is null").drop("reason"), "rejected_nodes": rejected,
         "quarantined_mentions": mentions.where("status = 'QUARANTINED'"), "quarantined_norms": lost, "quarantined_edges": told.where("reason is not null"), "quarantined_references": references.where("status <> 'VALID'"),
     }
+    return finalize(graph, before, physical)

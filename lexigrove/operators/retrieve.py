@@ -557,24 +557,179 @@ class AnswerPaths:
 
 
 # The pipeline.
-def answer_context(question: str, nodes: DataFrame, vectors: DataFrame, query_vector: list[float], edges: DataFrame | None = None, norms: DataFrame | None = None, k: int = 5, limit: int = 12, law: str = "LD2024", decide=None) -> dict[str, DataFrame]:
-    """Anchors, references, parents, children, exceptions and norms of a question, ranked and put together under the budget.
+def route_questions(questions: DataFrame, text: str = "question", probabilities: Column | None = None) -> DataFrame:
+    """With signals, activated, uncertain and routing_source.
 
-    `decide`: an optional service that gives (node_id, relevance) for ranked candidates; without it all are kept.
+    probabilities: a map column of a decision service, null where it gave no answer. Without an answer the features of
+    the rules and the cautious ones are on.
     """
-    docs = nodes.withColumn("tokens", T.lexical_tokens(F.concat_ws(" ", "title", "text"))).withColumnRenamed("id", "node_id")
-    lexical = bm25(docs, [t for t in re.findall(r"[a-z0-9]+", folded(question)) if len(t) > 1 and t not in T.LEXICAL_STOPWORDS], k, article_boost(question))
-    found = merged(lexical.select("node_id", "score"), vector_top(vectors, query_vector, k), k)
+    none = F.create_map().cast("map<string,double>")
+    answer = probabilities if probabilities is not None else F.lit(None).cast("map<string,double>")
+    told = questions.withColumn("signals", signals_of(text)).withColumn("__p", answer)
+    rules = features_of(F.col("signals"))
+    with_service, alone = policy(rules, F.coalesce("__p", none)), policy(rules, none, fallback=True)
+    routed = told.withColumn("__r", F.when(F.col("__p").isNotNull(), with_service).otherwise(alone))
+    source = F.when(F.col("__p").isNotNull(), "RULES_AND_SERVICE").otherwise("RULES_AND_FALLBACK")
+    return routed.select(*[F.col(f"`{c}`") for c in questions.columns], "signals", "__r.activated", "__r.uncertain", source.alias("routing_source"))
+
+
+def assess(ranked: DataFrame, judge=None, question: str = "", keep: float = 0.45, enough: float = 0.70) -> tuple[DataFrame, list[str], str]:
+    """(candidates kept, missing facets, status) of the answerability gate.
+
+    judge(question, ranked) gives (a DataFrame (node_id, relevance), a dict of sufficiency). Without it, or if it fails,
+    all candidates stay at 0.5; without candidates nothing is answered.
+    """
+    if ranked.isEmpty():
+        return ranked.withColumn("relevance", F.lit(0.0)), ["no_evidence"], "NO_EVIDENCE"
+    if judge is None:
+        return ranked.withColumn("relevance", F.lit(0.5)), [], "NOT_CONFIGURED"
+    try:
+        relevance, sufficiency = judge(question, ranked)
+    except Exception:  # the service must never be the single point of failure
+        return ranked.withColumn("relevance", F.lit(0.5)), [], "FAILED_FALLBACK_USED"
+    return gate(ranked, relevance, keep), missing_facets(sufficiency, enough), "OK"
+
+
+def above(locator: str | Column) -> Column:
+    """The locator of the place above, or the locator itself at the top."""
+    return F.regexp_replace(locator, "(.+):[^:]*$", "$1")
+
+
+def forced_evidence(found: DataFrame, activated: list[str], paths: DataFrame, auxiliary: list[str]) -> DataFrame:
+    """Candidates that stay whatever their rank: children of the first two anchors, and of reference targets, and ends of
+    references from the anchors' articles or from auxiliary anchors."""
+    anchors = [r["l"] for r in found.where("source_type = 'ANCHOR' and canonical_locator is not null").orderBy(F.desc("vector_score"), "node_id").limit(2).select(F.col("canonical_locator").alias("l")).collect()]
+    article = lambda c: F.regexp_extract(c, r"^([^:]+:[^:]+)", 1)
+    tops = sorted({x for a in anchors for x in (a, a.rsplit(":", 1)[0])})
+    child, end = F.col("source_type") == "CHILD", F.col("source_type").isin("REFERENCE_SOURCE", "REFERENCE_TARGET")
+    out = found.where(child & above("canonical_locator").isin(tops)) if "requires_all_children" in activated else found.limit(0)
+    if "requires_reference_traversal" in activated:
+        articles = sorted({":".join(a.split(":")[:2]) for a in anchors})
+        targets = paths.select(F.col("target_locator").alias("__t")).where("__t is not null").distinct()
+        out = out.unionByName(found.where(child).withColumn("__t", above("canonical_locator")).join(targets, "__t", "left_semi").drop("__t"))
+        out = out.unionByName(found.where(end & article("source_locator").isin(articles)))
+        from_them = paths.where(F.col("source_id").isin(auxiliary)).select("source_locator", "target_locator").distinct()
+        out = out.unionByName(found.where(end).join(from_them, ["source_locator", "target_locator"], "left_semi").select(*found.columns))
+    return out
+
+
+def answer_context(question: str, nodes: DataFrame, vectors: DataFrame, query_vector: list[float], edges: DataFrame | None = None, norms: DataFrame | None = None, k: int = 5, limit: int = 12, law: str = "LD2024", decide=None, service=None, judge=None, law_range: tuple[int, int] = (26, 48)) -> dict:
+    """The evidence for a question: routed, retrieved, pruned, ranked, gated, expanded once where facets are missing, with answer paths.
+
+    decide: gives (node_id, relevance) for ranked candidates. judge: gives that and the sufficiency of the facets, see
+    `assess`. service(question, signals): probabilities of the features, see `route_questions`.
+    Result: anchors, paths, candidates, evidence, context (DataFrames), and route, answer_paths, missing, expansions.
+    """
+    spark = nodes.sparkSession
+    docs = staged(nodes.withColumn("tokens", T.lexical_tokens(F.concat_ws(" ", "title", "text"))).where(F.size("tokens") > 0).withColumnRenamed("id", "node_id").select("node_id", "tokens"), "lexical")
+    asked = spark.createDataFrame([(question,)], "question string")
+    if service:
+        try:
+            answer = service(question, asked.select(signals_of("question").alias("s")).first()["s"])
+            asked = asked.withColumn("__answer", F.create_map(*[F.lit(x) for kv in answer.items() for x in (kv[0], float(kv[1]))]))
+        except Exception:  # as without a service
+            answer = None
+    route = route_questions(asked, probabilities=F.col("__answer") if "__answer" in asked.columns else None).first()
+    on = set(route["activated"]) | set(route["uncertain"])
+    tokens = [t for t in re.findall(r"[a-z0-9]+", folded(question)) if len(t) > 1 and t not in T.LEXICAL_STOPWORDS]
+    lexical = bm25(docs, tokens, max(k, 10), article_boost(question))
+    found = staged(merged(lexical.select("node_id", "score").orderBy(F.desc("score"), "node_id").limit(k), vector_top(vectors, query_vector, k), k), "anchors")
     anchors = found.join(nodes.withColumnRenamed("id", "node_id"), "node_id")
     ids = [r["node_id"] for r in found.orderBy("place").collect()]  # k rows
-    references = reference_edges(nodes, law)
-    paths = prune_paths(question, typed_paths(nodes, references, ids, 2), [r["l"] for r in anchors.select(T.locator_of("node_id", law).alias("l")).collect()])
-    kids = below(nodes, ids).withColumn("parent_locator", T.locator_of("parent_id", law)).withColumnRenamed("id", "node_id")
-    relevant = sorted({r["l"] for r in anchors.select(T.locator_of("node_id", law).alias("l")).collect() if r["l"]})
-    chosen = select_children(question, kids, relevant)
-    sources = {"ANCHOR": anchors, "PARENT": parents(nodes, ids), "CHILD": chosen.drop("score"), "EXCEPTION": exceptions(nodes, ids), "PHYSICAL_FALLBACK": physical(nodes, ids)}
+    auxiliary = [r["node_id"] for r in lexical.orderBy(F.desc("score"), "node_id").limit(10).collect()] if "requires_reference_traversal" in on else []
+    path_ids = list(dict.fromkeys(ids + auxiliary))
+    locators = sorted({r["l"] for r in anchors.select(T.locator_of("node_id", law).alias("l")).collect() if r["l"]})
+    references = staged(reference_edges(nodes, law, law_range), "references")
+
+    def walked(hops: int) -> DataFrame:
+        return staged(typed_paths(nodes, references, path_ids, hops, limit * 12), "typed-paths")
+
+    def up() -> DataFrame:
+        return parents(nodes, ids, limit * 2)
+
+    def down(paths: DataFrame, above_: DataFrame | None) -> DataFrame:
+        own = [] if above_ is None else [r["id"] for r in above_.where(F.col("type").isin("ARTICLE", "CLAUSE")).select("id").collect()]  # 2 * limit rows
+        far = [r["target_id"] for r in paths.where(~F.col("target_id").startswith("external:")).select("target_id").distinct().collect()]  # 12 * limit rows
+        return below(nodes, list(dict.fromkeys([*ids, *own, *far])), 2, limit * 6).withColumn("parent_locator", T.locator_of("parent_id", law)).withColumnRenamed("id", "node_id")
+
+    all_paths = walked(2 if "requires_multi_hop" in on else 1)
+    paths = prune_paths(question, all_paths, locators)
+    sources: dict[str, DataFrame] = {"ANCHOR": anchors, "PHYSICAL_FALLBACK": physical(nodes, ids)}
+    if on & {"requires_parent_context", "requires_subject_resolution", "requires_all_children"}:
+        sources["PARENT"] = up()
+    kids = down(all_paths, sources.get("PARENT")) if on & {"requires_all_children", "requires_reference_traversal"} else None
+
+    def chosen(kids: DataFrame, paths: DataFrame) -> DataFrame:
+        relevant = sorted({*locators, *(r["target_locator"] for r in paths.collect() if r["target_locator"])})  # a few paths
+        return select_children(question, kids, relevant, "requires_all_children" in on).drop("score")
+
+    if kids is not None:
+        sources["CHILD"] = chosen(kids, paths)
+    if "requires_exception" in on:
+        sources["EXCEPTION"] = exceptions(nodes, ids, limit * 3)
     if edges is not None and norms is not None:
         sources["NORM"] = norms_of(nodes, edges, norms, ids).join(nodes.select(F.col("id").alias("source_id"), "text"), "source_id").withColumn("node_id", F.col("source_id"))
-    ranked = rank(question, collect(sources, paths, law), limit)
-    kept = gate(ranked, decide(question, ranked)) if decide else ranked
-    return {"anchors": found, "paths": paths, "candidates": ranked, "evidence": kept, "context": assemble(kept, law=law)}
+
+    def ranked_now() -> tuple[DataFrame, DataFrame]:
+        every = staged(collect(sources, paths, law), "candidates")
+        return every, staged(rank(question, every, limit), "ranked")
+
+    every, ranked = ranked_now()
+    kept, missing, status = assess(ranked, judge, question)
+    expansions: list[str] = []
+    if status == "OK" and missing:
+        short = set(missing)
+        if short & {"subject", "overall_sufficiency"}:
+            sources["PARENT"] = up()
+            expansions.append("PARENT_CONTEXT")
+        if short & {"conditions", "overall_sufficiency"}:
+            kids = down(paths, sources.get("PARENT"))
+            sources["CHILD"] = chosen(kids, paths)
+            expansions.append("CHILDREN")
+        if short & {"reference_target", "overall_sufficiency"}:
+            all_paths = walked(2)
+            paths = prune_paths(question, all_paths, locators)
+            expansions.append("REFERENCE_PATHS")
+        if short & {"exception", "overall_sufficiency"}:
+            sources["EXCEPTION"] = exceptions(nodes, ids, limit * 3)
+            expansions.append("EXCEPTION_CONTEXT")
+        every, ranked = ranked_now()
+        kept, missing, status = assess(ranked, judge, question)
+    if decide and judge is None:
+        kept = gate(ranked, decide(question, ranked))
+    liked = [r["canonical_locator"] for r in kept.select("canonical_locator").distinct().collect() if r["canonical_locator"]]  # `limit` rows
+    below_ = (kids if kids is not None else down(all_paths, None)).withColumn("locator", T.locator_of("node_id", law)).select("parent_locator", "locator", "text")
+    answers = AnswerPaths().build(question, all_paths, below_, locators, liked)
+    on_paths = sorted({x for p in answers for s in p["steps"] for x in (s[0], s[2])})
+    more = forced_evidence(every, sorted(on), paths, auxiliary)
+    proof = collect({"CHILD": kids} if kids is not None else {"ANCHOR": anchors.limit(0)}, all_paths, law).where(F.col("canonical_locator").isin(on_paths))
+    extra = more.unionByName(proof)
+    have = kept.select(F.coalesce("canonical_locator", F.lit("")).alias("__l"), F.col("text").alias("__t")).distinct()
+    new = extra.withColumns({"__l": F.coalesce("canonical_locator", F.lit("")), "__t": F.col("text")}).join(have, ["__l", "__t"], "left_anti").drop("__l", "__t")
+    late = rank(question, new, None).withColumn("rank_score", F.col("rank_score") - 10)  # after the evidence that the gate has kept
+    selected = staged(kept.select(*late.columns).unionByName(late), "evidence")
+    return {
+        "route": route.asDict(), "anchors": found, "paths": paths, "candidates": ranked, "evidence": selected, "context": assemble(selected, law=law), "answer_paths": answers,
+        "missing": missing, "gate": status, "expansions": expansions, "hierarchy": hierarchy_context(nodes, selected),
+    }
+
+
+def rebuilt_paths(references: DataFrame, included: DataFrame, steps: int = 5) -> DataFrame:
+    """(start, places, n): walks of up to `steps` selected references, no place twice, that cannot go on.
+
+    references: (source_locator, target_locator); included: the places (column locator) that are selected. One join a step.
+    """
+    good = references.select("source_locator", "target_locator").distinct()
+    for end in ("source_locator", "target_locator"):
+        good = good.join(included.select(F.col("locator").alias(end)).distinct(), end, "left_semi")
+    edge = good.select(F.col("source_locator").alias("at"), F.col("target_locator").alias("to"))
+    front = edge.join(edge.select(F.col("to").alias("at")).distinct(), "at", "left_anti").select(F.col("at").alias("start"), F.array("at", "to").alias("places"), F.col("to").alias("at"))
+    out = None
+    for n in range(1, steps + 1):
+        onward = front.join(edge, "at").where(~F.array_contains("places", F.col("to"))) if n < steps else None
+        ended = front if onward is None else front.join(onward.select("places").distinct(), "places", "left_anti")
+        done = ended.select("start", "places", F.lit(n).alias("n"))
+        out = done if out is None else out.unionByName(done)
+        if onward is not None:
+            front = onward.select("start", F.concat("places", F.array("to")).alias("places"), F.col("to").alias("at"))
+    return out

@@ -195,3 +195,34 @@ def test_recovery(spark):
     assert [r.idx for r in stats.clause_candidates(p, art, "H1").collect()] == [1]
     assert stats.clause_candidates(p, art, "H2").count() == 3
     assert [r.idx for r in stats.clause_candidates(p, art, "H3").collect()] == [1]
+
+
+def test_the_whole_answer(spark):
+    """Routing, gate, one expansion, answer paths and forced evidence; a service that fails is as none."""
+    n = graph(spark)
+    encoder = services.hashing_encoder()
+    v = services.encoded(n.withColumn("text", F.coalesce("text", "title")), encoder, "id")
+    question = "liệt kê các điều kiện cho thuê lại theo Điều 45"
+    ask = lambda **how: retrieve.answer_context(question, n, v, encoder([question])[0], **how)
+    plain = ask()
+    assert plain["route"]["routing_source"] == "RULES_AND_FALLBACK" and {"requires_all_children", "requires_reference_traversal"} <= set(plain["route"]["activated"])
+    assert plain["gate"] == "NOT_CONFIGURED" and plain["expansions"] == []
+    fails = lambda *x: 1 / 0
+    same = ask(service=fails, judge=fails)
+    assert same["gate"] == "FAILED_FALLBACK_USED" and same["route"] == plain["route"]
+    assert same["context"].first() == plain["context"].first()
+    sure = lambda q, r: (r.select("node_id", F.lit(0.9).alias("relevance")), {})
+    grown = ask(service=lambda q, s: {"requires_multi_hop": 0.9, "requires_exception": 0.5}, judge=sure)
+    assert grown["expansions"] == ["PARENT_CONTEXT", "CHILDREN", "REFERENCE_PATHS", "EXCEPTION_CONTEXT"] and grown["gate"] == "OK"
+    assert grown["route"]["uncertain"] == ["requires_exception"] and "overall_sufficiency" in grown["missing"]
+    for out in (plain, grown):
+        ids = [(r.canonical_locator, r.text) for r in out["evidence"].collect()]
+        assert ids and len(ids) == len(set(ids))
+        assert {s[0] for p in out["answer_paths"] for s in p["steps"]} <= {i for i, _ in ids}
+
+
+def test_rebuilt_paths(spark):
+    refs = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "a"), ("x", "d"), ("e", "f")], "source_locator string, target_locator string")
+    some = spark.createDataFrame([(i,) for i in "abcxde"], "locator string")
+    got = sorted((r.start, "".join(r.places), r.n) for r in retrieve.rebuilt_paths(refs, some).collect())
+    assert got == [("x", "xabc", 3), ("x", "xd", 1)]
