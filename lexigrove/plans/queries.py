@@ -69,11 +69,6 @@ def format_documents(spark: SparkSession, sf: str) -> DataFrame:
     return clean.formatted(clean.lines_of(table(spark, sf, "documents")))
 
 
-@query("SELECT doc_id, nfc_normalize(text) AS text, CASE WHEN nfc_normalize(text) = text THEN 0 END AS changed FROM documents WHERE nfc_normalize(text) = text")
-def nfc_unchanged(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", T.nfc_changes("text").alias("n"), F.col("text").alias("old"))
-    return d.where("n.text = old").select("doc_id", "n.text", F.col("n.changed").cast("int").alias("changed"))
-
 
 @query("SELECT doc_id, nfc_normalize(text) = text AS is_nfc FROM documents")
 def is_nfc(spark: SparkSession, sf: str) -> DataFrame:
@@ -196,12 +191,6 @@ def _part_tree(spark: SparkSession, sf: str) -> DataFrame:
 _PART = "(SELECT p_partkey AS id, CASE WHEN p_partkey >= 10 THEN p_partkey // 10 END AS parent_id, CASE WHEN p_partkey < 10 THEN 'CHAPTER' WHEN p_partkey < 100 THEN 'ARTICLE' WHEN p_partkey < 1000 THEN 'CLAUSE' ELSE 'POINT' END AS type, CASE WHEN p_partkey % 37 = 0 THEN '' ELSE p_name END AS text, p_partkey % 10 AS position, p_brand AS title FROM part)"
 
 
-@query("SELECT node_id, rule_id, severity FROM (SELECT doc_id::VARCHAR AS node_id, 'VAL-001' AS rule_id, 'ERROR' AS severity, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM documents WHERE text IS NOT NULL) WHERE n > 1")
-def duplicate_ids(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").where("text is not null").select(F.sha2("text", 256).alias("id"), F.col("doc_id").alias("start_idx"))
-    n = F.row_number().over(Window.partitionBy("id").orderBy("start_idx"))
-    return d.withColumn("n", n).where("n > 1").select(F.col("start_idx").cast("string").alias("node_id"), F.lit("VAL-001").alias("rule_id"), F.lit("ERROR").alias("severity"))
-
 
 @query("SELECT o_orderkey::VARCHAR AS node_id, 'VAL-003' AS rule_id FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal > 0)")
 def broken_parents(spark: SparkSession, sf: str) -> DataFrame:
@@ -261,11 +250,6 @@ def dead_letters(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.ingest(n, e)[1].select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "reason")
 
 
-@query("SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 8 = 0)")
-def lone_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "orders").where("o_orderkey % 8 = 0").select(F.col("o_custkey").alias("source"), (-1 - F.col("o_orderkey")).alias("target"))
-    return validate.lone_nodes(table(spark, sf, "customer").select(F.col("c_custkey").alias("id")), e)
-
 
 # --- graph ------------------------------------------------------------------------------------------------------------
 @query("SELECT n_name AS source, r_name AS target, 'BELONG_TO' AS type FROM nation JOIN region ON n_regionkey = r_regionkey")
@@ -527,13 +511,6 @@ def upsert_rows(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.upsert(old, new)
 
 
-@query("WITH n AS (SELECT p_size % 20 AS number, count(*) AS c, min(p_partkey) AS id FROM part WHERE p_partkey % 50 = 0 GROUP BY 1 HAVING count(*) = 1) SELECT o_orderkey AS ref_id, n.id AS target FROM orders JOIN n ON n.number = o_orderkey % 20")
-def unique_references(spark: SparkSession, sf: str) -> DataFrame:
-    none = F.lit(None).cast("string")
-    r = table(spark, sf, "orders").select(F.col("o_orderkey").alias("ref_id"), F.lit("L").alias("law_code"), (F.col("o_orderkey") % 20).cast("string").alias("article"), none.alias("clause"), none.alias("point"))
-    n = table(spark, sf, "part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("id"), F.lit("L").alias("law_code"), (F.col("p_size") % 20).cast("string").alias("article"), none.alias("clause"), none.alias("point"))
-    return fuse.resolve_by_number(r, n)
-
 
 # --- statistics -------------------------------------------------------------------------------------------------------
 _CAL = "(SELECT round((n_chars % 211) / 211.0, 2)::DOUBLE AS score, quality AS label FROM labels JOIN documents USING (doc_id))"
@@ -580,12 +557,12 @@ def classification_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return stats.classification(rows, "1").select("count", "tp", "fp", "fn", "tn")
 
 
-_REV = "(SELECT l_orderkey AS case_id, 'r' || l_linenumber AS reviewer, min(l_returnflag) AS label FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1, 2)"
+_REV = "(SELECT l_orderkey AS case_id, 'r' || l_linenumber AS reviewer, min(l_returnflag) AS label FROM lineitem GROUP BY 1, 2)"
 
 
 @query(f"WITH v AS {_REV}, p AS (SELECT a.reviewer AS first, b.reviewer AS second, a.label AS x, b.label AS y FROM v a JOIN v b ON a.case_id = b.case_id AND a.reviewer < b.reviewer), n AS (SELECT first, second, count(*) AS n, count(*) FILTER (x = y) AS same FROM p GROUP BY 1, 2), l AS (SELECT first, second, x AS v, count(*) AS c FROM p GROUP BY ALL), r AS (SELECT first, second, y AS v, count(*) AS d FROM p GROUP BY ALL), e AS (SELECT first, second, sum(c * d) AS xy FROM l JOIN r USING (first, second, v) GROUP BY ALL) SELECT first, second, n, round((same / n - xy / (n * n)) / (1 - xy / (n * n)), 6) AS kappa FROM n JOIN e USING (first, second)")
 def pairwise_kappa(spark: SparkSession, sf: str) -> DataFrame:
-    li = table(spark, sf, "lineitem").where("l_linenumber <= 4")
+    li = table(spark, sf, "lineitem")
     rows = li.groupBy(F.col("l_orderkey").alias("case_id"), F.concat(F.lit("r"), F.col("l_linenumber").cast("string")).alias("reviewer")).agg(F.min("l_returnflag").alias("label"))
     return stats.pairwise_kappa(rows).select("first", "second", "n", F.round("kappa", 6).alias("kappa"))
 
@@ -624,7 +601,7 @@ def hybrid_merge(spark: SparkSession, sf: str) -> DataFrame:
     return retrieve.merged(lexical, vector, 10, id_col="id").select("id", "retrieval_source")
 
 
-_EDGES = "(SELECT 'c' || o_custkey AS source, 'o' || o_orderkey AS target FROM orders UNION ALL SELECT 'o' || l_orderkey, 's' || l_suppkey FROM lineitem WHERE l_linenumber = 1)"
+_EDGES = "(SELECT 'c' || o_custkey AS source, 'o' || o_orderkey AS target FROM orders UNION ALL SELECT 'o' || l_orderkey, 's' || l_suppkey FROM lineitem)"
 
 
 @query(
@@ -633,41 +610,11 @@ _EDGES = "(SELECT 'c' || o_custkey AS source, 'o' || o_orderkey AS target FROM o
 )
 def khop_paths(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders").select(F.concat(F.lit("c"), F.col("o_custkey")).alias("source"), F.concat(F.lit("o"), F.col("o_orderkey")).alias("target"))
-    li = table(spark, sf, "lineitem").where("l_linenumber = 1").select(F.concat(F.lit("o"), F.col("l_orderkey")).alias("source"), F.concat(F.lit("s"), F.col("l_suppkey")).alias("target"))
+    li = table(spark, sf, "lineitem").select(F.concat(F.lit("o"), F.col("l_orderkey")).alias("source"), F.concat(F.lit("s"), F.col("l_suppkey")).alias("target"))
     e = o.unionByName(li).distinct().withColumn("type", F.lit("HAS"))
     return retrieve.neighbourhood(e, ["c7"], 2, 1_000_000).select(F.array_join("nodes", ">").alias("path"))
 
 
-@query("SELECT o_orderkey AS norm_id, array_to_string(list_sort(list_distinct(list(l_partkey::VARCHAR))), ',') AS subjects, array_to_string(list_sort(list_distinct(list(l_suppkey::VARCHAR))), ',') AS actions, array_to_string(list_sort(list_distinct(list(l_returnflag))), ',') AS conditions FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey < 20 GROUP BY 1")
-def norm_roles(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").where("o_custkey < 20").select(F.col("o_orderkey").alias("norm_id"))
-    li = table(spark, sf, "lineitem")
-    each = F.array(*[F.struct(F.lit(t).alias("type"), F.col(c).cast("string").alias("target")) for t, c in (("HAS_SUBJECT", "l_partkey"), ("HAS_ACTION", "l_suppkey"), ("HAS_CONDITION", "l_returnflag"))])
-    e = li.select(F.col("l_orderkey").alias("norm_id"), F.explode(each).alias("e")).join(o, "norm_id", "left_semi")
-    return e.groupBy("norm_id").agg(*[F.array_join(F.sort_array(F.collect_set(F.when(F.col("e.type") == t, F.col("e.target")))), ",").alias(c) for t, c in (("HAS_SUBJECT", "subjects"), ("HAS_ACTION", "actions"), ("HAS_CONDITION", "conditions"))])
-
-
-@query("SELECT page_id, idx - 1 AS place, href FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href, unnest(range(1, len(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) + 1)) AS idx FROM pages)")
-def page_references(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), F.lit(1))).alias("place", "href"))
-
-
-@query("SELECT p_partkey, '-' AS place, CASE WHEN p_partkey % 4 = 0 THEN 'LD2024:A' || (p_size + 1) || ':K2:Dđ|DIRECT_REFERENCE' WHEN p_partkey % 4 = 1 THEN 'LD2024:A30:K1|EXCEPTION_REFERENCE,LD2024:A30:K3|EXCEPTION_REFERENCE' WHEN p_partkey % 4 = 2 THEN 'LD2024:A27|INHERITS_RIGHTS_OBLIGATIONS,LD2024:A31|INHERITS_RIGHTS_OBLIGATIONS' ELSE '' END AS targets FROM part WHERE p_size BETWEEN 26 AND 46 OR p_partkey % 4 > 0")
-def reference_extraction(spark: SparkSession, sf: str) -> DataFrame:
-    @F.pandas_udf("string")
-    def found(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: ",".join("|".join(x) for x in retrieve.reference_locators(t, "LD2024:A26")))
-
-    k = F.col("p_partkey") % 4
-    t = F.when(k == 0, F.concat(F.lit("theo điểm đ khoản 2 Điều "), (F.col("p_size") + 1).cast("string"))).when(k == 1, "trừ trường hợp khoản 1, khoản 3 Điều 30").when(k == 2, "quyền và nghĩa vụ theo Điều 27 và Điều 31").otherwise("không có gì")
-    return table(spark, sf, "part").where((F.col("p_size").between(26, 46)) | (k > 0)).select("p_partkey", F.lit("-").alias("place"), found(t).alias("targets"))
-
-
-@query("SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY round(l_discount, 6) DESC, l_linenumber, l_partkey) AS n FROM lineitem) WHERE n = 1 OR (n <= 5 AND l_discount >= 0.05)")
-def child_topn(spark: SparkSession, sf: str) -> DataFrame:
-    """The rule that picks children: the best of each parent over a threshold, at least one."""
-    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(F.desc(F.round("l_discount", 6)), "l_linenumber", "l_partkey"))
-    return table(spark, sf, "lineitem").withColumn("n", n).where("n = 1 or (n <= 5 and l_discount >= 0.05)").select("l_orderkey", "l_linenumber", "l_partkey")
 
 
 _WORDS = "list_distinct(regexp_extract_all(lower(text), '[\\pL\\pN_\\pM]+'))"
@@ -703,9 +650,9 @@ def question_signals(spark: SparkSession, sf: str) -> DataFrame:
     return q.select("item_id", F.array_join(F.filter(retrieve.signals_of("t"), lambda s: s.isin("LIST_REQUEST", "REFERENCE_REQUEST", "EXCEPTION_REQUEST", "COMPARISON_REQUEST")), ",").alias("signals"))
 
 
-@query("WITH p AS (SELECT l_orderkey, string_agg(l_linenumber::VARCHAR, '>' ORDER BY l_linenumber) AS steps FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey % 3 > 0) GROUP BY 1), d AS (SELECT steps, max(l_orderkey % 100) AS score FROM p GROUP BY 1) SELECT steps, score::DOUBLE AS score FROM d WHERE NOT EXISTS (SELECT 1 FROM d o WHERE o.steps LIKE d.steps || '>%')")
+@query("WITH p AS (SELECT l_orderkey, string_agg(l_linenumber::VARCHAR, '>' ORDER BY l_linenumber) AS steps FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) GROUP BY 1), d AS (SELECT steps, max(l_orderkey % 100) AS score FROM p GROUP BY 1) SELECT steps, score::DOUBLE AS score FROM d WHERE NOT EXISTS (SELECT 1 FROM d o WHERE o.steps LIKE d.steps || '>%')")
 def path_prefix_dedupe(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "lineitem").where("l_partkey % 3 > 0").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_set("l_linenumber")), lambda x: x.cast("string")).alias("steps"))
+    p = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_set("l_linenumber")), lambda x: x.cast("string")).alias("steps"))
     out = retrieve.without_prefixes(p.select("steps", (F.col("l_orderkey") % 100).cast("double").alias("score")))
     return out.select(F.array_join("steps", ">").alias("steps"), "score")
 
