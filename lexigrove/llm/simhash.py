@@ -123,7 +123,8 @@ def near(prints: DataFrame, distance: int = 4, segments: int | None = None) -> D
     asked = prints.select(F.col("fp").alias("of"), F.explode(F.concat(*map(ball, range(segments)))).alias("key"))
     crowds = staged(stored.groupBy("key").count().where(F.col("count") > CROWD).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "simhash-crowds")
     close = F.bit_count(F.col("fp").bitwiseXOR(F.col("of"))) <= distance
-    thin = stored.join(crowds, "key", "left_anti").join(asked, "key").where("of < fp").where(close).select(F.col("of").alias("a"), F.col("fp").alias("b"))
+    # Spark takes exploded tables for as small as before; neither is one to broadcast
+    thin = stored.join(crowds, "key", "left_anti").join(asked.hint("merge"), "key").where("of < fp").where(close).select(F.col("of").alias("a"), F.col("fp").alias("b"))
     if crowds.isEmpty():
         return thin
 
