@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrove.llm import mix, packing, pii, quality, simhash
+from lexigrove.llm import mix, neardup, packing, pii, quality
 from lexigrove.llm.common import table
 from lexigrove.llm.queries import PII_KEY
 
@@ -23,8 +23,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the smallest doc_id."""
-    return simhash.deduplicated(docs, shingle=5)
+    """One document of each group of near-duplicates stays, the smallest doc_id: five words, a similarity of 0.8 or more."""
+    return neardup.deduplicated(docs, shingle=5, similarity=0.8)
 
 
 def pii_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
