@@ -131,6 +131,16 @@ def boundaries(classified: DataFrame) -> DataFrame:
     return cut.withColumn("end_idx", F.coalesce(after, F.col("last_idx") + 1)).drop("last_idx", "segment")
 
 
+def of_type(cut: DataFrame, type_: str) -> DataFrame:
+    """Boundaries of one type."""
+    return cut.where(F.col("match.type") == type_)
+
+
+def between(cut: DataFrame, start: int, end: int) -> DataFrame:
+    """Boundaries that begin in [start, end)."""
+    return cut.where((F.col("start_idx") >= start) & (F.col("start_idx") < end))
+
+
 def hierarchy(cut: DataFrame) -> DataFrame:
     """With depth, parent_idx (start of the parent) and position among the siblings of a type."""
     order = Window.partitionBy("doc").orderBy("start_idx")

@@ -6,14 +6,14 @@ import functools
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..session import staged
 from .graph import ancestors
-from .route import cosine
+from .route import cached, cosine
 
 # Lexical and vector search.
 ARTICLE_BOOST, K1, B = 8.0, 1.2, 0.75
@@ -53,6 +53,38 @@ def bm25(docs: DataFrame, query: list[str], k: int | None = 10, boosted: Column
     return best.withColumn("score", F.col("lexical_score") / top) if k is not None else best.withColumn("score", F.col("lexical_score"))
 
 
+def lexical_index(nodes: DataFrame, path: str, key: str, parts: int = 64) -> str:
+    """Postings and lengths of the tokens of nodes (id, title, text), kept at `path` for all questions; made anew for another `key`.
+
+    Postings (token, node_id, tf, n) lie in folders by a hash of the token, so a question reads those of its tokens alone.
+    Nodes without a token are in neither table.
+    """
+    spark = nodes.sparkSession
+
+    def lengths() -> DataFrame:
+        docs = nodes.select(F.col("id").alias("node_id"), T.lexical_tokens(F.concat_ws(" ", "title", "text")).alias("tokens")).where(F.size("tokens") > 0)
+        docs = staged(docs, "lexical-tokens")
+        each = docs.select("node_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).groupBy("token", "node_id").agg(F.count("*").alias("tf"), F.max("n").alias("n"))
+        each.withColumn("part", F.pmod(F.xxhash64("token"), F.lit(parts)).cast("int")).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+        return docs.agg(F.count("*").alias("docs"), F.avg(F.size("tokens")).alias("avg_n"), F.lit(parts).alias("parts"))
+
+    cached(f"{path}/lengths", key, lengths, spark)
+    return path
+
+
+def bm25_indexed(spark: SparkSession, path: str, query: list[str], k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
+    """(node_id, lexical_score): the k best by BM25 from a `lexical_index`; ties go to the smaller id."""
+    query = list(dict.fromkeys(query))
+    s = spark.read.parquet(f"{path}/lengths/data").first()  # one row
+    where = spark.range(1).select(*[F.pmod(F.xxhash64(F.lit(q)), F.lit(s["parts"])).alias(f"p{i}") for i, q in enumerate(query)]).first() if query else []
+    found = spark.read.parquet(f"{path}/postings").where(F.col("part").isin([int(x) for x in where]) & F.col("token").isin(query))
+    df = found.groupBy("token").agg(F.count("*").alias("df"))  # one row for each token of the question
+    idf = F.log(1 + (s["docs"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    tf = F.col("tf")
+    score = idf * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * F.col("n") / max(1.0, s["avg_n"])))
+    return found.join(F.broadcast(df), "token").groupBy("node_id").agg(F.sum(score).alias("lexical_score")).orderBy(F.desc("lexical_score"), "node_id").limit(k)
+
+
 def article_boost(question: str, node_id: str = "node_id") -> Column:
     """Rows whose id names an article that the question names."""
     named = sorted(set(re.findall(r"(?:điều|dieu)\s+(\d+)", question.casefold())))

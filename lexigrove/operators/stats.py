@@ -9,28 +9,35 @@ from pyspark.sql.window import Window
 CELLS = 10_000
 
 
-def isotonic_fit(rows: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """Pooled blocks (threshold, value, n) of an isotonic regression of 0/1 labels on scores in [0, 1].
-
-    Counts by distinct score are made by an aggregation; adjacent violators are pooled on those in one grouped task, so
-    what the task holds grows with the distinct scores. Scores are given to a few digits as a rule; pass `cells` rounded
-    scores if they are not.
+def _pooled(frame):
+    """Adjacent violators of blocks (threshold, pos, n) in the order of their thresholds are pooled."""
+    import pandas as pd
+
+    blocks: list[list[float]] = []
+    for s, p, n in frame.sort_values("threshold")[["threshold", "pos", "n"]].itertuples(index=False):
+        top, pos, count = s, p, n
+        while blocks and blocks[-1][1] / blocks[-1][2] > pos / count:
+            _, p0, n0 = blocks.pop()
+            pos, count = pos + p0, count + n0
+        blocks.append([top, pos, count])
+    return pd.DataFrame({"threshold": [b[0] for b in blocks], "pos": [b[1] for b in blocks], "n": [b[2] for b in blocks]})
+
+
+def isotonic_fit(rows: DataFrame, score: str = "score", label: str = "label", ranges: int = 256) -> DataFrame:
+    """Pooled blocks (threshold, value, n) of an isotonic regression of 0/1 labels on scores.
+
+    Counts by distinct score are made by an aggregation. Violators are pooled within ranges of scores first, each a task's,
+    and then among the blocks that are left, which are few where labels and scores are noisy: pooling in parts and pooling
+    the parts gives the same blocks.
     """
-    pairs = rows.groupBy(F.col(score).cast("double").alias("score")).agg(F.sum(F.col(label).cast("double")).alias("pos"), F.count("*").cast("double").alias("n"))
-
-    def pool(frame):
-        import pandas as pd
-
-        blocks: list[list[float]] = []
-        for s, p, n in frame.sort_values("score")[["score", "pos", "n"]].itertuples(index=False):
-            top, pos, count = s, p, n
-            while blocks and blocks[-1][1] / blocks[-1][2] > pos / count:
-                _, p0, n0 = blocks.pop()
-                pos, count = pos + p0, count + n0
-            blocks.append([top, pos, count])
-        return pd.DataFrame({"threshold": [b[0] for b in blocks], "value": [b[1] / b[2] for b in blocks], "n": [int(b[2]) for b in blocks]})
-
-    return pairs.withColumn("all", F.lit(True)).groupBy("all").applyInPandas(pool, "threshold double, value double, n long")
+    pairs = rows.groupBy(F.col(score).cast("double").alias("threshold")).agg(F.sum(F.col(label).cast("double")).alias("pos"), F.count("*").cast("double").alias("n"))
+    ends = pairs.agg(F.min("threshold").alias("low"), F.max("threshold").alias("high")).first()  # one row
+    width = ((ends["high"] - ends["low"]) / ranges or 1.0) if ends["low"] is not None else 1.0
+    part = F.floor((F.col("threshold") - (ends["low"] or 0.0)) / width)
+    schema = "threshold double, pos double, n double"
+    first = pairs.withColumn("part", part).groupBy("part").applyInPandas(_pooled, schema)
+    last = first.withColumn("all", F.lit(True)).groupBy("all").applyInPandas(_pooled, schema)
+    return last.select("threshold", (F.col("pos") / F.col("n")).alias("value"), F.col("n").cast("long").alias("n"))
 
 
 def isotonic_fit_sql(rows: DataFrame, score: str = "score", label: str = "label") -> DataFrame:

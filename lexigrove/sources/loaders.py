@@ -23,9 +23,9 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     """Paragraphs (schema PARAGRAPH) of a .docx or .txt file, or of a glob of such files."""
     kind = path.lower().rsplit(".", 1)[-1]
     if kind == "docx":
-        return docx(spark, path)
+        return checked_contract(docx(spark, path))
     if kind == "txt":
-        return text(spark, path)
+        return checked_contract(text(spark, path))
     raise ValueError(f"neither .docx nor .txt: {path}")
 
 
@@ -36,6 +36,23 @@ def text(spark: SparkSession, path: str) -> DataFrame:
     return structured(lines)
 
 
+def text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(doc, index, text): the lines of text files without their ends, blank ones too."""
+    return text(spark, path).select("doc", "index", F.regexp_replace("text", r"[\r\n]+\z", "").alias("text"))
+
+
+def filled_paragraphs(paragraphs: DataFrame) -> DataFrame:
+    """(doc, index, text, word_style, ilvl): paragraphs that are not blank, with the index that they have among all."""
+    return paragraphs.where(F.trim("text") != "").select("doc", "index", "text", "word_style", "ilvl")
+
+
+def checked_contract(paragraphs: DataFrame) -> DataFrame:
+    """`paragraphs`, or an error while they are read if one has both a number and a marker."""
+    both = F.col("number").isNotNull() & F.col("marker").isNotNull()
+    wrong = F.raise_error(F.concat(F.lit("a paragraph has a number and a marker: "), F.col("doc"), F.lit(" "), F.col("index").cast("string")))
+    return paragraphs.withColumn("number", F.when(both, wrong.cast("string")).otherwise(F.col("number")))
+
+
 def structured(lines: DataFrame) -> DataFrame:
     """Rows (doc, index, text) as paragraphs without metadata."""
     none = {"word_style": "string", "num_id": "int", "ilvl": "int", "num_fmt": "string", "number": "string", "marker": "string"}
@@ -136,8 +153,10 @@ def plain_lines(paragraphs: DataFrame) -> DataFrame:
 
 # Tables of other stages.
 def nodes(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array (or lines) of parsed nodes; an empty one is an error."""
-    df = spark.read.schema(NODE).option("multiLine", True).json(path)
+    """A JSON array, or JSON lines, of parsed nodes; an empty one is an error."""
+    first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()  # one line
+    array = bool(first) and first[0]["value"].lstrip().startswith("[")
+    df = spark.read.schema(NODE).option("multiLine", array).json(path)
     if df.isEmpty():
         raise ValueError(f"no nodes in {path}")
     return df
