@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..session import staged
 from .ontology import MODALITIES, ROLES, norm_edges
 
 
@@ -95,10 +96,16 @@ def scope(allowed: Column, prohibited: Column, has_exception: Column, same_objec
 def reviews(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Conflicts to review nodes REVIEW_nnn and their edges to the two norms, the subject and the action.
 
-    Numbers are in the order of subject, action and ids: one window over the findings, which are few by nature.
+    Numbers are in the order of subject, action and ids: the rows are sorted in ranges and counted range by range, so that
+    no task holds them all.
     """
-    order = Window.orderBy("subject", "action", "conflict_type", "positive_id", "prohibit_id")
-    n = found.withColumn("id", F.format_string("REVIEW_%03d", F.row_number().over(order)))
+    order = ("subject", "action", "conflict_type", "positive_id", "prohibit_id")
+    rows = staged(found.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()), "reviews")
+    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = rows.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))  # one row a range
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    n = rows.withColumn("__part", part).join(F.broadcast(starts), "__part").withColumn("id", F.format_string("REVIEW_%03d", F.col("__start") + place + 1))
     ends = F.array(*[F.struct(F.lit(t).alias("type"), F.col(c).alias("target")) for t, c in (("REVIEWS_POSITIVE", "positive_id"), ("REVIEWS_PROHIBITION", "prohibit_id"), ("CONCERNS_SUBJECT", "subject"), ("CONCERNS_ACTION", "action"))])
     e = n.select(F.col("id").alias("source"), F.explode(ends).alias("e")).select("source", "e.target", "e.type")
     return n.select("id", "flag", "conflict_type", "context_status"), e

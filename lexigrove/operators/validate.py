@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import staged
+from ..session import dropped, staged
 
 # Sequences of markers, node types that may be roots, and types whose text may not be empty.
 ROMAN = ["I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X", "XI", "XII", "XIII", "XIV", "XV", "XVI", "XVII", "XVIII", "XIX", "XX", "XXI", "XXII", "XXIII", "XXIV", "XXV", "XXVI", "XXVII", "XXVIII", "XXIX", "XXX", "XXXI", "XXXII", "XXXIII", "XXXIV", "XXXV", "XXXVI", "XXXVII", "XXXVIII", "XXXIX", "XL", "XLI", "XLII", "XLIII", "XLIV", "XLV", "XLVI", "XLVII", "XLVIII", "XLIX", "L"]
@@ -61,7 +61,8 @@ def on_cycles(nodes: DataFrame, child: str = "id", parent: str = "parent_id") ->
         if left == 0 or taken > left:
             return step.select(F.col("to").alias(child)).distinct()
         ahead = step.select(F.col("n").alias("to"), F.col("to").alias("next"))
-        step = staged(step.join(ahead, "to").select("n", F.col("next").alias("to")).distinct(), "cycle-steps")
+        old, step = step, staged(step.join(ahead, "to").select("n", F.col("next").alias("to")).distinct(), "cycle-steps")
+        dropped(old)
         taken *= 2
 
 
@@ -229,7 +230,8 @@ def has_cycle(edges: DataFrame) -> bool:
         h = lambda c: F.xxhash64(F.lit(7), F.col(c).cast("string"))
         gone = staged(chain.where((h("n") > h("to")) & (h("n") > h("from"))).select("n", "from", "to"), "peel-chain")
         cut = inner.join(gone.select(F.col("n").alias("source")), "source", "left_anti").join(gone.select(F.col("n").alias("target")), "target", "left_anti")
-        left = staged(cut.select("source", "target").unionByName(gone.select(F.col("from").alias("source"), F.col("to").alias("target"))).distinct(), "peel")
+        old, left = left, staged(cut.select("source", "target").unionByName(gone.select(F.col("from").alias("source"), F.col("to").alias("target"))).distinct(), "peel")
+        dropped(old, inner, gone)
 
 
 def graph_contract(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -31,17 +32,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: `spark.checkpoint.dir`, or a folder of our own where it is unset (local runs)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that all executors see: `spark.checkpoint.dir`; where it is unset, in local runs alone, one of our own."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not held.isDefined():
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexigrove-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return held.get()
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """`df` written to the shared folder and read again: lineage ends there, and a lost executor costs a re-read."""
-    path = f"{shared_dir(df.sparkSession)}/lexigrove/{name}-{uuid.uuid4().hex}"
+    """`df` written as a Parquet table in the shared folder and read again.
+
+    The plan is cut there: a lost executor costs a re-read, not a recomputation, and later steps know the true size.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/lexigrove/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Staged tables that no later step reads are deleted; other DataFrames are left alone."""
+    for t in tables:
+        path = t.__dict__.get("staged_path") if t is not None else None
+        if path:
+            spark = t.sparkSession
+            there = spark._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
