@@ -4,56 +4,18 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import re
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import dropped, shared_dir, staged, table  # noqa: F401  for the operators
+
 #: White space that separates words: space and the controls 0x09 to 0x0D.
 SPACE = r"[\x20\x09-\x0D]"
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: `spark.checkpoint.dir`; where it is unset, in local runs alone, one of our own."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if not held.isDefined():
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexigrove-"))
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return held.get()
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """`df` written as a Parquet table in the shared folder and read again.
-
-    The plan is cut there: a lost executor costs a re-read, not a recomputation, and later steps know the true size.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lexigrove/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.staged_path = path
-    return out
-
-
-def dropped(*tables: DataFrame | None) -> None:
-    """Staged tables that no later step reads are deleted; other DataFrames are left alone."""
-    for t in tables:
-        path = t.__dict__.get("staged_path") if t is not None else None
-        if path:
-            spark = t.sparkSession
-            there = spark._jvm.org.apache.hadoop.fs.Path(path)
-            there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
-
-
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """Names for helper columns that `df` does not have, whatever the case."""
     held = {c.lower() for c in df.columns}
@@ -88,7 +50,3 @@ def words(text) -> F.Column:
 def n_words(text) -> F.Column:
     """The number of words as a long."""
     return F.size(words(text)).cast("long")
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")

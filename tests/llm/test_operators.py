@@ -274,6 +274,33 @@ def test_passages_of_random_texts_with_common_phrases(spark, monkeypatch):
     assert set(got) <= {i for v in holds[30].values() if len(v) > 1 for i in v}
 
 
+def test_buckets_are_even(spark, monkeypatch):
+    """A passage in a third of all documents, in many slices: no bucket holds over twice the mean."""
+    monkeypatch.setattr(substring, "GROUP_BYTES", 1 << 17)
+    monkeypatch.setattr(substring, "SLICE", 1 << 16)
+    monkeypatch.setattr(substring, "PAIRS", 128)
+    rng = np.random.default_rng(16)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    hot = list(rng.choice(vocabulary, 120))
+    rows = [(i, " ".join([*rng.choice(vocabulary, 100), *(hot if i % 3 == 0 else []), *rng.choice(vocabulary, 60)])) for i in range(2400)]
+    df = docs(spark, [(i, t, "en", "s") for i, t in rows]).select("doc_id", "text").repartition(6)
+    held = {r.bucket: r.n for r in substring.moved_windows(df, 50, 6, 5).groupBy("bucket").agg(F.sum(F.length("packed") + F.coalesce(F.length("linked"), F.lit(0))).alias("n")).collect()}
+    assert len(held) >= 8 and max(held.values()) <= 2 * sum(held.values()) / len(held)
+    got = {r.doc_id for r in substring.repeated(df).collect()}
+    assert got == {i for i, _ in rows if i % 3 == 0}
+
+
+def test_groups_of_packing_are_even(spark):
+    """Groups are sized by bytes, so some very long texts do not make a group larger than others; one id on many rows fills none."""
+    rows = [(i, "word " * (40_000 if i % 50 == 0 else 300), "en", "s") for i in range(400)] + [(7, "the same", "en", "s")] * 400
+    out = packing.pack(docs(spark, rows).repartition(5), TOKENS, group_bytes=1 << 18)
+    held = {r.g: r.n for r in out.groupBy(F.shiftright("sequence_id", 32).alias("g")).agg(F.sum("length").alias("n")).collect()}
+    assert len(held) >= 8 and max(held.values()) <= 3 * sum(held.values()) / len(held)
+    again = packing.pack(docs(spark, rows).repartition(5), TOKENS, group_bytes=1 << 18)
+    key = lambda df: sorted((r.doc_id, r.start, r.length, r.sequence_id, r.offset) for r in df.drop("ids").collect())
+    assert key(again) == key(out)
+
+
 def test_passages_whose_parts_occur_before():
     rng = np.random.default_rng(4)
     say = lambda n: rng.integers(0, 1 << 62, n).astype(np.uint64)
