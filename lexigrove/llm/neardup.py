@@ -8,9 +8,10 @@ known probability, and there are enough segments to find `recall` of the pairs j
 Segments are about log2(n) bits long, so what chance puts into a bucket does not grow with the table. What meets is held
 against all bits, then against the texts.
 
-A segment that very many texts share (a large group of near copies) would give all pairs. There all who meet are held
-against the first of the bucket; those that are verified copies of it are done, and the rest goes on with the first of the
-rest, until few are left, which are held against all. So a group of copies costs a few comparisons for each member.
+A segment that very many texts share (a large group of near copies) would give all pairs. So all texts of a bucket are
+first held against one of them, and then another, which joins most of such a group at a few comparisons for each member.
+Texts that are joined are not compared with each other any more: what is left are those outside the largest group of a
+bucket, which look for texts of other groups.
 """
 
 from __future__ import annotations
@@ -27,11 +28,8 @@ from .common import dropped, free_names, give_back, small_batches, staged
 from .components import components
 from .substring import _mix, _neighbours, _shingles, _slices, _word_hashes
 
-#: Texts in a bucket from which on it is a crowd.
-CROWD = 64
-#: Texts that a bucket is held against one by one; what is left then is compared in blocks.
-LEADERS = 12
-BLOCK = 1024
+#: Texts of a bucket that all of it is held against, one after the other, before the rest is compared.
+STARS = 3
 
 
 def plan(n: int, similarity: float, recall: float = 0.95) -> tuple[int, int, int, int]:
@@ -41,7 +39,7 @@ def plan(n: int, similarity: float, recall: float = 0.95) -> tuple[int, int, int
     meets = (1 - p) ** width + width * p * (1 - p) ** (width - 1)
     segments = max(2, ceil(log(1 - recall) / log(1 - meets)) if meets < 1 else 1)
     words = ceil(width * segments / 64)
-    return width, 64 * words // width, words, int(64 * words * p + 4 * sqrt(64 * words * p * (1 - p)))
+    return width, 64 * words // width, words, int(64 * words * p + 2.5 * sqrt(64 * words * p * (1 - p)))
 
 
 def prints(shingles: np.ndarray, words: int) -> list[int]:
@@ -123,64 +121,35 @@ def links(classes: DataFrame, told: DataFrame, width: int, segments: int, words:
     own = [F.col(f"q{k}") for k in range(words)]
     close = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(p, own)), F.lit(0)) <= most
     key = lambda i, bits: bits.bitwiseOR(F.lit(i << 32))
-    spread = [key(i, _segment(p, i * width, width)) for i in range(segments)]
-    stored = classes.select("class", *p, F.explode(F.array(*spread)).alias("key"))
+    spread = F.array(*[key(i, _segment(p, i * width, width)) for i in range(segments)])
+    pair = [F.least("of", "class").alias("a"), F.greatest("of", "class").alias("b")]
+    stored = classes.select("class", *p, F.explode(spread).alias("key"))
+    found, roots = None, classes.select("class", F.col("class").alias("root"))
+    for seed in range(STARS):
+        # each bucket is held against one of its texts, another one each time
+        first = F.min_by(F.struct(F.col("class").alias("of"), *[x.alias(f"q{k}") for k, x in enumerate(p)]), F.struct(F.xxhash64("class", F.lit(seed)), "class")).alias("first")
+        star = stored.groupBy("key").agg(first, F.count("*").alias("n")).where("n > 1").select("key", "first.*")
+        pairs = stored.join(star.hint("merge"), "key").where("of <> class").where(close).select(*pair).distinct()
+        good = staged(_verified(_across(pairs, roots), told, shingle, similarity), "neardup-star")
+        found = good if found is None else found.unionByName(good)
+        linked = components(found, "neardup-first").withColumnRenamed("node", "class")
+        roots = staged(classes.select("class").join(linked, "class", "left").select("class", F.coalesce("root", "class").alias("root")), "neardup-roots")
+    # who is in the largest group of a bucket need not be met there by others of it
+    stored = stored.join(roots, "class")
+    groups = stored.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("largest"))
+    rest = stored.join(groups.hint("merge"), "key").where("root <> largest or n = 1").select("key", "class", *p, "root")
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << b).cast("long") for b in range(width)])
-    asked = classes.select(F.col("class").alias("of"), *[x.alias(f"q{k}") for k, x in enumerate(p)], F.explode(F.array(*spread)).alias("k")).withColumn("key", F.explode(F.transform(flips, lambda m: F.col("k").bitwiseXOR(m)))).drop("k")
-    crowds = staged(stored.groupBy("key").count().where(F.col("count") > CROWD).select("key"), "neardup-crowds")
+    asked = classes.join(roots, "class").select(F.col("class").alias("of"), F.col("root").alias("of_root"), *[x.alias(f"q{k}") for k, x in enumerate(p)], F.explode(spread).alias("k"))
+    asked = asked.withColumn("key", F.explode(F.transform(flips, lambda m: F.col("k").bitwiseXOR(m)))).drop("k")
     # Spark takes exploded tables for as small as before; neither is one to broadcast
-    thin = stored.join(crowds, "key", "left_anti").join(asked.hint("merge"), "key").where("of < class").where(close)
-    found = staged(_verified(thin.select(F.col("of").alias("a"), F.col("class").alias("b")).distinct(), told, shingle, similarity), "neardup-links")
-    if crowds.isEmpty():
-        return found
-    rest = staged(asked.join(crowds, "key", "left_semi"), "neardup-rest")  # all who meet in a crowd, the stored ones among them
-    everyone = rest
-    for _ in range(LEADERS):
-        few = rest.groupBy("key").agg(F.count("*").alias("n"), F.min("of").alias("class"))
-        leaders = few.join(classes, "class")
-        pairs = rest.hint("merge").join(leaders.select("key", "class", *p), "key").where("of <> class").where(close).select("key", F.least("of", "class").alias("a"), F.greatest("of", "class").alias("b"), "of")
-        pairs = staged(pairs, "neardup-pairs")
-        good = staged(_verified(pairs.select("a", "b").distinct(), told, shingle, similarity), "neardup-good")
-        found = found.unionByName(good)
-        done = pairs.join(good, ["a", "b"], "left_semi").select("key", "of").unionByName(few.select("key", F.col("class").alias("of")))
-        rest = staged(rest.join(done, ["key", "of"], "left_anti"), "neardup-rest")
-        sizes = rest.groupBy("key").count()
-        last = rest.join(sizes.where(F.col("count") <= CROWD), "key", "left_semi")
-        # few are left in a bucket: they are held against all that meet there
-        ends = last.select("key", F.col("of").alias("class"), *[F.col(f"q{k}").alias(f"p{k}") for k in range(words)])
-        some = everyone.join(ends.hint("merge"), "key").where("of <> class").where(close).select(F.least("of", "class").alias("a"), F.greatest("of", "class").alias("b")).distinct()
-        found = found.unionByName(staged(_verified(some, told, shingle, similarity), "neardup-last"))
-        rest = staged(rest.join(sizes.where(F.col("count") > CROWD), "key", "left_semi"), "neardup-rest")
-        if rest.isEmpty():
-            return found
-    return found.unionByName(staged(_verified(_in_blocks(rest, everyone, words, most), told, shingle, similarity), "neardup-blocks"))
-
-
-def _in_blocks(rest: DataFrame, everyone: DataFrame, words: int, most: int, nearest: int = 4) -> DataFrame:
-    """Pairs (a, b) of buckets that no few leaders stand for: who is left with the nearest of each block of all who meet there."""
-    blocks = lambda df, name: df.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
-    sizes = blocks(rest, "rows").join(blocks(everyone, "columns"), "key")
-    sizes = staged(sizes, "neardup-sizes")
-    place = lambda n: F.pmod(F.xxhash64("of"), n).cast("int")
-    copied = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = rest.join(sizes, "key").withColumns({"i": place("rows"), "j": copied("columns"), "asks": F.lit(True)})
-    right = everyone.join(sizes, "key").withColumns({"i": copied("rows"), "j": place("columns"), "asks": F.lit(False)})
-    names = ["key", "i", "j", "asks", "of", *[f"q{k}" for k in range(words)]]
-
-    def near(table: pa.Table) -> pa.Table:
-        asks, ids = table.column("asks").to_numpy(), table.column("of").to_numpy()
-        p = np.stack([table.column(f"q{k}").to_numpy().view(np.uint64) for k in range(words)])
-        held, out = np.flatnonzero(~asks), []
-        for i in np.flatnonzero(asks).tolist():
-            apart = np.bitwise_count(p[:, i : i + 1] ^ p[:, held]).sum(axis=0, dtype=np.int64)
-            apart[ids[held] == ids[i]] = most + 1
-            for k in np.argsort(apart, kind="stable")[:nearest].tolist():
-                if apart[k] <= most:
-                    out.append((min(ids[i], ids[held[k]]), max(ids[i], ids[held[k]])))
-        a, b = zip(*out) if out else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return left.select(*names).unionByName(right.select(*names)).groupBy("key", "i", "j").applyInArrow(near, "a long, b long").distinct()
+    met = rest.join(asked.hint("merge"), "key").where("of_root <> root").where(close).select(*pair).distinct()
+    return found.unionByName(staged(_verified(met, told, shingle, similarity), "neardup-rest"))
+
+
+def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose texts are in different groups."""
+    of = lambda c: roots.select(F.col("class").alias(c), F.col("root").alias(f"{c}_root"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").where("a_root <> b_root").select("a", "b")
 
 
 def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.95) -> DataFrame:
