@@ -11,7 +11,7 @@ against all bits, then against the texts.
 A segment that very many texts share (a large group of near copies) would give all pairs. So all texts of a bucket are
 first held against one of them, and then another, which joins most of such a group at a few comparisons for each member.
 Texts that are joined are not compared with each other any more: what is left are those outside the largest group of a
-bucket, which look for texts of other groups.
+bucket, which look for texts of other groups. Only a group of over `CROWD` texts is left out so.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from .substring import _mix, _neighbours, _shingles, _slices, _word_hashes
 
 #: Texts of a bucket that all of it is held against, one after the other, before the rest is compared.
 STARS = 3
+#: A group with more texts than this in a bucket is met there through the stars only.
+CROWD = 32
 
 
 def plan(n: int, similarity: float, recall: float = 0.95) -> tuple[int, int, int, int]:
@@ -134,10 +136,10 @@ def links(classes: DataFrame, told: DataFrame, width: int, segments: int, words:
         found = good if found is None else found.unionByName(good)
         linked = components(found, "neardup-first").withColumnRenamed("node", "class")
         roots = staged(classes.select("class").join(linked, "class", "left").select("class", F.coalesce("root", "class").alias("root")), "neardup-roots")
-    # who is in the largest group of a bucket need not be met there by others of it
+    # who is in a large group of a bucket, its largest, need not be met there by others of it
     stored = stored.join(roots, "class")
-    groups = stored.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("largest"))
-    rest = stored.join(groups.hint("merge"), "key").where("root <> largest or n = 1").select("key", "class", *p, "root")
+    groups = stored.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("largest"))
+    rest = stored.join(groups.hint("merge"), "key").where((F.col("root") != F.col("largest.root")) | (F.col("largest.n") <= CROWD)).select("key", "class", *p, "root")
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << b).cast("long") for b in range(width)])
     asked = classes.join(roots, "class").select(F.col("class").alias("of"), F.col("root").alias("of_root"), *[x.alias(f"q{k}") for k, x in enumerate(p)], F.explode(spread).alias("k"))
     asked = asked.withColumn("key", F.explode(F.transform(flips, lambda m: F.col("k").bitwiseXOR(m)))).drop("k")

@@ -52,12 +52,11 @@ def test_on_documents(spark, sf):
     assert sorted(r.doc_id for r in got) == brute_kept(rows)
 
 
-@pytest.mark.parametrize("leaders", [1, 12])
-def test_crowds(spark, monkeypatch, leaders):
-    """Buckets that all share: by leaders, and where one is not enough, in blocks."""
+@pytest.mark.parametrize("stars", [1, 3])
+def test_crowds(spark, monkeypatch, stars):
+    """Buckets that all share: by stars, and who they leave out in groups of any size."""
     monkeypatch.setattr(neardup, "CROWD", 4)
-    monkeypatch.setattr(neardup, "LEADERS", leaders)
-    monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "STARS", stars)
     monkeypatch.setattr(neardup, "plan", lambda n, similarity, recall: (8, 8, 1, 21))
     rows = copies(7, groups=12, sizes=(30, 60), edits=3)
     rows += [(len(rows) + i, t) for i, t in enumerate(dict.fromkeys(t for _, t in copies(8, groups=200, sizes=(1,))))]
