@@ -11,7 +11,8 @@ against all bits, then against the texts.
 A segment that very many texts share (a large group of near copies) would give all pairs. So all texts of a bucket are
 first held against one of them, and then another, which joins most of such a group at a few comparisons for each member.
 Texts that are joined are not compared with each other any more: what is left are those outside the largest group of a
-bucket, which look for texts of other groups. Only a group of over `CROWD` texts is left out so.
+bucket, which look for texts of other groups. Only a group of over `CROWD` texts is left out so; the crowds of two
+neighbouring buckets are held against each other where they are different groups, so no pair that shares a ball is lost.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from .substring import _mix, _neighbours, _shingles, _slices, _word_hashes
 
 #: Texts of a bucket that all of it is held against, one after the other, before the rest is compared.
 STARS = 3
-#: A group with more texts than this in a bucket is met there through the stars only.
+#: A group with more texts than this in a bucket is held against other groups only, never against itself.
 CROWD = 32
 
 
@@ -139,13 +140,22 @@ def links(classes: DataFrame, told: DataFrame, width: int, segments: int, words:
     # who is in a large group of a bucket, its largest, need not be met there by others of it
     stored = stored.join(roots, "class")
     groups = stored.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("largest"))
-    rest = stored.join(groups.hint("merge"), "key").where((F.col("root") != F.col("largest.root")) | (F.col("largest.n") <= CROWD)).select("key", "class", *p, "root")
+    crowded = (F.col("root") == F.col("largest.root")) & (F.col("largest.n") > CROWD)
+    placed = stored.join(groups.hint("merge"), "key")
+    rest = placed.where(~crowded).select("key", "class", *p, "root")
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << b).cast("long") for b in range(width)])
     asked = classes.join(roots, "class").select(F.col("class").alias("of"), F.col("root").alias("of_root"), *[x.alias(f"q{k}") for k, x in enumerate(p)], F.explode(spread).alias("k"))
     asked = asked.withColumn("key", F.explode(F.transform(flips, lambda m: F.col("k").bitwiseXOR(m)))).drop("k")
     # Spark takes exploded tables for as small as before; neither is one to broadcast
-    met = rest.join(asked.hint("merge"), "key").where("of_root <> root").where(close).select(*pair).distinct()
-    return found.unionByName(staged(_verified(met, told, shingle, similarity), "neardup-rest"))
+    met = rest.join(asked.hint("merge"), "key").where("of_root <> root").where(close).select(*pair)
+    # two crowds of neighbouring buckets: neither is in the rest of its own
+    crowds = placed.where(crowded).select("key", "class", *p)
+    held = groups.where(F.col("largest.n") > CROWD).select("key", F.col("largest.root").alias("root"))
+    beside = held.withColumn("other", F.explode(F.transform(flips, lambda m: F.col("key").bitwiseXOR(m)))).where("key < other")
+    beside = beside.join(held.select(F.col("key").alias("other"), F.col("root").alias("other_root")).hint("merge"), "other").where("root <> other_root").select("key", "other")
+    one = crowds.join(beside.hint("merge"), "key").select("other", F.col("class").alias("of"), *[x.alias(f"q{k}") for k, x in enumerate(p)])
+    between = one.join(crowds.withColumnRenamed("key", "other").hint("merge"), "other").where(close).select(*pair)
+    return found.unionByName(staged(_verified(met.unionByName(between).distinct(), told, shingle, similarity), "neardup-rest"))
 
 
 def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Near-duplicates by verified similarity, against brute force over all pairs."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lexigrove.llm import neardup
@@ -65,6 +66,38 @@ def test_crowds(spark, monkeypatch, stars):
     assert set(want) <= set(kept) and len(kept) <= len(want) + 1  # none too few; a link may be missed
 
 
+def test_crowds_miss_no_candidate(spark, monkeypatch):
+    """Groups are those of all similar pairs that share a ball, though crowds fill the buckets and stars join little."""
+    width, segments, words, most = 8, 2, 1, 24
+    monkeypatch.setattr(neardup, "CROWD", 2)
+    monkeypatch.setattr(neardup, "STARS", 1)
+    monkeypatch.setattr(neardup, "plan", lambda n, similarity, recall: (width, segments, words, most))
+    rows = list({t: (i, t) for i, t in copies(11, groups=12, sizes=(20, 30), edits=6)}.values())
+    found, bounds = neardup._word_hashes(pa.array([t for _, t in rows]))
+    hashes = [np.unique(neardup._shingles(found[s:e], 5)) for s, e in zip(bounds[:-1], bounds[1:])]
+    bits = {i: np.unpackbits(np.array(neardup.prints(h, words), np.int64).view(np.uint8), bitorder="little") for (i, _), h in zip(rows, hashes)}
+    sets = {i: shingles(t) for i, t in rows}
+
+    def linked(a, b):
+        differ = bits[a] ^ bits[b]
+        near = differ.sum() <= most and min(differ[k * width : (k + 1) * width].sum() for k in range(segments)) <= 1
+        return near and similar(sets[a], sets[b])
+
+    want = sorted(set(brute_components(sorted(sets), linked).values()))
+    got = neardup.deduplicated(docs(spark, [(i, t, "en", "s") for i, t in rows]))
+    assert sorted(r.doc_id for r in got.collect()) == want
+
+
+def test_crowds_of_neighbouring_buckets(spark, monkeypatch):
+    """Two crowds that only a flipped bit brings together, each the largest group of its bucket, are linked."""
+    monkeypatch.setattr(neardup, "CROWD", 2)
+    told = np.arange(40, dtype="<u2").tobytes()
+    prints = {0: 0x0F00, 1: 0xF001}  # one bit apart in the first segment, all in the second
+    classes = spark.createDataFrame([(i, prints[i % 2]) for i in range(12)], "class long, p0 long")
+    found = neardup.links(classes, spark.createDataFrame([(i, told) for i in range(12)], "class long, told binary"), 8, 2, 1, 64, 5, 0.8)
+    assert {r.root for r in neardup.components(found).collect()} == {0}
+
+
 def test_odd(spark):
     df = docs(spark, [*ODD, (8, "THE\tcat  sat", "en", "z"), (9, "the cat", "en", "z"), (10, "the word of " * 19000, "en", "b")])
     got = neardup.deduplicated(df)
