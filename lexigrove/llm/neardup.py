@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, free_names, give_back, small_batches, staged
+from .common import dropped, free_names, give_back, shuffles_go, small_batches, staged
 from .components import components
 from .substring import _mix, _neighbours, _shingles, _slices, _word_hashes
 
@@ -57,12 +57,17 @@ def prints(shingles: np.ndarray, words: int) -> list[int]:
     return out
 
 
+def _told_set(told: bytes, shingle: int) -> np.ndarray:
+    """The distinct shingles of a text, from what `told` keeps of each pair of words."""
+    return np.unique(_shingles(np.frombuffer(told, "<u2").astype(np.uint64), shingle - 1))
+
+
 def described(rows: DataFrame, shingle: int, words: int) -> DataFrame:
-    """(none, id, h, text) to (none, id, h, n, p0 .., told): shingles, fingerprint, and two bytes for each pair of words.
+    """(none, id, h, text) to (none, id, h, n, d, p0 .., told): shingles, distinct ones, fingerprint, two bytes for each pair of words.
 
     Texts under `shingle` words have no fingerprint, and `told` holds their words.
     """
-    schema = "none boolean, id long, h long, n long, " + ", ".join(f"p{k} long" for k in range(words)) + ", told binary"
+    schema = "none boolean, id long, h long, n long, d long, " + ", ".join(f"p{k} long" for k in range(words)) + ", told binary"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,15 +76,17 @@ def described(rows: DataFrame, shingle: int, words: int) -> DataFrame:
                 own = batch.slice(begin, len(texts))
                 begin += len(texts)
                 found, bounds = _word_hashes(texts)
-                p, told = [], []
+                p, d, told = [], [], []
                 for s, e in zip(bounds[:-1], bounds[1:]):
                     part = found[s:e]
                     long = len(part) >= shingle
                     p.append(prints(np.unique(_shingles(part, shingle)), words) if long else [0] * words)
                     told.append(_neighbours(part).tobytes() if long else part.tobytes())
+                    # of what the check compares
+                    d.append(len(_told_set(told[-1], shingle)) if long else 0)
                 n = np.maximum(np.diff(bounds) - shingle + 1, 0)
-                columns = [own.column(0), own.column(1), own.column(2), pa.array(n, pa.int64()), *[pa.array([x[k] for x in p], pa.int64()) for k in range(words)], pa.array(told, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["none", "id", "h", "n", *[f"p{k}" for k in range(words)], "told"])
+                columns = [own.column(0), own.column(1), own.column(2), pa.array(n, pa.int64()), pa.array(d, pa.int64()), *[pa.array([x[k] for x in p], pa.int64()) for k in range(words)], pa.array(told, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["none", "id", "h", "n", "d", *[f"p{k}" for k in range(words)], "told"])
         give_back()
 
     return rows.select("none", "id", "h", "text").mapInArrow(read, schema)
@@ -94,7 +101,7 @@ def _segment(cols: list[Column], at: int, width: int) -> Column:
 
 
 def _verified(pairs: DataFrame, told: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of classes whose sets of shingles are similar enough; told: (class, told)."""
+    """The pairs (a, b) of classes whose sets of shingles are similar enough; told: (class, d, told)."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, np.ndarray] = {}
@@ -103,7 +110,7 @@ def _verified(pairs: DataFrame, told: DataFrame, shingle: int, similarity: float
             if key not in sets:
                 if len(sets) >= 256:
                     sets.clear()
-                sets[key] = np.unique(_shingles(np.frombuffer(data.as_py(), "<u2").astype(np.uint64), shingle - 1))
+                sets[key] = _told_set(data.as_py(), shingle)
             return sets[key]
 
         for batch in batches:
@@ -114,6 +121,10 @@ def _verified(pairs: DataFrame, told: DataFrame, shingle: int, similarity: float
                 good.append(both >= similarity * (len(one) + len(two) - both))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
+    # sets whose sizes are too far apart cannot be similar: those pairs go before any text is sent
+    sizes = lambda c: told.select(F.col("class").alias(c), F.col("d").alias(f"{c}_d"))
+    able = F.least("a_d", "b_d") >= similarity * F.greatest("a_d", "b_d")
+    pairs = pairs.join(sizes("a"), "a").join(sizes("b"), "b").where(able).select("a", "b")
     named = lambda c: told.select(F.col("class").alias(c), F.col("told").alias(f"{c}_told"))
     return pairs.join(named("b"), "b").join(named("a"), "a").select("a", "b", "a_told", "b_told").mapInArrow(check, "a long, b long")
 
@@ -134,9 +145,11 @@ def links(classes: DataFrame, told: DataFrame, width: int, segments: int, words:
         star = stored.groupBy("key").agg(first, F.count("*").alias("n")).where("n > 1").select("key", "first.*")
         pairs = stored.join(star.hint("merge"), "key").where("of <> class").where(close).select(*pair).distinct()
         good = staged(_verified(_across(pairs, roots), told, shingle, similarity), "neardup-star")
+        shuffles_go(told)
         found = good if found is None else found.unionByName(good)
         linked = components(found, "neardup-first").withColumnRenamed("node", "class")
         roots = staged(classes.select("class").join(linked, "class", "left").select("class", F.coalesce("root", "class").alias("root")), "neardup-roots")
+    shuffles_go(told)
     # who is in a large group of a bucket, its largest, need not be met there by others of it
     stored = stored.join(roots, "class")
     groups = stored.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("largest"))
@@ -180,9 +193,10 @@ def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, rec
     same = {"w1": F.xxhash64("told", F.lit(1)), "w2": F.xxhash64(F.lit(2), "told")}
     classes = told.withColumns(same).groupBy("n", "w1", "w2", *p).agg(F.min(F.struct("none", "id", "h")).alias("least"))
     classes = staged(classes.withColumn("class", F.monotonically_increasing_id()), "neardup-classes")
+    shuffles_go(classes)
     long = classes.where("n > 0")
     # of rows that are alike in all, one tells the words
-    first = long.select("class", "least.*").join(told.select("none", F.col("id").alias("__id"), F.col("h").alias("__h"), "told").dropDuplicates(["__h", "__id"]), (F.col("h") == F.col("__h")) & F.col("id").eqNullSafe(F.col("__id"))).select("class", "told")
+    first = long.select("class", "least.*").join(told.select("none", F.col("id").alias("__id"), F.col("h").alias("__h"), "d", "told").dropDuplicates(["__h", "__id"]), (F.col("h") == F.col("__h")) & F.col("id").eqNullSafe(F.col("__id"))).select("class", "d", "told")
     linked = components(links(long.select("class", *p), staged(first, "neardup-told"), width, segments, words, most, shingle, similarity), "neardup")
     best = classes.join(linked.withColumnRenamed("node", "class"), "class", "left").groupBy(F.coalesce("root", "class")).agg(F.min("least").alias(row)).select(row)
     chosen = staged(best, "neardup-best")
