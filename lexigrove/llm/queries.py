@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding, html, langid, mix, packing, pii, quality, simhash, substring, urlfilter
-from .common import table
+from . import divergence, embedding, html, langid, mix, negatives, packing, pii, planes, quality, simhash, substring, urlfilter
+from .common import shared_dir, table
 
 #: A key for the queries; jobs pass their own secret.
 PII_KEY = "a key for tests"
@@ -67,7 +69,41 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_substring_dedup, op4_url_filter, op5_simhash, op6_quality_rules, op7_packing, op8_html_text, op9_embedding_dedup, op10_pii_pseudonyms)}
+def op11_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = f"{shared_dir(spark)}/lexigrove/ids-{uuid.uuid4().hex}"
+    planes.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return planes.documents(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_mix_sources,
+        op2_language_id,
+        op3_substring_dedup,
+        op4_url_filter,
+        op5_simhash,
+        op6_quality_rules,
+        op7_packing,
+        op8_html_text,
+        op9_embedding_dedup,
+        op10_pii_pseudonyms,
+        op11_token_planes,
+        op12_hard_negatives,
+        op13_source_divergence,
+    )
+}
 
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 _URLS = f"""WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -111,5 +147,27 @@ r AS (SELECT a AS root, a AS id FROM l UNION SELECT root, l.b FROM r JOIN l ON l
 c AS (SELECT id, min(root) AS component FROM r GROUP BY id), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component, vec_id) AS component_id, vec_id = coalesce(component, vec_id) AS kept FROM embeddings LEFT JOIN n ON a = vec_id LEFT JOIN c ON id = vec_id"""
 
+_NEGATIVES = """WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS score FROM v a JOIN v b ON a.id % 100 = 0 AND a.id <> b.id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 10"""
+
+_DIVERGENCE = r"""WITH d AS (SELECT row_number() OVER () AS doc, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+t AS (SELECT doc, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS lang_n FROM t GROUP BY lang, term HAVING count(DISTINCT doc) >= 10),
+l AS (SELECT lang, count(*) AS v, sum(lang_n) AS total FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+m AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL),
+f AS (SELECT g.lang, g.source, k.term, k.lang_n, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (coalesce(m.total, 0) + 2 * l.v) AS p, 1 + (1000000000::HUGEINT * (k.lang_n + 2)) // (l.total + 2 * l.v) AS q
+  FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN m USING (lang, source) LEFT JOIN c USING (lang, source, term)),
+x AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM f a JOIN f b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM f WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, (row_number() OVER w)::INTEGER AS rank FROM r WINDOW w AS (PARTITION BY lang, source, part ORDER BY value DESC, item) QUALIFY part = 'pair' OR row_number() OVER w <= 10"""
+
 #: The others hash with functions that SQL lacks, or learn, parse and pack; tests/llm holds them against brute force.
-ORACLES: dict[str, str] = {"op4_url_filter": _URLS, "op6_quality_rules": _QUALITY, "op9_embedding_dedup": _VECTORS}
+ORACLES: dict[str, str] = {"op4_url_filter": _URLS, "op6_quality_rules": _QUALITY, "op9_embedding_dedup": _VECTORS, "op12_hard_negatives": _NEGATIVES, "op13_source_divergence": _DIVERGENCE}
