@@ -522,72 +522,6 @@ def without_prefixes(paths: DataFrame) -> DataFrame:
     return best.join(heads, "key", "left_anti").drop("key")
 
 
-class AnswerPaths:
-    """Paths of proof for one question: the best reference edge, and from its target on along references, else along children.
-
-    Edges and children are scored in the cluster; the `most` best of each reach the driver, where the walk goes on.
-    """
-
-    def __init__(self, roots: int = 12, paths: int = 6, depth: int = 6, fan_out: int = 2, most: int = 10_000, adjudicate=None):
-        self.roots, self.paths, self.depth, self.fan_out, self.most, self.adjudicate = roots, paths, depth, fan_out, most, adjudicate
-
-    @staticmethod
-    def semantic(question: str, text: str) -> Column:
-        """How well a text fits a question: its tokens, and whether it names the action asked for."""
-        tokens, q = question_tokens(question), folded(question)
-        acts = [question_tokens(a) for a in ACTIONS if folded(a) in q]
-        own = T.token_set(text)
-        has = F.lit(False)
-        for a in acts:
-            has = has | (F.size(F.array_except(F.array(*map(F.lit, a)).cast("array<string>"), own)) == 0)
-        return 0.45 * _overlap(own, tokens) + 0.35 * has.cast("double")
-
-    def edge_scores(self, question: str, edges: DataFrame, anchors: list[str], preferred: list[str] = ()) -> DataFrame:
-        facets = requested_facets(question)
-        meaning = 0.40 * self.semantic(question, "source_text") + 0.60 * self.semantic(question, "target_text")
-        anchor = F.lit(False)
-        for a in anchors:
-            anchor = anchor | T.related("source_locator", F.lit(a))
-        fit = F.when((F.col("relation_type") == "REQUIRES_CONDITION_FROM") & F.lit("CONDITION" in facets), 1.0).when((F.col("relation_type") == "EXCEPTION_REFERENCE") & F.lit("EXCEPTION" in facets), 1.0).when(F.col("relation_type") == "INHERITS_RIGHTS_OBLIGATIONS", 0.75).when(F.col("relation_type") == "DIRECT_REFERENCE", 0.25).otherwise(0.0)
-        liked = (F.col("source_locator").isin(list(preferred)) | F.col("target_locator").isin(list(preferred))).cast("double") if preferred else F.lit(0.0)
-        score = 0.50 * meaning + 0.22 * anchor.cast("double") + 0.15 * fit + 0.08 * liked + 0.05 * T.locator_depth("source_locator") / 2
-        return edges.where(~F.col("target_id").startswith("external:")).withColumn("score", F.round(score, 6))
-
-    def build(self, question: str, edges: DataFrame, children_: DataFrame, anchors: list[str], preferred: list[str] = ()) -> list[dict]:
-        """Paths as lists of (source, type, target), best first. children_: (parent_locator, locator, text)."""
-        scored = self.edge_scores(question, edges, anchors, preferred)
-        top = Window.partitionBy("source_locator").orderBy(F.desc("score"), "target_locator")
-        out = scored.withColumn("__n", F.row_number().over(top)).where(F.col("__n") <= self.fan_out).select("source_locator", "relation_type", "target_locator", "score")
-        next_: dict[str, list] = {}
-        for r in sorted(out.orderBy(F.desc("score"), "source_locator", "target_locator").limit(self.most).collect(), key=lambda r: (r["source_locator"], -r["score"], r["target_locator"])):
-            next_.setdefault(r["source_locator"], []).append((r["target_locator"], r["relation_type"], r["score"]))
-        kids = children_.withColumn("score", 0.55 * self.semantic(question, "text"))
-        best = Window.partitionBy("parent_locator").orderBy(F.desc("score"), "locator")
-        below_: dict[str, list] = {}
-        for r in kids.withColumn("__n", F.row_number().over(best)).where((F.col("__n") <= self.fan_out) & (F.col("score") >= 0.1)).orderBy(F.desc("score"), "parent_locator", "__n").limit(self.most).collect():
-            below_.setdefault(r["parent_locator"], []).append((r["locator"], "HAS_CHILD", r["score"]))
-        for best_first in below_.values():
-            best_first.sort(key=lambda x: (-x[2], x[0]))
-
-        def walk(node: str, steps: list, total: float):
-            seen = {s for e in steps for s in (e[0], e[2])}
-            onward = [x for x in next_.get(node) or below_.get(node, []) if x[0] not in seen] if len(steps) < self.depth else []
-            if not onward:
-                return [(steps, total)]
-            return [p for to, kind, s in onward for p in walk(to, [*steps, (node, kind, to)], total + s)]
-
-        roots = [r for r in scored.where("score > 0").orderBy(F.desc("score"), "source_locator", "target_locator").limit(self.roots).collect()]
-        if self.adjudicate:
-            roots = self.adjudicate(question, roots)
-        done = []
-        for r in roots:
-            for steps, total in walk(r["target_locator"], [(r["source_locator"], r["relation_type"], r["target_locator"])], r["score"]):
-                done.append((0.70 * r["score"] + 0.30 * (total - r["score"]) / max(1, len(steps) - 1), steps))
-        whole = [x for x in done if not any(len(y[1]) > len(x[1]) and y[1][: len(x[1])] == x[1] for y in done)]
-        whole.sort(key=lambda x: (-x[0], -len(x[1]), x[1]))
-        return [{"score": s, "steps": steps} for s, steps in whole if steps[0] == whole[0][1][0]][: self.paths]
-
-
 # The pipeline.
 def route_questions(questions: DataFrame, text: str = "question", probabilities: Column | None = None) -> DataFrame:
     """With signals, activated, uncertain and routing_source.
@@ -731,7 +665,16 @@ def answer_context(question: str, nodes: DataFrame, vectors: DataFrame, query_ve
         kept = gate(ranked, decide(question, ranked))
     liked = [r["canonical_locator"] for r in kept.select("canonical_locator").distinct().collect() if r["canonical_locator"]]  # `limit` rows
     below_ = (kids if kids is not None else down(all_paths, None)).withColumn("locator", T.locator_of("node_id", law)).select("parent_locator", "locator", "text")
-    answers = AnswerPaths().build(question, all_paths, below_, locators, liked)
+    from .answers import answer_paths  # which takes the phrases of questions from here
+
+    one = lambda df: df.withColumn("question_id", F.lit(0))
+    numbered = lambda df: one(df).withColumn("place", F.monotonically_increasing_id())
+    texts = staged(numbered(all_paths.select("source_locator", "relation_type", F.when(F.col("target_id").startswith("external:"), F.col("target_id")).otherwise(F.col("target_locator")).alias("target_locator"), "source_text", "target_text")), "answer-edges")
+    told = staged(numbered(anchors.select(T.locator_of("node_id", law).alias("locator"), F.coalesce("text", "title").alias("text"))), "answer-anchors")
+    best = spark.createDataFrame([(0, x) for x in liked], "question_id int, locator string")
+    asked_one = spark.createDataFrame([(0, question, "requires_reference_traversal" in on)], "question_id int, question string, traversal boolean")
+    found_paths, _ = answer_paths(asked_one, told, texts, staged(numbered(below_), "answer-children"), best)
+    answers = [{"score": r["score"], "steps": [tuple(x) for x in r["steps"]]} for r in found_paths.orderBy("place").collect()]  # six paths
     on_paths = sorted({x for p in answers for s in p["steps"] for x in (s[0], s[2])})
     more = forced_evidence(every, sorted(on), paths, auxiliary)
     proof = collect({"CHILD": kids} if kids is not None else {"ANCHOR": anchors.limit(0)}, all_paths, law).where(F.col("canonical_locator").isin(on_paths))

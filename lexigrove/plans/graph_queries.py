@@ -233,12 +233,6 @@ _SCORED = """x AS (SELECT *, list_filter(list_distinct(regexp_extract_all(replac
 sc AS (SELECT *, len(list_filter(ts, lambda t: t IN ('dieu', 'kien', 'dang'))) / 3.0 AS ov FROM x)"""
 
 
-@query(f"WITH {LAW}, {_SCORED} SELECT id, round(0.45 * ov + CASE WHEN list_contains(ts, 'dang') THEN 0.35 ELSE 0 END, 6)::DOUBLE AS score FROM sc")
-def text_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """How well texts fit a question: its tokens, and the action it names, of which the token of two letters does not count."""
-    return law(spark, sf).select("id", F.round(retrieve.AnswerPaths.semantic(_QUESTION, "text"), 6).alias("score"))
-
-
 @query(f"""WITH {LAW}, {_SCORED}, z AS (SELECT id, parent_id, position, round(CASE WHEN contains(said, 'dang ky') THEN 0.40 ELSE 0 END + 0.25 * ov + CASE WHEN regexp_matches(said, 'dieu kien|phai|da |co ') THEN 0.15 ELSE 0 END + 0.10, 6)::DOUBLE AS score,
 regexp_replace(locator, ':[^:]*$', '') AS up FROM sc WHERE k % 100 > 0), y AS (SELECT *, row_number() OVER (PARTITION BY up ORDER BY score DESC, position, id) AS n FROM z WHERE up IN ('LD2024:A1', 'LD2024:A2', 'LD2024:A2:K3', 'LD2024:A12:K4')) SELECT id AS node_id, up AS parent_locator, score FROM y WHERE n = 1 OR (n <= 5 AND score >= 0.25)""")
 def selected_children(spark: SparkSession, sf: str) -> DataFrame:
