@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import gc
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -42,12 +41,6 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def shuffles_go(df: DataFrame) -> None:
-    """Shuffle files of finished steps are deleted soon: Spark's cleaner does so once the driver's heap is collected."""
-    gc.collect()  # Python's handles on finished plans go first
-    df.sparkSession._jvm.System.gc()
-
-
 def words(text) -> F.Column:
     """The words `[^\\x20\\x09-\\x0D]+` of a text; null and blank texts have none."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

@@ -5,8 +5,10 @@ SimHash fingerprints of the distinct shingles, of as many bits as the table's si
 segments, every fingerprint is stored under each of its segments and looks up the ball of radius 1 around each. At the
 similarity in question a bit differs with probability acos(2s / (1 + s)) / pi, 0.15 at 0.8, so a segment of w bits meets with a
 known probability, and there are enough segments to find `recall` of the pairs just at the threshold; of closer ones more.
-Segments are about log2(n) bits long, so what chance puts into a bucket does not grow with the table. What meets is held
-against all bits, then against the texts.
+Segments are about log2(n) bits long, so what chance puts into a bucket does not grow with the table. Of two segments that
+differ in one bit one has an odd number of ones: only that one looks up its ball, which halves the look-ups. Each look-up
+carries one 64-bit word of the fingerprint, not the one its segment is from; what meets and is close in that word is held
+against all bits and sizes, then against the texts, of which only those in question are sent.
 
 A segment that very many texts share (a large group of near copies) would give all pairs. So all texts of a bucket are
 first held against one of them, and then another, which joins most of such a group at a few comparisons for each member.
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, free_names, give_back, shuffles_go, small_batches, staged
+from .common import dropped, free_names, give_back, small_batches, staged
 from .components import components
 from .substring import _mix, _neighbours, _shingles, _slices, _word_hashes
 
@@ -33,6 +35,8 @@ from .substring import _mix, _neighbours, _shingles, _slices, _word_hashes
 STARS = 3
 #: A group with more texts than this in a bucket is held against other groups only, never against itself.
 CROWD = 32
+#: Classes whose texts are asked for by a list that is sent to all tasks; more are joined.
+SENT = 1 << 20
 
 
 def plan(n: int, similarity: float, recall: float = 0.95) -> tuple[int, int, int, int]:
@@ -100,8 +104,12 @@ def _segment(cols: list[Column], at: int, width: int) -> Column:
     return both.bitwiseAND(F.lit((1 << width) - 1))
 
 
-def _verified(pairs: DataFrame, told: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of classes whose sets of shingles are similar enough; told: (class, d, told)."""
+def _verified(pairs: DataFrame, facts: DataFrame, told: DataFrame, words: int, most: int, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of classes in different groups whose sets of shingles are similar enough.
+
+    facts: (class, d, p0 .., root); told: (class, told). Sets whose sizes are too far apart and fingerprints with too many other
+    bits go before any text is sent.
+    """
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, np.ndarray] = {}
@@ -121,60 +129,68 @@ def _verified(pairs: DataFrame, told: DataFrame, shingle: int, similarity: float
                 good.append(both >= similarity * (len(one) + len(two) - both))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    # sets whose sizes are too far apart cannot be similar: those pairs go before any text is sent
-    sizes = lambda c: told.select(F.col("class").alias(c), F.col("d").alias(f"{c}_d"))
+    of = lambda c: facts.select(F.col("class").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in facts.columns if x != "class"])
     able = F.least("a_d", "b_d") >= similarity * F.greatest("a_d", "b_d")
-    pairs = pairs.join(sizes("a"), "a").join(sizes("b"), "b").where(able).select("a", "b")
+    close = sum((F.bit_count(F.col(f"a_p{k}").bitwiseXOR(F.col(f"b_p{k}"))) for k in range(words)), F.lit(0)) <= most
+    asked = staged(pairs.join(of("a"), "a").join(of("b"), "b").where((F.col("a_root") != F.col("b_root")) & able & close).select("a", "b"), "neardup-pairs")
+    ids = staged(asked.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "neardup-asked")
+    if ids.count() <= SENT:
+        told = told.join(F.broadcast(ids), "class", "left_semi")
     named = lambda c: told.select(F.col("class").alias(c), F.col("told").alias(f"{c}_told"))
-    return pairs.join(named("b"), "b").join(named("a"), "a").select("a", "b", "a_told", "b_told").mapInArrow(check, "a long, b long")
+    return asked.join(named("b"), "b").join(named("a"), "a").select("a", "b", "a_told", "b_told").mapInArrow(check, "a long, b long")
+
+
+def near_in_a_word(similarity: float) -> int:
+    """Bits of 64 in which fingerprints of similar sets differ at most, but for one pair of a thousand at the threshold."""
+    p = acos(2 * similarity / (1 + similarity)) / pi
+    return ceil(64 * p + 3.3 * sqrt(64 * p * (1 - p)))
 
 
 def links(classes: DataFrame, told: DataFrame, width: int, segments: int, words: int, most: int, shingle: int, similarity: float) -> DataFrame:
-    """Links (a, b) of classes (class, p0 ..) whose components are those of all verified candidates."""
+    """Links (a, b) of classes (class, d, p0 ..) whose components are those of all verified candidates."""
     p = [F.col(f"p{k}") for k in range(words)]
-    own = [F.col(f"q{k}") for k in range(words)]
-    close = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(p, own)), F.lit(0)) <= most
-    key = lambda i, bits: bits.bitwiseOR(F.lit(i << 32))
-    spread = F.array(*[key(i, _segment(p, i * width, width)) for i in range(segments)])
+    near = F.bit_count(F.col("v").bitwiseXOR(F.col("qv"))) <= (near_in_a_word(similarity) if words > 1 else most)
     pair = [F.least("of", "class").alias("a"), F.greatest("of", "class").alias("b")]
-    stored = classes.select("class", *p, F.explode(spread).alias("key"))
+    # of each segment the key, and a word that it is not from
+    spread = [F.struct(_segment(p, i * width, width).bitwiseOR(F.lit(i << 32)).alias("key"), p[(i * width // 64 + 1) % words].alias("v")) for i in range(segments)]
+    stored = classes.select("class", F.explode(F.array(*spread)).alias("s")).select("class", "s.key", "s.v")
     found, roots = None, classes.select("class", F.col("class").alias("root"))
     for seed in range(STARS):
         # each bucket is held against one of its texts, another one each time
-        first = F.min_by(F.struct(F.col("class").alias("of"), *[x.alias(f"q{k}") for k, x in enumerate(p)]), F.struct(F.xxhash64("class", F.lit(seed)), "class")).alias("first")
+        first = F.min_by(F.struct(F.col("class").alias("of"), F.col("v").alias("qv")), F.struct(F.xxhash64("class", F.lit(seed)), "class")).alias("first")
         star = stored.groupBy("key").agg(first, F.count("*").alias("n")).where("n > 1").select("key", "first.*")
-        pairs = stored.join(star.hint("merge"), "key").where("of <> class").where(close).select(*pair).distinct()
-        good = staged(_verified(_across(pairs, roots), told, shingle, similarity), "neardup-star")
-        shuffles_go(told)
+        pairs = stored.join(star.hint("merge"), "key").where("of <> class").where(near).select(*pair).distinct()
+        good = staged(_verified(pairs, classes.join(roots, "class"), told, words, most, shingle, similarity), "neardup-star")
         found = good if found is None else found.unionByName(good)
         linked = components(found, "neardup-first").withColumnRenamed("node", "class")
-        roots = staged(classes.select("class").join(linked, "class", "left").select("class", F.coalesce("root", "class").alias("root")), "neardup-roots")
-    shuffles_go(told)
+        before, roots = roots, staged(classes.select("class").join(linked, "class", "left").select("class", F.coalesce("root", "class").alias("root")), "neardup-roots")
+        dropped(before)
     # who is in a large group of a bucket, its largest, need not be met there by others of it
     stored = stored.join(roots, "class")
     groups = stored.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("largest"))
+    groups = staged(groups, "neardup-groups")
     crowded = (F.col("root") == F.col("largest.root")) & (F.col("largest.n") > CROWD)
     placed = stored.join(groups.hint("merge"), "key")
-    rest = placed.where(~crowded).select("key", "class", *p, "root")
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << b).cast("long") for b in range(width)])
-    asked = classes.join(roots, "class").select(F.col("class").alias("of"), F.col("root").alias("of_root"), *[x.alias(f"q{k}") for k, x in enumerate(p)], F.explode(spread).alias("k"))
-    asked = asked.withColumn("key", F.explode(F.transform(flips, lambda m: F.col("k").bitwiseXOR(m)))).drop("k")
+    rest = placed.where(~crowded).select("key", "class", "v", "root")
+    odd = F.bit_count(F.col("key").bitwiseAND(F.lit((1 << width) - 1))) % 2 == 1
+    flips = [F.lit(1 << b).cast("long") for b in range(width)]
+    ball = F.transform(F.when(odd, F.array(F.lit(0).cast("long"), *flips)).otherwise(F.array(F.lit(0).cast("long"))), lambda m: F.col("key").bitwiseXOR(m))
+    asked = stored.select(F.col("class").alias("of"), F.col("root").alias("of_root"), F.col("v").alias("qv"), F.explode(ball).alias("key"))
     # Spark takes exploded tables for as small as before; neither is one to broadcast
-    met = rest.join(asked.hint("merge"), "key").where("of_root <> root").where(close).select(*pair)
-    # two crowds of neighbouring buckets: neither is in the rest of its own
-    crowds = placed.where(crowded).select("key", "class", *p)
+    met = rest.join(asked.hint("merge"), "key").where("of_root <> root").where(near).select(*pair)
+    # crowds that an odd segment of the rest is beside, and two crowds of neighbouring buckets: none has been looked up
+    crowds = placed.where(crowded).select("key", "class", "v", "root")
     held = groups.where(F.col("largest.n") > CROWD).select("key", F.col("largest.root").alias("root"))
-    beside = held.withColumn("other", F.explode(F.transform(flips, lambda m: F.col("key").bitwiseXOR(m)))).where("key < other")
-    beside = beside.join(held.select(F.col("key").alias("other"), F.col("root").alias("other_root")).hint("merge"), "other").where("root <> other_root").select("key", "other")
-    one = crowds.join(beside.hint("merge"), "key").select("other", F.col("class").alias("of"), *[x.alias(f"q{k}") for k, x in enumerate(p)])
-    between = one.join(crowds.withColumnRenamed("key", "other").hint("merge"), "other").where(close).select(*pair)
-    return found.unionByName(staged(_verified(met.unionByName(between).distinct(), told, shingle, similarity), "neardup-rest"))
-
-
-def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs whose texts are in different groups."""
-    of = lambda c: roots.select(F.col("class").alias(c), F.col("root").alias(f"{c}_root"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").where("a_root <> b_root").select("a", "b")
+    beside = held.withColumn("other", F.explode(F.transform(F.array(*flips), lambda m: F.col("key").bitwiseXOR(m))))
+    near_crowd = rest.where(odd).withColumnsRenamed({"key": "other", "class": "of", "v": "qv", "root": "of_root"}).join(beside.select("key", "other").hint("merge"), "other").select("key", "of", "of_root", "qv")
+    late = crowds.join(near_crowd.hint("merge"), "key").where("of_root <> root").where(near).select(*pair)
+    both = beside.where("key < other").join(held.select(F.col("key").alias("other"), F.col("root").alias("other_root")).hint("merge"), "other").where("root <> other_root").select("key", "other")
+    one = crowds.join(both.hint("merge"), "key").select("other", F.col("class").alias("of"), F.col("v").alias("qv"))
+    between = one.join(crowds.withColumnRenamed("key", "other").hint("merge"), "other").where(near).select(*pair)
+    pairs = met.unionByName(late).unionByName(between).distinct()
+    out = found.unionByName(staged(_verified(pairs, classes.join(roots, "class"), told, words, most, shingle, similarity), "neardup-rest"))
+    dropped(groups, roots)
+    return out
 
 
 def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.95) -> DataFrame:
@@ -193,12 +209,13 @@ def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, rec
     same = {"w1": F.xxhash64("told", F.lit(1)), "w2": F.xxhash64(F.lit(2), "told")}
     classes = told.withColumns(same).groupBy("n", "w1", "w2", *p).agg(F.min(F.struct("none", "id", "h")).alias("least"))
     classes = staged(classes.withColumn("class", F.monotonically_increasing_id()), "neardup-classes")
-    shuffles_go(classes)
     long = classes.where("n > 0")
     # of rows that are alike in all, one tells the words
     first = long.select("class", "least.*").join(told.select("none", F.col("id").alias("__id"), F.col("h").alias("__h"), "d", "told").dropDuplicates(["__h", "__id"]), (F.col("h") == F.col("__h")) & F.col("id").eqNullSafe(F.col("__id"))).select("class", "d", "told")
-    linked = components(links(long.select("class", *p), staged(first, "neardup-told"), width, segments, words, most, shingle, similarity), "neardup")
+    first = staged(first, "neardup-told")
+    known = long.select("class", *p).join(first.select("class", "d"), "class")
+    linked = components(links(staged(known, "neardup-known"), first.select("class", "told"), width, segments, words, most, shingle, similarity), "neardup")
     best = classes.join(linked.withColumnRenamed("node", "class"), "class", "left").groupBy(F.coalesce("root", "class")).agg(F.min("least").alias(row)).select(row)
     chosen = staged(best, "neardup-best")
-    dropped(told, classes, linked)
+    dropped(told, classes, first, linked)
     return keyed.join(chosen, row, "left_semi").dropDuplicates([row]).select(*[F.col(f"`{c}`") for c in names])

@@ -93,8 +93,8 @@ def test_crowds_of_neighbouring_buckets(spark, monkeypatch):
     monkeypatch.setattr(neardup, "CROWD", 2)
     told = np.arange(40, dtype="<u2").tobytes()
     prints = {0: 0x0F00, 1: 0xF001}  # one bit apart in the first segment, all in the second
-    classes = spark.createDataFrame([(i, prints[i % 2]) for i in range(12)], "class long, p0 long")
-    found = neardup.links(classes, spark.createDataFrame([(i, 37, told) for i in range(12)], "class long, d long, told binary"), 8, 2, 1, 64, 5, 0.8)
+    classes = spark.createDataFrame([(i, 37, prints[i % 2]) for i in range(12)], "class long, d long, p0 long")
+    found = neardup.links(classes, spark.createDataFrame([(i, told) for i in range(12)], "class long, told binary"), 8, 2, 1, 64, 5, 0.8)
     assert {r.root for r in neardup.components(found).collect()} == {0}
 
 
