@@ -11,7 +11,7 @@ from ..session import dropped, staged
 # Sequences of markers, node types that may be roots, and types whose text may not be empty.
 ROMAN = ["I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X", "XI", "XII", "XIII", "XIV", "XV", "XVI", "XVII", "XVIII", "XIX", "XX", "XXI", "XXII", "XXIII", "XXIV", "XXV", "XXVI", "XXVII", "XXVIII", "XXIX", "XXX", "XXXI", "XXXII", "XXXIII", "XXXIV", "XXXV", "XXXVI", "XXXVII", "XXXVIII", "XXXIX", "XL", "XLI", "XLII", "XLIII", "XLIV", "XLV", "XLVI", "XLVII", "XLVIII", "XLIX", "L"]
 LETTERS = ["a", "b", "c", "d", "đ", "e", "g", "h", "i", "k", "l", "m", "n", "o", "p", "q", "r", "s", "t", "u", "v", "x", "y"]
-#: Missing numbers that are named one by one in a hole.
+#: Missing numbers that are named one by one in a hole, unless a caller says otherwise.
 MOST_MISSING = 10_000
 ROOT_TYPES, TEXT_TYPES = ["PART", "CHAPTER", "TEXT"], ["CLAUSE", "POINT", "TEXT"]
 
@@ -94,10 +94,12 @@ def marker_of(nodes: DataFrame) -> Column:
     return F.coalesce(own, F.nullif(of_title, F.lit("")))
 
 
-def sequence_gaps(nodes: DataFrame) -> DataFrame:
-    """VAL-006: markers missing between the first and the last of siblings of a type, in their order in the text.
+def gap_intervals(nodes: DataFrame) -> DataFrame:
+    """(parent_id, type, low, high): the holes in the markers of siblings of a type, one row each, however long.
 
-    A descending pair of ends spans nothing; a letter outside the alphabet or a number that is none counts for nothing.
+    Markers are those between the first and the last in the order of the text: numbers, and places in the alphabet of Roman
+    numerals or letters. A descending pair of ends spans nothing; a letter outside the alphabet or a number that is none
+    counts for nothing.
     """
     roman = F.array_position(F.array(*map(F.lit, ROMAN)), F.col("mark"))
     letter = F.array_position(F.array(*map(F.lit, LETTERS)), F.col("mark"))
@@ -109,6 +111,7 @@ def sequence_gaps(nodes: DataFrame) -> DataFrame:
     spans = marked.withColumn("v", value.cast("long")).withColumns({"low": F.first("v", ignorenulls=True).over(ends), "high": F.last("v", ignorenulls=True).over(ends)})
     for c, f in (("first", F.first), ("last", F.last)):
         spans = spans.withColumn(f"{c}_v", f("v").over(ends))
+    spans = staged(spans.select("parent_id", "type", "v", "low", "high", "first_v", "last_v"), "gap-spans")  # read twice
     strict = F.col("type").isin("CHAPTER", "POINT")
     groups = spans.groupBy("parent_id", "type").agg(
         F.first("low").alias("low"), F.first("high").alias("high"), F.count("*").alias("n"), F.count("v").alias("n_values"), F.first(F.col("first_v").isNotNull() & F.col("last_v").isNotNull()).alias("whole")
@@ -119,10 +122,36 @@ def sequence_gaps(nodes: DataFrame) -> DataFrame:
     values = spans.where("v is not null").select("parent_id", "type", "v").distinct()
     inside = values.alias("v").join(open_.alias("o"), same).where("v.v between o.low and o.high").select("v.parent_id", "v.type", "v.v")
     after = F.lead("v").over(Window.partitionBy("parent_id", "type").orderBy("v"))
-    holes = inside.withColumn("next", after).where("next > v + 1").select("parent_id", "type", (F.col("v") + 1).alias("low"), (F.col("next") - 1).alias("high"))
-    short = F.col("high") - F.col("low") < MOST_MISSING
+    return inside.withColumn("next", after).where("next > v + 1").select("parent_id", "type", (F.col("v") + 1).alias("low"), (F.col("next") - 1).alias("high"))
+
+
+def interval_difference(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, low, high): the whole numbers in an interval of `left` and in none of `right`, as intervals that do not touch.
+
+    Both have `keys`, low and high, ends included; intervals may overlap and repeat. One sweep over the ends of each key: a
+    stretch between neighbouring ends is in if some interval of the left and none of the right is open there.
+    """
+    ends = None
+    for df, l, r in ((left, 1, 0), (right, 0, 1)):
+        for at, sign in ((F.col("low"), 1), (F.col("high") + 1, -1)):
+            part = df.where("low <= high").select(*keys, at.cast("long").alias("at"), F.lit(sign * l).alias("l"), F.lit(sign * r).alias("r"))
+            ends = part if ends is None else ends.unionByName(part)
+    ends = ends.groupBy(*keys, "at").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    order = Window.partitionBy(*keys).orderBy("at")
+    open_ = ends.select(*keys, "at", ((F.sum("l").over(order) > 0) & (F.sum("r").over(order) == 0)).alias("inside"))
+    turns = open_.withColumn("before", F.lag("inside", 1, False).over(order)).where("inside <> before")
+    return turns.withColumn("end", F.lead("at").over(order)).where("inside").select(*keys, F.col("at").alias("low"), (F.col("end") - 1).alias("high"))
+
+
+def sequence_gaps(nodes: DataFrame, most_named: int = MOST_MISSING) -> DataFrame:
+    """VAL-006: the missing markers of `gap_intervals`.
+
+    `most_named`: a hole of so many numbers or more, as a wrong number makes it, is one row that names its ends.
+    """
+    holes = gap_intervals(nodes)
+    short = F.col("high") - F.col("low") < most_named
     # a longer hole, as a wrong number makes it, is one row that names its ends
-    missing = holes.withColumn("v", F.explode(F.when(short, F.sequence("low", F.least("high", F.col("low") + MOST_MISSING))).otherwise(F.array("low"))))
+    missing = holes.withColumn("v", F.explode(F.when(short, F.sequence("low", F.least("high", F.col("low") + most_named))).otherwise(F.array("low"))))
     name = F.when(F.col("type") == "CHAPTER", F.get(F.array(*map(F.lit, ROMAN)), (F.col("v") - 1).cast("int"))).when(F.col("type") == "POINT", F.get(F.array(*map(F.lit, LETTERS)), (F.col("v") - 1).cast("int"))).when(short, F.col("v").cast("string")).otherwise(F.concat_ws("..", F.col("low").cast("string"), F.col("high").cast("string")))
     node = F.concat_ws("_", F.lower("type"), name)
     return _issues(missing, "VAL-006", "WARNING", "GapIndex", F.concat(node, F.lit(" is missing under "), F.coalesce(F.col("parent_id").cast("string"), F.lit("root"))), node)
