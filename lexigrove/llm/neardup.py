@@ -13,7 +13,7 @@ against all bits and sizes, then against the texts, of which only those in quest
 A segment that very many texts share (a large group of near copies) would give all pairs. So all texts of a bucket are
 first held against one of them, and then another, which joins most of such a group at a few comparisons for each member.
 Texts that are joined are not compared with each other any more: what is left are those outside the largest group of a
-bucket, which look for texts of other groups. Only a group of over `CROWD` texts is left out so; the crowds of two
+bucket, which look for texts of other groups, the closest of each group first. Only a group of over `CROWD` texts is left out so; the crowds of two
 neighbouring buckets are held against each other where they are different groups, so no pair that shares a ball is lost.
 """
 
@@ -35,6 +35,8 @@ from .substring import _mix, _neighbours, _shingles, _slices, _word_hashes
 STARS = 3
 #: A group with more texts than this in a bucket is held against other groups only, never against itself.
 CROWD = 32
+#: Times that texts are held against the closest of each other group before all others that met are.
+CLOSEST = 1
 #: Classes whose texts are asked for by a list that is sent to all tasks; more are joined.
 SENT = 1 << 20
 
@@ -46,7 +48,8 @@ def plan(n: int, similarity: float, recall: float = 0.95) -> tuple[int, int, int
     meets = (1 - p) ** width + width * p * (1 - p) ** (width - 1)
     segments = max(2, ceil(log(1 - recall) / log(1 - meets)) if meets < 1 else 1)
     words = ceil(width * segments / 64)
-    return width, 64 * words // width, words, int(64 * words * p + 2.5 * sqrt(64 * words * p * (1 - p)))
+    segments, words = 64 * words // width, 2 * words  # half of the bits are for distances alone: they tell 0.8 from 0.6
+    return width, segments, words, int(64 * words * p + 2.5 * sqrt(64 * words * p * (1 - p)))
 
 
 def prints(shingles: np.ndarray, words: int) -> list[int]:
@@ -133,7 +136,7 @@ def _verified(pairs: DataFrame, facts: DataFrame, told: DataFrame, words: int, m
     able = F.least("a_d", "b_d") >= similarity * F.greatest("a_d", "b_d")
     close = sum((F.bit_count(F.col(f"a_p{k}").bitwiseXOR(F.col(f"b_p{k}"))) for k in range(words)), F.lit(0)) <= most
     asked = staged(pairs.join(of("a"), "a").join(of("b"), "b").where((F.col("a_root") != F.col("b_root")) & able & close).select("a", "b"), "neardup-pairs")
-    ids = staged(asked.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "neardup-asked")
+    ids = staged(asked.select(F.col("a").alias("class")).unionByName(asked.select(F.col("b").alias("class"))).distinct(), "neardup-asked")
     if ids.count() <= SENT:
         told = told.join(F.broadcast(ids), "class", "left_semi")
     named = lambda c: told.select(F.col("class").alias(c), F.col("told").alias(f"{c}_told"))
@@ -150,16 +153,17 @@ def links(classes: DataFrame, told: DataFrame, width: int, segments: int, words:
     """Links (a, b) of classes (class, d, p0 ..) whose components are those of all verified candidates."""
     p = [F.col(f"p{k}") for k in range(words)]
     near = F.bit_count(F.col("v").bitwiseXOR(F.col("qv"))) <= (near_in_a_word(similarity) if words > 1 else most)
-    pair = [F.least("of", "class").alias("a"), F.greatest("of", "class").alias("b")]
-    # of each segment the key, and a word that it is not from
-    spread = [F.struct(_segment(p, i * width, width).bitwiseOR(F.lit(i << 32)).alias("key"), p[(i * width // 64 + 1) % words].alias("v")) for i in range(segments)]
+    pair = [F.least("of", "class").alias("a"), F.greatest("of", "class").alias("b"), F.bit_count(F.col("v").bitwiseXOR(F.col("qv"))).alias("bits")]
+    # of each segment the key, and a word of the half that no segment is from
+    half = max(1, words // 2)
+    spread = [F.struct(_segment(p, i * width, width).bitwiseOR(F.lit(i << 32)).alias("key"), p[(half + i % half) % words].alias("v")) for i in range(segments)]
     stored = classes.select("class", F.explode(F.array(*spread)).alias("s")).select("class", "s.key", "s.v")
     found, roots = None, classes.select("class", F.col("class").alias("root"))
     for seed in range(STARS):
         # each bucket is held against one of its texts, another one each time
         first = F.min_by(F.struct(F.col("class").alias("of"), F.col("v").alias("qv")), F.struct(F.xxhash64("class", F.lit(seed)), "class")).alias("first")
         star = stored.groupBy("key").agg(first, F.count("*").alias("n")).where("n > 1").select("key", "first.*")
-        pairs = stored.join(star.hint("merge"), "key").where("of <> class").where(near).select(*pair).distinct()
+        pairs = stored.join(star.hint("merge"), "key").where("of <> class").where(near).select(*pair[:2]).distinct()
         good = staged(_verified(pairs, classes.join(roots, "class"), told, words, most, shingle, similarity), "neardup-star")
         found = good if found is None else found.unionByName(good)
         linked = components(found, "neardup-first").withColumnRenamed("node", "class")
@@ -187,8 +191,22 @@ def links(classes: DataFrame, told: DataFrame, width: int, segments: int, words:
     both = beside.where("key < other").join(held.select(F.col("key").alias("other"), F.col("root").alias("other_root")).hint("merge"), "other").where("root <> other_root").select("key", "other")
     one = crowds.join(both.hint("merge"), "key").select("other", F.col("class").alias("of"), F.col("v").alias("qv"))
     between = one.join(crowds.withColumnRenamed("key", "other").hint("merge"), "other").where(near).select(*pair)
-    pairs = met.unionByName(late).unionByName(between).distinct()
-    out = found.unionByName(staged(_verified(pairs, classes.join(roots, "class"), told, words, most, shingle, similarity), "neardup-rest"))
+    met = staged(met.unionByName(late).unionByName(between).groupBy("a", "b").agg(F.min("bits").alias("bits")), "neardup-met")
+    # a text needs one link into a group: the closest of each group first, then whoever is still in different groups
+    for _ in range(CLOSEST):
+        of = lambda c: roots.select(F.col("class").alias(c), F.col("root").alias(f"{c}_root"))  # noqa: E731, B023
+        apart = met.join(of("a"), "a").join(of("b"), "b").where("a_root <> b_root")
+        best = F.min_by("there", F.struct("bits", "there")).alias("there")
+        ways = [apart.select(F.col(x).alias("here"), F.col(y).alias("there"), F.col(f"{y}_root").alias("group"), "bits").groupBy("here", "group").agg(best) for x, y in ("ab", "ba")]
+        pairs = staged(ways[0].unionByName(ways[1]).select(F.least("here", "there").alias("a"), F.greatest("here", "there").alias("b")).distinct(), "neardup-nearest")
+        left = staged(met.join(pairs, ["a", "b"], "left_anti"), "neardup-met")  # no pair is looked at twice
+        found = found.unionByName(staged(_verified(pairs, classes.join(roots, "class"), told, words, most, shingle, similarity), "neardup-closest"))
+        linked = components(found, "neardup-closest").withColumnRenamed("node", "class")
+        before, roots = roots, staged(classes.select("class").join(linked, "class", "left").select("class", F.coalesce("root", "class").alias("root")), "neardup-roots")
+        dropped(before, met, pairs)
+        met = left
+    out = found.unionByName(staged(_verified(met.select("a", "b"), classes.join(roots, "class"), told, words, most, shingle, similarity), "neardup-rest"))
+    dropped(met)
     dropped(groups, roots)
     return out
 
