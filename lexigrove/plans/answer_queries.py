@@ -195,7 +195,7 @@ sc AS (SELECT *, round(0.50::DOUBLE * sem + CASE WHEN isnear THEN 0.22::DOUBLE E
   WHEN trav AND rel = 'INHERITS_RIGHTS_OBLIGATIONS' THEN 0.75 WHEN rel = 'DIRECT_REFERENCE' THEN 0.25 ELSE 0 END + CASE WHEN isliked THEN 0.08::DOUBLE ELSE 0 END + 0.05::DOUBLE * (CASE WHEN contains(src, ':K') THEN 1 ELSE 0 END + CASE WHEN contains(src, ':D') THEN 1 ELSE 0 END) / 2 + 1e-12, 6) AS score FROM e4)"""
 
 
-@query(f"WITH {_INPUTS}, {_EDGES} SELECT qid AS question_id, src AS source_locator, rel AS relation_type, dst AS target_locator, place, score::DOUBLE AS score FROM sc")
+@query(f"WITH {_INPUTS}, {_EDGES} SELECT qid AS question_id, src AS source_locator, rel AS relation_type, dst AS target_locator, place, round(score, 4)::DOUBLE AS score FROM sc")
 def answer_edges(spark: SparkSession, sf: str) -> DataFrame:
     """The references that each question may start from, scored."""
     x = inputs(spark, sf)
@@ -204,7 +204,7 @@ def answer_edges(spark: SparkSession, sf: str) -> DataFrame:
     own = own.join(listed(x["anchors"], "anchors"), "question_id", "left").join(listed(x["preferred"], "preferred"), "question_id", "left")
     own = own.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("anchors", "preferred")})
     texts = answers._node_texts(x["anchors"], None, x["children"], x["edges"])
-    return answers.scored_edges(own, x["edges"], texts).select("question_id", "source_locator", "relation_type", "target_locator", "place", "score")
+    return answers.scored_edges(own, x["edges"], texts).select("question_id", "source_locator", "relation_type", "target_locator", "place", F.round("score", 4).alias("score"))
 
 
 _KIDS = f"""k0 AS (SELECT mine.qid, up AS node, mine.locator AS dst, k AS place, {fold_sql("c.text")} AS cf, {fold_sql("coalesce(p.text, '')")} AS pf FROM mine JOIN nt c ON c.qid = mine.qid AND c.locator = mine.locator LEFT JOIN nt p ON p.qid = mine.qid AND p.locator = up WHERE up IS NOT NULL),
