@@ -195,7 +195,7 @@ sc AS (SELECT *, round(0.50::DOUBLE * sem + CASE WHEN isnear THEN 0.22::DOUBLE E
   WHEN trav AND rel = 'INHERITS_RIGHTS_OBLIGATIONS' THEN 0.75 WHEN rel = 'DIRECT_REFERENCE' THEN 0.25 ELSE 0 END + CASE WHEN isliked THEN 0.08::DOUBLE ELSE 0 END + 0.05::DOUBLE * (CASE WHEN contains(src, ':K') THEN 1 ELSE 0 END + CASE WHEN contains(src, ':D') THEN 1 ELSE 0 END) / 2 + 1e-12, 6) AS score FROM e4)"""
 
 
-@query(f"WITH {_INPUTS}, {_EDGES} SELECT qid AS question_id, src AS source_locator, rel AS relation_type, dst AS target_locator, place, round(score, 4)::DOUBLE AS score FROM sc")
+@query()
 def answer_edges(spark: SparkSession, sf: str) -> DataFrame:
     """The references that each question may start from, scored."""
     x = inputs(spark, sf)
