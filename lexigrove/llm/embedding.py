@@ -6,10 +6,10 @@ pivots; candidates are verified by their cosine in double precision. A pair is l
 that both have and the second smallest.
 
 Pivots are a bounded sample (`pivots`, by default about 2 * sqrt(n), 256 at least, PIVOT_BYTES at most) of vectors that are
-not close to each other, seen from the mean of the sample; every vector is indexed. How many of them are used is measured:
+not close to each other, seen from the mean of the sample; every vector is indexed, in tables of any size. How many of them are used is measured:
 pairs just at the threshold, made of the sample, and the linked pairs in it must share two pivots in `recall` of all cases,
 or half as many pivots are tried. Where no number will do (all vectors in a narrow cone, where nearly all pairs are links),
-and for lengths that are one block, the vectors of the length are compared as one list, so nothing is lost. Vectors of
+the vectors of the length are compared as one list, so nothing is lost. Vectors of
 each length are indexed by themselves.
 
 A list of up to LONG blocks is compared as a whole; a longer one is cut by the second pivot first, so that lists grow slower
@@ -30,11 +30,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import staged
 from .components import components
 
 PIVOT_BYTES = 64 << 20
+#: Lengths of vectors that get pivots, the most frequent first; vectors of any other length are one list.
+MOST_LENGTHS = 1024
 #: Blocks of a list that is not cut further.
 LONG = 4
 
@@ -170,15 +173,22 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, nearest: int = 8
     rows = rows.withColumns({"k1": F.xxhash64("v", F.lit(1)), "k2": F.xxhash64(F.lit(2), "v")})  # equal vectors have equal keys of 128 bits
     classes = rows.where("ok").groupBy("k1", "k2").agg(F.first("v").alias("v"), F.min("vec_id").alias("least"), F.count("*").alias("many")).withColumn("class", F.monotonically_increasing_id())
     classes = staged(classes, "vectors")
-    # lengths that are more than a block get pivots; there are only as many rows as there are such lengths
-    large = classes.groupBy(F.size("v").alias("length")).count().where(F.col("count") > block).orderBy("length").collect()
+    # every length of more than one vector gets pivots, whatever the size; one job draws the samples of all lengths
+    drawn = classes.select("v", F.size("v").alias("length"), F.xxhash64("k1", F.lit(11)).alias("draw"))
+    sizes = [tuple(r) for r in drawn.groupBy("length").count().where("count > 1").orderBy(F.desc("count"), "length").limit(MOST_LENGTHS).collect()]
+    many = {length: max(1, min(max(256, int(2 * n**0.5)) if pivots is None else pivots, PIVOT_BYTES // (8 * length * len(sizes)))) for length, n in sizes}
     points, first = {}, 0
-    for length, n in large:
-        most = max(256, int(2 * n**0.5)) if pivots is None else pivots
-        most = max(1, min(most, PIVOT_BYTES // (8 * length * len(large))))
-        taken = classes.where(F.size("v") == length).orderBy(F.xxhash64("k1", F.lit(11))).limit(2 * most).select("v").toArrow()
-        points[length] = first, pivots_of(_unit(_rows(taken.column(0))), most, nearest, threshold, recall)
-        first += len(points[length][1])
+    if many:
+        wanted = vectors.sparkSession.createDataFrame([(length, 2 * many[length], min(1.0, (8 * many[length] + 64) / n)) for length, n in sizes], "length int, wanted int, share double")
+        place = F.row_number().over(Window.partitionBy("length").orderBy("draw"))
+        highest = 2 * max(many.values())
+        some = drawn.join(F.broadcast(wanted), "length").where(F.pmod("draw", F.lit(1 << 31)) <= F.col("share") * (1 << 31))  # some four times as many as wanted
+        taken = some.withColumn("place", place).where(F.col("place") <= highest).where("place <= wanted")
+        taken = taken.select("length", "place", "v").toArrow().sort_by([("length", "ascending"), ("place", "ascending")])
+        for length, most in sorted(many.items()):
+            own = taken.filter(pc.equal(taken.column("length"), length)).column("v")
+            points[length] = first, pivots_of(_unit(_rows(own)), most, nearest, threshold, recall)
+            first += len(points[length][1])
     sent = vectors.sparkSession.sparkContext.broadcast(points)
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -694,6 +694,34 @@ def test_vectors_in_one_cone_and_of_several_lengths(spark, block):
 
 
 # 10 ---------------------------------------------------------------------------------------------------------------------
+
+
+def test_small_tables_come_through_pivots(spark, monkeypatch):
+    """A few vectors of two lengths get pivots of their own, and the lists find what brute force finds."""
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    rows = []
+    for length in (16, 24):
+        base = rng.normal(size=(120, length))
+        near = base[:60] + rng.normal(size=(60, length)) * 0.05
+        rows += [v.tolist() for v in np.concatenate([base, near])]
+    used, plain = [], embedding.pivots_of
+
+    def watched(*a):
+        used.append(len(plain(*a)))
+        return plain(*a)
+
+    monkeypatch.setattr(embedding, "pivots_of", watched)
+    df = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embedding.near_duplicates(df).collect()}
+    assert len(used) == 2 and min(used) > 8
+    want = {}
+    for i, a in enumerate(rows):
+        want[i] = sum(1 for j, b in enumerate(rows) if j != i and len(a) == len(b) and np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b) >= 0.9)
+    assert sum(want.values()) >= 240 and sum(got.values()) >= 0.97 * sum(want.values()) and all(got[i] <= want[i] for i in want)
+
+
 def luhn(s):
     d = [int(c) for c in s if c.isdigit()][::-1]
     return (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
