@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import dropped, staged
+
 CELLS = 10_000
 
 
@@ -23,21 +25,50 @@ def _pooled(frame):
     return pd.DataFrame({"threshold": [b[0] for b in blocks], "pos": [b[1] for b in blocks], "n": [b[2] for b in blocks]})
 
 
-def isotonic_fit(rows: DataFrame, score: str = "score", label: str = "label", ranges: int = 256) -> DataFrame:
+def _joined(blocks: DataFrame) -> DataFrame:
+    """Neighbouring ranges (part 2i and 2i+1) become one: blocks (part, threshold, pos, n) that rise within each part.
+
+    Only blocks of the left range above the lowest of the right one, and of the right range below the highest of the left
+    one, can be pooled with each other; they alone go to a task, all others stay as they are.
+    """
+    value, pair, left = F.col("pos") / F.col("n"), F.floor(F.col("part") / 2), F.col("part") % 2 == 0
+    ends = blocks.groupBy(pair.alias("pair")).agg(F.max(F.when(left, value)).alias("high"), F.min(F.when(~left, value)).alias("low"))
+    told = blocks.withColumn("pair", pair).join(ends, "pair").withColumn("meets", F.coalesce(F.when(left, value > F.col("low")).otherwise(value < F.col("high")), F.lit(False)))
+
+    def pooled(key, frame):
+        return _pooled(frame).assign(part=key[0])[["part", "threshold", "pos", "n"]]
+
+    moved = told.where("meets").groupBy("pair").applyInPandas(pooled, "part long, threshold double, pos double, n double")
+    return told.where("NOT meets").select(F.col("pair").alias("part"), "threshold", "pos", "n").unionByName(moved)
+
+
+#: Distinct scores of a range, and the least number of ranges.
+RANGE_ROWS, LEAST_RANGES = 50_000, 4
+
+
+def isotonic_fit(rows: DataFrame, score: str = "score", label: str = "label", ranges: int | None = None) -> DataFrame:
     """Pooled blocks (threshold, value, n) of an isotonic regression of 0/1 labels on scores.
 
-    Counts by distinct score are made by an aggregation. Violators are pooled within ranges of scores first, each a task's,
-    and then among the blocks that are left, which are few where labels and scores are noisy: pooling in parts and pooling
-    the parts gives the same blocks.
+    Counts by distinct score are made by an aggregation and dealt into `ranges` of scores of about equal numbers. Violators
+    are pooled within each range, then neighbouring ranges are joined in a tree of as many rounds as the logarithm of their
+    number; a task gets one range, or the blocks of two ranges that contradict each other, never all blocks. Pooling in
+    parts and pooling the parts gives the same blocks. Rows without score or label are left out.
     """
-    pairs = rows.groupBy(F.col(score).cast("double").alias("threshold")).agg(F.sum(F.col(label).cast("double")).alias("pos"), F.count("*").cast("double").alias("n"))
-    ends = pairs.agg(F.min("threshold").alias("low"), F.max("threshold").alias("high")).first()  # one row
-    width = ((ends["high"] - ends["low"]) / ranges or 1.0) if ends["low"] is not None else 1.0
-    part = F.floor((F.col("threshold") - (ends["low"] or 0.0)) / width)
-    schema = "threshold double, pos double, n double"
-    first = pairs.withColumn("part", part).groupBy("part").applyInPandas(_pooled, schema)
-    last = first.withColumn("all", F.lit(True)).groupBy("all").applyInPandas(_pooled, schema)
-    return last.select("threshold", (F.col("pos") / F.col("n")).alias("value"), F.col("n").cast("long").alias("n"))
+    known = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+    pairs = staged(known.groupBy(F.col(score).cast("double").alias("threshold")).agg(F.sum(F.col(label).cast("double")).alias("pos"), F.count("*").cast("double").alias("n")), "isotonic-scores")
+    parts = ranges or max(LEAST_RANGES, -(-pairs.count() // RANGE_ROWS))
+
+    def pooled(key, frame):
+        return _pooled(frame).assign(part=key[0])[["part", "threshold", "pos", "n"]]
+
+    # numbers of partitions are written down before they are used, so that a task that runs again cannot change them
+    dealt = staged(pairs.repartitionByRange(parts, "threshold").withColumn("part", F.spark_partition_id().cast("long")), "isotonic-ranges")
+    blocks = staged(dealt.groupBy("part").applyInPandas(pooled, "part long, threshold double, pos double, n double"), "isotonic-blocks")
+    dropped(pairs, dealt)
+    while parts > 1:
+        before, blocks, parts = blocks, staged(_joined(blocks), "isotonic-blocks"), -(-parts // 2)
+        dropped(before)
+    return blocks.select("threshold", (F.col("pos") / F.col("n")).alias("value"), F.col("n").cast("long").alias("n"))
 
 
 def isotonic_fit_sql(rows: DataFrame, score: str = "score", label: str = "label") -> DataFrame:

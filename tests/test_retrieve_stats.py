@@ -143,6 +143,42 @@ def test_isotonic(spark):
     assert p[0].calibrated == pytest.approx(want[0][1]) and p[1].calibrated == pytest.approx(want[-1][1])
 
 
+def _pav_of_counts(frame):
+    """Blocks (threshold, value) of counts (threshold, pos, n) by the stack, all in one place."""
+    blocks = []
+    for t, p, n in frame.sort_values("threshold").itertuples(index=False):
+        blocks.append([t, p, n])
+        while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] > blocks[-1][1] * blocks[-2][2]:
+            t2, p2, n2 = blocks.pop()
+            blocks[-1] = [t2, blocks[-1][1] + p2, blocks[-1][2] + n2]
+    return [(t, p / n) for t, p, n in blocks]
+
+
+@pytest.mark.parametrize("shape", ["clean", "noisy", "falling", "saw"])
+def test_isotonic_ranges_are_joined(spark, shape):
+    """A million distinct scores (clean ones pool nothing into few blocks) equal the fit in one place."""
+    n = 1_000_000 if shape == "noisy" else 20_000
+    i = F.col("id")
+    chance = F.pmod(F.xxhash64(i), F.lit(1000)) / 1000.0
+    label = {"clean": (i * 2 > n), "noisy": chance < i / n, "falling": i * 2 < n, "saw": chance < (i % 3000) / 3000.0}[shape].cast("int")
+    rows = spark.range(n).select((i / n).alias("score"), label.alias("label"))
+    more = rows.where("score < 0.3").select("score", F.lit(1).alias("label"))
+    rows = rows.unionByName(more) if shape == "saw" else rows
+    got = sorted((r.threshold, r.value) for r in stats.isotonic_fit(rows, ranges=None if shape == "noisy" else 13).collect())
+    counts = rows.groupBy(F.col("score").alias("threshold")).agg(F.sum("label").cast("double").alias("pos"), F.count("*").cast("double").alias("n")).toPandas()
+    want = _pav_of_counts(counts)
+    step = lambda blocks: [b for b, after in zip(blocks, [*blocks[1:], (None, None)]) if b[1] != after[1]]  # noqa: E731  equal neighbours are one step
+    got, want = step(got), step(want)
+    assert [t for t, _ in got] == [t for t, _ in want]
+    assert np.allclose([v for _, v in got], [v for _, v in want], atol=1e-12)
+
+
+def test_isotonic_without_rows_and_with_nulls(spark):
+    schema = "score double, label int"
+    assert stats.isotonic_fit(spark.createDataFrame([], schema)).count() == 0
+    assert [tuple(r) for r in stats.isotonic_fit(spark.createDataFrame([(0.5, 1), (None, 0), (0.2, None)], schema)).collect()] == [(0.5, 1.0, 1)]
+
+
 def test_statistics(spark):
     c = stats.confidence(spark.createDataFrame([(0.9, 1), (0.8, 0), (0.1, 0), (1.4, 1)], "score double, label int")).first()
     assert (c["count"], c.brier_score, c.precision_at_threshold, c.recall_at_threshold) == (4, 0.165, 0.66666667, 1.0)
