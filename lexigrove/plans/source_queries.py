@@ -16,7 +16,7 @@ from .. import services
 from ..operators import clean, graph, parse, retrieve, route, stats
 from ..schemas import NODE
 from ..session import shared_dir, table
-from ..sources import loaders, sinks
+from ..sources import loaders, sinks, versions
 from .graph_queries import LAW, law
 from .queries import query
 
@@ -210,16 +210,37 @@ def upserted_edges(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT 'node' AS kind, o_orderkey AS id, CASE WHEN o_orderkey % 5 = 1 THEN 2 ELSE 1 END AS v FROM orders WHERE o_orderkey % 5 <> 2 UNION ALL SELECT 'edge', o_orderkey, CASE WHEN o_orderkey % 5 = 3 THEN 2 ELSE 1 END FROM orders WHERE o_orderkey % 5 <> 2 AND o_orderkey + 5 < (SELECT count(*) FROM orders)")
 def delta_transaction(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as nodes, each with an edge to the fifth after it: some are new, some changed, some go with their edges."""
+    return _as_rows(*sinks.apply_delta(*_ordered(spark, sf)))
+
+
+def _ordered(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
+    """(nodes, edges, delta) of the orders."""
     o, k = table(spark, sf, "orders"), F.col("o_orderkey")
     top = o.count()
     node = lambda rest, v: o.where(k % 5 == rest).select(k.alias("id"), F.lit(v).alias("v"))
     edge = lambda rest, v: o.where((k % 5 == rest) & (k + 5 < top)).select(k.alias("source"), (k + 5).alias("target"), F.lit("NEXT").alias("type"), F.lit(v).alias("v"))
     both = lambda f, *rests: f(rests[0], 1) if len(rests) == 1 else f(rests[0], 1).unionByName(both(f, *rests[1:]))
     delta = {"added_nodes": node(0, 1), "updated_nodes": node(1, 2), "removed_nodes": node(2, 1), "added_edges": edge(0, 1), "updated_edges": edge(3, 2), "removed_edges": edge(2, 1)}
-    nodes, edges = sinks.apply_delta(both(node, 1, 2, 3, 4), both(edge, 1, 2, 3, 4), delta)
+    return both(node, 1, 2, 3, 4), both(edge, 1, 2, 3, 4), delta
+
+
+def _as_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select(F.lit("node").alias("kind"), "id", "v").unionByName(edges.select(F.lit("edge").alias("kind"), F.col("source").alias("id"), "v"))
 
 
+@query("""WITH e AS (SELECT o_orderkey AS k, o_orderkey + 5 < (SELECT count(*) FROM orders) AS has FROM orders)
+SELECT 2 AS version, 'node' AS kind, k AS id, CASE WHEN k % 5 = 1 THEN 2 ELSE 1 END AS v FROM e WHERE k % 5 <> 2 UNION ALL SELECT 2, 'edge', k, CASE WHEN k % 5 = 3 THEN 2 ELSE 1 END FROM e WHERE k % 5 <> 2 AND has
+UNION ALL SELECT 1, 'node', k, 1 FROM e WHERE k % 5 > 0 UNION ALL SELECT 1, 'edge', k, 1 FROM e WHERE k % 5 > 0 AND has""")
+def graph_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """The same delta committed to a graph kept in versions: both versions as they are read afterwards."""
+    root = _folder(spark, "graph")
+    nodes, edges, delta = _ordered(spark, sf)
+    versions.create(root, nodes, edges, buckets=8)
+    versions.commit(spark, root, delta, based_on=1)
+    told = [_as_rows(*versions.read(spark, root, n)).select(F.lit(n).alias("version"), "kind", "id", "v") for n in (1, 2)]
+    return told[0].unionByName(told[1])
+
+
 # --- parsing, search and models --------------------------------------------------------------------------------------------
 _WORDS = "list_filter(regexp_extract_all(lower(title || ' ' || text), '[a-z0-9]+'), lambda t: length(t) > 1 AND t NOT IN ('va', 'la', 'cua', 'co', 'duoc', 'thi', 'theo', 'nay', 'do', 'mot', 'nhung', 'cac', 'cho', 'tai', 'trong', 'khi', 've', 'voi', 'phai'))"
 
