@@ -5,7 +5,12 @@ block a probability of being content; its costs, -log(1 - p) and -log(p), are th
 sink. Neighbouring blocks are joined by smoothness edges that weaken with their distance in the DOM, blocks of one parent
 by edges that weaken with their distance on the page. The minimum cut, found by max-flow, is the labelling of least total
 cost. Blocks inside scripts, styles, forms, navigation, footers and the like are boilerplate by construction of HTML:
-their capacity to the sink is unbounded.
+their capacity to the sink is unbounded. A form that holds most of a page's sentences and few controls is a frame around
+the page, no form to fill in.
+
+Parts of class names count by their head, the last part: a `post-sidebar` is a sidebar, a `notice-board` a board. Parts
+for navigation speak against links and short texts alone. Where all sentences of a page stand below such parts, they tell
+nothing apart and are left out.
 """
 
 from __future__ import annotations
@@ -41,44 +46,68 @@ WEAKLY = re.compile(rf"(?:^|[\s_-])(?:{WEAK})(?=$|[\s_-])", re.I)
 FIRMLY = re.compile(rf"(?:^|[\s_-])(?:{STRONG})(?=$|[\s_-])", re.I)
 FOR = re.compile(r"(?:^|[\s_-])(?:article|articlebody|post|entry|content|main|story|body|text)(?=$|[\s_-])", re.I)
 #: Classes that tell what an element is about, or what is beside it: no hint against it.
-QUALIFIED = re.compile(r"^(?:tags?|category|cat|topic)[_-]|(?:^|[_-])(?:with|without|has|have|no|not|non|hide|above|below)[_-]", re.I)
+QUALIFIED = re.compile(r"^(?:tags?|category|cat|topic)[_-]|(?:^|[_-])(?:with|without|has|have|no|not|non|hide|above|below)[_-]|[_-](?:open|closed|on|off|enabled|disabled|allowed)$", re.I)
+#: Last parts of a class that only say where or what kind of box it is: the part before them is the head.
+BOX = re.compile(r"\d+|left|right|top|bottom|inner|outer|first|last|main|primary|secondary|mobile|desktop|box(?:es)?|lists?|items?|wrap(?:per)?|containers?|areas?|sections?|blocks?|bars?|rows?|cols?|columns?|cells?|panels?|groups?|holder|slots?|units?|body|content|inner|text|title|heading|header|links?|posts?|articles?|stories|news|form|buttons?|icons?|author|meta|message|thread|count", re.I)
+#: Parts for lists of links, and for remarks and adverts, which stay against whatever the page is like.
+LINKING = re.compile(r"navs?|navbar|navigation|menus?|breadcrumbs?|pagination|pager|toolbar", re.I)
+FOREIGN = re.compile(r"ads?|adverts?|advertisements?|adsense|sponsor(?:ed)?|comments?|commentlist|replies|reply|disqus|cookies?|consent|gdpr", re.I)
 #: Classes made up of words for content, which overrule a part of a class further out and weak words beside them.
 NEARER = re.compile(r"(?:article|articlebody|post|entry|content|main|story)(?:[_-](?:article|post|entry|content|main|story|body|text))*", re.I)
 # What notices and the lines around reader comments say, and headings of what is no content.
 NOTICE = re.compile(r"\b(?:(?:uses?|using|accept|our|these|all) cookies|cookie policy|privacy (?:policy|settings)|terms of (?:use|service)|your consent|subscribe|newsletter|sign (?:up|in)|log in|advertisement|sponsored|share (?:this|on)|follow us|your e-?mail|all rights reserved)\b", re.I)
-REMARK = re.compile(r"^.{1,40}\s(?:says|said|wrote|commented|replied)(?:\s(?:on|at)\s.{4,40})?:?$|\b\d+ (?:second|minute|hour|day|week|month|year)s? ago\b|^(?:reply|like|report|permalink|flag)(?:\W+(?:reply|like|report|permalink|flag))*$|^(?:posted )?by .{1,40} (?:on|at) .{4,40}$", re.I)
+REMARK = re.compile(r"^.{1,40}\s(?:says|said|wrote|commented|replied)(?:\s(?:on|at)\s.{4,40})?:?$|\b\d+ (?:second|minute|hour|day|week|month|year)s? ago\b|^(?:reply|like|report|permalink|flag)(?:\W+(?:reply|like|report|permalink|flag))*$|^(?:posted )?by .{1,40} (?:on|at) .{4,40}$|^[^.!?]{1,40}[,|\u00b7(\u2013-]\s*(?:on )?(?:\d{1,2}\.? [a-z]{3,9}\.?,? \d{4}|[a-z]{3,9}\.? \d{1,2},? \d{4}|\d{4}-\d\d-\d\d|\d{1,2}[./]\d{1,2}[./]\d{2,4})(?:,? (?:at )?\d{1,2}[:.]\d\d(?: ?[ap]m)?)?\)?:?$", re.I)
 TITLE = re.compile(r"^\W*(?:\d+\s+|reader |user |recent |latest |top |leave a |post a |add a |you (?:may|might) also |more |from )*(?:comments?|repl(?:y|ies)|responses?|related(?: links| content| news)?|recommended(?: for you)?|read next|trending|most (?:read|popular)|popular|newsletter|share this|follow us|blogroll|sponsors?|advertisement|our partners|the web)(?:\s+(?:\(?\d+\)?|on .*|articles?|posts?|stories|comments?|pages?))?\W*$", re.I)
 
+#: Titles that are also topics: what follows must look like links or remarks.
+TOPIC = re.compile(r"\W*(?:comment|repl(?:y|ies)|responses?|related|popular|trending|sponsors?|the web|blogroll)\W*", re.I)
+#: Words from which on a block counts as sentences; characters of text that a form around a page has for each control.
+SENTENCES, BY_CONTROL = 10, 100
+
 # The classifier: a logistic regression, fitted by html_fit.fitted() on the labelled pages of html_fit.sample().
-FEATURES = ("bias", "in_content", "outside", "for", "firm", "soft", "weak", "links", "links_in_content", "length", "sentence", "heading", "item", "notice", "remark", "after_title", "copyright")
-WEIGHTS = dict(zip(FEATURES, (-1.2, 5.1, -1.3, 4.2, -7.2, -6.2, -4.2, -4.6, 1.4, 5.9, -0.5, 3.0, -1.3, -5.4, -0.0, -10.6, -4.6)))
+FEATURES = ("bias", "in_content", "outside", "for", "firm", "soft", "weak", "links", "links_in_content", "length", "sentence", "heading", "item", "notice", "remark", "said", "after_title", "copyright")
+WEIGHTS = dict(zip(FEATURES, (-0.8, 5.0, -1.1, 4.0, -7.4, -5.7, -4.5, -4.8, 0.9, 5.5, -0.2, 3.6, -1.6, -6.0, -1.0, -5.0, -11.7, -5.0)))
 #: Capacity between neighbours, divided by their distance in the DOM; and between blocks of one parent, by theirs on the page.
 ADJACENT, SIBLING = 0.5, 0.35
 UNBOUNDED = 1e6
 
 
 class Block:
-    __slots__ = ("text", "linked", "element", "under")
+    __slots__ = ("text", "linked", "element", "under", "said", "n_words", "remark")
 
     def __init__(self, text, linked, element, under):
-        self.text, self.linked, self.element, self.under = text, linked, element, under
+        self.text, self.linked, self.element, self.under, self.said = text, linked, element, under, False
+        self.n_words = text.count(" ") + 1
+        self.remark = self.n_words < 30 and bool(REMARK.search(text))
+
+    @property
+    def sentences(self) -> bool:
+        """Whether the block is running text rather than links or a label."""
+        return self.n_words >= SENTENCES and 2 * self.linked <= len(self.text)
+
+    @property
+    def ruled_out(self) -> bool:
+        """Whether HTML itself says that the block is no content."""
+        return self.element.hard or bool(self.element.form and not self.element.form.frame)
 
 
 class Element:
     """An open element: what it inherits, and what its own name and attributes say."""
 
-    __slots__ = ("tag", "parent", "depth", "content", "hard", "form", "hint_for", "firm", "soft", "weak")
+    __slots__ = ("tag", "parent", "depth", "content", "hard", "form", "frame", "controls", "hint_for", "firm", "soft", "linking", "foreign", "weak")
 
     def __init__(self, tag, parent, attributes=""):
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
         self.content = bool(parent and parent.content) or tag in CONTENT
-        self.form = bool(parent and parent.form) and tag not in CONTENT or tag == "form"  # a form around a whole page is none
+        self.form = self if tag == "form" else parent.form if parent and tag not in CONTENT else None  # the form around it
+        self.frame, self.controls = False, 0  # of a form: whether it is one around the page, and its controls
         self.hard = bool(parent and parent.hard) or tag in BOILERPLATE and tag != "form" and not (tag == "header" and self.content)
         self.hint_for = bool(parent and parent.hint_for)
         # against: a whole class, or a part of one, which ends at a main text further in
         self.firm = bool(parent and parent.firm) and tag != "main"
-        self.soft = bool(parent and parent.soft) and tag not in CONTENT
+        inherit = parent if parent and tag not in CONTENT else None
+        self.soft, self.linking, self.foreign = (inherit.soft, inherit.linking, inherit.foreign) if inherit else (False, False, False)
         self.weak = bool(parent and parent.weak) and tag not in CONTENT
         tokens = []
         if attributes and ("=" in attributes or "hidden" in attributes.lower()):
@@ -96,11 +125,29 @@ class Element:
             if tag in CONTENT:
                 self.firm |= tag != "main" and not nearer and firmly
             else:
-                self.soft = any(map(FIRMLY.search, named)) or self.soft and not nearer
+                if nearer:
+                    self.soft = self.linking = self.foreign = False
+                for part in filter(None, map(head, named)):
+                    if LINKING.fullmatch(part):
+                        self.linking = True
+                    elif not nearer or firmly or FOREIGN.fullmatch(part):
+                        self.soft = True
+                    self.foreign |= bool(FOREIGN.fullmatch(part))
                 self.weak = not nearer and (self.weak or any(map(WEAKLY.search, named)))
                 self.firm |= firmly
 
 
+def head(name: str) -> str | None:
+    """The part of a class that speaks against content: its head, or a first part that names remarks, adverts or notices."""
+    parts = [x for x in re.split(r"[_-]+", name) if x]
+    kept = parts[:]
+    while len(kept) > 1 and BOX.fullmatch(kept[-1]):
+        kept.pop()
+    if kept and FIRMLY.fullmatch(kept[-1]):
+        return kept[-1]
+    return parts[0] if parts and re.fullmatch(r"ads?|adverts?|comments?|disqus|cookies?|gdpr", parts[0], re.I) else None
+
+
 def tags(html: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
     """Marks of a page in order: (begin, end, name, closing, attributes); name is None for comments and the like.
 
@@ -147,7 +194,8 @@ def blocks_of(html: str) -> list[Block]:
     links, depth = [], 0  # its link texts; links open
     skip, skipped = None, 0  # element whose content is no text
     raw = 0  # where raw text ends
-    titles: list[tuple[Element, int]] = []  # headings of what is no content: their parent and level
+    titles: list[tuple[Element, int, list[int]]] = []  # headings of what is no content: their parent, level and blocks
+    groups: list[list[int]] = []  # the blocks of such headings, first the heading
     titled: set[Element] = set()  # such parents that are open
 
     def end_block() -> None:
@@ -162,9 +210,12 @@ def blocks_of(html: str) -> list[Block]:
                 while titles and (level <= titles[-1][1] or titles[-1][0] not in titled):
                     titles.pop()
                 if level < 7 and owner.parent and TITLE.match(text):
-                    titles.append((owner.parent, level))
+                    titles.append((owner.parent, level, []))
+                    groups.append(titles[-1][2])
                     titled.add(owner.parent)
-                out.append(Block(text, linked, owner, bool(titles)))
+                for _, _, group in titles:  # at most six, since their levels rise
+                    group.append(len(out))
+                out.append(Block(text, linked, owner, False))
             parts.clear()
             links.clear()
 
@@ -217,6 +268,8 @@ def blocks_of(html: str) -> list[Block]:
             continue
         if tag not in INLINE:
             end_block()
+        if here.form and (tag in ("select", "textarea") or tag == "input" and not re.search(r"type\s*=\s*[\"']?hidden", attributes, re.I)):
+            here.form.controls += 1
         if tag in RAW and not empty:
             ended = re.compile(r"</" + tag + r"(?=[\s/>])[^>]*>", re.I).search(html, at)
             at = raw = ended.end() if ended else len(html)
@@ -244,16 +297,64 @@ def blocks_of(html: str) -> list[Block]:
     if not skip and max(at, raw) < len(html):
         parts.append(html[max(at, raw) :])
     end_block()
+    for group in groups:
+        for i in group if apart([out[i] for i in group]) else ():
+            out[i].under = True
+    mark_forms(out)
+    mark_said(out)
     return out
 
 
+def apart(group: list[Block]) -> bool:
+    """Whether blocks below a heading that names no content are none: mostly links, or remarks, or the heading leaves no doubt."""
+    title, rest = group[0], group[1:]
+    if not (title.element.content or TOPIC.fullmatch(title.text)) or title.element.firm or title.element.soft:
+        return True
+    linked = sum(b.linked for b in rest)
+    return 2 * linked > sum(len(b.text) for b in rest) or any(b.remark for b in rest)
+
+
+def mark_forms(blocks: list[Block]) -> None:
+    """A form is a frame if it has more than half of the page's sentences and much text for each control."""
+    held: Counter[Element] = Counter()
+    total = 0
+    for b in blocks:
+        if b.sentences and not b.element.hard:
+            total += len(b.text)
+            if b.element.form:
+                held[b.element.form] += len(b.text)
+    for form, n in held.items():
+        form.frame = 2 * n > total and n >= BY_CONTROL * form.controls
+
+
+def mark_said(blocks: list[Block]) -> None:
+    """Elements that begin with who said something and when, after a text of twice as many words: what they hold is said there."""
+    runs: list[list[Block]] = []  # neighbouring blocks of one parent
+    for b in blocks:
+        if runs and runs[-1][0].element.parent is b.element.parent:
+            runs[-1].append(b)
+        else:
+            runs.append([b])
+    before = 0
+    for run in runs:
+        at = next((i for i, b in enumerate(run) if b.remark), len(run))
+        ahead, words = before + sum(b.n_words for b in run[:at] if b.sentences), sum(b.n_words for b in run[at:])
+        said = at == 0 and not run[0].element.content and ahead >= 2 * words
+        for b in run:
+            b.said = said
+        before += sum(b.n_words for b in run if b.sentences and not b.ruled_out and not said)
+
+
 def features(blocks: list[Block]) -> list[list[float]]:
     """What the classifier sees of each block, in the order of FEATURES."""
     divided = any(b.element.content and not b.element.hard for b in blocks)
+    # where all sentences stand below parts of classes, these tell nothing apart; inside a main text they do
+    telling = any(b.sentences and not (b.ruled_out or b.element.soft or b.element.firm or b.under or b.said or NOTICE.search(b.text[:1000])) for b in blocks)
     out = []
     for b in blocks:
-        e, words = b.element, b.text.count(" ") + 1
-        against = e.firm or e.soft
+        e, words = b.element, b.n_words
+        soft = e.soft and (telling or e.foreign or e.content) or e.linking and not b.sentences
+        against = e.firm or soft
         inside = (e.content or e.hint_for and not divided) and not against
         linked = min(1.0, b.linked / max(1, len(b.text)))
         out.append(
@@ -263,7 +364,7 @@ def features(blocks: list[Block]) -> list[list[float]]:
                 float(divided and not e.content),
                 float(e.hint_for and not against),
                 float(e.firm),
-                float(e.soft),
+                float(soft),
                 float(e.weak),
                 linked * (not inside),
                 linked * inside,
@@ -272,7 +373,8 @@ def features(blocks: list[Block]) -> list[list[float]]:
                 float(e.tag in HEADINGS),
                 float(e.tag in ("li", "td", "th", "dt") and not inside),
                 float(not e.content and bool(NOTICE.search(b.text[:1000]))),
-                float(not e.content and words < 30 and bool(REMARK.search(b.text))),
+                float(not e.content and b.remark),
+                float(b.said),
                 float(b.under),
                 float(not e.content and bool(re.match(r"\u00a9|(?:copyright|\(c\)|all rights reserved)(?:\W|$)", b.text, re.I))),
             ]
@@ -369,7 +471,7 @@ def content(html: str | None) -> list[str]:
     for i, (b, row) in enumerate(zip(blocks, features(blocks))):
         p = min(max(probability(row), 1e-9), 1 - 1e-9)
         source.append(-math.log(1 - p))
-        sink.append(UNBOUNDED if b.element.hard or b.element.form else -math.log(p))
+        sink.append(UNBOUNDED if b.ruled_out else -math.log(p))
         if i and b.element.content == blocks[i - 1].element.content:  # a main text's border is no place to be smooth
             edges.append((i - 1, i, ADJACENT / max(1, distance(blocks[i - 1].element, b.element))))
         key = id(b.element.parent)

@@ -600,11 +600,35 @@ def test_html_of_classes_beside_the_content():
 
 
 def test_html_weights_and_shapes():
-    """The weights are those of the fit; pages of another seed, of thirteen shapes, are held out."""
+    """The weights are those of the fit; pages of another seed, and each shape in turn, are held out."""
     fit = html_fit.fitted(html_fit.sample())
     assert fit == pytest.approx(html.WEIGHTS, abs=0.051)
     for name, (precision, recall) in html_fit.figures(html_fit.sample(pages=25, seed=2)).items():
         assert recall >= 0.97 and precision >= 0.8, (name, precision, recall)
+    for name, (precision, recall) in html_fit.held_out(pages=20).items():
+        assert recall >= 0.75 and precision >= 0.6, (name, precision, recall)
+
+
+def test_html_loses_no_pages_and_sections():
+    p = "This is the first paragraph of the page, which says at some length what the page is about. It goes on for another sentence."
+    q = "The second paragraph adds more to this, with details and examples that a reader would want to have. It ends here."
+    links = "<ul><li><a href=1>Home</a></li><li><a href=2>About</a></li></ul>"
+    assert html.content(f'<body><form method="post"><input type="hidden" name="state"><div>{links}<input name=q></div><p>{p}</p><p>{q}</p></form></body>') == [p, q]
+    for marks in ('id="post-1" class="post comments-open"', 'class="entry comments-open"', 'class="notice-board"', 'id="lunch-menu"', 'id="content"><div id="related-work"', 'class="layout-sidebar-left"', 'class="share-price"', 'class="sponsored-research"'):
+        assert html.content(f"<div {marks}><p>{p}</p><p>{q}</p></div>") == [p, q], marks
+    assert html.content(f"<article><h2>Related</h2><p>{p}</p><h2>Popular</h2><p>{q}</p></article>") == ["Related", p, "Popular", q]
+    assert html.content(f"<main><p>{p}</p><h2>Responses</h2><p>{q}</p></main>") == [p, "Responses", q]
+
+
+def test_html_leaves_out_what_is_beside():
+    p = "This is the first paragraph of the page, which says at some length what the page is about. It goes on for another sentence."
+    q = "The second paragraph adds more to this, with details and examples that a reader would want to have. It ends here."
+    assert html.content(f"<div><p>{p}</p><p>{q}</p></div><div><p>Anna, 3 May 2020</p><p>I liked this a lot.</p></div>") == [p, q]
+    assert html.content(f"<main><p>{p}</p><h2>Related</h2><ul><li><a href=1>One more thing to read</a></li></ul></main>") == [p]
+    assert html.content(f"<article><p>{p}</p></article><form><p>{q}</p><input></form>") == [p]
+    assert html.content(f"<div><p>{p} {q} {p}</p></div><form><p>{q}</p><input></form>") == [f"{p} {q} {p}"]
+    for name in ("main-menu", "post-sidebar", "comment-list", "ad-box", "cookie-notice", "site-footer", "sidebar-left"):
+        assert html.content(f'<div class="story"><p>{p}</p><p>{q}</p></div><div class="{name}"><p>{q[:40]} <a href=1>and more</a>.</p></div>') == [p, q], name
 
 
 def test_html_inside_the_main_text():
