@@ -52,10 +52,10 @@ def fuse_norms(contents: DataFrame, extra: tuple = ()) -> DataFrame:
     )
 
 
-def conflicts(norms: DataFrame, texts: DataFrame | None = None) -> DataFrame:
-    """Pairs of a norm that allows or requires and one that prohibits the same action of the same subject.
+def scoped(norms: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """A row for each norm, subject and action: (id, subject, action, modality, conditions, objects, has_exception).
 
-    norms: (id, modality, the six arrays); texts: (id, canonical_text) of conditions. The join is on subject and action.
+    norms: (id, modality, the six arrays); texts: (id, canonical_text) of conditions.
     """
     each = norms.select("id", "modality", "condition_ids", "exception_ids", "object_ids", F.explode("subject_ids").alias("subject"), "action_ids").withColumn("action", F.explode("action_ids")).drop("action_ids")
     if texts is not None:
@@ -64,32 +64,135 @@ def conflicts(norms: DataFrame, texts: DataFrame | None = None) -> DataFrame:
         each = each.join(told, "id", "left")
     else:
         each = each.withColumn("conditions", F.sort_array("condition_ids"))
-    each = each.withColumns({"conditions": F.coalesce("conditions", F.array().cast("array<string>")), "objects": F.sort_array(F.array_distinct("object_ids")), "has_exception": F.size("exception_ids") > 0}).drop("condition_ids", "exception_ids", "object_ids")
+    each = each.withColumns({"conditions": F.coalesce("conditions", F.array().cast("array<string>")), "objects": F.sort_array(F.array_distinct("object_ids")), "has_exception": F.coalesce(F.size("exception_ids") > 0, F.lit(False))})
+    return each.drop("condition_ids", "exception_ids", "object_ids").where("subject is not null and action is not null")
+
+
+#: Rows of one side of a key that one task pairs with as many of the other.
+BLOCK = 1024
+
+
+def paired(left: DataFrame, right: DataFrame, keys: tuple, block: int = BLOCK) -> DataFrame:
+    """The inner join of two tables on `keys`, where a key with many rows on both sides is dealt in blocks.
+
+    Each side of such a key is cut into blocks of about `block` rows by a hash of the row, and sent once for each block of
+    the other side: a task then makes about block * block pairs, and the copies are a `block`-th of the pairs. Other
+    columns must have different names.
+    """
+    count = lambda df, c: df.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias(c))
+    cut = count(left, "__i").join(count(right, "__j"), list(keys)).where("__i > 1 or __j > 1")
+    one = lambda c: F.coalesce(c, F.lit(1))
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        at = F.pmod(F.xxhash64(*[c for c in df.columns if c not in keys]), one(own)).cast("int")
+        rows = df.join(cut, list(keys), "left").withColumns({own: at, other: F.sequence(F.lit(0), one(other) - 1)})
+        return rows.withColumn(other, F.explode(other))
+
+    both = dealt(left, "__i", "__j").join(dealt(right, "__j", "__i"), [*keys, "__i", "__j"])
+    return both.drop("__i", "__j")
+
+
+def conflicts(norms: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """Pairs of a norm that allows or requires and one that prohibits the same action of the same subject.
+
+    norms and texts as for `scoped`. The join is on subject and action, and hot ones are dealt in blocks; where a row a
+    pair is too much, `conflict_classes` has the counts and the members.
+    """
+    each = scoped(norms, texts)
     named = lambda df, p: df.select("subject", "action", *[F.col(c).alias(f"{p}_{c}") for c in ("id", "modality", "conditions", "objects", "has_exception")])
     pos = named(each.where(F.col("modality").isin("ALLOW", "REQUIRE")), "p")
     neg = named(each.where("modality = 'PROHIBIT'"), "n")
-    both = pos.join(neg, ["subject", "action"])
+    both = paired(pos, neg, ("subject", "action"))
     s = scope(F.col("p_conditions"), F.col("n_conditions"), F.col("p_has_exception") | F.col("n_has_exception"), F.col("p_objects") == F.col("n_objects"))
     return both.select("subject", "action", F.col("p_id").alias("positive_id"), F.col("n_id").alias("prohibit_id"), F.concat("p_modality", F.lit("_PROHIBIT")).alias("conflict_type"), s.alias("s"), F.col("p_conditions").alias("positive_conditions"), F.col("n_conditions").alias("prohibit_conditions")).select("*", "s.flag", "s.context_status").drop("s")
 
 
+def conflict_classes(norms: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """The conflicts counted without a row a pair: (subject, action, conflict_type, flag, context_status, n_pairs, n_positive, n_prohibit).
+
+    What decides a pair is either a mark of one side (an exception, a word of its conditions), or that conditions, then
+    objects, are equal. So norms are counted by marks, conditions and objects; of a subject and action at most eight
+    classes by marks meet eight, pairs of equal conditions meet by a join on them, and what is left of the product is the
+    pairs of unequal ones. n_positive and n_prohibit are the norms of each side; `conflict_members` lists them, and
+    `conflicts` on the norms of a chosen key expands it. Norms without subject, action or modality take no part.
+    """
+    key, rest = ["subject", "action"], ["conditions", "objects"]
+    told = F.array_join("conditions", " ")
+    marked = scoped(norms, texts).select(
+        *key, "modality", "has_exception", F.sort_array(F.array_distinct("conditions")).alias("conditions"), "objects",
+        F.contains(told, F.lit(NOT_ALLOWED)).alias("barred"), F.contains(told, F.lit(WITHOUT_FEE)).alias("free"), _fees(told).alias("fees"),
+    )
+    marks = {"p": ["modality", "p_exception", "fees"], "n": ["n_exception", "barred", "free"]}
+
+    def counted(side: str, chosen: Column) -> DataFrame:
+        found = marked.where(chosen).withColumnRenamed("has_exception", f"{side}_exception")
+        return found.groupBy(*key, *marks[side], *rest).agg(F.count("*").alias(f"{side}_n"))
+
+    pos = staged(counted("p", F.col("modality").isin("ALLOW", "REQUIRE")), "positive-norms")
+    neg = staged(counted("n", F.col("modality") == "PROHIBIT"), "prohibiting-norms")
+
+    def met(on: list) -> DataFrame:
+        """Pairs by marks on both sides, of equal `on`."""
+        sides = [df.groupBy(*key, *on, *marks[x]).agg(F.sum(f"{x}_n").alias(f"{x}_n")) for x, df in (("p", pos), ("n", neg))]
+        return sides[0].join(sides[1], [*key, *on]).withColumn("pairs", F.col("p_n") * F.col("n_n"))
+
+    def summed(df: DataFrame, name: str) -> DataFrame:
+        return df.where("size(conditions) > 0").where(_open()).groupBy(*key, "modality").agg(F.sum("pairs").alias(name))
+
+    all_pairs = met([]).withColumn("why", F.when(F.col("p_exception") | F.col("n_exception"), 0).when(F.col("barred"), 1).when(F.col("free") & F.col("fees"), 2).otherwise(3))
+    by_why = all_pairs.groupBy(*key, "modality").agg(*[F.sum(F.when(F.col("why") == i, F.col("pairs")).otherwise(0)).alias(f"w{i}") for i in range(4)])
+    equal, same = summed(met(["conditions"]), "equal"), summed(met(rest), "same")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    n = {WHY[0]: F.col("w0"), WHY[1]: F.col("w1"), WHY[2]: F.col("w2"), WHY[3]: zero("same"), WHY[4]: zero("equal") - zero("same"), WHY[5]: F.col("w3") - zero("equal")}
+    rows = by_why.join(equal, [*key, "modality"], "left").join(same, [*key, "modality"], "left")
+    rows = rows.withColumn("c", F.explode(F.array(*[F.struct(F.lit(f).alias("flag"), F.lit(w).alias("context_status"), v.cast("long").alias("n_pairs")) for (f, w), v in n.items()]))).where("c.n_pairs > 0")
+    rows = rows.join(pos.groupBy(*key, "modality").agg(F.sum("p_n").alias("n_positive")), [*key, "modality"]).join(neg.groupBy(*key).agg(F.sum("n_n").alias("n_prohibit")), key)
+    return rows.select(*key, F.concat("modality", F.lit("_PROHIBIT")).alias("conflict_type"), "c.flag", "c.context_status", "c.n_pairs", "n_positive", "n_prohibit")
+
+
+def conflict_members(norms: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """(subject, action, side, modality, id): the norms that stand behind the rows of `conflict_classes`, for keys that have both sides."""
+    each = scoped(norms, texts).where(F.col("modality").isin("ALLOW", "REQUIRE", "PROHIBIT"))
+    each = each.select("subject", "action", F.when(F.col("modality") == "PROHIBIT", "PROHIBIT").otherwise("POSITIVE").alias("side"), "modality", "id").distinct()
+    both = each.groupBy("subject", "action").agg(F.count_if(F.col("side") == "PROHIBIT").alias("n"), F.count("*").alias("m")).where("n > 0 and m > n").select("subject", "action")
+    return each.join(both, ["subject", "action"], "left_semi")
+
+
+# What a pair of opposite norms comes to, as flag and reason, the first that holds.
+WHY = [
+    ("REVIEW_REQUIRED", "EXCEPTION_SCOPE_REQUIRES_REVIEW"),
+    ("REVIEW_REQUIRED", "CONDITIONAL_PROHIBITION_REQUIRES_LEGAL_REVIEW"),
+    ("CONTEXTUAL_DIFFERENCE", "DISTINCT_LAND_PAYMENT_REGIMES"),
+    ("POTENTIAL_LEGAL_CONFLICT", "MATCHING_EXPLICIT_CONDITIONS"),
+    ("REVIEW_REQUIRED", "OBJECT_SCOPE_NOT_PROVEN_EQUAL"),
+    ("REVIEW_REQUIRED", "CONDITION_SCOPE_NOT_PROVEN_EQUAL"),
+]
 # Texts of conditions that decide a scope.
 NOT_ALLOWED, WITHOUT_FEE, WITH_FEES = "pháp luật không cho phép", "không thu tiền sử dụng đất", ["có thu tiền sử dụng đất", "thu tiền thuê đất một lần", "thu tiền thuê đất hằng năm"]
 
 
+def _fees(told: Column) -> Column:
+    return F.contains(told, F.lit(WITH_FEES[0])) | F.contains(told, F.lit(WITH_FEES[1])) | F.contains(told, F.lit(WITH_FEES[2]))
+
+
+def _open() -> Column:
+    """Whether no mark of either side decides a pair of `conflict_classes`."""
+    return ~(F.col("p_exception") | F.col("n_exception") | F.col("barred") | F.col("free") & F.col("fees"))
+
+
 def scope(allowed: Column, prohibited: Column, has_exception: Column, same_objects: Column) -> Column:
     """struct(flag, context_status) of a pair of opposite norms."""
     n, p = F.array_join(prohibited, " "), F.array_join(allowed, " ")
-    fees = F.contains(p, F.lit(WITH_FEES[0])) | F.contains(p, F.lit(WITH_FEES[1])) | F.contains(p, F.lit(WITH_FEES[2]))
+    fees = _fees(p)
     equal = (F.size(allowed) > 0) & (F.size(prohibited) > 0) & (F.sort_array(F.array_distinct(allowed)) == F.sort_array(F.array_distinct(prohibited)))
-    told = lambda flag, why: F.struct(F.lit(flag).alias("flag"), F.lit(why).alias("context_status"))
+    told = [F.struct(F.lit(flag).alias("flag"), F.lit(why).alias("context_status")) for flag, why in WHY]
     return (
-        F.when(has_exception, told("REVIEW_REQUIRED", "EXCEPTION_SCOPE_REQUIRES_REVIEW"))
-        .when(F.contains(n, F.lit(NOT_ALLOWED)), told("REVIEW_REQUIRED", "CONDITIONAL_PROHIBITION_REQUIRES_LEGAL_REVIEW"))
-        .when(F.contains(n, F.lit(WITHOUT_FEE)) & fees, told("CONTEXTUAL_DIFFERENCE", "DISTINCT_LAND_PAYMENT_REGIMES"))
-        .when(equal & same_objects, told("POTENTIAL_LEGAL_CONFLICT", "MATCHING_EXPLICIT_CONDITIONS"))
-        .when(equal, told("REVIEW_REQUIRED", "OBJECT_SCOPE_NOT_PROVEN_EQUAL"))
-        .otherwise(told("REVIEW_REQUIRED", "CONDITION_SCOPE_NOT_PROVEN_EQUAL"))
+        F.when(has_exception, told[0])
+        .when(F.contains(n, F.lit(NOT_ALLOWED)), told[1])
+        .when(F.contains(n, F.lit(WITHOUT_FEE)) & fees, told[2])
+        .when(equal & same_objects, told[3])
+        .when(equal, told[4])
+        .otherwise(told[5])
     )
 
 

@@ -88,3 +88,17 @@ def collisions(norms: DataFrame, edges: DataFrame) -> DataFrame:
     each = free.join(of("HAS_SUBJECT", "subject"), "id").join(of("HAS_ACTION", "action"), "id")
     side = lambda p: each.select("subject", "action", F.col("id").alias(p), F.col("modality").alias(f"{p}_modality"))
     return side("first").join(side("second"), ["subject", "action"]).where("first < second and first_modality <> second_modality").select("subject", "action", "first", "second").distinct()
+
+
+def collision_classes(norms: DataFrame, edges: DataFrame) -> DataFrame:
+    """The collisions counted by class: (subject, action, first_modality, second_modality, n_first, n_second, n_pairs), no row a pair.
+
+    A class is the unconditional norms of one modality on a subject and action; any two classes collide in all their
+    pairs. Ids of norms are unique.
+    """
+    free = norms.select("id", "modality").join(edges.where("type = 'HAS_CONDITION'").select(F.col("source").alias("id")), "id", "left_anti")
+    of = lambda t, c: edges.where(F.col("type") == t).select(F.col("source").alias("id"), F.col("target").alias(c)).distinct()
+    each = free.join(of("HAS_SUBJECT", "subject"), "id").join(of("HAS_ACTION", "action"), "id")
+    sizes = each.groupBy("subject", "action", "modality").agg(F.count("*").alias("n"))
+    side = lambda p: sizes.select("subject", "action", F.col("modality").alias(f"{p}_modality"), F.col("n").alias(f"n_{p}"))
+    return side("first").join(side("second"), ["subject", "action"]).where("first_modality < second_modality").withColumn("n_pairs", F.col("n_first") * F.col("n_second"))

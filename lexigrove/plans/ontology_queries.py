@@ -344,14 +344,19 @@ p AS (SELECT x.id AS positive_id, y.id AS prohibit_id, x.s AS subject, x.a AS ac
   WHEN x.c = y.c AND x.o = y.o THEN 'POTENTIAL_LEGAL_CONFLICT|MATCHING_EXPLICIT_CONDITIONS' WHEN x.c = y.c THEN 'REVIEW_REQUIRED|OBJECT_SCOPE_NOT_PROVEN_EQUAL' ELSE 'REVIEW_REQUIRED|CONDITION_SCOPE_NOT_PROVEN_EQUAL' END AS verdict FROM e x JOIN e y ON x.s = y.s AND x.a = y.a AND x.modality IN ('ALLOW', 'REQUIRE') AND y.modality = 'PROHIBIT')"""
 
 
-def _conflicts(spark: SparkSession, sf: str) -> DataFrame:
+def _opposed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Norms made of events, and the texts of their conditions."""
     i, none = F.col("event_id"), F.array().cast("array<string>")
     text = lambda c: F.array(c.cast("string"))
     n = table(spark, sf, "events").select(
         i.cast("string").alias("id"), F.when(i % 5 == 0, "ALLOW").when(i % 5 == 1, "REQUIRE").when(i % 5 == 2, "PROHIBIT").alias("modality"), text(F.col("user_id")).alias("subject_ids"), text(F.col("event_type")).alias("action_ids"), text(i % 4).alias("condition_ids"), none.alias("exception_ids"), text(i % 3).alias("object_ids"),
     )
     said = [("0", " Có đất"), ("1", "pháp luật không cho phép"), ("2", "không thu tiền sử dụng đất "), ("3", "THU TIỀN THUÊ ĐẤT HẰNG NĂM")]
-    return fuse.conflicts(n, spark.createDataFrame(said, "id string, canonical_text string"))
+    return n, spark.createDataFrame(said, "id string, canonical_text string")
+
+
+def _conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    return fuse.conflicts(*_opposed(spark, sf))
 
 
 @query(f"WITH {_PAIRED} SELECT positive_id::VARCHAR AS positive_id, prohibit_id::VARCHAR AS prohibit_id, conflict_type, verdict FROM p")
@@ -365,6 +370,30 @@ def conflict_reviews(spark: SparkSession, sf: str) -> DataFrame:
     return fuse.reviews(_conflicts(spark, sf))[1]
 
 
+#: Three subjects, so hot keys; every seventh norm has an exception.
+_HOT = """e AS (SELECT event_id AS id, user_id % 3 AS s, event_type AS a, CASE event_id % 5 WHEN 0 THEN 'ALLOW' WHEN 1 THEN 'REQUIRE' WHEN 2 THEN 'PROHIBIT' END AS m, CASE event_id % 4 WHEN 0 THEN 'có đất' WHEN 1 THEN 'pháp luật không cho phép' WHEN 2 THEN 'không thu tiền sử dụng đất' ELSE 'thu tiền thuê đất hằng năm' END AS c, event_id % 3 AS o, event_id % 7 = 0 AS x FROM events)"""
+
+
+def _hot_norms(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    n, texts = _opposed(spark, sf)
+    subject = F.transform("subject_ids", lambda s: (s.cast("long") % 3).cast("string"))
+    return n.withColumns({"subject_ids": subject, "exception_ids": F.when(F.col("id").cast("long") % 7 == 0, F.array(F.lit("x"))).otherwise(F.col("exception_ids"))}), texts
+
+
+@query(f"""WITH {_HOT}, p AS (SELECT x.s::VARCHAR AS subject, x.a AS action, x.m || '_PROHIBIT' AS conflict_type, CASE WHEN x.x OR y.x THEN 'EXCEPTION_SCOPE_REQUIRES_REVIEW' WHEN contains(y.c, 'pháp luật không cho phép') THEN 'CONDITIONAL_PROHIBITION_REQUIRES_LEGAL_REVIEW'
+  WHEN y.c = 'không thu tiền sử dụng đất' AND x.c = 'thu tiền thuê đất hằng năm' THEN 'DISTINCT_LAND_PAYMENT_REGIMES' WHEN x.c = y.c AND x.o = y.o THEN 'MATCHING_EXPLICIT_CONDITIONS' WHEN x.c = y.c THEN 'OBJECT_SCOPE_NOT_PROVEN_EQUAL' ELSE 'CONDITION_SCOPE_NOT_PROVEN_EQUAL' END AS context_status, x.id AS pid, y.id AS nid
+  FROM e x JOIN e y ON x.s = y.s AND x.a = y.a AND x.m IN ('ALLOW', 'REQUIRE') AND y.m = 'PROHIBIT'), t AS (SELECT subject, action, conflict_type, count(DISTINCT pid) AS n_positive, count(DISTINCT nid) AS n_prohibit FROM p GROUP BY ALL)
+SELECT subject, action, conflict_type, CASE context_status WHEN 'DISTINCT_LAND_PAYMENT_REGIMES' THEN 'CONTEXTUAL_DIFFERENCE' WHEN 'MATCHING_EXPLICIT_CONDITIONS' THEN 'POTENTIAL_LEGAL_CONFLICT' ELSE 'REVIEW_REQUIRED' END AS flag, context_status, count(*) AS n_pairs, any_value(n_positive) AS n_positive, any_value(n_prohibit) AS n_prohibit FROM p JOIN t USING (subject, action, conflict_type) GROUP BY ALL""")
+def conflict_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts of pairs by outcome without a row a pair; the SQL makes all pairs."""
+    return fuse.conflict_classes(*_hot_norms(spark, sf))
+
+
+@query(f"WITH {_HOT}, k AS (SELECT s, a FROM e GROUP BY ALL HAVING count_if(m = 'PROHIBIT') > 0 AND count_if(m IN ('ALLOW', 'REQUIRE')) > 0) SELECT s::VARCHAR AS subject, a AS action, CASE m WHEN 'PROHIBIT' THEN m ELSE 'POSITIVE' END AS side, m AS modality, id::VARCHAR AS id FROM e JOIN k USING (s, a) WHERE m IS NOT NULL")
+def conflict_members(spark: SparkSession, sf: str) -> DataFrame:
+    return fuse.conflict_members(*_hot_norms(spark, sf))
+
+
 @query("""WITH n AS (SELECT CASE WHEN p_partkey % 3 = 1 THEN p_partkey - 1 ELSE p_partkey END AS number, count(*) AS c, min(p_partkey) AS id FROM part GROUP BY 1 HAVING count(*) = 1) SELECT o_orderkey AS ref_id, n.id AS target FROM orders JOIN n ON number = o_custkey""")
 def unique_places(spark: SparkSession, sf: str) -> DataFrame:
     """Two of three parts share a number, and so are no unique place."""

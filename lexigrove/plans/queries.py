@@ -711,6 +711,15 @@ def norm_collisions(spark: SparkSession, sf: str) -> DataFrame:
     return probes.collisions(norms, edges)
 
 
+@query("""WITH f AS (SELECT event_id AS id, 'u' || user_id AS subject, event_type AS action, nm.modality FROM events JOIN (SELECT unnest(['ALLOW', 'REQUIRE', 'PROHIBIT']) AS modality, unnest([0, 1, 2]) AS m) nm ON event_id % 3 = m WHERE event_id % 4 = 0)
+SELECT a.subject, a.action, a.modality AS first_modality, b.modality AS second_modality, count(DISTINCT a.id) AS n_first, count(DISTINCT b.id) AS n_second, count(*) AS n_pairs FROM f a JOIN f b ON a.subject = b.subject AND a.action = b.action AND a.modality < b.modality GROUP BY ALL""")
+def collision_classes(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators import probes
+
+    norms, edges, _ = _norm_graph(spark, sf)
+    return probes.collision_classes(norms, edges)
+
+
 @query("SELECT event_id::VARCHAR AS id, 'n' || event_id % 50 AS node FROM events WHERE event_id % 50 >= 40")
 def ghost_pointers(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators import probes

@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,6 +110,41 @@ def test_conflict_reviews(spark):
     assert sorted(r.id for r in rn.collect()) == ["REVIEW_001", "REVIEW_002"] and re_.count() == 8
 
 
+def test_conflict_classes_count_all_pairs(spark):
+    """Against the pairs themselves: marks, equal and unequal conditions, repeated and null parts, a hot key."""
+    rng = random.Random(5)
+    words = ["c", "d", "free", "fee", "barred", None]
+    pick = lambda k: [rng.choice(words) for _ in range(rng.randint(0, k))]
+    rows = [(str(i), rng.choice(["ALLOW", "REQUIRE", "PROHIBIT", "OTHER", None]), rng.choice([["s"], ["s", "t"], ["s"], ["u", "u"], [], None, [None]]), rng.choice([["x"], ["x"], ["x", "y"]]), pick(2), rng.choice([[], [], [], ["e"], None]), rng.choice([["o"], ["p"], ["p", "o"], None])) for i in range(600)]
+    n = spark.createDataFrame(rows, "id string, modality string, subject_ids array<string>, action_ids array<string>, condition_ids array<string>, exception_ids array<string>, object_ids array<string>")
+    texts = spark.createDataFrame([("c", "Có đất"), ("free", "không thu tiền sử dụng đất"), ("fee", "có thu tiền sử dụng đất"), ("barred", "pháp luật không cho phép")], "id string, canonical_text string")
+    for t in (texts, None):
+        pairs = fuse.conflicts(n, t)
+        want = Counter((r.subject, r.action, r.conflict_type, r.flag, r.context_status) for r in pairs.collect())
+        got = {(r.subject, r.action, r.conflict_type, r.flag, r.context_status): r.n_pairs for r in fuse.conflict_classes(n, t).collect()}
+        assert got == dict(want) and sum(want.values()) > 5000
+        assert {(r.subject, r.action, r.id) for r in fuse.conflict_members(n, t).collect()} == {(r.subject, r.action, i) for r in pairs.collect() for i in (r.positive_id, r.prohibit_id)}
+    assert fuse.conflict_classes(n.where("false"), texts).count() == fuse.conflict_members(n.where("false")).count() == 0
+
+
+def test_pairs_of_a_hot_key_are_dealt_in_blocks(spark):
+    a = spark.range(3000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 100)).alias("k"), F.col("id").alias("x"))
+    b = spark.range(1500).select(F.when(F.col("id") % 2 > 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 100)).alias("k"), F.col("id").alias("y"))
+    got = fuse.paired(a, b, ("k",), block=100)
+    plain = a.join(b, "k")
+    sums = lambda df: df.agg(F.count("*"), F.count_distinct("x", "y"), F.sum(F.col("x") * F.col("y"))).first()
+    assert sums(got) == sums(plain)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        most = lambda df: max(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+        spread, alone = most(fuse.paired(a, b, ("k",), block=100)), most(plain)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert spread <= 2 * sums(plain)[0] / 4 and alone > 0.9 * sums(plain)[0]
+
+
 def test_references(spark):
     nodes = spark.createDataFrame([("n1", "L", "46", "1", None), ("n2", "L", "46", None, None), ("n3", "L", "7", None, None), ("n4", "L", "7", None, None)], "id string, law_code string, article string, clause string, point string")
     refs = spark.createDataFrame([("r1", "L", "src", "khoản 1 Điều 46"), ("r2", "L", "src", "Điều 7"), ("r3", "L", "src", "điều này"), ("r4", "L", "src", "không rõ")], "ref_id string, law_code string, source_node_id string, text string")
