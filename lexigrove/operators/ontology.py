@@ -204,10 +204,9 @@ def build_norms(mentions: DataFrame, relations: DataFrame, modalities: DataFrame
     complex_ = (F.coalesce("unresolved", F.lit(0)) == 1) | (F.size("condition_ids") > 0) | (F.size("exception_ids") > 0) | (F.size("consequence_ids") > 0) | (F.size("subject_ids") > 1)
     group = F.when(F.size("condition_ids") > 0, F.array(F.struct(F.lit("G1").alias("group_id"), F.lit("AND").alias("operator"), F.col("condition_ids"), F.lit(False).alias("is_complex"))))
     status = F.when(F.size("subject_ids") > 0, "RESOLVED").otherwise("UNRESOLVED")
-    full = (F.size("subject_ids") > 0) & (F.size("action_ids") > 0)
     return n.where(complex_).select(
         F.concat(F.col("node_id"), F.lit("#NORM#1")).alias("id"), "modality", *kinds, F.coalesce(group, F.array().cast("array<struct<group_id:string,operator:string,condition_ids:array<string>,is_complex:boolean>>")).alias("condition_groups"),
-        status.alias("subject_status"), F.when(full, "FULL").otherwise("PARTIAL").alias("norm_completeness"), F.col("node_id").alias("provenance_node_id"), "evidence", F.lit("NORM_BUILD").alias("rule_id"), F.lit("VALID").alias("status"),
+        status.alias("subject_status"), F.when(F.size("subject_ids") > 0, "COMPLETE").otherwise("PARTIAL").alias("norm_completeness"), F.col("node_id").alias("provenance_node_id"), "evidence", F.lit("NORM_BUILD").alias("rule_id"), F.lit("VALID").alias("status"),
     )
 
 
@@ -285,7 +284,7 @@ def cascade_norms(norms: DataFrame, active: DataFrame) -> tuple[DataFrame, DataF
     none = F.array().cast("array<string>")
     # the order of the arrays stays that of the norm
     out = norms.join(kept, "id", "left").withColumns({c: F.array_intersect(F.col(c), F.coalesce(f"__{c}", none)) for c in ROLES.values()}).drop(*[f"__{c}" for c in ROLES.values()])
-    out = out.withColumn("norm_completeness", F.when((F.size("subject_ids") > 0) & (F.size("action_ids") > 0), "FULL").otherwise("PARTIAL")).withColumn("subject_status", F.when(F.size("subject_ids") > 0, "RESOLVED").otherwise("UNRESOLVED"))
+    out = out.withColumn("norm_completeness", F.when(F.size("subject_ids") > 0, "COMPLETE").otherwise("PARTIAL")).withColumn("subject_status", F.when(F.size("subject_ids") > 0, "RESOLVED").otherwise("UNRESOLVED"))
     return out.where(F.size("action_ids") > 0), out.where(F.size("action_ids") == 0).withColumn("status", F.lit("QUARANTINED"))
 
 
@@ -382,20 +381,27 @@ def recomputed_report(graph: dict[str, DataFrame]) -> DataFrame:
 def finalize(graph: dict[str, DataFrame], before: dict[str, int] | None = None, physical: DataFrame | None = None) -> dict[str, DataFrame]:
     """The graph after its cascades and repairs, with `unlinked_mentions`, `metrics` and `report`; an error if a fatal count is not zero.
 
-    Norms lose parts that are gone, edges go with their ends, references get owners that are there. before: counts of
-    mentions and norms that went in, which must all come out as active or quarantined ones.
+    Norms lose parts that are gone, edges go with their ends, references get owners that are there; the mention of a
+    reference that finds none is quarantined with it. before: counts of mentions and norms that went in, which must all
+    come out as active or quarantined ones. The tables are staged, so the counts of the gate read no more than footers
+    and keys.
     """
-    mentions, concepts = graph["mentions"], graph["concepts"]
+    concepts = graph["concepts"]
+    owners = staged(repair_owners(graph["references"].drop("status"), cascade_norms(graph["norms"], graph["mentions"])[0], graph["mentions"]), "references")
+    unowned = graph["quarantined_references"].unionByName(owners.where("status <> 'VALID'"))
+    orphans = unowned.select("mention_id").distinct()
+    mentions = staged(graph["mentions"].join(orphans, "mention_id", "left_anti"), "mentions")
+    orphaned = graph["mentions"].join(orphans, "mention_id", "left_semi").withColumn("status", F.lit("QUARANTINED"))
+    graph = graph | {"mentions": mentions, "quarantined_mentions": graph["quarantined_mentions"].unionByName(orphaned)}
     norms, lost = cascade_norms(graph["norms"], mentions)
     norms, lost = staged(norms, "norms"), staged(lost, "norms-lost")
     gone = _ids(graph["quarantined_mentions"], "mention_id").unionByName(_ids(lost, "id")).unionByName(_ids(graph["quarantined_norms"], "id"))
     active = _ids(mentions, "mention_id").unionByName(_ids(norms, "id")).unionByName(_ids(concepts, "concept_id"))
     edges = staged(cascade_edges(graph["edges"], active, gone), "edges")
-    references = staged(repair_owners(graph["references"].drop("status"), norms, mentions), "references")
     out = graph | {
-        "norms": norms, "edges": edges.where("reason is null").drop("reason"), "references": references.where("status = 'VALID'"),
+        "norms": norms, "edges": edges.where("reason is null").drop("reason"), "references": owners.where("status = 'VALID'"),
         "quarantined_norms": graph["quarantined_norms"].unionByName(lost), "quarantined_edges": graph["quarantined_edges"].unionByName(edges.where("reason is not null")),
-        "quarantined_references": graph["quarantined_references"].unionByName(references.where("status <> 'VALID'")),
+        "quarantined_references": unowned,
     }
     out["unlinked_mentions"] = unlinked_mentions(mentions, out["edges"], norms, out["references"])
     out["metrics"] = staged(metrics(out, physical), "metrics")

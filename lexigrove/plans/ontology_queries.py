@@ -166,7 +166,7 @@ _PARTS = ("subject_ids", "action_ids", "object_ids", "condition_ids", "exception
 
 
 @query(f"""WITH {_M}, {_R}, {_N} SELECT id, modality, {", ".join(f"array_to_string({p}, ',') AS {p}" for p in _PARTS)}, CASE WHEN len(condition_ids) > 0 THEN 'AND' ELSE '' END AS operator, CASE WHEN len(subject_ids) > 0 THEN 'RESOLVED' ELSE 'UNRESOLVED' END AS subject_status,
-CASE WHEN len(subject_ids) > 0 AND len(action_ids) > 0 THEN 'FULL' ELSE 'PARTIAL' END AS norm_completeness, {_FIRST_THREE} AS evidence FROM nm""")
+CASE WHEN len(subject_ids) > 0 THEN 'COMPLETE' ELSE 'PARTIAL' END AS norm_completeness, {_FIRST_THREE} AS evidence FROM nm""")
 def built_norms(spark: SparkSession, sf: str) -> DataFrame:
     _, _, n = _norms(spark, sf)
     return n.select("id", "modality", *[F.array_join(p, ",").alias(p) for p in _PARTS], F.array_join(F.col("condition_groups.operator"), ",").alias("operator"), "subject_status", "norm_completeness", "evidence")
@@ -292,7 +292,7 @@ def integrity_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {_WHOLE} SELECT 'active_mentions' AS metric, count(*) AS n FROM act UNION ALL SELECT 'valid_mentions', count(*) FROM act WHERE status = 'VALID' UNION ALL SELECT 'corrected_mentions', count(*) FROM act WHERE status = 'CORRECTED' UNION ALL SELECT 'unresolved_mentions', 0
-UNION ALL SELECT 'quarantined_mentions', count(*) FROM m WHERE status = 'QUARANTINED' UNION ALL SELECT 'active_norms', count(*) FROM nm UNION ALL SELECT 'valid_norms', count(*) FROM nm UNION ALL SELECT 'partial_norms', count(*) FROM nm WHERE len(subject_ids) = 0 OR len(action_ids) = 0 UNION ALL SELECT 'quarantined_norms', 0
+UNION ALL SELECT 'quarantined_mentions', count(*) FROM m WHERE status = 'QUARANTINED' UNION ALL SELECT 'active_norms', count(*) FROM nm UNION ALL SELECT 'valid_norms', count(*) FROM nm UNION ALL SELECT 'partial_norms', count(*) FROM nm WHERE len(subject_ids) = 0 UNION ALL SELECT 'quarantined_norms', 0
 UNION ALL SELECT 'active_edges', count(*) FROM al UNION ALL SELECT 'quarantined_edges', 0 UNION ALL SELECT 'active_references', count(*) FROM ar UNION ALL SELECT 'ambiguous_references', count(*) FROM ar UNION ALL SELECT 'classified_references', 0 UNION ALL SELECT 'quarantined_references', (SELECT count(*) FROM refs) - (SELECT count(*) FROM ar) UNION ALL SELECT 'total_concepts', count(*) FROM cc""")
 def graph_report(spark: SparkSession, sf: str) -> DataFrame:
     return ontology.recomputed_report(_whole(spark, sf))
@@ -310,6 +310,71 @@ def mention_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return ontology.mention({"mentions": _line_mentions(spark, sf)}, "7#2").select("mention_id", "status", "text")
 
 
+# --- the whole build ----------------------------------------------------------------------------------------------------
+_LINE_TYPES = ["SUBJECT", "ACTION", "OBJECT", "CONDITION", "EXCEPTION", "PENALTY", "REFERENCE"]
+#: Rules and registry of the build: people are corrected and named, contracts as subjects are quarantined.
+_BUILD_RULES = [(0, "R_C", "SUBJECT", ["hợp đồng"], [], "ContractObject", "X.CONTRACT", "FLAG", "HIGH", False), (1, "R_P", "SUBJECT", ["người"], [], "Person", "X.PERSON", "CORRECT", "HIGH", False)]
+
+
+def _line_extractions(spark: SparkSession, sf: str) -> DataFrame:
+    """An extraction for each order: an entity for each line, relations from the subject and the action to the others, faults by supplier."""
+    n, s = F.col("n"), F.col("s")
+    lines = table(spark, sf, "lineitem").where("l_linenumber <= 7").groupBy(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("node_id"), F.col("l_linenumber").cast("int").alias("n")).agg(F.min("l_suppkey").alias("s"))
+    text = F.when(s % 10 == 0, "N/A").when(s % 10 == 3, "Việc này").when(s % 5 == 1, F.concat(F.lit("người "), s.cast("string"))).when(s % 5 == 2, F.concat(F.lit("hợp đồng "), s.cast("string"))).otherwise(F.concat(F.lit("w "), s.cast("string")))
+    own = F.concat(F.lit("e"), n.cast("string"))
+    entity = F.struct(own.alias("id"), text.alias("text"), F.get(F.array(*map(F.lit, _LINE_TYPES)), n - 1).alias("entity_type"), F.when(s % 17 == 0, "--").otherwise(F.concat(F.lit("ev "), s.cast("string"))).alias("evidence"))
+
+    def relation(when, source, kind, status="RESOLVED"):
+        return F.when(when, F.struct(F.lit(source).cast("string").alias("source"), F.lit(kind).alias("relation_type"), own.alias("target"), F.lit(status).alias("source_status"), F.lit("rel 1").alias("evidence")))
+
+    each = F.array_compact(F.array(relation(n == 2, "e1", "ALLOW"), relation((n == 2) & (s % 7 == 0), None, "PROHIBIT", "UNRESOLVED"), relation((n == 3) & (s % 11 == 0), "e1", "REQUIRE"), relation(n == 3, "e2", "HAS_OBJECT"), relation(n == 4, "e2", "HAS_CONDITION"), relation(n == 5, "e2", "HAS_EXCEPTION"), relation(n == 6, "e2", "HAS_PENALTY")))
+    found = lines.select("node_id", F.struct("n", entity.alias("e"), each.alias("r")).alias("x")).groupBy("node_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    return found.select("node_id", F.transform("x", lambda x: x["e"]).alias("entities"), F.flatten(F.transform("x", lambda x: x["r"])).alias("relations"))
+
+
+_BUILT = f"""ln AS (SELECT 'o' || l_orderkey AS node, l_linenumber AS n, min(l_suppkey) AS s FROM lineitem WHERE l_linenumber <= 7 GROUP BY ALL),
+en AS (SELECT *, {_LINE_TYPES!r}[n] AS kind FROM ln), ok AS (SELECT * FROM en WHERE s % 10 <> 0 AND s % 17 <> 0),
+rl AS (SELECT node, 20 AS ix, 1 AS src, 2 AS tgt, 'ALLOW' AS type FROM ln WHERE n = 2 UNION ALL SELECT node, 21, NULL, 2, 'PROHIBIT' FROM ln WHERE n = 2 AND s % 7 = 0 UNION ALL SELECT node, 30, 1, 3, 'REQUIRE' FROM ln WHERE n = 3 AND s % 11 = 0
+  UNION ALL SELECT node, 31 + n, 2, n, ['HAS_OBJECT', 'HAS_CONDITION', 'HAS_EXCEPTION', 'HAS_CONSEQUENCE'][n - 2] FROM ln WHERE n BETWEEN 3 AND 6),
+ra AS (SELECT rl.* FROM rl JOIN ok t ON t.node = rl.node AND t.n = tgt LEFT JOIN ok x ON x.node = rl.node AND x.n = src WHERE src IS NULL OR x.n IS NOT NULL),
+me AS (SELECT node, n, s, kind, node || '#' || kind || '#1' AS id, CASE WHEN s % 10 = 3 THEN 'UNRESOLVED' WHEN kind = 'SUBJECT' AND s % 5 = 2 THEN 'QUARANTINED' WHEN kind = 'SUBJECT' AND s % 5 = 1 THEN 'CORRECTED' ELSE 'VALID' END AS status FROM ok), act AS (SELECT * FROM me WHERE status <> 'QUARANTINED'),
+li AS (SELECT ra.*, x.id AS source, t.id AS target FROM ra JOIN act t ON t.node = ra.node AND t.n = tgt LEFT JOIN act x ON x.node = ra.node AND x.n = src WHERE src IS NULL OR x.id IS NOT NULL),
+mo AS (SELECT node, arg_min(type, ix) AS modality FROM ra WHERE type IN ('ALLOW', 'REQUIRE', 'PROHIBIT') GROUP BY node),
+pa AS (SELECT node, list(id ORDER BY n) FILTER (n < 7) AS parts, bool_or(n = 1) AS has_subject, bool_or(n = 2) AS has_action, bool_or(n BETWEEN 4 AND 6) AS modified FROM act GROUP BY node),
+nm AS (SELECT pa.*, modality, node || '#NORM#1' AS id FROM pa JOIN mo USING (node) WHERE modified OR node IN (SELECT node FROM li WHERE src IS NULL)), kn AS (SELECT * FROM nm WHERE has_action),
+ne AS (SELECT kn.id AS source, act.id AS target, 'HAS_' || ['SUBJECT', 'ACTION', 'OBJECT', 'CONDITION', 'EXCEPTION', 'CONSEQUENCE'][n] AS type FROM kn JOIN act USING (node) WHERE n < 7),
+de AS (SELECT source, target, type, CASE WHEN type = 'REQUIRE' THEN 'TARGET_TYPE' WHEN type IN ('HAS_CONDITION', 'HAS_EXCEPTION', 'HAS_CONSEQUENCE') THEN 'UNATTACHED_' || substr(type, 5) END AS reason FROM li WHERE source IS NOT NULL AND node NOT IN (SELECT node FROM kn)),
+ed AS (SELECT *, NULL AS reason FROM ne UNION ALL SELECT * FROM de UNION ALL SELECT id, 'X.PERSON', 'DENOTES', NULL FROM act WHERE status = 'CORRECTED'),
+rf AS (SELECT act.id, coalesce(kn.id, (SELECT arg_min(o.id, o.n) FROM act o WHERE o.node = act.node AND o.n < 7)) AS owner FROM act LEFT JOIN kn USING (node) WHERE act.n = 7),
+fm AS (SELECT id, CASE WHEN id IN (SELECT id FROM rf WHERE owner IS NULL) THEN 'QUARANTINED' ELSE status END AS status FROM me),
+res AS (SELECT CASE status WHEN 'QUARANTINED' THEN 'quarantined_mentions' ELSE 'mentions' END AS kind, id, status AS detail FROM fm UNION ALL SELECT CASE WHEN has_action THEN 'norms' ELSE 'quarantined_norms' END, id, modality || '/' || CASE WHEN has_subject THEN 'COMPLETE' ELSE 'PARTIAL' END || '/' || coalesce(array_to_string(parts, ','), '') FROM nm
+  UNION ALL SELECT CASE WHEN reason IS NULL THEN 'edges' ELSE 'quarantined_edges' END, source || '>' || target, type || coalesce('/' || reason, '') FROM ed UNION ALL SELECT CASE WHEN owner IS NULL THEN 'quarantined_references' ELSE 'references' END, id, coalesce(owner, '') FROM rf
+  UNION ALL SELECT 'rejected_nodes', node, 'empty_after_filter' FROM (SELECT DISTINCT node FROM ln) WHERE node NOT IN (SELECT node FROM ok) UNION ALL SELECT DISTINCT 'concepts', 'X.PERSON', 'person' FROM act WHERE status = 'CORRECTED'),
+n AS (SELECT kind, count(*) AS n FROM res GROUP BY kind)"""
+_BUILT_COUNTS = {f"active_{k}": k for k in ("mentions", "norms", "edges", "references")} | {f"quarantined_{k}": f"quarantined_{k}" for k in ("mentions", "norms", "edges", "references")} | {"total_concepts": "concepts"}
+
+
+@query(f"WITH {_BUILT} SELECT * FROM res UNION ALL SELECT 'report', metric, coalesce(n, 0)::VARCHAR FROM (VALUES {', '.join(f'({m!r}, {k!r})' for m, k in _BUILT_COUNTS.items())}) v(metric, of) LEFT JOIN n ON kind = of UNION ALL SELECT 'report', unnest({list(ontology.FATAL)!r}), '0'")
+def gated_build(spark: SparkSession, sf: str) -> DataFrame:
+    """Extractions through filters, rules, gates, norms, cascades and the integrity gate; all tables of the graph, what is quarantined and the report."""
+    rules = spark.createDataFrame(_BUILD_RULES, RULE_COLUMNS)
+    registry = spark.createDataFrame([("X.PERSON", "person")], "concept_id string, label string")
+    orders = table(spark, sf, "lineitem").select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("id")).distinct()
+    g = ontology.build(_line_extractions(spark, sf), rules, registry, physical=orders)
+    row = lambda kind, df, id_, detail: df.select(F.lit(kind).alias("kind"), id_.alias("id"), detail.alias("detail"))
+    c, parts = F.col, F.concat_ws(",", *_PARTS)
+    out = [row(k, g[k], c("mention_id"), c("status")) for k in ("mentions", "quarantined_mentions")]
+    out += [row(k, g[k], c("id"), F.concat_ws("/", "modality", "norm_completeness", parts)) for k in ("norms", "quarantined_norms")]
+    out += [row("edges", g["edges"], F.concat_ws(">", "source", "target"), c("type")), row("quarantined_edges", g["quarantined_edges"], F.concat_ws(">", "source", "target"), F.concat_ws("/", "type", "reason"))]
+    out += [row(k, g[k], c("mention_id"), F.coalesce("norm_id", "owner_mention", F.lit(""))) for k in ("references", "quarantined_references")]
+    out += [row("rejected_nodes", g["rejected_nodes"], c("node_id"), c("reason")), row("concepts", g["concepts"], c("concept_id"), c("label"))]
+    out += [row("report", g["report"].where(c("metric").isin(*_BUILT_COUNTS, *ontology.FATAL)), c("metric"), c("n").cast("string"))]
+    whole = out[0]
+    for rows in out[1:]:
+        whole = whole.unionByName(rows)
+    return whole
+
+
 # --- fusion -------------------------------------------------------------------------------------------------------------
 @query(f"""WITH {_M}, {_R}, {_N}, {_NE}, dn AS (SELECT mention_id, min(concept_id) AS c FROM m WHERE concept_id IS NOT NULL GROUP BY 1), full_ AS (SELECT id, node_id, modality, CASE WHEN len(subject_ids) > 0 THEN subject_ids ELSE [NULL] END AS s, CASE WHEN len(action_ids) > 0 THEN action_ids ELSE [NULL] END AS a FROM nm),
 core AS (SELECT id, node_id, modality, unnest(s) AS s, a FROM full_), every AS (SELECT id AS norm_id, node_id::VARCHAR AS source_node_id, s AS source, unnest(a) AS target, modality AS relation_type FROM core

@@ -55,6 +55,20 @@ def test_build(spark):
     assert ontology.unlinked_mentions(g["mentions"], g["edges"], g["norms"], g["references"]).count() >= 0
 
 
+def test_the_gate_quarantines_and_refuses(spark):
+    """A reference that nobody owns leaves with its mention; a graph whose nodes are not there, or that lost rows, is refused."""
+    rows = [("n1", [("s", "Người dùng", "SUBJECT", "evidence 1"), ("a", "bán", "ACTION", "evidence 1")], [("s", "ALLOW", "a", "RESOLVED", "evidence 2")]), ("n2", [("r", "khoản 2 Điều 48", "REFERENCE", "evidence 1")], [])]
+    x = spark.createDataFrame(rows, EXTRACTION)
+    registry = spark.createDataFrame([], "concept_id string, label string")
+    g = ontology.build(x, rule_table(spark, RULES), registry)
+    assert [r.mention_id for r in g["quarantined_mentions"].collect()] == [r.mention_id for r in g["quarantined_references"].collect()] == ["n2#REFERENCE#1"]
+    assert {r.mention_id for r in g["mentions"].collect()} == {"n1#SUBJECT#1", "n1#ACTION#1"} and g["references"].count() == 0
+    with pytest.raises(ValueError, match="provenance_violations"):
+        ontology.build(x, rule_table(spark, RULES), registry, physical=spark.createDataFrame([("n2",)], "id string"))
+    with pytest.raises(ValueError, match="mentions_conserved"):
+        ontology.finalize(g, {"mentions": 9})
+
+
 def test_modality_of_permission_wins(spark):
     e, r = ontology.exploded(extraction(spark))
     assert {x.node_id: x.modality for x in ontology.modality(r, e).collect()} == {"n1": "ALLOW", "n2": "ALLOW"}
@@ -64,7 +78,7 @@ def test_cascade(spark):
     n = spark.createDataFrame([("a", ["s"], ["x"], []), ("b", ["s"], ["gone"], [])], "id string, subject_ids array<string>, action_ids array<string>, object_ids array<string>")
     for c in ("condition_ids", "exception_ids", "consequence_ids"):
         n = n.withColumn(c, F.array().cast("array<string>"))
-    n = n.withColumns({"norm_completeness": F.lit("FULL"), "subject_status": F.lit("RESOLVED"), "status": F.lit("VALID")})
+    n = n.withColumns({"norm_completeness": F.lit("COMPLETE"), "subject_status": F.lit("RESOLVED"), "status": F.lit("VALID")})
     kept, lost = ontology.cascade_norms(n, spark.createDataFrame([("s",), ("x",)], "mention_id string"))
     assert [r.id for r in kept.collect()] == ["a"] and [r.id for r in lost.collect()] == ["b"]
 
