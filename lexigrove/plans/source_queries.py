@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import services
-from ..operators import clean, graph, parse, retrieve, route, stats
+from ..operators import clean, graph, parse, postings, retrieve, route, stats
 from ..schemas import NODE
 from ..session import shared_dir, table
 from ..sources import loaders, sinks, versions
@@ -257,6 +257,20 @@ def lexical_index_search(spark: SparkSession, sf: str) -> DataFrame:
     return retrieve.bm25_indexed(spark, path, ["red", "ring", "brand", "red"], k=1_000_000).select("node_id", F.round("lexical_score", 6).alias("lexical_score"))
 
 
+@query(f"""WITH n AS (SELECT p_partkey AS id, p_brand AS title, CASE WHEN p_partkey % 9 = 2 THEN p_name || ' red' WHEN p_partkey % 9 = 4 THEN '' ELSE p_name END AS text FROM part WHERE p_partkey % 9 <> 6), d AS (SELECT id, {_WORDS} AS ts FROM n), s AS (SELECT count(*) AS docs, avg(len(ts)) AS a FROM d WHERE len(ts) > 0), q AS (SELECT unnest(['red', 'ring', 'brand']) AS t),
+f AS (SELECT id, t, len(list_filter(ts, lambda x: x = t)) AS tf, len(ts) AS n FROM d, q), g AS (SELECT * FROM f WHERE tf > 0), k AS (SELECT t, count(*) AS df FROM g GROUP BY t)
+SELECT id AS node_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * n / greatest(1, a)))), 6) AS lexical_score FROM g JOIN k USING (t), s GROUP BY id""")
+def lexical_changes_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The same search on an index that was changed twice: texts replaced and emptied, nodes added late and removed."""
+    path, k = _folder(spark, "postings"), F.col("p_partkey")
+    parts = lambda name: table(spark, sf, "part").select(k.alias("id"), F.col("p_brand").alias("title"), name.alias("text"))
+    postings.create(parts(F.col("p_name")).where("id % 9 <> 1"), path)
+    postings.change(spark, path, parts(F.concat("p_name", F.when(k % 9 == 2, " ring ring").otherwise(""))).where("id % 9 in (1, 2)"))
+    changed = F.when(k % 9 == 2, F.concat("p_name", F.lit(" red"))).otherwise("")
+    postings.change(spark, path, parts(changed).where("id % 9 in (2, 4)"), parts(F.lit("")).where("id % 9 in (4, 6)").select("id"))
+    return postings.top(spark, path, ["red", "ring", "brand", "red"], k=1_000_000).select("node_id", F.round("lexical_score", 6).alias("lexical_score"))
+
+
 @query(f"WITH RECURSIVE {LAW}, up AS (SELECT id, parent_id AS a, 1 AS d FROM law WHERE parent_id IS NOT NULL UNION ALL SELECT up.id, law.parent_id, d + 1 FROM up JOIN law ON law.id = up.a WHERE law.parent_id IS NOT NULL), l AS (SELECT up.id, string_agg('- ' || type || ': ' || title || ' - ' || text, chr(10) ORDER BY d DESC) AS c FROM up JOIN law ON law.id = a GROUP BY up.id) SELECT law.id AS node_id, 'Context:' || chr(10) || coalesce(c, '') || chr(10) || chr(10) || 'Target:' || chr(10) || '- ' || type || ': ' || title || ' - ' || text AS prompt FROM law LEFT JOIN l ON l.id = law.id")
 def model_prompts(spark: SparkSession, sf: str) -> DataFrame:
     return services.prompts(law(spark, sf))
