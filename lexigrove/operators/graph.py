@@ -94,9 +94,15 @@ def attach_embeddings(nodes: DataFrame, vectors: DataFrame) -> DataFrame:
     return nodes.join(vectors.withColumnRenamed("node_id", "id"), "id")
 
 
-def ancestors(nodes: DataFrame, levels: int = 5) -> DataFrame:
-    """Rows (id, ancestor, distance) up to `levels` steps: a join for each, none for levels that are empty."""
+def ancestors(nodes: DataFrame, levels: int | None = None) -> DataFrame:
+    """Rows (id, ancestor, distance) of all levels, or up to `levels` steps: a join for each.
+
+    Without `levels` the steps are staged until one is empty. Parents that go in a circle are told once each, at their
+    smallest distance: whether a way has come back is looked at after 8 steps, after 16 and so on.
+    """
     up = nodes.where("parent_id is not null").select("id", F.col("parent_id").alias("ancestor"))
+    if levels is None:
+        return _all_ancestors(staged(up, "ancestors-up"))
     step, out = up.withColumn("distance", F.lit(1)), None
     for d in range(1, levels + 1):
         out = step if out is None else out.unionByName(step)
@@ -105,7 +111,21 @@ def ancestors(nodes: DataFrame, levels: int = 5) -> DataFrame:
     return out
 
 
-def nearest_ancestor(nodes: DataFrame, label: str, levels: int = 5) -> DataFrame:
+def _all_ancestors(up: DataFrame) -> DataFrame:
+    above = up.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("next"))
+    step, d, circles = up.withColumn("distance", F.lit(1)), 1, False
+    out = step
+    while True:
+        d += 1
+        step = staged(step.join(above, "ancestor").select("id", F.col("next").alias("ancestor"), F.lit(d).alias("distance")), "ancestors")
+        if d >= 8 and d & (d - 1) == 0 and not step.join(out, ["id", "ancestor"], "left_semi").isEmpty():
+            circles, step = True, staged(step.join(out, ["id", "ancestor"], "left_anti"), "ancestors")
+        if step.isEmpty():
+            return out.groupBy("id", "ancestor").agg(F.min("distance").alias("distance")) if circles else out
+        out = out.unionByName(step)
+
+
+def nearest_ancestor(nodes: DataFrame, label: str, levels: int | None = None) -> DataFrame:
     """(id, ancestor): the node itself or the nearest above it of a type."""
     self_ = nodes.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("distance"))
     closure = self_.unionByName(ancestors(nodes, levels))
@@ -113,7 +133,7 @@ def nearest_ancestor(nodes: DataFrame, label: str, levels: int = 5) -> DataFrame
     return closure.join(kinds, "ancestor").groupBy("id").agg(F.min_by("ancestor", "distance").alias("ancestor"))
 
 
-def context_path(nodes: DataFrame, stop: str = "ARTICLE", levels: int = 5) -> DataFrame:
+def context_path(nodes: DataFrame, stop: str = "ARTICLE", levels: int | None = None) -> DataFrame:
     """(id, context): lines `- TYPE: title - text` of the ancestors up to the first of type `stop`, outermost first."""
     told = nodes.select(F.col("id").alias("ancestor"), "type", F.concat(F.lit("- "), F.col("type"), F.lit(": "), F.concat_ws(" - ", "title", "text")).alias("line"))
     chain = ancestors(nodes, levels).join(told, "ancestor")
