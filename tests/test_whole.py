@@ -17,3 +17,10 @@ def test_ancestors_in_a_circle_end(spark):
     nodes = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1)], "id long, parent_id long")
     got = {tuple(r) for r in graph.ancestors(nodes).collect()}
     assert got == {(1, 2, 1), (1, 3, 2), (1, 1, 3), (2, 3, 1), (2, 1, 2), (2, 2, 3), (3, 1, 1), (3, 2, 2), (3, 3, 3), (4, 1, 1), (4, 2, 2), (4, 3, 3)}
+
+
+def test_branches_of_deep_trees_are_not_broken(spark):
+    from lexigrove.operators import probes
+
+    assert probes.broken_branches(_chain(spark, 12)).count() == 0
+    assert probes.broken_branches(_chain(spark, 12).where("id <> 3")).count() == 8
