@@ -254,7 +254,7 @@ def lexical_index_search(spark: SparkSession, sf: str) -> DataFrame:
     key = route.content_hash(n, "text", "id")
     for _ in range(2):
         retrieve.lexical_index(n, path, key)
-    return retrieve.bm25_indexed(spark, path, ["red", "ring", "brand", "red"], k=1_000_000).select("node_id", F.round("lexical_score", 6).alias("lexical_score"))
+    return retrieve.bm25_indexed(spark, path, ["red", "ring", "brand", "red"], k=None).select("node_id", F.round("lexical_score", 6).alias("lexical_score"))
 
 
 @query(f"""WITH n AS (SELECT p_partkey AS id, p_brand AS title, CASE WHEN p_partkey % 9 = 2 THEN p_name || ' red' WHEN p_partkey % 9 = 4 THEN '' ELSE p_name END AS text FROM part WHERE p_partkey % 9 <> 6), d AS (SELECT id, {_WORDS} AS ts FROM n), s AS (SELECT count(*) AS docs, avg(len(ts)) AS a FROM d WHERE len(ts) > 0), q AS (SELECT unnest(['red', 'ring', 'brand']) AS t),
@@ -268,7 +268,7 @@ def lexical_changes_search(spark: SparkSession, sf: str) -> DataFrame:
     postings.change(spark, path, parts(F.concat("p_name", F.when(k % 9 == 2, " ring ring").otherwise(""))).where("id % 9 in (1, 2)"))
     changed = F.when(k % 9 == 2, F.concat("p_name", F.lit(" red"))).otherwise("")
     postings.change(spark, path, parts(changed).where("id % 9 in (2, 4)"), parts(F.lit("")).where("id % 9 in (4, 6)").select("id"))
-    return postings.top(spark, path, ["red", "ring", "brand", "red"], k=1_000_000).select("node_id", F.round("lexical_score", 6).alias("lexical_score"))
+    return postings.top(spark, path, ["red", "ring", "brand", "red"], k=None).select("node_id", F.round("lexical_score", 6).alias("lexical_score"))
 
 
 @query(f"WITH RECURSIVE {LAW}, up AS (SELECT id, parent_id AS a, 1 AS d FROM law WHERE parent_id IS NOT NULL UNION ALL SELECT up.id, law.parent_id, d + 1 FROM up JOIN law ON law.id = up.a WHERE law.parent_id IS NOT NULL), l AS (SELECT up.id, string_agg('- ' || type || ': ' || title || ' - ' || text, chr(10) ORDER BY d DESC) AS c FROM up JOIN law ON law.id = a GROUP BY up.id) SELECT law.id AS node_id, 'Context:' || chr(10) || coalesce(c, '') || chr(10) || chr(10) || 'Target:' || chr(10) || '- ' || type || ': ' || title || ' - ' || text AS prompt FROM law LEFT JOIN l ON l.id = law.id")

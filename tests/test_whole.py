@@ -24,3 +24,12 @@ def test_branches_of_deep_trees_are_not_broken(spark):
 
     assert probes.broken_branches(_chain(spark, 12)).count() == 0
     assert probes.broken_branches(_chain(spark, 12).where("id <> 3")).count() == 8
+
+
+def test_all_scores_of_an_index(spark, tmp_path):
+    from lexigrove.operators import retrieve
+
+    nodes = spark.createDataFrame([(i, "red", "ring") for i in range(25)], "id long, title string, text string")
+    retrieve.lexical_index(nodes, str(tmp_path), "k")
+    assert retrieve.bm25_indexed(spark, str(tmp_path), ["red"], k=None).count() == 25
+    assert retrieve.bm25_indexed(spark, str(tmp_path), ["red"], k=7).count() == 7
