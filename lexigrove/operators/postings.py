@@ -81,14 +81,15 @@ def found(spark: SparkSession, path: str, tokens: list[str]) -> DataFrame:
     return rows.join(later, "node_id", "left").where(F.col("gen") == F.coalesce("__at", F.lit(0))).select("token", "node_id", "tf", "n")
 
 
-def top(spark: SparkSession, path: str, query: list[str], k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
-    """(node_id, lexical_score): the k best by BM25; ties go to the smaller id. Equal to an index made anew of what is there."""
+def top(spark: SparkSession, path: str, query: list[str], k: int | None = 10, k1: float = K1, b: float = B) -> DataFrame:
+    """(node_id, lexical_score): the k best by BM25, or all if k is None; ties go to the smaller id. Equal to an index made anew of what is there."""
     query, last = list(dict.fromkeys(query)), _totals(spark, path)[-1]
     rows = found(spark, path, query)
     df = rows.groupBy("token").agg(F.count("*").alias("df"))  # one row for each token of the question
     idf, tf = F.log(1 + (last["docs"] - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.col("tf")
     score = idf * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * F.col("n") / max(1.0, last["tokens"] / max(1, last["docs"]))))
-    return rows.join(F.broadcast(df), "token").groupBy("node_id").agg(F.sum(score).alias("lexical_score")).orderBy(F.desc("lexical_score"), "node_id").limit(k)
+    scored = rows.join(F.broadcast(df), "token").groupBy("node_id").agg(F.sum(score).alias("lexical_score"))
+    return scored if k is None else scored.orderBy(F.desc("lexical_score"), "node_id").limit(k)
 
 
 def compacted(spark: SparkSession, path: str, into: str) -> int:

@@ -33,3 +33,13 @@ def test_all_scores_of_an_index(spark, tmp_path):
     retrieve.lexical_index(nodes, str(tmp_path), "k")
     assert retrieve.bm25_indexed(spark, str(tmp_path), ["red"], k=None).count() == 25
     assert retrieve.bm25_indexed(spark, str(tmp_path), ["red"], k=7).count() == 7
+
+
+def test_all_scores_of_changed_postings(spark, tmp_path):
+    from lexigrove.operators import postings
+
+    nodes = spark.createDataFrame([(i, "red", "ring") for i in range(25)], "id long, title string, text string")
+    postings.create(nodes, str(tmp_path), parts=4)
+    postings.change(spark, str(tmp_path), nodes.where("id = 1"), nodes.where("id = 2").select("id"))
+    assert postings.top(spark, str(tmp_path), ["red"], k=None).count() == 24
+    assert postings.top(spark, str(tmp_path), ["red"], k=7).count() == 7
