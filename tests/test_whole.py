@@ -43,3 +43,13 @@ def test_all_scores_of_changed_postings(spark, tmp_path):
     postings.change(spark, str(tmp_path), nodes.where("id = 1"), nodes.where("id = 2").select("id"))
     assert postings.top(spark, str(tmp_path), ["red"], k=None).count() == 24
     assert postings.top(spark, str(tmp_path), ["red"], k=7).count() == 7
+
+
+def test_contexts_beyond_their_bound_tell_their_size(spark):
+    from lexigrove.operators import retrieve
+
+    rows = spark.createDataFrame([(str(i), "ALLOW", ["s"], ["a"], [], [], [], [], "e", "c", i) for i in range(300)], "norm_id string, modality string, subjects array<string>, actions array<string>, objects array<string>, conditions array<string>, exceptions array<string>, consequences array<string>, evidence string, citation string, place int")
+    whole = retrieve.assemble_norms(rows, 1_000_000, sized=True).first()
+    assert whole["whole"] == len(whole["context"]) > 400
+    cut = retrieve.assemble_norms(rows, 400, sized=True).first()
+    assert cut["whole"] == whole["whole"] and cut["context"] == whole["context"][: 400 - len(retrieve.CUT_MARK)].rstrip() + retrieve.CUT_MARK
