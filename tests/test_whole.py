@@ -53,3 +53,12 @@ def test_contexts_beyond_their_bound_tell_their_size(spark):
     assert whole["whole"] == len(whole["context"]) > 400
     cut = retrieve.assemble_norms(rows, 400, sized=True).first()
     assert cut["whole"] == whole["whole"] and cut["context"] == whole["context"][: 400 - len(retrieve.CUT_MARK)].rstrip() + retrieve.CUT_MARK
+
+
+def test_vague_texts_may_be_a_table(spark):
+    from lexigrove.operators import ontology
+
+    m = spark.createDataFrame([("1", "this", "e", "VALID"), ("2", "that", "e", "VALID"), ("3", "this", " ", "VALID")], "mention_id string, text string, evidence string, status string")
+    r = spark.createDataFrame([], "source_id string, target_id string, relation_type string")
+    by_table, by_list = (ontology.gate(m, r, v)[0].orderBy("mention_id").collect() for v in (spark.createDataFrame([("this",), ("this",)], "text string"), ["this"]))
+    assert by_table == by_list and [x["status"] for x in by_table] == ["UNRESOLVED", "VALID", "QUARANTINED"]
