@@ -1,7 +1,10 @@
 """Cycles of a directed graph by name: strongly connected components, and one closed path in each.
 
-Edges that no cycle can use go first: those from a node that nothing leads to, or to one that leads nowhere. What is left is
-coloured: every node takes the smallest node that it can be reached from. The nodes of a colour that lead back to the node
+Edges that no cycle can use go first: those from a node that nothing leads to, or to one that leads nowhere. A node that one
+edge alone leads to is put into that edge's source: who reaches whom is the same for all other nodes, and the node lies on a
+cycle with it if one of its own edges leads to that component, which is looked up when it is taken back out. The same goes
+for nodes that one edge alone leaves. Of a chain at least a third goes in a turn on average, so rounds are as the logarithm
+of its length. What is left, of which every node has two edges both ways, is coloured: every node takes the smallest node that it can be reached from. The nodes of a colour that lead back to the node
 that gave it are one component; they go, and the rest is trimmed and coloured again. Each round is an aggregation on narrow
 rows, written to the shared folder; nothing is collected. The rounds of a colouring are as many as its longest shortest path.
 """
@@ -44,15 +47,75 @@ def _spread(labels: DataFrame, edges: DataFrame, name: str) -> DataFrame:
             return labels
 
 
+def _onward(edges: DataFrame, source: str, target: str, turn: int) -> DataFrame:
+    """(node, into): nodes that one edge alone leads to (or that one leaves, with the ends swapped), with its other end.
+
+    No node is the other end of one that goes and goes itself: of neighbours only that of the smallest hash goes.
+    """
+    one = edges.groupBy(F.col(target).alias("node")).agg(F.count("*").alias("n"), F.min(source).alias("into")).where("n = 1").select("node", "into", F.struct(F.xxhash64(F.col("node"), F.lit(turn)), F.col("node")).alias("h"))
+    one = staged(one, "cycles-single")
+    under = one.groupBy(F.col("into").alias("node")).agg(F.min("h").alias("under"))
+    rows = one.join(under, "node", "left").join(one.select(F.col("node").alias("into"), F.col("h").alias("over")), "into", "left")
+    out = staged(rows.where("(under is null or h < under) and (over is null or h < over)").select("node", "into"), "cycles-onward")
+    dropped(one)
+    return out
+
+
+def _merged(edges: DataFrame, onward: DataFrame) -> DataFrame:
+    """The edges with each node of `onward` put into its neighbour, without loops and without those to or from dead ends."""
+    for end in ("source", "target"):
+        edges = edges.join(onward.select(F.col("node").alias(end), "into"), end, "left").withColumn(end, F.coalesce("into", end)).drop("into")
+    edges = staged(edges.where("source <> target").select("source", "target").distinct(), "cycles-edges")
+    alive = edges.join(edges.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(edges.select(F.col("source").alias("target")).distinct(), "target", "left_semi")
+    out = staged(alive.select("source", "target"), "cycles-edges")
+    dropped(edges)
+    return out
+
+
+def _taken_back(known: DataFrame, onward: DataFrame, edges: DataFrame, near: str, far: str) -> DataFrame:
+    """(node, component) of the nodes of `onward` that go on to the component of the node that they were put into."""
+    of = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component"))
+    ways = onward.join(edges.select(F.col(near).alias("node"), F.col(far).alias("other")), "node")
+    ways = ways.join(of("into"), "into", "left").join(of("other"), "other", "left")
+    component = F.coalesce("into_component", "into")
+    return staged(ways.where(component == F.coalesce("other_component", "other")).select("node", component.alias("component")).distinct(), "cycles-taken-back")
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """(node, component) of all nodes that lie on a cycle; component is its smallest node.
 
     edges: (source, target); repeated edges count once, an edge from a node to itself is a cycle, null ends count for nothing.
     """
-    left = staged(edges.where("source is not null and target is not null").select("source", "target").distinct(), "cycles-edges")
-    found = left.where("source = target").select(F.col("source").alias("node"), F.col("source").alias("component"))
-    loops, rounds = left, []
-    left = trimmed(left)
+    loops = staged(edges.where("source is not null and target is not null").select("source", "target").distinct(), "cycles-edges")
+    left, levels, idle, turn = _merged(loops, loops.limit(0).select(F.col("source").alias("node"), F.col("target").alias("into"))), [], 0, 0
+    n = left.count()
+    while n and idle < 2:
+        near, far = ("source", "target") if turn % 2 == 0 else ("target", "source")
+        onward = _onward(left, near, far, turn)
+        after = _merged(left, onward)
+        levels.append((onward, left, near, far))
+        left, before, n, turn = after, n, after.count(), turn + 1
+        idle = 0 if n < before else idle + 1
+    found = _coloured(left)
+    held = [found]
+    known = found
+    for onward, there, near, far in reversed(levels):
+        back = _taken_back(known, onward, there, near, far)
+        held.append(back)
+        known = known.unionByName(back)
+    # a component is named by one of its nodes, which need not be a row yet, nor be the smallest
+    named = known.unionByName(known.select(F.col("component").alias("node"), "component")).distinct()
+    least = named.groupBy("component").agg(F.min("node").alias("least"))
+    own = loops.where("source = target").select(F.col("source").alias("node"), F.col("source").alias("component"))
+    found = own.unionByName(named.join(least, "component").select("node", F.col("least").alias("component")))
+    out = staged(found.groupBy("node").agg(F.min("component").alias("component")), "cycles")
+    dropped(loops, left, *held, *[t for level in levels for t in level[:2]])
+    return out
+
+
+def _coloured(edges: DataFrame) -> DataFrame:
+    """(node, component) of the nodes on cycles of what contraction leaves, by colouring."""
+    left, found, rounds = trimmed(edges), None, []
     while not left.isEmpty():
         nodes = left.select(F.col("source").alias("node")).unionByName(left.select(F.col("target").alias("node"))).distinct()
         colours = _spread(staged(nodes.select("node", F.col("node").alias("label")), "cycles-colours"), left, "cycles-colours")
@@ -69,14 +132,13 @@ def strong_components(edges: DataFrame) -> DataFrame:
         # a node alone is on no cycle but its own loop
         many = reached.groupBy("component").count().where("count > 1").select("component")
         members = staged(reached.join(many, "component", "left_semi").select("node", "component"), "cycles-members")
-        found = found.unionByName(members)
+        found = members if found is None else found.unionByName(members)
         gone = reached.select("node")
         before = left
         left = trimmed(left.join(gone.withColumnRenamed("node", "source"), "source", "left_anti").join(gone.withColumnRenamed("node", "target"), "target", "left_anti").select("source", "target"))
         dropped(before, colours, inside)
-    out = staged(found.groupBy("node").agg(F.min("component").alias("component")), "cycles")
-    dropped(loops, left, *rounds)
-    return out
+    dropped(left, *rounds)
+    return found if found is not None else staged(edges.limit(0).select(F.col("source").alias("node"), F.col("source").alias("component")), "cycles-members")
 
 
 def closed_paths(edges: DataFrame, components: DataFrame) -> DataFrame:

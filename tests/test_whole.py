@@ -62,3 +62,12 @@ def test_vague_texts_may_be_a_table(spark):
     r = spark.createDataFrame([], "source_id string, target_id string, relation_type string")
     by_table, by_list = (ontology.gate(m, r, v)[0].orderBy("mention_id").collect() for v in (spark.createDataFrame([("this",), ("this",)], "text string"), ["this"]))
     assert by_table == by_list and [x["status"] for x in by_table] == ["UNRESOLVED", "VALID", "QUARANTINED"]
+
+
+def test_components_of_long_chains(spark):
+    """Forty rings one after the other, dead ends on both sides: few jobs, right names."""
+    from lexigrove.operators import cycles
+
+    e = [(4 * k + i, 4 * k + (i + 1) % 4) for k in range(40) for i in range(4)] + [(4 * k + 2, 4 * k + 4) for k in range(39)] + [(-i - 1, -i) for i in range(30)] + [(158, 500)] + [(500 + i, 501 + i) for i in range(30)] + [(900, 900)]
+    got = {tuple(r) for r in cycles.strong_components(spark.createDataFrame(e, "source long, target long")).collect()}
+    assert got == {(4 * k + i, 4 * k) for k in range(40) for i in range(4)} | {(900, 900)}
