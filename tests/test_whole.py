@@ -71,3 +71,11 @@ def test_components_of_long_chains(spark):
     e = [(4 * k + i, 4 * k + (i + 1) % 4) for k in range(40) for i in range(4)] + [(4 * k + 2, 4 * k + 4) for k in range(39)] + [(-i - 1, -i) for i in range(30)] + [(158, 500)] + [(500 + i, 501 + i) for i in range(30)] + [(900, 900)]
     got = {tuple(r) for r in cycles.strong_components(spark.createDataFrame(e, "source long, target long")).collect()}
     assert got == {(4 * k + i, 4 * k) for k in range(40) for i in range(4)} | {(900, 900)}
+
+
+def test_closed_paths_of_long_chains(spark):
+    from lexigrove.operators import cycles
+
+    e = spark.createDataFrame([(4 * k + i, 4 * k + (i + 1) % 4) for k in range(12) for i in range(4)] + [(4 * k + 2, 4 * k + 4) for k in range(11)], "source long, target long")
+    got = {tuple(r) for r in cycles.closed_paths(e, cycles.strong_components(e)).selectExpr("component", "array_join(transform(path, x -> cast(x as string)), ' ')").collect()}
+    assert got == {(4 * k, f"{4 * k} {4 * k + 1} {4 * k + 2} {4 * k + 3} {4 * k}") for k in range(12)}
