@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import answers, retrieve
-from ..session import table
+from ..session import staged, table
 from .graph_queries import _TARGETS, LAW, law
 from .queries import query
 
@@ -127,10 +127,12 @@ def turn_profiles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _scores(texts: DataFrame, name: str) -> DataFrame:
-    """All texts against each of the eight questions: the questions are columns of one row of literals, not a join."""
-    d = texts.select(name, answers.described("text").alias("d"))
-    every = F.array(*[answers.profile(F.lit(a)) for a in ASKED])
-    return d.withColumn("q", F.explode(every)).select(name, F.array_join(F.sort_array("q.tokens"), " ").alias("asked"), F.round(answers.fit(F.col("q"), F.col("d")), 6).alias("score"))
+    """All texts against each of the eight questions, which are read once and not with every text; eight rows go to all tasks."""
+    asked = staged(texts.sparkSession.createDataFrame([(a,) for a in ASKED], "asked string").coalesce(1).select(answers.profile("asked").alias("q")), "asked")
+    # a table of little bytes has few partitions, but its texts take long to read
+    dealt = texts.repartition(4 * texts.sparkSession.sparkContext.defaultParallelism, name)
+    d = dealt.select(name, answers.described("text").dropFields("folded").alias("d"))
+    return d.join(F.broadcast(asked)).select(name, F.array_join(F.sort_array("q.tokens"), " ").alias("asked"), F.round(answers.fit(F.col("q"), F.col("d")), 6).alias("score"))
 
 
 _ASKED_ROWS = "asked8 AS (SELECT unnest(range(" + str(len(ASKED)) + f")) AS qid, unnest({_list(ASKED)}) AS question)"

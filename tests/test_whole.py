@@ -79,3 +79,13 @@ def test_closed_paths_of_long_chains(spark):
     e = spark.createDataFrame([(4 * k + i, 4 * k + (i + 1) % 4) for k in range(12) for i in range(4)] + [(4 * k + 2, 4 * k + 4) for k in range(11)], "source long, target long")
     got = {tuple(r) for r in cycles.closed_paths(e, cycles.strong_components(e)).selectExpr("component", "array_join(transform(path, x -> cast(x as string)), ' ')").collect()}
     assert got == {(4 * k, f"{4 * k} {4 * k + 1} {4 * k + 2} {4 * k + 3} {4 * k}") for k in range(12)}
+
+
+def test_questions_are_read_once(spark):
+    """The questions are a table of their own; their profiles are not columns of each text."""
+    from lexigrove.plans import answer_queries
+
+    texts = spark.createDataFrame([(1, "đất"), (2, "")], "id long, text string")
+    found = answer_queries._scores(texts, "id")
+    assert found.count() == 2 * len(answer_queries.ASKED)
+    assert "NestedLoopJoin" in found._jdf.queryExecution().executedPlan().toString()
