@@ -89,3 +89,13 @@ def test_questions_are_read_once(spark):
     found = answer_queries._scores(texts, "id")
     assert found.count() == 2 * len(answer_queries.ASKED)
     assert "NestedLoopJoin" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_reach_python_by_rows(spark):
+    """A worker holds a hundred whole texts at a time, not an Arrow batch of 10,000."""
+    from lexigrove.functions import text as T
+
+    rows = spark.createDataFrame([("É Đ đường",), ("plain",), ("",), (None,)], "t string")
+    found = rows.select(T.is_nfc("t").alias("is"), T.fold("t").alias("folded"), T.fold_keeping_d("t").alias("kept"), T.nfc_changes("t").alias("c"))
+    assert "ArrowEvalPython" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [(r["is"], r.folded, r.kept, r.c.text, r.c.changed) for r in found.collect()] == [(False, "e d duong", "e đ đuong", "É Đ đường", 10), (True, "plain", "plain", "plain", 0), (True, "", "", "", 0), (None, None, None, None, 0)]
