@@ -3,7 +3,8 @@
 Lexical: postings carry their impact, the share of BM25 that they give. A question's threshold is the k-th largest impact
 of any one of its tokens; a posting that cannot reach it with the best impacts of the other tokens is left out, and tokens
 that cannot reach it together ("common" ones) bring no candidates, they are looked up for those that the others brought.
-So a token that is in every document is read once, not once a question. The result is that of scoring everything.
+The sums of the others give a
+higher threshold, and few candidates are left to look up. So a token that is in every document is read once, not once a question. The result is that of scoring everything.
 
 Vectors: an inverted file of cells around centroids. The first probes give each question a k-th score; cells whose
 nearest possible vector is below it are never read, all others are, so the result is exact as well.
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -39,11 +40,17 @@ def _read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(spark.read.parquet(f"{path}-schema").schema).parquet(path)
 
 
+def _impact(idf: Column, k1: Column, b: Column, avg_n: float | None) -> Column:
+    """The share of BM25 of a posting (tf, n)."""
+    tf = F.col("tf")
+    return idf * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * F.col("n") / max(1.0, avg_n or 0.0)))
+
+
 def impact_index(nodes: DataFrame, path: str, key: str, parts: int = 64, k1: float = K1, b: float = B) -> str:
-    """A `lexical_index` of nodes (id, title, text) with the impact of each posting and, by token, its largest impacts.
+    """A `lexical_index` of nodes (id, title, text) and, by token, its weight (idf) and the largest impacts of its postings.
 
-    Impacts (token, node_id, impact) lie in folders by a hash of the token, sorted by it, so that look-ups skip row groups.
-    Made anew for another `key`.
+    The impact of a posting follows from its counts and its token's weight, so there is no table of impacts. Made anew for
+    another `key`.
     """
     spark = nodes.sparkSession
     lexical_index(nodes, path, key, parts)
@@ -51,16 +58,14 @@ def impact_index(nodes: DataFrame, path: str, key: str, parts: int = 64, k1: flo
     def tokens() -> DataFrame:
         s = spark.read.parquet(f"{path}/lengths/data").first()  # one row
         postings = spark.read.schema(f"token string, node_id {nodes.schema['id'].dataType.simpleString()}, tf long, n int, part int").parquet(f"{path}/postings")
+        postings.limit(0).write.mode("overwrite").parquet(f"{path}/postings-schema")
         df = postings.groupBy("token").agg(F.count("*").alias("df"))
+        share = _impact(F.lit(1.0), F.lit(float(k1)), F.lit(float(b)), s["avg_n"])
+        place = F.row_number().over(Window.partitionBy("token").orderBy(F.desc("share")))
+        best = postings.select("token", share.alias("share")).withColumn("place", place).where(F.col("place") <= KEPT_IMPACTS)
         idf = F.log(1 + (s["docs"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        tf = F.col("tf")
-        impact = idf * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * F.col("n") / max(1.0, s["avg_n"] or 0.0)))
-        each = postings.join(df, "token").select("token", "node_id", impact.alias("impact"), "part")
-        _foldered(each.repartition("part", F.pmod(F.xxhash64("node_id"), F.lit(8))).sortWithinPartitions("part", "token"), f"{path}/impacts", "part")
-        told = _read(spark, f"{path}/impacts")
-        place = F.row_number().over(Window.partitionBy("token").orderBy(F.desc("impact")))
-        best = told.select("token", "impact").withColumn("place", place).where(F.col("place") <= KEPT_IMPACTS)
-        return best.groupBy("token").agg(F.sort_array(F.collect_list("impact"), False).alias("best"))
+        told = best.groupBy("token").agg(F.sort_array(F.collect_list("share"), False).alias("shares")).join(df, "token").withColumn("idf", idf)
+        return told.select("token", "idf", F.transform("shares", lambda x: F.col("idf") * x).alias("best"), F.lit(float(k1)).alias("k1"), F.lit(float(b)).alias("b"))
 
     cached(f"{path}/tokens", key, tokens, spark)
     return path
@@ -72,25 +77,31 @@ def bm25_many(spark: SparkSession, path: str, questions: DataFrame, k: int = 10,
     boosted: pairs (question_id, node_id) that get `boost`, with tokens in common or without. Null or empty tokens find
     boosted nodes alone; repeated tokens count once, rows with the same question_id are one question.
     """
-    impacts = _read(spark, f"{path}/impacts")
+    postings = _read(spark, f"{path}/postings")
     kept = spark.read.parquet(f"{path}/tokens/data")
-    parts = spark.read.parquet(f"{path}/lengths/data").first()["parts"]
+    sizes = spark.read.parquet(f"{path}/lengths/data").first()  # one row
+    impact = _impact(F.col("idf"), F.col("k1"), F.col("b"), sizes["avg_n"])
     asked = questions.select("question_id", F.explode("tokens").alias("token")).distinct().join(kept, "token")
     kth = F.when(F.size("best") >= k, F.get("best", F.lit(k - 1))).otherwise(0.0)
-    asked = asked.select("question_id", "token", F.get("best", F.lit(0)).alias("most"), kth.alias("kth"))
+    asked = asked.select("question_id", "token", F.get("best", F.lit(0)).alias("most"), kth.alias("kth"), "idf", "k1", "b")
     each = Window.partitionBy("question_id")  # the tokens of a question
     rising = each.orderBy("most", "token").rowsBetween(Window.unboundedPreceding, 0)
     known = asked.withColumns({"threshold": F.max("kth").over(each), "total": F.sum("most").over(each), "reach": F.sum("most").over(rising)})
-    known = known.withColumns({"common": F.col("reach") < F.col("threshold") - SLACK, "need": F.col("threshold") - (F.col("total") - F.col("most")) - SLACK, "part": F.pmod(F.xxhash64("token"), F.lit(parts)).cast("int")})
+    known = known.withColumns({"common": F.col("reach") < F.col("threshold") - SLACK, "need": F.col("threshold") - (F.col("total") - F.col("most")) - SLACK, "part": F.pmod(F.xxhash64("token"), F.lit(sizes["parts"])).cast("int")})
     known = staged(known, "questions-tokens")
-    hits = impacts.join(known.where("NOT common"), ["part", "token"]).where("impact >= need")
+    hits = postings.join(known.where("NOT common"), ["part", "token"]).withColumn("impact", impact).where("impact >= need")
     far = known.groupBy("question_id").agg(F.sum(F.when(F.col("common"), F.col("most")).otherwise(0.0)).alias("far"), F.first("threshold").alias("threshold"))
-    some = hits.groupBy("question_id", "node_id").agg(F.sum("impact").alias("near")).join(far, "question_id").where(F.col("near") + F.col("far") >= F.col("threshold") - SLACK).select("question_id", "node_id")
+    near = staged(hits.groupBy("question_id", "node_id").agg(F.sum("impact").alias("near")), "questions-near")
+    # k nodes have at least the k-th sum known so far, so whoever cannot reach that with the common tokens is out
+    kth_near = best_of(near.withColumnRenamed("near", "score"), k).groupBy("question_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(0.0).alias("kth_near"))
+    far = far.join(kth_near, "question_id").withColumn("least", F.greatest("threshold", "kth_near") - SLACK)
+    some = near.join(far, "question_id").where(F.col("near") + F.col("far") >= F.col("least")).select("question_id", "node_id")
     if boosted is not None:
         some = some.unionByName(boosted.join(questions.select("question_id"), "question_id", "left_semi").select("question_id", "node_id")).distinct()
     candidates = staged(some, "questions-candidates")
-    wanted = candidates.join(known.select("question_id", "token", "part"), "question_id")
-    terms = impacts.join(wanted, ["part", "token", "node_id"]).groupBy("question_id", "node_id").agg(F.sort_array(F.collect_list(F.struct("token", "impact"))).alias("terms"))
+    dropped(near)
+    wanted = candidates.join(known.select("question_id", "token", "part", "idf", "k1", "b"), "question_id")
+    terms = postings.join(wanted, ["part", "token", "node_id"]).withColumn("impact", impact).groupBy("question_id", "node_id").agg(F.sort_array(F.collect_list(F.struct("token", "impact"))).alias("terms"))
     total = F.aggregate(F.coalesce("terms.impact", F.array().cast("array<double>")), F.lit(0.0), lambda s, x: s + x)  # in the order of tokens
     if boosted is None:
         scored = terms.select("question_id", "node_id", total.alias("score"))

@@ -128,3 +128,14 @@ def test_merged_by_question(spark):
     vector = spark.createDataFrame([(1, "l1", 0.9, 1), (1, "v1", 0.8, 2), (2, "b", 0.7, 1), (3, "c", 0.6, 1)], "question_id int, node_id string, score double, place int")
     got = batch.merged_many(lexical, vector, 5).orderBy("question_id", "place").collect()
     assert [(r.question_id, r.node_id, r.retrieval_source) for r in got] == [(1, "l0", "LEXICAL"), (1, "l1", "LEXICAL"), (1, "l2", "LEXICAL"), (1, "l3", "LEXICAL"), (1, "v1", "VECTOR"), (2, "a", "LEXICAL"), (2, "b", "VECTOR"), (3, "c", "VECTOR")]
+
+
+def test_few_candidates_of_many_hits(spark, tmp_path, monkeypatch):
+    """Two hundred nodes hold a token of the question, ten hold both: only these are candidates."""
+    seen, kept = {}, batch.staged
+    monkeypatch.setattr(batch, "staged", lambda df, name: seen.setdefault(name, kept(df, name)))
+    nodes = spark.createDataFrame([(i, "", "red ring" if i % 21 == 0 else "red rope" if i % 21 < 11 else "ring rope") for i in range(210)], "id long, title string, text string")
+    path = batch.impact_index(nodes, str(tmp_path / "i"), "1")
+    found = batch.bm25_many(spark, path, spark.createDataFrame([(1, ["red", "ring"])], "question_id long, tokens array<string>"), 10).collect()
+    assert [r.node_id for r in sorted(found, key=lambda r: r.place)] == list(range(0, 210, 21))
+    assert seen["questions-candidates"].count() == 10
