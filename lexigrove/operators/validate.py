@@ -52,7 +52,8 @@ def on_cycles(nodes: DataFrame, child: str = "id", parent: str = "parent_id") ->
     """Ids of nodes that are their own ancestors.
 
     Pointers are doubled: after k rounds a node points 2^k steps up, and all whose way ends at a root have left. When the
-    steps outnumber the nodes left, the targets are just the nodes on cycles. A row a node, a join a round.
+    steps outnumber the nodes left, the targets are just the nodes on cycles. A row a node, a join a round; no round's table
+    goes through the driver.
     """
     step = staged(nodes.where(F.col(child).isNotNull() & F.col(parent).isNotNull()).select(F.col(child).alias("n"), F.col(parent).alias("to")).distinct(), "cycle-steps")
     taken = 1
@@ -61,7 +62,7 @@ def on_cycles(nodes: DataFrame, child: str = "id", parent: str = "parent_id") ->
         if left == 0 or taken > left:
             return step.select(F.col("to").alias(child)).distinct()
         ahead = step.select(F.col("n").alias("to"), F.col("to").alias("next"))
-        old, step = step, staged(step.join(ahead, "to").select("n", F.col("next").alias("to")).distinct(), "cycle-steps")
+        old, step = step, staged(step.join(ahead.hint("merge"), "to").select("n", F.col("next").alias("to")).distinct(), "cycle-steps")
         dropped(old)
         taken *= 2
 

@@ -99,3 +99,14 @@ def test_texts_reach_python_by_rows(spark):
     found = rows.select(T.is_nfc("t").alias("is"), T.fold("t").alias("folded"), T.fold_keeping_d("t").alias("kept"), T.nfc_changes("t").alias("c"))
     assert "ArrowEvalPython" not in found._jdf.queryExecution().executedPlan().toString()
     assert [(r["is"], r.folded, r.kept, r.c.text, r.c.changed) for r in found.collect()] == [(False, "e d duong", "e đ đuong", "É Đ đường", 10), (True, "plain", "plain", "plain", 0), (True, "", "", "", 0), (None, None, None, None, 0)]
+
+
+def test_cycles_are_not_broadcast(spark, monkeypatch):
+    """The pointers of a round are joined by a shuffle: no table goes through the driver."""
+    from lexigrove.operators import validate
+
+    plans, kept = [], validate.staged
+    monkeypatch.setattr(validate, "staged", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df, name))
+    nodes = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1)], "id long, parent_id long")
+    assert {r.id for r in validate.on_cycles(nodes).collect()} == {1, 2, 3}
+    assert len(plans) > 1 and not any("BroadcastHashJoin" in p for p in plans)
