@@ -1,10 +1,11 @@
 """Cycles of a directed graph by name: strongly connected components, and one closed path in each.
 
 Edges that no cycle can use go first: those from a node that nothing leads to, or to one that leads nowhere. A node that one
-edge alone leads to is put into that edge's source: who reaches whom is the same for all other nodes, and the node lies on a
-cycle with it if one of its own edges leads to that component, which is looked up when it is taken back out. The same goes
-for nodes that one edge alone leaves. Of a chain at least a third goes in a turn on average, so rounds are as the logarithm
-of its length. What is left, of which every node has two edges both ways, is coloured: every node takes the smallest node that it can be reached from. The nodes of a colour that lead back to the node
+edge alone leads to is put into that edge's source, or over a few such nodes into the first that stays: who reaches whom is the
+same for all other nodes, and the node lies on a cycle with it if an edge of its own, or of one behind it on that way, leads to
+that component, which is looked up when it is taken back out. The same goes for nodes that one edge alone leaves. Of a chain
+about a third is left after a turn, so rounds are as the logarithm of its length.
+What is left, of which every node has two edges both ways, is coloured: every node takes the smallest node that it can be reached from. The nodes of a colour that lead back to the node
 that gave it are one component; they go, and the rest is trimmed and coloured again. Each round is an aggregation on narrow
 rows, written to the shared folder; nothing is collected. The rounds of a colouring are as many as its longest shortest path.
 """
@@ -48,37 +49,56 @@ def _spread(labels: DataFrame, edges: DataFrame, name: str) -> DataFrame:
 
 
 def _onward(edges: DataFrame, source: str, target: str, turn: int) -> DataFrame:
-    """(node, into): nodes that one edge alone leads to (or that one leaves, with the ends swapped), with its other end.
+    """(node, into, over): nodes that one edge alone leads to (or that one leaves, with the ends swapped), with where they go.
 
-    No node is the other end of one that goes and goes itself: of neighbours only that of the smallest hash goes.
+    One in four by hash stays, anew each turn; the others go on over those before them, `over`, to the first that stays, `into`.
+    Whoever is further than nine steps from there stays for this turn, and so do those behind.
     """
-    one = edges.groupBy(F.col(target).alias("node")).agg(F.count("*").alias("n"), F.min(source).alias("into")).where("n = 1").select("node", "into", F.struct(F.xxhash64(F.col("node"), F.lit(turn)), F.col("node")).alias("h"))
-    one = staged(one, "cycles-single")
-    under = one.groupBy(F.col("into").alias("node")).agg(F.min("h").alias("under"))
-    rows = one.join(under, "node", "left").join(one.select(F.col("node").alias("into"), F.col("h").alias("over")), "into", "left")
-    out = staged(rows.where("(under is null or h < under) and (over is null or h < over)").select("node", "into"), "cycles-onward")
-    dropped(one)
+    stays = F.pmod(F.xxhash64(F.col(target), F.lit(turn)), F.lit(4)) == 0
+    one = edges.where(~stays).groupBy(F.col(target).alias("node")).agg(F.count("*").alias("n"), F.min(source).alias("into")).where("n = 1").select("node", "into", F.slice(F.array("into"), 1, 0).alias("over"))
+    three = staged(_further(one, 2), "cycles-single")
+    nine = _further(three, 2).join(three.select(F.col("node").alias("into"), F.lit(True).alias("more")), "into", "left")
+    # a way that comes back to its node is a circle of which none stays: its smallest does
+    circle = F.array_append("over", F.col("into"))
+    nine = nine.withColumn("least", F.when(F.array_contains(circle, F.col("node")), F.array_min(circle)))
+    nine = nine.where("(more is null and least is null) or least <> node")
+    over = F.when(F.array_contains("over", F.col("least")), F.slice("over", F.lit(1), F.array_position("over", F.col("least")).cast("int") - 1)).otherwise(F.col("over"))
+    out = staged(nine.select("node", F.coalesce("least", "into").alias("into"), over.alias("over")), "cycles-onward")
+    dropped(three)
     return out
 
 
-def _merged(edges: DataFrame, onward: DataFrame) -> DataFrame:
-    """The edges with each node of `onward` put into its neighbour, without loops and without those to or from dead ends."""
-    for end in ("source", "target"):
-        edges = edges.join(onward.select(F.col("node").alias(end), "into"), end, "left").withColumn(end, F.coalesce("into", end)).drop("into")
-    edges = staged(edges.where("source <> target").select("source", "target").distinct(), "cycles-edges")
+def _further(ways: DataFrame, n: int) -> DataFrame:
+    """`ways` (node, into, over) gone on `n` times by the ways of where they lead."""
+    more = ways.select(F.col("node").alias("into"), F.col("into").alias("next"), F.col("over").alias("__over"))
+    found = ways
+    for _ in range(n):
+        over = F.when(F.col("next").isNotNull(), F.concat("over", F.array("into"), "__over")).otherwise(F.col("over"))
+        found = found.join(more, "into", "left").select("node", F.coalesce("next", "into").alias("into"), over.alias("over"))
+    return found
+
+
+def _merged(edges: DataFrame, onward: DataFrame | None) -> DataFrame:
+    """The edges with each node of `onward` put into where it goes, without loops and without those to or from dead ends."""
+    if onward is not None:
+        for end in ("source", "target"):
+            edges = edges.join(onward.select(F.col("node").alias(end), "into"), end, "left").withColumn(end, F.coalesce("into", end)).drop("into")
+    edges = edges.where("source <> target").select("source", "target").distinct()
     alive = edges.join(edges.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(edges.select(F.col("source").alias("target")).distinct(), "target", "left_semi")
-    out = staged(alive.select("source", "target"), "cycles-edges")
-    dropped(edges)
-    return out
+    return staged(alive.select("source", "target"), "cycles-edges")
 
 
 def _taken_back(known: DataFrame, onward: DataFrame, edges: DataFrame, near: str, far: str) -> DataFrame:
-    """(node, component) of the nodes of `onward` that go on to the component of the node that they were put into."""
+    """(node, component) of the nodes of `onward` from which an edge leads back to the component of where they went.
+
+    Those that a node went over are on that way as well. An edge to another node of `onward` is one of those gone over.
+    """
     of = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component"))
     ways = onward.join(edges.select(F.col(near).alias("node"), F.col(far).alias("other")), "node")
     ways = ways.join(of("into"), "into", "left").join(of("other"), "other", "left")
     component = F.coalesce("into_component", "into")
-    return staged(ways.where(component == F.coalesce("other_component", "other")).select("node", component.alias("component")).distinct(), "cycles-taken-back")
+    back = ways.where(component == F.coalesce("other_component", "other"))
+    return staged(back.select(F.explode(F.concat(F.array("node"), "over")).alias("node"), component.alias("component")).distinct(), "cycles-taken-back")
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
@@ -87,7 +107,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
     edges: (source, target); repeated edges count once, an edge from a node to itself is a cycle, null ends count for nothing.
     """
     loops = staged(edges.where("source is not null and target is not null").select("source", "target").distinct(), "cycles-edges")
-    left, levels, idle, turn = _merged(loops, loops.limit(0).select(F.col("source").alias("node"), F.col("target").alias("into"))), [], 0, 0
+    left, levels, idle, turn = _merged(loops, None), [], 0, 0
     n = left.count()
     while n and idle < 2:
         near, far = ("source", "target") if turn % 2 == 0 else ("target", "source")
@@ -96,9 +116,8 @@ def strong_components(edges: DataFrame) -> DataFrame:
         levels.append((onward, left, near, far))
         left, before, n, turn = after, n, after.count(), turn + 1
         idle = 0 if n < before else idle + 1
-    found = _coloured(left)
-    held = [found]
-    known = found
+    known = _coloured(left) if n else left.select(F.col("source").alias("node"), F.col("source").alias("component"))
+    held = [known]
     for onward, there, near, far in reversed(levels):
         back = _taken_back(known, onward, there, near, far)
         held.append(back)
@@ -150,17 +169,18 @@ def closed_paths(edges: DataFrame, components: DataFrame) -> DataFrame:
     inside = edges.select("source", "target").distinct().join(of("source"), "source").join(of("target"), "target").where("source_component = target_component")
     inside = staged(inside.select("source", "target", F.col("source_component").alias("component")), "closed-inside")
     front = components.where("node = component").select("component", "node", F.array("node").alias("path"))
-    seen, found, held = front.select("node"), None, [inside]
+    seen, found, held = None, None, [inside]
     while True:
         step = inside.join(front.select(F.col("node").alias("source"), "path"), "source").select("component", F.col("target").alias("node"), F.concat("path", F.array("target")).alias("path"))
-        step = staged(step.groupBy("component", "node").agg(F.min("path").alias("path")), "closed-step")
+        step = step.groupBy("component", "node").agg(F.min("path").alias("path"))
+        step = staged(step if seen is None else step.join(seen, "node", "left_anti").select("component", "node", "path"), "closed-step")
         held.append(step)
         closed = step.where("node = component").select("component", "path")
         found = closed if found is None else found.unionByName(closed)
-        front = step.join(seen, "node", "left_anti").join(found.select("component"), "component", "left_anti").select("component", "node", "path")
-        if front.isEmpty():
+        if step.isEmpty():
             break
-        seen = seen.unionByName(step.select("node").distinct())
+        front = step.join(closed.select("component"), "component", "left_anti")
+        seen = step.select("node") if seen is None else seen.unionByName(step.select("node"))
     out = staged(found, "closed-paths")
     dropped(*held)
     return out

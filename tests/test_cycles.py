@@ -50,3 +50,14 @@ def test_none(spark):
     found = cycles.strong_components(rows)
     assert found.count() == 0 and cycles.closed_paths(rows, found).count() == 0
     assert cycles.strong_components(rows.where("false")).count() == 0
+
+
+def test_few_rounds(spark, monkeypatch):
+    """Rings in a row, a long ring and many pairs: a turn leaves about a third of a chain and nothing of a short ring."""
+    pairs = [(6 * k + i, 6 * k + (i + 1) % 6) for k in range(40) for i in range(6)] + [(6 * k, 6 * k + 6) for k in range(39)]
+    pairs += [(1000 + i, 1000 + (i + 1) % 100) for i in range(100)] + [(2000 + i, 2000 + (i ^ 1)) for i in range(200)]
+    names, staged = [], cycles.staged
+    monkeypatch.setattr(cycles, "staged", lambda df, name: names.append(name) or staged(df, name))
+    found = {x.node: x.component for x in cycles.strong_components(spark.createDataFrame(pairs, "source long, target long")).collect()}
+    assert found == brute(pairs)[0]
+    assert len(names) <= 30, len(names)
