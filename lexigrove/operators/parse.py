@@ -6,6 +6,8 @@ smaller depth, so the latest earlier line of each depth, kept by windows over th
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,6 +27,8 @@ PATTERNS = {
 SHORT = {"CHAPTER": "chuong", "SECTION": "muc", "ARTICLE": "dieu", "CLAUSE": "khoan", "POINT": "diem"}
 STYLE_HINTS = {"Heading 1": "CHAPTER", "Heading1": "CHAPTER", "Heading 2": "ARTICLE", "Heading2": "ARTICLE"}
 LIST_STYLE = "ListParagraph"
+#: Lines that a task sorts, on average, in every window over a document.
+LINES = 100_000
 MATCH = "STRUCT<type: STRING, number: STRING, marker: STRING, title: STRING, text: STRING>"
 
 
@@ -63,6 +67,11 @@ def ordered_types(hint: Column, scope: Column) -> Column:
     return chosen.otherwise(F.array(*map(F.lit, TYPES)))
 
 
+def dealt(paragraphs: DataFrame) -> DataFrame:
+    """Documents in as many partitions as their lines ask for: the windows that follow sort as much a task in tables of all sizes."""
+    return paragraphs.repartition(max(1, ceil(paragraphs.count() / LINES)), "doc")
+
+
 def classify(paragraphs: DataFrame) -> DataFrame:
     """`paragraphs` (doc, index, text, word_style, ilvl, num_fmt, number, marker) with `match`.
 
@@ -70,6 +79,7 @@ def classify(paragraphs: DataFrame) -> DataFrame:
     different types exclude each other, but for the list style, which fits any line as a clause or a point. So lines are
     matched without scope, the scope comes from those matches, and only lines in list style are matched once more.
     """
+    paragraphs = dealt(paragraphs)
     line = F.trim("text")
     style = F.replace(F.coalesce("word_style", F.lit("")), F.lit(" "), F.lit(""))
     by_number = numbering_hint(F.col("ilvl"), F.col("num_fmt"))
@@ -177,8 +187,7 @@ def nodes(tree: DataFrame, law_prefix: str = "law", law_code: str | None = None)
         path = F.concat_ws("_", F.col("__up.path"), "suffix")
         rows = rows.withColumns({"parent_id": F.when(here, F.col("__up.id")).otherwise(F.col("parent_id")), "__own": F.when(here, own(path)).otherwise(F.col("__own"))})
     named = rows.withColumn("id", F.col("__own.id"))
-    children = tree.groupBy("doc", F.col("parent_idx").alias("start_idx")).agg(F.count("*").cast("int").alias("children_count"))
-    full = named.join(children, ["doc", "start_idx"], "left")
+    full = _with_children(named)
     body = F.array_join(F.filter(F.concat(F.array(m["text"]), F.col("content")), lambda x: x.isNotNull() & (F.trim(x) != "")), "\n")
     orphan = (m["type"] == "POINT") & F.coalesce(F.contains("parent_id", F.lit("_dieu-")) & ~F.contains("parent_id", F.lit("_khoan-")), F.lit(False))
     return full.select(
@@ -188,6 +197,15 @@ def nodes(tree: DataFrame, law_prefix: str = "law", law_code: str | None = None)
     )
 
 
+def _with_children(rows: DataFrame) -> DataFrame:
+    """With children_count: each row tells its parent's place of itself by a row that is empty otherwise, in the same partition."""
+    tells = F.when(F.col("parent_idx").isNotNull(), F.array(F.struct(F.lit(True).alias("own"), F.col("start_idx").alias("at")), F.struct(F.lit(False).alias("own"), F.col("parent_idx").alias("at"))))
+    told = rows.withColumn("__t", F.explode(F.coalesce(tells, F.array(F.struct(F.lit(True).alias("own"), F.col("start_idx").alias("at"))))))
+    told = told.select("doc", F.col("__t.own").alias("__own_row"), F.col("__t.at").alias("__at"), *[F.when(F.col("__t.own"), F.col(c)).alias(c) for c in rows.columns if c != "doc"])
+    n = F.count_if(~F.col("__own_row")).over(Window.partitionBy("doc", "__at")).cast("int")
+    return told.withColumn("children_count", n).where("__own_row").drop("__own_row", "__at")
+
+
 def parse(paragraphs: DataFrame, law_prefix: str = "law", law_code: str | None = None) -> DataFrame:
     """Structured paragraphs to nodes."""
     return nodes(hierarchy(boundaries(with_contract_metadata(classify(with_markers(paragraphs))))), law_prefix, law_code)

@@ -83,3 +83,15 @@ def test_id_collision_raises(spark):
     with pytest.raises(Exception, match="id collision"):
         parse.checked_ids(bad).collect()
     assert parse.checked_ids(bad.where(F.col("x") == 1)).count() == 1
+
+
+def test_partitions_follow_lines(spark, monkeypatch):
+    """Four times the lines take four times the partitions, not larger ones, and a document stays in one to the end."""
+    monkeypatch.setattr(parse, "LINES", 300, raising=False)
+    text = ["Chương I", "Điều 1. A", "1. x", "a) y", "b) z", "Điều 2. B"]
+    for docs in (200, 800):
+        lines = spark.createDataFrame([(d, i, t) for d in range(docs) for i, t in enumerate(text)], "doc long, idx long, line string")
+        found = parse.parse_text(lines).select("source_doc", "children_count", F.spark_partition_id().alias("p")).collect()
+        assert len(found) == 6 * docs and sum(r.children_count for r in found) == 5 * docs
+        assert len({(r.source_doc, r.p) for r in found}) == docs
+        assert len({r.p for r in found}) == 6 * docs // 300
