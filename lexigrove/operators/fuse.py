@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..session import staged
+from ..session import partitions, staged
 from .ontology import MODALITIES, ROLES, norm_edges
 
 
@@ -70,6 +70,8 @@ def scoped(norms: DataFrame, texts: DataFrame | None = None) -> DataFrame:
 
 #: Rows of one side of a key that one task pairs with as many of the other.
 BLOCK = 1024
+#: Rows of a snapshot that a task compares.
+ROWS = 250_000
 
 
 def paired(left: DataFrame, right: DataFrame, keys: tuple, block: int = BLOCK) -> DataFrame:
@@ -283,17 +285,24 @@ def row_hash(df: DataFrame, key: tuple) -> Column:
 
 def diff(old: DataFrame, new: DataFrame, key: tuple = ("id",)) -> DataFrame:
     """(key, change): ADDED, UPDATED or REMOVED; only keys and hashes are shuffled."""
-    a = old.select(*key, row_hash(old, key).alias("__a"))
-    b = new.select(*key, row_hash(new, key).alias("__b"))
+    n = partitions(old.count(), ROWS)
+    a = old.select(*key, row_hash(old, key).alias("__a")).repartition(n, *key)
+    b = new.select(*key, row_hash(new, key).alias("__b")).repartition(n, *key)
     both = a.join(b, list(key), "full_outer")
     change = F.when(F.col("__a").isNull(), "ADDED").when(F.col("__b").isNull(), "REMOVED").when(F.col("__a") != F.col("__b"), "UPDATED")
     return both.withColumn("change", change).where("change is not null").select(*key, "change")
 
 
+def upserts(new: DataFrame, changes: DataFrame, key: tuple = ("id",)) -> DataFrame:
+    """The rows of the new snapshot that a difference adds or updates."""
+    changed = changes.where("change <> 'REMOVED'").select(*key)
+    return new.repartition(partitions(new.count(), ROWS), *key).join(changed, list(key), "left_semi")
+
+
 def apply_delta(old: DataFrame, upserts: DataFrame, removed: DataFrame, key: tuple = ("id",)) -> DataFrame:
     """The old snapshot without what is removed or replaced, and the upserts."""
     gone = removed.select(*key).unionByName(upserts.select(*key)).distinct()
-    return old.join(gone, list(key), "left_anti").unionByName(upserts)
+    return old.repartition(partitions(old.count(), ROWS), *key).join(gone, list(key), "left_anti").unionByName(upserts)
 
 
 DELTA_KEYS = ("added_nodes", "updated_nodes", "removed_nodes", "added_edges", "updated_edges", "removed_edges")

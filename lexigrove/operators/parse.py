@@ -6,14 +6,13 @@ smaller depth, so the latest earlier line of each depth, kept by windows over th
 
 from __future__ import annotations
 
-from math import ceil
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..schemas import DEPTHS
+from ..session import partitions
 
 TYPES = list(DEPTHS)
 # Patterns by type, in order; each has the groups (number or marker, title or text) that it names.
@@ -69,7 +68,7 @@ def ordered_types(hint: Column, scope: Column) -> Column:
 
 def dealt(paragraphs: DataFrame) -> DataFrame:
     """Documents in as many partitions as their lines ask for: the windows that follow sort as much a task in tables of all sizes."""
-    return paragraphs.repartition(max(1, ceil(paragraphs.count() / LINES)), "doc")
+    return paragraphs.repartition(partitions(paragraphs.count(), LINES), "doc")
 
 
 def classify(paragraphs: DataFrame) -> DataFrame:
