@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import staged
+from ..session import partitions, staged
+
+#: Nodes whose contexts a task makes.
+CONTEXTS = 50_000
 
 
 def belong_to(nodes: DataFrame) -> DataFrame:
@@ -136,11 +139,13 @@ def nearest_ancestor(nodes: DataFrame, label: str, levels: int | None = None) ->
 def context_path(nodes: DataFrame, stop: str = "ARTICLE", levels: int | None = None) -> DataFrame:
     """(id, context): lines `- TYPE: title - text` of the ancestors up to the first of type `stop`, outermost first."""
     told = nodes.select(F.col("id").alias("ancestor"), "type", F.concat(F.lit("- "), F.col("type"), F.lit(": "), F.concat_ws(" - ", "title", "text")).alias("line"))
-    chain = ancestors(nodes, levels).join(told, "ancestor")
-    stops = chain.where(F.col("type") == stop).groupBy("id").agg(F.min("distance").alias("stop_at"))
-    kept = chain.join(stops, "id", "left").where(F.col("stop_at").isNull() | (F.col("distance") <= F.col("stop_at")))
-    lines = kept.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("distance", "line")), asc=False), lambda x: x["line"]).alias("lines"))
-    return nodes.select("id").join(lines, "id", "left").select("id", F.coalesce(F.array_join("lines", "\n"), F.lit("")).alias("context"))
+    n = partitions(nodes.count(), CONTEXTS)
+    chain = ancestors(nodes, levels).join(told, "ancestor").repartition(n, "id")
+    above = F.sort_array(F.collect_list(F.struct("distance", F.coalesce(F.col("type") == stop, F.lit(False)).alias("stops"), "line")), asc=False)
+    last = F.array_min(F.transform(F.filter("above", lambda x: x["stops"]), lambda x: x["distance"]))
+    kept = F.filter("above", lambda x: F.col("last").isNull() | (x["distance"] <= F.col("last")))
+    lines = chain.groupBy("id").agg(above.alias("above")).withColumn("last", last).select("id", F.transform(kept, lambda x: x["line"]).alias("lines"))
+    return nodes.select("id").repartition(n, "id").join(lines, "id", "left").select("id", F.coalesce(F.array_join("lines", "\n"), F.lit("")).alias("context"))
 
 
 def build(nodes: DataFrame, document_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -2,13 +2,30 @@
 
 from pyspark.sql import functions as F
 
-from lexigrove.operators import fuse
+from lexigrove.operators import fuse, graph
 
 
 def parts(df):
     return len({r.p for r in df.select(F.spark_partition_id().alias("p")).collect()})
 
 
+def test_contexts(spark, monkeypatch):
+    monkeypatch.setattr(graph, "CONTEXTS", 500, raising=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for n in (1000, 4000):
+            k = F.col("id")
+            nodes = spark.range(n).select(k.cast("string").alias("id"), F.when(k >= 10, F.floor(k / 10)).cast("string").alias("parent_id"), F.when(k < 100, "ARTICLE").otherwise("CLAUSE").alias("type"), F.lit("t").alias("title"), k.cast("string").alias("text"))
+            found = graph.context_path(nodes)
+            assert parts(found) == n // 500
+            rows = {r.id: r.context for r in found.collect()}
+            # ancestors up to the first article, none above it
+            assert len(rows) == n and rows["5"] == "" and rows["42"] == "- ARTICLE: t - 4" and rows["999"] == "- ARTICLE: t - 99"
+            assert n < 2000 or rows["3141"] == "- ARTICLE: t - 31\n- CLAUSE: t - 314"
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_snapshots(spark, monkeypatch):
     monkeypatch.setattr(fuse, "ROWS", 500, raising=False)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
