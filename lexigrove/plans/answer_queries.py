@@ -90,9 +90,9 @@ _TOLD = f"{LAW}, told AS (SELECT * EXCLUDE (text), text || '. ' || {_list(SAID)}
 _BENCH = f"bq AS (SELECT item_id AS qid, {_list(ASKED)}[item_id % {len(ASKED)} + 1] || ' ' || coalesce(text, '') AS question FROM benchmark)"
 
 
-def told(spark: SparkSession, sf: str) -> DataFrame:
+def told(places: DataFrame) -> DataFrame:
     """The statute with a phrase of law in each text."""
-    return law(spark, sf).withColumn("text", F.concat("text", F.lit(". "), _pick(SAID, F.col("start_idx"))))
+    return places.withColumn("text", F.concat("text", F.lit(". "), _pick(SAID, F.col("start_idx"))))
 
 
 def asked(spark: SparkSession, sf: str) -> DataFrame:
@@ -141,7 +141,7 @@ _ASKED_ROWS = "asked8 AS (SELECT unnest(range(" + str(len(ASKED)) + f")) AS qid,
 @query(f"WITH {_TOLD}, {_ASKED_ROWS}, {profile_sql('asked8')}, tx AS (SELECT id, {fold_sql('text')} AS f FROM told), ty AS (SELECT id, f, {tokens_sql('f')} AS ts FROM tx) SELECT id, array_to_string(list_sort(qts), ' ') AS asked, round({fit_sql('f', 'ts')}, 6)::DOUBLE AS score FROM ty CROSS JOIN qp")
 def text_scores(spark: SparkSession, sf: str) -> DataFrame:
     """How well the places of a statute fit eight questions."""
-    return _scores(told(spark, sf), "id")
+    return _scores(told(law(spark, sf)), "id")
 
 
 @query(f"""WITH {_ASKED_ROWS}, {profile_sql('asked8')}, tx AS (SELECT doc_id, {fold_sql(f"coalesce(text, '') || '. ' || {_list(SAID)}[doc_id % {len(SAID)} + 1]")} AS f FROM documents),
@@ -162,17 +162,19 @@ def _near(q: Column) -> Column:
 
 def inputs(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     """Questions with the places, references and children of four articles each."""
-    nodes = told(spark, sf).withColumns({"locator": T.locator_of("id"), "parent_locator": T.locator_of("parent_id")})
+    places = law(spark, sf)
+    nodes = told(places).withColumns({"locator": T.locator_of("id"), "parent_locator": T.locator_of("parent_id")})
     questions = asked(spark, sf).withColumn("traversal", F.col("question_id") % 3 > 0)
     near = questions.select("question_id", F.explode(_near(F.col("question_id"))).alias("number"))
+    looked_at = staged(near.select("number").distinct(), "looked-at")  # articles that no question looks at give no row below
+    own = staged(nodes.join(looked_at, "number", "left_semi").select("number", "id", "locator", "parent_locator", "text", F.col("start_idx").alias("place")), "looked-at-places")
     # as many rows as questions and their four articles
-    mine = near.join(nodes.select("number", "locator", "parent_locator", "text", F.col("start_idx").alias("place")), "number").drop("number")
-    named = law(spark, sf).select("id", F.floor(F.col("start_idx") / 100).alias("number"))
-    text = nodes.select(F.col("locator").alias("at"), "text")
-    refs = retrieve.reference_edges(law(spark, sf), articles=(5, 12))
-    refs = refs.join(law(spark, sf).select(F.col("id").alias("source_id"), F.col("start_idx").alias("k")), "source_id").join(named.withColumnRenamed("id", "source_id"), "source_id")
-    refs = refs.drop("source_text", "target_text").join(text.select(F.col("at").alias("source_locator"), F.col("text").alias("source_text")), "source_locator")
-    refs = refs.join(text.select(F.col("at").alias("target_locator"), F.col("text").alias("target_text")), "target_locator", "left")
+    mine = near.join(own, "number").drop("number", "id")
+    refs = retrieve.reference_edges(places, articles=(5, 12), sources=places.join(looked_at, "number", "left_semi"))
+    refs = refs.drop("source_text", "target_text").join(own.select(F.col("id").alias("source_id"), "number", F.col("place").alias("k"), F.col("text").alias("source_text")), "source_id")
+    refs = staged(refs, "looked-at-references")
+    said = nodes.select(F.col("locator").alias("target_locator"), F.col("text").alias("target_text")).join(refs.select("target_locator").distinct(), "target_locator", "left_semi")
+    refs = refs.join(said.hint("merge"), "target_locator", "left")
     refs = refs.withColumn("target_locator", F.when(F.col("target_id").startswith("external:"), F.col("target_id")).otherwise(F.col("target_locator")))
     edges = near.join(refs.select("number", "source_locator", "relation_type", "target_locator", "source_text", "target_text", (F.col("k") * 4 + F.col("place")).alias("place")), "number").drop("number")
     anchors = mine.where(F.col("place") % 9 == F.col("question_id") % 9).select("question_id", "locator", "text", "place")
