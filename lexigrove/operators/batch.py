@@ -20,12 +20,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import dropped, staged
+from ..session import dropped, partitions, staged
 from .retrieve import ARTICLE_BOOST, K1, B, lexical_index
 from .route import cached
 
 #: Impacts of a token that are kept beside it: thresholds are known for up to so many results.
 KEPT_IMPACTS = 100
+#: Postings that a task adds up.
+HITS = 500_000
 #: Less than this apart, a sum of impacts counts as equal to a threshold.
 SLACK = 1e-9
 
@@ -90,6 +92,9 @@ def bm25_many(spark: SparkSession, path: str, questions: DataFrame, k: int = 10,
     known = known.withColumns({"common": F.col("reach") < F.col("threshold") - SLACK, "need": F.col("threshold") - (F.col("total") - F.col("most")) - SLACK, "part": F.pmod(F.xxhash64("token"), F.lit(sizes["parts"])).cast("int")})
     known = staged(known, "questions-tokens")
     hits = postings.join(known.where("NOT common"), ["part", "token"]).withColumn("impact", impact).where("impact >= need")
+    # the idf tells how many postings a token has; a node has few tokens of a question, so adding up before the move only takes memory
+    rows = known.where("NOT common").agg(F.sum((sizes["docs"] + 1) * F.exp(-F.col("idf")))).first()[0]  # one row
+    hits = hits.select("question_id", "node_id", "impact").repartition(partitions(int(rows or 0), HITS), "question_id", "node_id")
     far = known.groupBy("question_id").agg(F.sum(F.when(F.col("common"), F.col("most")).otherwise(0.0)).alias("far"), F.first("threshold").alias("threshold"))
     near = staged(hits.groupBy("question_id", "node_id").agg(F.sum("impact").alias("near")), "questions-near")
     # k nodes have at least the k-th sum known so far, so whoever cannot reach that with the common tokens is out
