@@ -110,3 +110,20 @@ def test_cycles_are_not_broadcast(spark, monkeypatch):
     nodes = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1)], "id long, parent_id long")
     assert {r.id for r in validate.on_cycles(nodes).collect()} == {1, 2, 3}
     assert len(plans) > 1 and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_long_norm_contexts_are_whole(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from lexigrove.operators import retrieve
+    from lexigrove.plans.queries import ORACLES, QUERIES
+
+    from .oracle import same
+
+    monkeypatch.setattr(retrieve, "SECTIONS", 300, raising=False)
+    n = range(3000)
+    pq.write_table(pa.table({"l_suppkey": [i % 1500 for i in n], "l_partkey": [(i * 7) % 400 for i in n], "l_returnflag": ["ARN"[i % 3] for i in n], "l_linestatus": ["OF"[i % 2] for i in n]}), tmp_path / "lineitem.parquet")
+    found = QUERIES["norm_context"](spark, str(tmp_path))
+    assert len(found.first()["context"]) > 100_000
+    same(found, str(tmp_path), ORACLES["norm_context"])
