@@ -11,6 +11,8 @@ Every table is keyed by question_id.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,26 +65,42 @@ def _named(named: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in named.items()]).cast("array<string>"))
 
 
+_ACTION_TOKENS = {folded(a): question_tokens(a) for a in ACTIONS}
+
+
 def _actions(tokens: Column) -> Column:
     """The actions all of whose tokens are there, whatever stands between them."""
-    return _named({folded(a): F.size(F.array_except(_texts(question_tokens(a)), tokens)) == 0 for a in ACTIONS})
+    # a text's tokens are looked through once, and its few tokens of actions for each action
+    some = F.array(F.array_intersect(tokens, _texts(list(dict.fromkeys(t for ts in _ACTION_TOKENS.values() for t in ts)))))
+    return F.get(F.transform(some, lambda found: _named({a: F.size(F.array_except(_texts(ts), found)) == 0 for a, ts in _ACTION_TOKENS.items()})), F.lit(0))
 
 
 def _any(marks: Column, phrases: list[str]) -> Column:
     return F.arrays_overlap(marks, _texts(phrases))
 
 
-def described(text: Column | str) -> Column:
-    """struct(folded, tokens, marks, actions, concepts, regimes) of a text; null counts as empty."""
+def _seen(text: Column, whole: bool) -> Column:
+    """struct(folded, tokens, marks) of a text that is not null: folded, read for tokens and looked through for phrases where it lies."""
+    stop, phrases = frozenset(T.QUESTION_STOPWORDS), list(PHRASES)
+
+    def read(t: str) -> tuple[str | None, list[str], list[str]]:
+        f = t.lower() if t.isascii() else folded(t)
+        tokens = dict.fromkeys(x for x in re.findall("[a-z0-9]+", f) if len(x) > 2)
+        return f if whole else None, [x for x in tokens if x not in stop], [p for p in phrases if p in f]
+
+    return T.by_rows(read, "folded string, tokens array<string>, marks array<string>")(text)
+
+
+def described(text: Column | str, whole: bool = True) -> Column:
+    """struct(folded, tokens, marks, actions, concepts, regimes) of a text; null counts as empty. Without `whole` no folded."""
     text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    first = lambda found: F.get(found, F.lit(0))  # noqa: E731  a value bound once: lambdas take it, not the folding
-    seen = first(F.transform(F.array(T.fold(text)), lambda f: F.struct(f.alias("folded"), _tokens(f).alias("tokens"), F.filter(_texts(PHRASES), lambda p: F.contains(f, p)).alias("marks"))))
 
     def more(s: Column) -> Column:
         concepts = _named({c: _any(s["marks"], ps) for c, ps in _CONCEPTS.items()})
-        return F.struct(s["folded"].alias("folded"), s["tokens"].alias("tokens"), s["marks"].alias("marks"), _actions(s["tokens"]).alias("actions"), concepts.alias("concepts"), F.array_intersect(s["marks"], _texts(_REGIMES)).alias("regimes"))
+        parts = [s["folded"].alias("folded")] if whole else []
+        return F.struct(*parts, s["tokens"].alias("tokens"), s["marks"].alias("marks"), _actions(s["tokens"]).alias("actions"), concepts.alias("concepts"), F.array_intersect(s["marks"], _texts(_REGIMES)).alias("regimes"))
 
-    return first(F.transform(F.array(seen), more))
+    return F.get(F.transform(F.array(_seen(text, whole)), more), F.lit(0))  # what is read is bound once
 
 
 def profile(question: Column | str) -> Column:

@@ -131,7 +131,10 @@ def _scores(texts: DataFrame, name: str) -> DataFrame:
     asked = staged(texts.sparkSession.createDataFrame([(a,) for a in ASKED], "asked string").coalesce(1).select(answers.profile("asked").alias("q")), "asked")
     # a table of little bytes has few partitions, but its texts take long to read
     dealt = texts.repartition(4 * texts.sparkSession.sparkContext.defaultParallelism, name)
-    d = dealt.select(name, answers.described("text").dropFields("folded").alias("d"))
+    d = dealt.select(name, answers.described("text", whole=False).alias("d"))
+    # of a text's tokens those that a question has are kept: the others are in no question's fit
+    words = asked.agg(F.array_distinct(F.flatten(F.collect_list("q.tokens"))).alias("words"))
+    d = d.join(F.broadcast(words)).select(name, F.struct(F.array_intersect("d.tokens", "words").alias("tokens"), "d.marks", "d.actions", "d.concepts", "d.regimes").alias("d"))
     return d.join(F.broadcast(asked)).select(name, F.array_join(F.sort_array("q.tokens"), " ").alias("asked"), F.round(answers.fit(F.col("q"), F.col("d")), 6).alias("score"))
 
 

@@ -158,3 +158,21 @@ def test_a_service_has_a_twentieth(spark):
 def test_nothing_to_start_from(spark):
     got, starts = case(spark, "thế chấp", [("LD2024:A1", "DIRECT_REFERENCE", "external:LD2024:A99", "x", ""), ("", "DIRECT_REFERENCE", "LD2024:A1", None, None)], [])
     assert got == [] and starts.count() == 0
+
+
+def test_a_text_is_read_once_for_all_questions(spark, sf):
+    from lexigrove.plans.answer_queries import document_scores
+
+    plan = document_scores(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all") <= 1
+
+
+def test_described_odd_texts(spark):
+    from lexigrove.functions import text as T
+
+    texts = [None, "", "  ", "Straße ẞ İstanbul ŉ", "Người sử dụng đất THẾ CHẤP", "nguời été xͅyz", "αβγ 日本語 abc1", "phai co dieu kien " * 3]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.fold(F.coalesce("t", F.lit(""))).alias("f"), T.token_set(F.coalesce("t", F.lit(""))).alias("k"), answers.described("t").alias("d"), answers.described("t", whole=False).alias("s"))
+    for r in rows.collect():
+        assert (r.d.folded, r.d.tokens) == (r.f, r.k)
+        assert r.d.marks == [p for p in answers.PHRASES if p in r.f]
+        assert {k: v for k, v in r.d.asDict().items() if k != "folded"} == r.s.asDict()
