@@ -94,6 +94,30 @@ def test_answer_context(spark):
     assert out["context"].first().included_count > 0 and out["anchors"].count() > 0
 
 
+def test_the_budget_decides_what_follows(spark, sf):
+    """What the budget leaves out of a context is neither in its sections nor in its hierarchy."""
+    from lexigrove.plans.queries import QUERIES
+
+    n = graph(spark)
+    encoder = services.hashing_encoder()
+    v = services.encoded(n.withColumn("text", F.coalesce("text", "title")), encoder, "id")
+    question = "liệt kê các điều kiện cho thuê lại theo Điều 45"
+    sizes = []
+    for budget in (10_000, 120):
+        out = retrieve.answer_context(question, n, v, encoder([question])[0], budget=budget)
+        every, context = out["included"].collect(), out["context"].first()
+        inside = sorted((r for r in every if r.number), key=lambda r: r.number)
+        assert len(every) == context.candidate_count == out["evidence"].count() and len(inside) == context.included_count
+        assert "\n\n".join(r.section for r in inside) == context.context and sum(r.estimated_tokens for r in inside) == context.estimated_tokens <= budget
+        assert all(r.section is None for r in every if not r.number)
+        ids = {r.node_id for r in inside}
+        assert all(r.id in ids and r.parent_id in ids for r in out["hierarchy"].collect())
+        sizes.append(len(inside))
+    assert sizes[0] > sizes[1] > 0
+    rows = QUERIES["question_context"](spark, sf).collect()
+    assert rows and any((r.section or "").startswith("Bằng chứng 1 [") for r in rows)
+
+
 def test_services(spark):
     calls, slept = [], []
 
