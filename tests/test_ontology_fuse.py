@@ -262,3 +262,17 @@ def test_a_node_is_built_from_its_own_row(spark):
         a, b = (sorted(repr(tuple(r)) for r in g[name].select(columns).collect()) for g in (got, want))
         assert a == b, name
         assert a or name == "concepts", name
+
+
+def test_texts_told_to_be_nfc_are(spark):
+    """No character that keeps a text from Python changes by NFC, is a mark, or goes together with one before it."""
+    import unicodedata
+
+    from lexigrove.functions import text as T
+
+    pairs = (unicodedata.decomposition(chr(i)).split() for i in range(0x110000))
+    second = {int(p[1], 16) for p in pairs if len(p) == 2 and not p[0].startswith("<")}
+    chars = spark.createDataFrame([(i, chr(i)) for i in range(0xD800)], "i int, c string")
+    told = {r.i for r in chars.where(F.col("c").rlike(T.NFC_ALREADY)).select("i").collect()}
+    assert len(told) >= 1000
+    assert not [i for i in told if unicodedata.normalize("NFC", chr(i)) != chr(i) or unicodedata.combining(chr(i)) or i in second]
